@@ -76,21 +76,24 @@ def mine_specs(text, patterns: dict[str, str] | None = None) -> Column:
 
 def map_specs(specs, keys: dict | None = None) -> Column:
     """Free-form specification map -> struct of known fields; among several fitting keys the last wins."""
-    def fits(k, any_words, all_words, none_words):
-        cond = F.lit(True)
-        if any_words:
-            hit = F.lit(False)
-            for w in any_words:
-                hit = hit | k.contains(w)
-            cond = cond & hit
-        for w in all_words:
-            cond = cond & k.contains(w)
-        for w in none_words:
-            cond = cond & ~k.contains(w)
-        return cond
+    def fits(any_words, all_words, none_words):
+        def test(k, v):
+            cond = F.lit(True)
+            if any_words:
+                hit = F.lit(False)
+                for w in any_words:
+                    hit = hit | k.contains(w)
+                cond = cond & hit
+            for w in all_words:
+                cond = cond & k.contains(w)
+            for w in none_words:
+                cond = cond & ~k.contains(w)
+            return cond
+
+        return test
 
     return F.struct(*[
-        F.try_element_at(F.map_values(F.map_filter(c(specs), lambda k, v, r=rule: fits(k, *r))), F.lit(-1)).alias(f)
+        F.try_element_at(F.map_values(F.map_filter(c(specs), fits(*rule))), F.lit(-1)).alias(f)
         for f, rule in (keys or SPEC_KEYS).items()])
 
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# whitespace as the source data means it: Unicode no-break space and BOM included
-WS = r"[\s ﻿]"
+# whitespace as the source data means it: Unicode spaces and the byte order mark included
+SPACES = " \t\n\u000b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WS = r"[\s\u00A0\uFEFF]"
 NUM = r"(\d+(?:\.\d+)?)"
 
 
@@ -17,7 +18,12 @@ def c(x) -> Column:
 
 
 def js_trim(x) -> Column:
-    return F.regexp_replace(c(x), f"^{WS}+|{WS}+$", "")
+    return F.btrim(c(x), F.lit(SPACES))
+
+
+def not_blank(x) -> Column:
+    """Some character other than white space; stops at the first one."""
+    return c(x).rlike(r"[^\s\u00A0\uFEFF]")
 
 
 def extract(x, pattern: str, group: int = 1) -> Column:
@@ -26,8 +32,8 @@ def extract(x, pattern: str, group: int = 1) -> Column:
 
 
 def number(x, pattern: str, group: int = 1) -> Column:
-    """Numeric capture of the first match as DOUBLE, NULL when absent."""
-    return extract(x, pattern, group).try_cast("double")
+    """Numeric capture of the first match as DOUBLE; no match gives '', which casts to NULL."""
+    return F.regexp_extract(c(x), pattern, group).try_cast("double")
 
 
 def js_number(x) -> Column:
@@ -37,6 +43,11 @@ def js_number(x) -> Column:
     return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(plain)
 
 
+def int_text(x) -> Column:
+    """Text of a number that is known to be whole."""
+    return c(x).cast("bigint").cast("string")
+
+
 def js_round(x) -> Column:
     """Half toward +infinity."""
     return F.floor(c(x) + F.lit(0.5)).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NUM, WS, c, extract, js_number, js_round, number, to_fixed, truthy
+from .text import NUM, WS, c, int_text, js_number, js_round, number, to_fixed, truthy
 
 # fixed values: unit conversion factors
 KG_TO_LBS = 2.20462
@@ -41,41 +41,48 @@ def speed_mpm(x) -> Column:
     )
 
 
-def _value_unit(x, unit_class: str) -> tuple[Column, Column]:
+def measure(x, unit_class: str = "[a-z]") -> Column:
+    """Struct(v, u): the first number followed by letters, and those letters in lower case."""
     pat = f"(?i){NUM}{WS}*({unit_class}+)"
-    return number(x, pat, 1), F.lower(extract(x, pat, 2))
+    return F.struct(number(x, pat, 1).alias("v"), F.lower(F.regexp_extract(c(x), pat, 2)).alias("u"))
 
 
-def normalize_capacity(x) -> Column:
-    """``500 kg`` -> ``500 kg (1102 lbs)``; units other than kg / lb / (short) ton stay as they are."""
-    x = c(x)
-    v, u = _value_unit(x, "[a-z]")
-    pair = lambda kg, lbs: F.concat(js_number(kg), F.lit(" kg ("), js_number(lbs), F.lit(" lbs)"))
+SPEED_UNIT = "[a-z/]"
+
+
+def normalize_capacity(x, parts=None) -> Column:
+    """``500 kg`` -> ``500 kg (1102 lbs)``; units other than kg / lb / (short) ton stay as they are.
+
+    ``parts`` may name a column that already holds ``measure(x)``, so that a wide projection parses the text once.
+    """
+    x, m = c(x), measure(x) if parts is None else c(parts)
+    v, u = m["v"], m["u"]
+    pair = lambda kg, lbs: F.concat(kg, F.lit(" kg ("), lbs, F.lit(" lbs)"))
     return (
         F.when(~truthy(x), F.lit(""))
-        .when(u.contains("kg"), pair(v, js_round(v * KG_TO_LBS)))
-        .when(u.contains("lb"), pair(js_round(v * LBS_TO_KG), v))
-        .when(u.contains("ton") & ~u.contains("metric"), pair(v * TON_TO_KG, v * TON_TO_LBS))
+        .when(u.contains("kg"), pair(js_number(v), int_text(js_round(v * KG_TO_LBS))))
+        .when(u.contains("lb"), pair(int_text(js_round(v * LBS_TO_KG)), js_number(v)))
+        .when(u.contains("ton") & ~u.contains("metric"), pair(js_number(v * TON_TO_KG), js_number(v * TON_TO_LBS)))
         .otherwise(x)
     )
 
 
-def normalize_speed(x) -> Column:
-    x = c(x)
-    v, u = _value_unit(x, "[a-z/]")
+def normalize_speed(x, parts=None) -> Column:
+    x, m = c(x), measure(x, SPEED_UNIT) if parts is None else c(parts)
+    v, u = m["v"], m["u"]
     return (
         F.when(~truthy(x), F.lit(""))
         .when(u.contains("m/min"),
-              F.concat(js_number(v), F.lit(" m/min ("), js_number(js_round(v * M_TO_FT)), F.lit(" ft/min)")))
+              F.concat(js_number(v), F.lit(" m/min ("), int_text(js_round(v * M_TO_FT)), F.lit(" ft/min)")))
         .when(u.contains("ft/min") | u.contains("fpm"),
               F.concat(to_fixed(v * FT_TO_M, 1), F.lit(" m/min ("), js_number(v), F.lit(" ft/min)")))
         .otherwise(x)
     )
 
 
-def normalize_power(x) -> Column:
-    x = c(x)
-    v, u = _value_unit(x, "[a-z]")
+def normalize_power(x, parts=None) -> Column:
+    x, m = c(x), measure(x) if parts is None else c(parts)
+    v, u = m["v"], m["u"]
     return (
         F.when(~truthy(x), F.lit(""))
         .when(u.contains("kw"), F.concat(js_number(v), F.lit(" kW ("), to_fixed(v * KW_TO_HP, 1), F.lit(" HP)")))
@@ -101,7 +108,7 @@ def capacity_any_unit(x, mode: str = "fixed") -> Column:
     ``fixed`` prefers a kilogram figure when one is written.
     """
     s = F.lower(c(x))
-    v = F.replace(extract(s, r"(\d+(?:[.,]\d+)?)"), F.lit(","), F.lit(".")).try_cast("double")
+    v = F.replace(F.regexp_extract(s, r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
     by_text = js_round(
         F.when(s.rlike("lbs?|pound"), v * LBS_TO_KG)
         .when(s.contains("ton") & s.contains("short"), v * SHORT_TON_TO_KG)

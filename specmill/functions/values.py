@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CRITICAL, REQUIRED_SPECS, SECONDARY, kind
-from .text import WS, all_of, c, count_true, js_trim, lit_map, lookup, truthy
+from .text import all_of, c, count_true, js_trim, lit_map, lookup, not_blank, truthy
 
 # fixed values: classification aliases
 CLASS_ALIASES = {
@@ -116,7 +116,7 @@ def has_value(x, rule: str = "a", kind: str = "text", display: str | None = None
     if kind == "bool":
         return F.coalesce(x, F.lit(False)) if rule in ("c", "d") else x.isNotNull()
     if rule in ("a", "b"):
-        return F.coalesce((js_trim(x) != "") & (x != "-"), F.lit(False))
+        return F.coalesce((x != "-") & not_blank(x), F.lit(False))
     present = (x != "") & (x != "-")
     if rule == "d":
         present = present & (x != "Not specified")

@@ -48,15 +48,17 @@ def map_keys_union(df: DataFrame, col: str) -> DataFrame:
 
 def all_documents(df: DataFrame, prefix: str = "/media/pdfs/") -> Column:
     """Linked documents first, then local copies whose address is rebuilt from the file name."""
-    cols = [(f, "remote") for f in ("pdfs",)] + [("downloadedPDFs", "local")]
+    cols = [("pdfs", "remote"), ("downloadedPDFs", "local")]
 
-    def as_doc(d, origin):
-        url = d["url"] if origin == "remote" else F.concat(F.lit(prefix), F.substring_index(d["localPath"], "/", -1))
-        return F.struct(url.alias("url"), d["title"].alias("title"), d["type"].alias("type"), F.lit(origin).alias("origin"))
+    def as_docs(column, origin):
+        def one(d):
+            url = d["url"] if origin == "remote" else F.concat(F.lit(prefix), F.substring_index(d["localPath"], "/", -1))
+            return F.struct(url.alias("url"), d["title"].alias("title"), d["type"].alias("type"), F.lit(origin).alias("origin"))
 
-    parts = [F.coalesce(F.transform(f, lambda d, o=o: as_doc(d, o)),
-                        F.array().cast("array<struct<url:string,title:string,type:string,origin:string>>")) for f, o in cols]
-    return F.concat(*parts)
+        empty = F.array().cast("array<struct<url:string,title:string,type:string,origin:string>>")
+        return F.coalesce(F.transform(column, one), empty)
+
+    return F.concat(*[as_docs(f, o) for f, o in cols])
 
 
 def _empty(df: DataFrame, x: str, col: Column | None = None) -> Column:

@@ -16,12 +16,15 @@ def process_catalog(df: DataFrame, vendor_aliases=None, class_aliases=None, vend
     """Drop rows without vendor or model, then clean, parse, score and classify the rest. No shuffle."""
     out = df.filter(truthy("model") & truthy("manufacturer"))
     kinds = dict(out.dtypes)
+    # numbers and units are parsed once, in a projection of their own, and used several times by the next
+    out = out.withColumns({"_cap": units.measure("loadCapacity"), "_spd": units.measure("liftingSpeed", units.SPEED_UNIT),
+                           "_pow": units.measure("motorPower")})
     fix = {
         "manufacturer": values.clean_manufacturer("manufacturer", vendor_aliases),
         "model": values.clean_model("model"),
-        "loadCapacity": units.normalize_capacity("loadCapacity"),
-        "liftingSpeed": units.normalize_speed("liftingSpeed"),
-        "motorPower": units.normalize_power("motorPower"),
+        "loadCapacity": units.normalize_capacity("loadCapacity", "_cap"),
+        "liftingSpeed": units.normalize_speed("liftingSpeed", "_spd"),
+        "motorPower": units.normalize_power("motorPower", "_pow"),
     }
     classes = "classification"
     raw = F.col(classes) if kinds[classes].startswith("array") else values.split_classes(classes)
@@ -35,7 +38,7 @@ def process_catalog(df: DataFrame, vendor_aliases=None, class_aliases=None, vend
     for f in MAP_FIELDS[:3]:
         if f in kinds:
             fix[f] = values.ensure_map(f)
-    out = out.withColumns(fix)
+    out = out.withColumns(fix).drop("_cap", "_spd", "_pow")
     out = values.apply_vendor_rules(out, *([tuple(vendor_rules)] if vendor_rules else []))
     return score(out)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, c, count_true, first_match, js_trim, match_label, matches, truthy
+from ..functions.text import any_of, c, count_true, first_match, js_trim, matches, not_blank, truthy
 from .facets import has_list
 from .tidy import top_k
 
@@ -154,7 +154,7 @@ def invalid_by_reason(df: DataFrame, k: int = 3, **options) -> DataFrame:
 def is_empty(df: DataFrame, rule: str = "signals") -> Column:
     """signals: none of six data signals; useful: fewer than three of seven useful fields; specs: no specification."""
     known = lambda f: truthy(f) & (c(f) != "Unknown")
-    filled = lambda f: F.coalesce(js_trim(f) != "", F.lit(False))
+    filled = lambda f: F.coalesce(not_blank(f), F.lit(False))
     if rule == "signals":
         signs = [known(f) for f in ("loadCapacity", "liftingSpeed", "motorPower")]
         signs += [F.length(_opt(df, "description")) > 50, has_list("images")]
@@ -193,7 +193,7 @@ def drop_non_products(df: DataFrame, ruleset: str = "aggressive") -> DataFrame:
 def reject_reason(model: str = "model") -> Column:
     """Deep clean-up: first reason in the order invalidModel, categoryPage, noSpecs, tooShortModel."""
     name = js_trim(F.coalesce(c(model), F.lit("")))
-    filled = lambda f: F.coalesce(js_trim(f) != "", F.lit(False))
+    filled = lambda f: F.coalesce(not_blank(f), F.lit(False))
     specs = any_of([filled(f) for f in ("loadCapacity", "liftingSpeed", "motorPower")])
     data = specs | has_list("classification") | filled("dutyCycle") | filled("weight")
     return (F.when(matches(name, DEEP_INVALID), "invalidModel")

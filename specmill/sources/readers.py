@@ -24,6 +24,12 @@ def to_timestamp_any(v: Column) -> Column:
     return F.coalesce(ms, F.try_to_timestamp(s))
 
 
+def _urls_as(urls: Column, names: list[str]) -> Column:
+    """Plain address lists in the struct form of the schema."""
+    none = F.lit(None).cast("string")
+    return F.transform(urls, lambda u: F.struct(*[(u if n == "url" else none).alias(n) for n in names]))
+
+
 def catalog_columns(v: Column) -> list[Column]:
     """The fixed record schema read from a VARIANT; fields that may be a scalar or a list, or a text or an object, are
     settled here, and keys outside the schema go to ``extras``."""
@@ -40,9 +46,7 @@ def catalog_columns(v: Column) -> list[Column]:
     cols += [F.when(_field(v, f, "variant").isNotNull(), variant_to_bool(_field(v, f, "variant"))).alias(f) for f in BOOL_FIELDS]
     for f, t in MEDIA_FIELDS.items():
         kind = f"array<{t.simpleString()}>"
-        blank = [F.lit(None).cast("string").alias(n) for n in t.fieldNames()]
-        at = t.fieldNames().index("url")
-        plain = F.transform(_field(v, f, "array<string>"), lambda u, b=blank, i=at: F.struct(*b[:i], u.alias("url"), *b[i + 1:]))
+        plain = _urls_as(_field(v, f, "array<string>"), t.fieldNames())
         first = F.try_variant_get(v, f"$.{f}[0]", "variant")
         cols.append(F.when(F.schema_of_variant(first) == "STRING", plain).otherwise(_field(v, f, kind)).alias(f))
     cols += [_field(v, "price", "struct<value:double,currency:string>").alias("price"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import c
+from ..functions.text import c, js_number
 from ..operators.merge import map_keys_union
 from ..operators.search import export_filter
 from .readers import write_ready
@@ -43,7 +43,7 @@ def flatten_catalog(df: DataFrame, sep: str = ", ", map_keys: dict[str, list[str
         if isinstance(t, T.ArrayType):
             if isinstance(t.elementType, T.StructType):
                 key = "url" if "url" in t.elementType.fieldNames() else t.elementType.fieldNames()[0]
-                out.append(F.array_join(F.transform(n, lambda x, k=key: x[k]), sep).alias(n))
+                out.append(F.array_join(F.col(f"{n}.{key}"), sep).alias(n))
             else:
                 out.append(F.array_join(n, sep).alias(n))
         elif isinstance(t, T.MapType):
@@ -159,8 +159,7 @@ def restore(spark: SparkSession, root: str, ts: str, current: DataFrame | None =
 def size_text(n) -> Column:
     """Bytes as text with up to two decimals."""
     n = c(n).cast("double")
-    i = F.when(n < 1, 0).otherwise(F.least(F.floor(F.log(F.lit(1024.0), n)), F.lit(3))).cast("int")
-    from ..functions.text import js_number
+    i = F.when(n < 1024, 0).when(n < 1024 ** 2, 1).when(n < 1024 ** 3, 2).otherwise(3)
 
     v = F.round(n / F.pow(F.lit(1024.0), i), 2)
     unit = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB")]), i + 1)
