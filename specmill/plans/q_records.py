@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions.names import dedupe_key, unique_id
 from ..functions.text import c
 from ..operators import dedupe, merge, rules
 from ..operators.normalize import process_catalog
+from ..session import stored
 from ..sources import seeds, writers
 from . import inputs
 from .oracle import cat, raw
 from .registry import query
 
 
-def catalog(spark, sf):
+def process(spark, sf):
     return process_catalog(inputs.raw_catalog(spark, sf))
 
 
+def catalog(spark, sf):
+    """The processed catalogue. It is the table all later queries work on, so it is written once and then scanned with
+    pushed filters and pruned columns; sorting by vendor inside each file makes the row-group statistics useful."""
+    name = "catalog-" + hashlib.sha1(sf.encode()).hexdigest()[:12]
+    return stored(spark, name, lambda: process(spark, sf).sortWithinPartitions("manufacturer", "_pos"))
+
+
 FLAT = """_pos, id, manufacturer, model, series, loadCapacity, liftingSpeed, motorPower, array_to_string(cls, '|') AS classes,
   quietOperation, capacityKg, speedMMin, dataCompleteness, hasCompleteSpecs, source, sourceUrl, dataQualityTier"""
 
 
 @query("f01_process_catalog", cat(f"SELECT {FLAT} FROM catalog"))
 def f01(spark, sf):
-    return catalog(spark, sf).select(
+    return process(spark, sf).select(
         "_pos", "id", "manufacturer", "model", "series", "loadCapacity", "liftingSpeed", "motorPower",
         F.array_join("classification", "|").alias("classes"), "quietOperation", "capacityKg", "speedMMin", "dataCompleteness",
         "hasCompleteSpecs", "source", "sourceUrl", "dataQualityTier")

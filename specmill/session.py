@@ -22,12 +22,15 @@ def get_spark(master: str | None = None, app: str = "specmill", **conf) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a temp folder only when unset."""
+    """Folder for checkpoints and intermediate tables: the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset (tests, a laptop) a temp folder becomes the checkpoint directory of the session.
+    """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
-        current = sc.getCheckpointDir()
-        path = current or tempfile.mkdtemp(prefix="specmill-ckpt-")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="specmill-ckpt-"))
+        path = sc.getCheckpointDir()
     return path
 
 
@@ -37,3 +40,19 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def stored(spark: SparkSession, name: str, build) -> DataFrame:
+    """A table built once per application in the shared folder and read from there afterwards.
+
+    The success marker decides whether it is complete, so a build that was cut short is done again.
+    """
+    path = f"{shared_dir(spark)}/specmill-{spark.sparkContext.applicationId}/{name}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
