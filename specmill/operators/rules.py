@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, c, count_true, first_match, js_trim, matches, not_blank, truthy
+from ..session import cut
 from .facets import has_list
 from .tidy import top_k
 
@@ -112,30 +113,40 @@ def _url_parts(url: str = "url") -> tuple[Column, Column]:
 
 def validate_records(df: DataFrame, strict: bool = False, skip_urls=tuple(SKIP_URLS), skip_models=tuple(SKIP_MODELS),
                      keep_types=tuple(KEEP_TYPES), drop_types=tuple(DROP_TYPES)) -> DataFrame:
-    """Add ``valid``, ``reasons`` and ``warnings``."""
+    """Add ``valid``, ``reasons`` and ``warnings``.
+
+    The texts under test become columns first, so that no rule repeats their construction. ``valid`` needs one
+    alternation per rule list; which rule it was is only looked up for rows that fail.
+    """
     path, full = _url_parts()
-    url_hit = first_match(full, list(skip_urls))
-    name = js_trim(_opt(df, "model"))
     text = F.lower(F.concat_ws(" ", *[_opt(df, f) for f in ("model", "productType", "series", "description")]))
-    kept = matches(text, list(keep_types))
-    drop_hit = F.when(~kept, first_match(text, list(drop_types)))
-    say = lambda prefix, hit: F.when(hit.isNotNull(), F.concat(F.lit(prefix), hit))
-    model_reason = (F.when(_opt(df, "model") == "", "No model name provided")
-                    .when(F.length(name) < 2, "Model name too short")
-                    .otherwise(say("Model matches skip pattern: ", first_match(name, list(skip_models)))))
-    reasons = [F.when(truthy("url"), say("URL matches skip pattern: ", url_hit)), model_reason,
-               say("Matches non-hoist pattern: ", drop_hit)]
+    work = df.withColumns({"_path": path, "_full": full, "_name": js_trim(_opt(df, "model")), "_text": text})
+    flags = {"_bad_url": truthy("url") & matches("_full", list(skip_urls)), "_bad_name": matches("_name", list(skip_models)),
+             "_kept": matches("_text", list(keep_types)), "_dropped": matches("_text", list(drop_types))}
+    work = work.withColumns(flags)
+    no_name, short = _opt(df, "model") == "", F.length("_name") < 2
+    wrong_type = ~c("_kept") & c("_dropped")
+    specs = any_of([truthy(f) for f in ("loadCapacity", "liftingSpeed", "motorPower")])
+    bare = ~specs & (F.length(_opt(df, "description")) <= 50)
+    bad = c("_bad_url") | no_name | short | c("_bad_name") | wrong_type
+    if strict:
+        bad = bad | ~truthy("manufacturer") | bare
+    label = lambda prefix, x, ps: F.concat(F.lit(prefix), first_match(x, list(ps)))
+    reasons = [F.when(c("_bad_url"), label("URL matches skip pattern: ", "_full", skip_urls)),
+               F.when(no_name, "No model name provided").when(short, "Model name too short")
+                .when(c("_bad_name"), label("Model matches skip pattern: ", "_name", skip_models)),
+               F.when(wrong_type, label("Matches non-hoist pattern: ", "_text", drop_types))]
     if strict:
-        specs = any_of([truthy(f) for f in ("loadCapacity", "liftingSpeed", "motorPower")])
-        described = F.length(_opt(df, "description")) > 50
-        reasons += [F.when(~truthy("manufacturer"), F.lit("Missing manufacturer")),
-                    F.when(F.length(name) < 2, F.lit("Missing or invalid model")),
-                    F.when(~specs & ~described, F.lit("No specifications or meaningful description"))]
-    home = truthy("url") & url_hit.isNull() & path.isin("", "/")
+        reasons += [F.when(~truthy("manufacturer"), F.lit("Missing manufacturer")), F.when(short, F.lit("Missing or invalid model")),
+                    F.when(bare, F.lit("No specifications or meaningful description"))]
+    none = F.array().cast("array<string>")
+    home = truthy("url") & ~c("_bad_url") & c("_path").isin("", "/")
     warnings = [F.when(F.coalesce(home, F.lit(False)), F.lit("Homepage URL - may not be product-specific")),
-                F.when(~kept & drop_hit.isNull(), F.lit("Product type uncertain - may not be a hoist"))]
-    out = df.withColumns({"reasons": F.array_compact(F.array(*reasons)), "warnings": F.array_compact(F.array(*warnings))})
-    return out.withColumn("valid", F.size("reasons") == 0)
+                F.when(~c("_kept") & ~c("_dropped"), F.lit("Product type uncertain - may not be a hoist"))]
+    work = work.withColumn("valid", ~bad)
+    return work.withColumns({
+        "reasons": F.when(c("valid"), none).otherwise(F.array_compact(F.array(*reasons))),
+        "warnings": F.array_compact(F.array(*warnings))}).drop("_path", "_full", "_name", "_text", *flags)
 
 
 def split_valid(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -144,10 +155,11 @@ def split_valid(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
 
 
 def invalid_by_reason(df: DataFrame, k: int = 3, **options) -> DataFrame:
-    """Invalid rows per first reason with k sample models each."""
-    bad = validate_records(df, **options).filter("not valid").select(
-        F.try_element_at("reasons", F.lit(1)).alias("reason"), "manufacturer", "model", "_pos")
-    n = bad.groupBy("reason").agg(F.count("*").alias("n"))
+    """Invalid rows per first reason with k sample models each. The reasons are found once and checkpointed, as both the
+    counts and the samples read them."""
+    bad = cut(validate_records(df, **options).filter("not valid").select(
+        F.try_element_at("reasons", F.lit(1)).alias("reason"), "manufacturer", "model", "_pos"))
+    n = bad.groupBy("reason").agg(F.count("*").alias("n"))  # one row per rule
     return top_k(bad, ["reason"], [F.col("_pos")], k, "sample").join(F.broadcast(n), "reason").drop("_pos")
 
 
@@ -171,15 +183,17 @@ def is_empty(df: DataFrame, rule: str = "signals") -> Column:
     raise ValueError(f"unknown rule {rule}")
 
 
-def non_product_reason(ruleset: str = "aggressive", model: str = "model") -> Column:
-    """Why a model name is no product; NULL when it is kept."""
-    name = js_trim(F.coalesce(c(model), F.lit("")))
-    if ruleset == "final":
-        return first_match(name, FINAL)
+def non_product_reason(df: DataFrame, ruleset: str = "aggressive", out: str = "reason") -> DataFrame:
+    """Add why a model name is no product; NULL when it is kept."""
+    if ruleset not in ("final", "aggressive"):
+        raise ValueError(f"unknown ruleset {ruleset}")
+    rules = FINAL if ruleset == "final" else AGGRESSIVE
+    d = df.withColumn("_name", js_trim(F.coalesce(c("model"), F.lit(""))))
+    hit = F.when(matches("_name", rules), first_match("_name", rules))
     if ruleset == "aggressive":
-        return (F.when(F.length(name) < 3, "too short").otherwise(
-            F.coalesce(first_match(name, AGGRESSIVE), F.when(F.lower(name).isin(*GENERIC_WORDS), "generic word"))))
-    raise ValueError(f"unknown ruleset {ruleset}")
+        hit = F.when(F.length("_name") < 3, "too short").otherwise(
+            F.coalesce(hit, F.when(F.lower("_name").isin(*GENERIC_WORDS), "generic word")))
+    return d.withColumn(out, hit).drop("_name")
 
 
 def drop_non_products(df: DataFrame, ruleset: str = "aggressive") -> DataFrame:

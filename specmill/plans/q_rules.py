@@ -99,7 +99,7 @@ def f14(spark, sf):
 @query("f15_non_products", var(f"""SELECT id, CASE WHEN len(trim(model)) < 3 THEN 'too short' ELSE coalesce({case('trim(model)', rules.AGGRESSIVE)},
   CASE WHEN lower(trim(model)) IN ('s','hoists','products','trolleys','cranes','equipment') THEN 'generic word' END) END AS reason FROM varied"""))
 def f15(spark, sf):
-    return varied(spark, sf).select("id", rules.non_product_reason().alias("reason"))
+    return rules.non_product_reason(varied(spark, sf)).select("id", "reason")
 
 
 @query("f15_drop_non_products", var(f"""SELECT id FROM varied WHERE len(trim(model)) >= 3 AND NOT {anym('trim(model)', rules.AGGRESSIVE)}
@@ -110,7 +110,7 @@ def f15_drop(spark, sf):
 
 @query("f16_final_cleanup", var(f"SELECT id, {case('trim(model)', rules.FINAL)} AS reason FROM varied"))
 def f16(spark, sf):
-    return varied(spark, sf).select("id", rules.non_product_reason("final").alias("reason"))
+    return rules.non_product_reason(varied(spark, sf), "final").select("id", "reason")
 
 
 _SPECS = f"({_FILLED('loadCapacity')} OR {_FILLED('liftingSpeed')} OR {_FILLED('motorPower')})"

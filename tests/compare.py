@@ -23,6 +23,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
@@ -49,8 +52,10 @@ def rows(names, data):
 
 def compare(spark, con, name, fn, sql, sf_dir):
     """None when equal, else a description of the first difference."""
+    t = time.time()
     df = fn(spark, sf_dir)
     sn, sr = rows(df.columns, [tuple(r) for r in df.collect()])
+    TIMES[name] = time.time() - t
     rel = con.sql(sql)
     on, orr = rows(rel.columns, rel.fetchall())
     if sn != on:
@@ -100,7 +105,7 @@ def main(argv):
             bad += 1
             print(f"BAD {name} ({took:.1f}s): {diff}", flush=True)
         else:
-            print(f"ok {name} ({took:.1f}s)", flush=True)
+            print(f"ok {name} ({took:.1f}s, spark {TIMES.get(name, took):.1f}s)", flush=True)
     print("bad:", bad)
 
 
