@@ -137,13 +137,22 @@ class Node:
         self.tag, self.attrs, self.kids, self.parent = tag, dict(attrs), [], parent
 
     def walk(self):
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
+        """All elements below, in document order; a stack, as broken markup can nest very deep."""
+        stack = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
 
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else ("" if k.tag in ("script", "style") else k.text()) for k in self.kids)
+        out, stack = [], list(reversed(self.kids))
+        while stack:
+            k = stack.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif k.tag not in ("script", "style"):
+                stack.extend(reversed(k.kids))
+        return "".join(out)
 
     def find(self, test):
         return (n for n in self.walk() if test(n))

@@ -14,6 +14,7 @@ from ..functions.names import match_confidence, match_key, slug
 from ..functions.text import c, js_trim, truthy
 from ..functions.units import capacity_any_unit
 from ..functions.values import estimate_power, is_placeholder
+from ..session import cut
 from .tidy import top_k
 
 # fixed values: vendor part, model part, power; first match wins
@@ -82,32 +83,34 @@ def with_brand(df: DataFrame, brands=tuple(BRANDS), vendor: str = "manufacturer"
 
 def fill_power(df: DataFrame, rules=tuple(POWER_RULES), mode: str = "compat") -> DataFrame:
     """Motor power from the first fitting rule, else an estimate by capacity; ``power_status`` says which."""
-    m, n = (F.lower(F.coalesce(c(x), F.lit(""))) for x in ("manufacturer", "model"))
-    known = _first_rule([(m.contains(a) & n.contains(b), F.lit(p)) for a, b, p in rules])
-    guess = estimate_power(F.nullif(capacity_any_unit("loadCapacity", mode), F.lit(0.0)))
-    had = truthy("motorPower") & ~is_placeholder("motorPower")
-    cleaned = truthy("motorPower") & is_placeholder("motorPower")
-    return df.withColumns({
+    low = lambda x: F.lower(F.coalesce(c(x), F.lit("")))
+    # texts and the parsed load become columns first: the rule chain below refers to them many times
+    d = df.withColumns({"_m": low("manufacturer"), "_n": low("model"),
+                        "_kg": F.nullif(capacity_any_unit("loadCapacity", mode), F.lit(0.0)),
+                        "_had": truthy("motorPower") & ~is_placeholder("motorPower"),
+                        "power_cleaned": truthy("motorPower") & is_placeholder("motorPower")})
+    known = _first_rule([(c("_m").contains(a) & c("_n").contains(b), F.lit(p)) for a, b, p in rules])
+    d = d.withColumns({"_known": known, "_guess": estimate_power("_kg")})
+    had, known, guess = c("_had"), c("_known"), c("_guess")
+    return d.withColumns({
         "power_status": F.when(had, "had").when(known.isNotNull(), "known").when(guess.isNotNull(), "estimated")
                          .otherwise("unchanged"),
-        "power_cleaned": cleaned,
         "motorPower": F.when(had, c("motorPower")).when(known.isNotNull(), known)
                        .when(guess.isNotNull(), F.concat(guess, F.lit(" (estimated)")))
-                       .when(cleaned, "").otherwise(c("motorPower"))})
+                       .when(c("power_cleaned"), "").otherwise(c("motorPower"))}).drop("_m", "_n", "_kg", "_had", "_known", "_guess")
 
 
 def containment(inner: DataFrame, outer: DataFrame, s: str, t: str, on: list[str]) -> DataFrame:
     """All pairs with equal ``on`` columns where text ``t`` contains the non-empty text ``s``.
 
-    The lengths of ``s`` that exist are at most as many as the longest name has characters.
+    ``t`` is spread into its substrings, of those lengths only that some ``s`` has.
     """
     a = inner.filter(F.length(s) > 0)
-    lens = a.agg(F.collect_set(F.length(s))).scalar()
-    pieces = F.array_distinct(F.flatten(F.transform(
-        lens, lambda n: F.when(n <= F.length(t), F.transform(
-            F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(F.col(t), i, n)))
-        .otherwise(F.array().cast("array<string>")))))
-    b = outer.withColumn("_piece", F.explode(pieces))
+    lens = a.select(F.length(s).alias("_n")).distinct()  # at most one row per length a name can have
+    n = F.col("_n")
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(F.col(t), i, n)))
+    b = (outer.filter(F.length(t) > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.length(t))))
+         .join(F.broadcast(lens), "_n").withColumn("_piece", F.explode(pieces)).drop("_n"))
     return a.withColumnRenamed(s, "_piece").join(b, [*on, "_piece"]).withColumnRenamed("_piece", s)
 
 
@@ -132,8 +135,9 @@ def link_docs(products: DataFrame, docs: DataFrame, compat: bool = False) -> Dat
     if compat:  # an empty vendor name on either side is contained in every other
         vp = vp.unionByName(d.select("dv").distinct().withColumn("pv", F.lit("")).filter("dv != ''"))
         vp = vp.unionByName(p.select("pv").distinct().withColumn("dv", F.lit("")))
-    names = p.select("pv", F.explode(F.array_distinct(F.array("model", "series"))).alias("name")).distinct()
-    terms = d.select("dv", "dp").distinct().join(vp, "dv").select("pv", "dp").distinct()
+    vp = cut(vp)
+    names = cut(p.select("pv", F.explode(F.array_distinct(F.array("model", "series"))).alias("name")).distinct())
+    terms = cut(d.select("dv", "dp").distinct().join(vp, "dv").select("pv", "dp").distinct())
     hits = containment(terms, names, "dp", "name", ["pv"]).select("pv", "dp", "name")
     back = containment(names, terms, "name", "dp", ["pv"]).filter(F.col("name") != F.col("dp")).select("pv", "dp", "name")
     hits = hits.unionByName(back)
@@ -158,32 +162,27 @@ def rank_matches(products: DataFrame, files: DataFrame, k: int = 5) -> DataFrame
     low = lambda x: F.lower(F.coalesce(c(x), F.lit("")))
     p = products.select("id", "_pos", F.coalesce("manufacturer", F.lit("")).alias("manufacturer"), low("model").alias("model"),
                         low("series").alias("series"), match_key("manufacturer").alias("pk"))
-    p = top_k(p, ["manufacturer", "model", "series"], [c("_pos")], k, "_r").drop("_r")
-    f = files.select("filename", c("_pos").alias("_fpos"), "vendor", low("slug").alias("slug"), low("ext_model").alias("em"),
-                     low("ext_series").alias("es"), match_key("vendor").alias("fk"), match_key("ext_manufacturer").alias("ek"))
+    # the reduced products and the parsed files are read by several joins below, hence the cuts
+    p = cut(top_k(p, ["manufacturer", "model", "series"], [c("_pos")], k, "_r").drop("_r"))
+    f = cut(files.select("filename", c("_pos").alias("_fpos"), "vendor", low("slug").alias("slug"), low("ext_model").alias("em"),
+                         low("ext_series").alias("es"), match_key("vendor").alias("fk"), match_key("ext_manufacturer").alias("ek")))
     keys = p.select("pk").distinct()
-    fk, ek = f.select("fk").distinct(), f.select("ek").distinct()
-    either = containment(fk, keys, "fk", "pk", []).select("fk", "pk").unionByName(
-        containment(keys, fk, "pk", "fk", []).filter("fk != pk").select("fk", "pk"))
-    inside = containment(ek, keys, "ek", "pk", []).select("ek", "pk")
-    ids = f.select("filename", "fk", "ek")
-    vendors = ids.join(either, "fk").select("filename", "pk").unionByName(
-        ids.join(inside, "ek").select("filename", "pk")).distinct()
-    roles = {"slug": [("model", True)], "em": [("model", True)], "es": [("series", False), ("model", False)]}
-    hits = None
-    for role, targets in roles.items():
-        terms = (f.select("filename", c(role).alias("term")).filter("term != ''").join(vendors, "filename")
-                 .select("pk", "term", "filename"))
-        for field, both in targets:
-            names = p.select("pk", c(field).alias("name")).filter("name != ''").distinct()
-            distinct_terms = terms.select("pk", "term").distinct()
-            pairs = containment(distinct_terms, names, "term", "name", ["pk"]).select("pk", "term", "name")
-            if both:
-                pairs = pairs.unionByName(containment(names, distinct_terms, "name", "term", ["pk"])
-                                          .filter("name != term").select("pk", "term", "name"))
-            h = pairs.join(terms, ["pk", "term"]).select("filename", "pk", "name", F.lit(field).alias("field"))
-            hits = h if hits is None else hits.unionByName(h)
-    hits = hits.distinct()
+    vendor_terms = f.select("filename", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), c(r).alias("vt")) for r in ("fk", "ek")])))
+    vt = vendor_terms.select("role", "vt").filter("vt != ''").distinct()
+    inside = containment(vt, keys, "vt", "pk", []).select("role", "vt", "pk")
+    around = containment(keys, vt.filter("role = 'fk'"), "pk", "vt", []).filter("pk != vt").select("role", "vt", "pk")
+    vendors = vendor_terms.join(inside.unionByName(around), ["role", "vt"]).select("filename", "pk").distinct()
+    # a file term (slug, extracted model or series) and a product name (model or series) of the same vendor
+    terms = (f.select("filename", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), c(r).alias("term")) for r in ("slug", "em", "es")])))
+             .filter("term != ''").join(vendors, "filename"))
+    distinct_terms = terms.select("pk", "role", "term").distinct()
+    names = p.select("pk", F.inline(F.array(*[F.struct(F.lit(x).alias("field"), c(x).alias("name")) for x in ("model", "series")])))
+    names = names.filter("name != ''").distinct()
+    cols = ["pk", "role", "term", "field", "name"]
+    pairs = containment(distinct_terms, names, "term", "name", ["pk"]).filter("field = 'model' or role = 'es'").select(*cols)
+    back = containment(names.filter("field = 'model'"), distinct_terms.filter("role != 'es'"), "name", "term", ["pk"])
+    pairs = pairs.unionByName(back.filter("name != term").select(*cols))
+    hits = pairs.join(terms, ["pk", "role", "term"]).select("filename", "pk", "field", "name").distinct()
     named = p.select("*", F.inline(F.array(*[F.struct(F.lit(x).alias("field"), c(x).alias("name")) for x in ("model", "series")])))
     reached = hits.join(named, ["pk", "field", "name"]).select("filename", "id", "_pos", "manufacturer", "model").distinct()
     scored = reached.join(f, "filename").withColumn(
@@ -205,8 +204,8 @@ def link_by_id(products: DataFrame, keys: DataFrame) -> DataFrame:
     Each rule is an equi-join; the third skips pairs of the first two, so no pair comes twice."""
     p = products.select("id").distinct()
     k = keys.select("key").distinct()
-    n = F.size(F.split("id", "-"))
-    bounded = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring_index(F.col("id"), "-", i))
+    parts = F.split("id", "-")
+    bounded = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "-"))
     one = p.select("id", F.explode(bounded).alias("key")).join(k, "key").select("id", "key")
     heads = F.filter(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substr(F.col("key"), F.lit(1), i)),
                      lambda s: F.length(s) - F.length(F.replace(s, F.lit("-"), F.lit(""))) <= 1)
@@ -228,9 +227,9 @@ def link_images(products: DataFrame, images: DataFrame, fallback: int = 3) -> Da
     own = F.size("images") if "images" in products.columns else c("n_images")
     p = products.select("id", c("manufacturer").alias("v"), slug("model").alias("ms"),
                         F.lower(F.regexp_replace("id", "^[^-]+-", "")).alias("ds"), F.coalesce(own, F.lit(0)).alias("_own"))
-    pages = im.select("v", "ps").distinct()
+    pages = cut(im.select("v", "ps").distinct())
     p = p.join(pages.select("v").distinct(), "v", "left_semi")
-    names = p.select("v", F.explode(F.array_distinct(F.array("ms", "ds"))).alias("name")).filter("name != ''").distinct()
+    names = cut(p.select("v", F.explode(F.array_distinct(F.array("ms", "ds"))).alias("name")).filter("name != ''").distinct())
     contained = containment(pages, names, "ps", "name", ["v"]).select("v", "ps", "name").unionByName(
         containment(names, pages, "name", "ps", ["v"]).filter("name != ps").select("v", "ps", "name"))
     by_name = p.select("id", "v", F.explode(F.array_distinct(F.array("ms", "ds"))).alias("name"))
