@@ -43,8 +43,7 @@ def parse_devices(df: DataFrame, mode: str = "compat") -> DataFrame:
     out = out.withColumns({"loadCapacity": text("loadCapacityKg", " kg"), "liftingSpeed": text("liftingSpeedMpm", " m/min")})
     vsc = [num_or_null(f"VariableSpeedControl.{k}").alias(v) for k, v in VSC.items()] if "VariableSpeedControl" in df.columns else []
     if vsc:
-        out = out.withColumn("variableSpeedControl", F.struct(*vsc)) if "variableSpeedControl" not in df.columns else \
-            out.withColumn("VariableSpeedControl", F.struct(*vsc))
+        out = out.withColumn("variableSpeedControl", F.struct(*vsc))  # takes the place of the text block
     limits = {v: num_or_null(k) for k, v in LIMITS.items() if k in df.columns}
     out = out.withColumns(limits) if limits else out
     return out.withColumn("tuningParameters", tuning_map("TuningParameter")) if "TuningParameter" in df.columns else out
@@ -143,9 +142,8 @@ ENRICHED_COLUMNS = {
 def _report(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     kinds = dict(df.dtypes)
     nested = {}
-    for k in ("variableSpeedControl", "VariableSpeedControl"):
-        if kinds.get(k, "").startswith("struct"):
-            nested = {n: F.col(f"{k}.{n}") for n in df.schema[k].dataType.names}
+    if kinds.get("variableSpeedControl", "").startswith("struct"):
+        nested = {n: F.col(f"variableSpeedControl.{n}") for n in df.schema["variableSpeedControl"].dataType.names}
     out = []
     for title, f in columns.items():
         if f == "imageUrl" and f not in kinds and "images" in kinds:
