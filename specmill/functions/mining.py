@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import c, extract, js_trim
+from .text import c, js_trim
 
 # fixed values: size patterns
 DIMENSION_PATTERNS = [
@@ -53,25 +53,59 @@ SPEC_KEYS = {
 }
 
 
-def _all_matches(text, patterns) -> Column:
-    found = [F.regexp_extract_all(c(text), F.lit("(?i)" + p), F.lit(0)) for p in patterns]
-    return F.transform(F.coalesce(F.flatten(F.array(*found)), F.array().cast("array<string>")), js_trim)
+# words of which one must occur for a pattern to match at all
+DIMENSION_HINTS = [["dimension"], ["x", "×"], ["size"], ["length"], ["width"], ["height"], ["headroom"], ["overall"], ["abmessungen"],
+                   ["maße", "mase"]]
+WEIGHT_HINTS = [["weight"], ["net"], ["mass"], ["gewicht"], ["kg", "lb"]]
 
 
-def mine_dimensions(text, patterns=tuple(DIMENSION_PATTERNS)) -> Column:
-    """Every size expression, grouped by pattern, in text order within a pattern."""
-    return _all_matches(text, patterns)
+def _all_matches(text, patterns, hints, low) -> Column:
+    """Matches of all patterns in list order. A plain substring test settles most patterns without running them."""
+    empty = F.array().cast("array<string>")
+    low = F.lower(c(text)) if low is None else c(low)
+    found = []
+    for p, words in zip(patterns, hints or [[]] * len(patterns)):
+        hits = F.regexp_extract_all(c(text), F.lit("(?i)" + p), F.lit(0))
+        if words:
+            may = low.contains(words[0])
+            for w in words[1:]:
+                may = may | low.contains(w)
+            hits = F.when(may, hits).otherwise(empty)
+        found.append(hits)
+    return F.transform(F.coalesce(F.flatten(F.array(*found)), empty), js_trim)
 
 
-def mine_weights(text, patterns=tuple(WEIGHT_PATTERNS)) -> Column:
+def mine_dimensions(text, patterns=tuple(DIMENSION_PATTERNS), hints=None, low=None) -> Column:
+    """Every size expression, grouped by pattern, in text order within a pattern. ``low`` may name a column that holds
+    the lower-case text; ``hints`` go with the patterns."""
+    if hints is None and tuple(patterns) == tuple(DIMENSION_PATTERNS):
+        hints = DIMENSION_HINTS
+    return _all_matches(text, patterns, hints, low)
+
+
+def mine_weights(text, patterns=tuple(WEIGHT_PATTERNS), hints=None, low=None) -> Column:
     """Every weight expression; figures that read as a year (19dd, 20dd) are dropped."""
-    return F.filter(_all_matches(text, patterns), lambda w: ~w.rlike(r"19\d{2}|20\d{2}"))
+    if hints is None and tuple(patterns) == tuple(WEIGHT_PATTERNS):
+        hints = WEIGHT_HINTS
+    return F.filter(_all_matches(text, patterns, hints, low), lambda w: ~w.rlike(r"19\d{2}|20\d{2}"))
+
+
+# a word every match of the pattern contains
+SPEC_HINTS = {"loadCapacity": "capacity", "liftingSpeed": "speed", "motorPower": "power", "voltage": "voltage", "weight": "weight",
+              "chainFall": "chain", "dutyCycle": "duty"}
 
 
-def mine_specs(text, patterns: dict[str, str] | None = None) -> Column:
+def mine_specs(text, patterns: dict[str, str] | None = None, low=None) -> Column:
     """Struct with the first labelled match per field, NULL when absent."""
-    return F.struct(*[js_trim(extract(text, "(?i)" + p, 0)).alias(f)
-                      for f, p in (patterns or SPEC_PATTERNS).items()])
+    hints = SPEC_HINTS if patterns is None else {}
+    low = F.lower(c(text)) if low is None else c(low)
+    out = []
+    for f, p in (patterns or SPEC_PATTERNS).items():
+        # through a one-element list the match is evaluated once and an empty one becomes NULL
+        hit = F.filter(F.array(F.regexp_extract(c(text), "(?i)" + p, 0)), lambda m: m != "")
+        v = js_trim(F.try_element_at(hit, F.lit(1)))
+        out.append((F.when(low.contains(hints[f]), v) if f in hints else v).alias(f))
+    return F.struct(*out)
 
 
 def map_specs(specs, keys: dict | None = None) -> Column:

@@ -271,16 +271,23 @@ def extract_product(pages: DataFrame) -> DataFrame:
 
 def page_text_specs(pages: DataFrame) -> DataFrame:
     """Labelled specifications in the running text of a page."""
-    return pages.select(*PAGE, mining.mine_specs(web.body_text("html")).alias("s")).select(*PAGE, "s.*")
+    low = pages.select(*PAGE, web.body_text("html").alias("_t")).withColumn("_low", F.lower("_t"))
+    return low.select(*PAGE, mining.mine_specs("_t", low="_low").alias("s")).select(*PAGE, "s.*")
 
 
 # -- documents ----------------------------------------------------------------------------------------------------
 
+def _mined(df: DataFrame) -> DataFrame:
+    """Sizes ``d`` and weights ``w`` of the text column ``_t``; the lower-case text is made once for all tests."""
+    low = df.withColumn("_low", F.lower("_t"))
+    return low.withColumns({"d": mining.mine_dimensions("_t", low="_low"), "w": mining.mine_weights("_t", low="_low")})
+
+
 def mine_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every size and weight expression as rows (key, kind, i, value), whole texts, no shuffle."""
-    found = docs.select(key, mining.mine_dimensions(text).alias("d"), mining.mine_weights(text).alias("w"))
-    row = lambda kind, col: found.select(key, F.lit(kind).alias("kind"), F.posexplode(col).alias("i", "value"))
-    return row("dimension", "d").unionByName(row("weight", "w"))
+    """Every size and weight expression as rows (key, kind, i, value), whole texts, one pass, no shuffle."""
+    found = _mined(docs.select(key, c(text).alias("_t"))).select(key, "d", "w")
+    item = lambda kind, col: F.transform(col, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), v.alias("value")))
+    return found.select(key, F.inline(F.concat(item("dimension", "d"), item("weight", "w"))))
 
 
 def mined_by_product(docs: DataFrame, product: str, pos: str, text: str = "text") -> DataFrame:
@@ -289,18 +296,21 @@ def mined_by_product(docs: DataFrame, product: str, pos: str, text: str = "text"
     Best values are reduced per document first and then by max / min aggregates, so a product with very many documents
     is not collected anywhere.
     """
-    m = docs.select(product, pos, mining.mine_dimensions(text).alias("d"), mining.mine_weights(text).alias("w"))
-    m = m.filter((F.size("d") > 0) | (F.size("w") > 0))
+    m = _mined(docs.select(product, pos, c(text).alias("_t"))).drop("_t", "_low")
+    # no filter here: it would be pushed below the mining and do it a second time
+    found = (F.size("d") > 0) | (F.size("w") > 0)
     kg = lambda x: F.filter(x, lambda w: w.rlike(r"(?i)\d+(?:\.\d+)?\s*kg"))
     best_kg = mining.longest(kg(c("w")))
     best_d = mining.best_dimension("d")
     order = lambda v: F.when(v.isNotNull(), F.struct(F.length(v), -c(pos)))
     return m.groupBy(product).agg(
-        F.sum(F.size("d")).alias("n_dimensions"), F.sum(F.size("w")).alias("n_weights"), F.count("*").alias("n_docs"),
+        F.sum(F.size("d")).alias("n_dimensions"), F.sum(F.size("w")).alias("n_weights"), F.count_if(found).alias("n_docs"),
         F.max_by(best_d, order(best_d)).alias("dimension"),
         F.coalesce(F.max_by(best_kg, order(best_kg)),
-                   F.min_by(F.try_element_at("w", F.lit(1)), F.when(F.size("w") > 0, c(pos)))).alias("weight"))
+                   F.min_by(F.try_element_at("w", F.lit(1)), F.when(F.size("w") > 0, c(pos)))).alias("weight")
+    ).filter("n_docs > 0")
 
 
 def doc_specs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(key, mining.mine_specs(text).alias("s")).select(key, "s.*")
+    low = docs.select(key, c(text).alias("_t")).withColumn("_low", F.lower("_t"))
+    return low.select(key, mining.mine_specs("_t", low="_low").alias("s")).select(key, "s.*")

@@ -169,3 +169,33 @@ def test_stream_upsert_reaches_batch_state(spark, sf, tmp_path):
     assert key(t.current(spark)) == key(want)
     t.compact(spark)
     assert key(t.current(spark)) == key(want)
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    mk = lambda rows: spark.createDataFrame(rows, "k string, t string").select("k", F.to_timestamp("t").alias("ts"))
+    src = str(tmp_path / "late")
+    mk([("a", "2024-01-10 00:00:00"), ("b", "2024-01-10 01:00:00")]).coalesce(1).write.parquet(src)
+    s = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+
+    def run():
+        q = streams.rate_windows(s, "k", "1 hour", None, 0, watermark="1 hour").writeStream.format("memory").queryName("late").outputMode("append") \
+            .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+
+    assert run() == 0
+    mk([("a", "2024-01-01 00:00:00")]).coalesce(1).write.mode("append").parquet(src)
+    assert run() == 1
+
+
+def test_stored_table_is_built_once(spark):
+    from specmill.session import stored
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5)
+
+    assert stored(spark, "t-once", build).count() == 5 and stored(spark, "t-once", build).count() == 5
+    assert len(calls) == 1
