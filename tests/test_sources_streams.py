@@ -178,8 +178,8 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     s = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
 
     def run():
-        q = streams.rate_windows(s, "k", "1 hour", None, 0, watermark="1 hour").writeStream.format("memory").queryName("late").outputMode("append") \
-            .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q = streams.rate_windows(s, "k", "1 hour", None, 0, watermark="1 hour").writeStream.format("parquet").outputMode("append") \
+            .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
 
