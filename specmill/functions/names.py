@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .text import NUM, WS, any_of, c, extract, js_trim, lookup, number
 
 # fixed values: vendor slug in image file names -> vendor name
@@ -63,14 +64,28 @@ def vendor_model_id(manufacturer="manufacturer", model="model", mode: str = "cha
                          F.coalesce(c(model), F.lit("unknown"))), mode)
 
 
+def numbered(df: DataFrame, key: str, out: str, pos: str = "_pos") -> DataFrame:
+    """0-based number of each row among the rows with the same key, in position order.
+
+    Rows are cut into position ranges first and numbered per (range, key); the counts of the ranges before are added
+    afterwards. A key that owns a third of the rows is thus spread over all ranges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = cut(df.repartitionByRange(n, pos).withColumn("_part", F.spark_partition_id()))
+    local = split.withColumn("_rn", F.row_number().over(Window.partitionBy("_part", key).orderBy(pos)) - 1)
+    sizes = split.groupBy(key, "_part").agg(F.count("*").alias("_c"))  # at most one row per range and key
+    before = F.sum("_c").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(key, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return (local.join(sizes, [key, "_part"]).withColumn(out, F.col("_rn") + F.col("_before"))
+            .drop("_part", "_rn", "_before"))
+
+
 def unique_id(df: DataFrame, base: str, out: str = "unique_id", pos: str = "_pos") -> DataFrame:
-    """base, base-1, base-2 ... in arrival order.
+    """base, base-1, base-2 ... in arrival order; ``base`` must not be NULL.
 
-    A generated id that equals another row's natural base is moved on by re-numbering the clashing family with a
-    longer suffix, so the result stays unique.
+    A generated id that equals another row's natural base gets one more suffix, so the result stays unique.
     """
-    w = Window.partitionBy(base).orderBy(pos)
-    n = df.withColumn("_n", F.row_number().over(w) - 1)
+    n = numbered(df, base, "_n", pos)
     gen = n.withColumn("_gen", F.when(F.col("_n") > 0, F.concat_ws("-", base, F.col("_n"))).otherwise(F.col(base)))
     # only a base that itself ends in -<number> can clash, so the lookup side stays small
     naturals = (gen.filter((F.col("_n") == 0) & F.col(base).rlike("-[0-9]+$"))

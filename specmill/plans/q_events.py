@@ -53,10 +53,14 @@ def t01(spark, sf):
     return merge.upsert(base, e).join(n, "id").select("id", c("event_type").alias("last_type"), "n")
 
 
-@query("t02_dedupe_ttl", """SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY sha256(props || event_type) ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts >= p + INTERVAL 1 DAY""")
+@query("t02_dedupe_ttl", """WITH RECURSIVE e AS (SELECT event_id, ts, sha256(event_type || CAST(user_id % 10 AS VARCHAR)) AS k FROM events),
+  first AS (SELECT k, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM e GROUP BY k),
+  kept AS (SELECT k, event_id, ts FROM first UNION ALL
+    SELECT k, event_id, ts FROM (SELECT e.k, e.event_id, e.ts, row_number() OVER (PARTITION BY e.k ORDER BY e.ts, e.event_id) AS r FROM kept JOIN e ON e.k = kept.k AND e.ts >= kept.ts + INTERVAL 7 DAY) WHERE r = 1)
+  SELECT event_id FROM kept""")
 def t02(spark, sf):
-    e = events(spark, sf).withColumn("hash", F.sha2(F.concat("props", "event_type"), 256))
-    return streams.stream_dedupe(e, "hash", "1 day").select("event_id")
+    e = events(spark, sf).withColumn("hash", F.sha2(F.concat("event_type", (c("user_id") % 10).cast("string")), 256))
+    return streams.stream_dedupe(e.select("event_id", "ts", "hash"), "hash", "7 days", pos="event_id").select("event_id")
 
 
 @query("t03_rate_sliding", """SELECT event_type, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM (SELECT event_type, ts, time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL (10 * k) MINUTE AS w FROM events, range(0, 6) r(k))
@@ -83,7 +87,7 @@ def t04(spark, sf):
 @query("t05_idle_sessions", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS stale_at, count(*) AS n FROM (
   SELECT user_id, ts, sum(CASE WHEN ts < p + INTERVAL 1 DAY THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s""")
 def t05(spark, sf):
-    s = streams.idle_sessions(events(spark, sf), "user_id", "1 day")
+    s = streams.idle_sessions(events(spark, sf), "user_id", 86400)
     return s.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), F.date_format("stale_at", "yyyy-MM-dd HH:mm:ss").alias("stale_at"), "n")
 
 

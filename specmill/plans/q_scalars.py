@@ -129,16 +129,19 @@ def s29(spark, sf):
         x["liftingSpeedMpm"].alias("mpm_fixed"), n["liftingSpeedFpm"].alias("fpm"))
 
 
-@query("s30_tuning_map", """SELECT user_id, coalesce(max(value) FILTER (event_type = 'view' AND r = 1), 0) AS last_view, count(DISTINCT event_type) AS n
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) GROUP BY user_id""")
+@query("s30_tuning_map", """SELECT event_id, CASE WHEN event_type = 'view' THEN value + 1 ELSE event_id END AS view_value, CAST(0 AS DOUBLE) AS bad,
+  CAST(CASE WHEN event_type = 'view' THEN 2 ELSE 3 END AS INT) AS n FROM events""")
 def s30(spark, sf):
     from ..operators.devices import tuning_map
 
+    def item(name, value):
+        return F.struct(name.alias("TuningParameterName"), value.alias("TuningParameterValue"))
+
     e = inputs.table(spark, sf, "events")
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))), lambda x: F.struct(
-        x["event_type"].alias("TuningParameterName"), x["value"].cast("string").alias("TuningParameterValue")))
-    m = e.groupBy("user_id").agg(tuning_map(arr).alias("m"))
-    return m.select("user_id", F.coalesce(F.try_element_at("m", F.lit("view")), F.lit(0.0)).alias("last_view"), F.size("m").cast("long").alias("n"))
+    arr = F.array(item(c("event_type"), c("value").cast("string")), item(F.lit("view"), c("event_id").cast("string")),
+                  item(F.lit("bad"), F.lit("x")), item(F.lit(""), F.lit("1")), item(c("event_type"), (c("value") + 1).cast("string")))
+    m = e.select("event_id", tuning_map(arr).alias("m"))
+    return m.select("event_id", F.try_element_at("m", F.lit("view")).alias("view_value"), F.try_element_at("m", F.lit("bad")).alias("bad"), F.size("m").alias("n"))
 
 
 @query("s31_num_or_null", dev("""SELECT productId AS id, nullif(TRY_CAST(minSpeedRaw AS DOUBLE), 0) AS lo, nullif(TRY_CAST(underloadRaw AS DOUBLE), 0) AS under,

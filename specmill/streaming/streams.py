@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import c
 from ..operators.merge import upsert
+from ..session import cut
 
 
 def late(df: DataFrame, watermark: str | None, ts: str = "ts") -> DataFrame:
@@ -15,16 +16,25 @@ def late(df: DataFrame, watermark: str | None, ts: str = "ts") -> DataFrame:
     return df.withWatermark(ts, watermark) if watermark and df.isStreaming else df
 
 
-def stream_dedupe(df: DataFrame, key: str = "hash", ttl: str = "7 days", ts: str = "ts") -> DataFrame:
-    """First row per key within the time to live. State holds one entry per live key."""
+def stream_dedupe(df: DataFrame, key: str = "hash", ttl: str = "7 days", ts: str = "ts", pos: str | None = None) -> DataFrame:
+    """First row per key, and again the first one at least ``ttl`` after the last row that was kept.
+
+    On a stream the state holds one entry per live key. A static table is worked off in rounds, each finding the next
+    kept row of all keys by one partial aggregate; there are at most time span / ttl rounds. ``pos`` breaks ties.
+    """
     if df.isStreaming:
         return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
-    from pyspark.sql import Window
-
-    # static form: a row is a repeat when the row before it with the same key is younger than the time to live
-    w = Window.partitionBy(key).orderBy(ts)
-    prev = F.lag(ts).over(w)
-    return df.withColumn("_p", prev).filter(c("_p").isNull() | (c(ts) >= c("_p") + F.expr(f"INTERVAL {ttl}"))).drop("_p")
+    order = F.struct(ts, pos) if pos else F.struct(ts)
+    rows = df.filter(c(key).isNotNull())
+    kept = last = cut(rows.groupBy(key).agg(F.min(order).alias("_at")))
+    while True:
+        due = last.select(key, (c(f"_at.{ts}") + F.expr(f"INTERVAL {ttl}")).alias("_due"))
+        last = cut(rows.join(due, key).filter(c(ts) >= c("_due")).groupBy(key).agg(F.min(order).alias("_at")))
+        if last.isEmpty():
+            break
+        kept = kept.unionByName(last)
+    out = df.withColumn("_at", order).join(kept, [key, "_at"], "left_semi").drop("_at")
+    return out if pos else out.dropDuplicates([key, ts])
 
 
 def rate_windows(df: DataFrame, key: str, size: str = "1 minute", slide: str | None = "10 seconds", limit: int = 15,
@@ -51,10 +61,23 @@ def rolling_gates(df: DataFrame, missing: dict[str, Column], limits: dict[str, f
     return n.select(c("w.start").alias("window_start"), F.inline(F.array(*rows)))
 
 
-def idle_sessions(df: DataFrame, key: str, idle: str = "1 hour", ts: str = "ts", watermark: str | None = None) -> DataFrame:
-    """Activity sessions per key: a closed session is a key that has been idle for longer than the gap."""
-    s = late(df, watermark, ts).groupBy(F.session_window(ts, idle).alias("s"), key).agg(F.count("*").alias("n"))
-    return s.select(key, c("s.start").alias("session_start"), c("s.end").alias("stale_at"), "n")
+def idle_sessions(df: DataFrame, key: str, idle_seconds: int = 3600, ts: str = "ts", watermark: str | None = None) -> DataFrame:
+    """Activity sessions per key: a closed session is a key that has been idle for longer than the gap.
+
+    On a static table rows are first reduced to (key, slot) with slots as long as the gap. Rows of one slot are always of
+    one session, so a very active key shrinks to at most time span / gap rows before sessions are formed.
+    """
+    if df.isStreaming:
+        s = late(df, watermark, ts).groupBy(F.session_window(ts, f"{idle_seconds} seconds").alias("s"), key).agg(F.count("*").alias("n"))
+        return s.select(key, c("s.start").alias("session_start"), c("s.end").alias("stale_at"), "n")
+    gap = F.make_dt_interval(secs=F.lit(idle_seconds))
+    slot = F.window(ts, f"{idle_seconds} seconds")
+    slots = df.groupBy(key, slot.alias("_w")).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy("_lo")
+    fresh = slots.withColumn("_new", F.coalesce(c("_lo") >= F.lag("_hi").over(w) + gap, F.lit(True)).cast("int"))
+    s = fresh.withColumn("_s", F.sum("_new").over(w)).groupBy(key, "_s").agg(
+        F.min("_lo").alias("session_start"), F.max("_hi").alias("_last"), F.sum("_n").alias("n"))
+    return s.select(key, "session_start", (c("_last") + gap).alias("stale_at"), "n")
 
 
 def run_counters(df: DataFrame, ok: Column) -> DataFrame:
