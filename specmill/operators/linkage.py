@@ -243,7 +243,7 @@ def link_images(products: DataFrame, images: DataFrame, fallback: int = 3) -> Da
     first = im.filter(c("index") == 0).groupBy("v", "page").agg(F.min("url").alias("url"))
     heads = top_k(first, ["v"], [F.collate(c("page"), "UNICODE")], fallback, "_r")
     bare = p.filter("_own = 0").join(linked.select("id").distinct(), "id", "left_anti")
-    spare = bare.join(F.broadcast(heads), "v").select("id", "url", "page", F.lit(0).alias("index"), F.lit("fallback").alias("how"))
+    spare = bare.join(heads, "v").select("id", "url", "page", F.lit(0).alias("index"), F.lit("fallback").alias("how"))
     return found.unionByName(spare)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units, values
 from ..functions.text import truthy
-from ..schema import BOOL_FIELDS, LIST_FIELDS, MAP_FIELDS
+from ..schema import LIST_FIELDS, MAP_FIELDS
 
 FLAGS = ["quietOperation", "dynamicLifting", "liftingOverPeople"]
 

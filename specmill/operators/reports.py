@@ -10,7 +10,7 @@ from ..functions.text import c, truthy
 from ..functions.values import pct
 from .facets import class_stats, has_list
 from .rules import is_stale
-from .tidy import lines, metrics, pairs, top_k, with_zeros
+from .tidy import lines, metrics, pairs, with_zeros
 
 
 def _filled(f: str) -> Column:
@@ -117,7 +117,7 @@ def missing_capacity_members(df: DataFrame) -> DataFrame:
                                                      F.when(truthy("url"), "Y").otherwise("N").alias("has_url"),
                                                      F.coalesce(F.size("pdfs"), F.lit(0)).alias("n_pdfs"))
     n = rows.groupBy("manufacturer").agg(F.count("*").alias("group_size"))
-    return rows.join(F.broadcast(n), "manufacturer")
+    return rows.join(n, "manufacturer")
 
 
 COVERAGE = ["loadCapacity", "liftingSpeed", "motorPower", "voltageOptions", "classification", "dutyCycle"]

@@ -27,7 +27,7 @@ def with_zeros(counts: DataFrame, keys: list[tuple], names: list[str], count: st
     """Left join on a fixed key list so that empty buckets show zero; the key list is a literal, hence tiny."""
     spark = counts.sparkSession
     full = spark.createDataFrame(keys, ", ".join(f"{n} string" for n in names))
-    return (full.join(F.broadcast(counts), names, "left")
+    return (full.join(counts, names, "left")
             .withColumn(count, F.coalesce(F.col(count), F.lit(0)).cast("long")))
 
 

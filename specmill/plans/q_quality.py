@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..functions.text import c
 from ..operators import quality
-from . import inputs
 from .oracle import cat
 from .q_records import catalog
 from .registry import query

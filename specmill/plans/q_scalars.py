@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsonrepair, mining, names, units, values, web
-from ..functions.text import c, js_trim, truncate_text
+from ..functions.text import c, truncate_text
 from . import inputs
 from .oracle import (CAP_KG, KG, MPM, NUM, SPEED, bucket, classes, dev, f, model, norm_capacity, norm_power, norm_speed, num, power_bucket,
                      present, raw, speed_bucket, vendor)
-from .q_records import catalog
 from .registry import query
 
 

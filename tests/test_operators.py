@@ -169,3 +169,52 @@ def test_plan_shapes(spark, sf):
                dedupe.duplicate_groups(catalog(spark, sf))):
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
     assert "TakeOrderedAndProject" in plan(search.paginate(catalog(spark, sf), 2, 10, "capacity"))
+
+
+def _hot(n=900):
+    rng = random.Random(7)
+    return [(i, "hot" if i % 3 == 0 else f"k{rng.randint(0, 40)}", 1700000000 + rng.randint(0, 400000)) for i in range(n)]
+
+
+def test_hot_key_numbering(spark):
+    from specmill.functions.names import numbered
+
+    rows = _hot()
+    got = {r._pos: r.n for r in numbered(spark.createDataFrame(rows, "_pos long, k string, t long"), "k", "n").collect()}
+    seen = {}
+    for pos, k, _ in rows:
+        assert got[pos] == seen.get(k, 0)
+        seen[k] = seen.get(k, 0) + 1
+
+
+def test_static_sessions_equal_session_windows(spark):
+    from specmill.streaming.streams import idle_sessions
+
+    df = spark.createDataFrame(_hot(), "_pos long, k string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    want = df.groupBy(F.session_window("ts", "3600 seconds").alias("s"), "k").count().select("k", "s.start", "s.end", "count").collect()
+    got = idle_sessions(df, "k", 3600).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_ttl_dedupe_against_a_loop(spark):
+    from specmill.streaming.streams import stream_dedupe
+
+    rows = _hot(300)
+    kept, last = set(), {}
+    for pos, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or t >= last[k] + 86400:
+            kept.add(pos)
+            last[k] = t
+    df = spark.createDataFrame(rows, "_pos long, k string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    assert {r._pos for r in stream_dedupe(df, "k", "1 day", pos="_pos").collect()} == kept
+
+
+def test_rank_matches_keeps_the_best_of_a_hot_vendor(spark):
+    prods = [(f"p{i}", i, "Hot", f"Model {i % 50}" if i % 2 else "Model", "S") for i in range(400)]
+    files = [("hot_model-7_document_0.pdf", 0, "Hot", "model 7", "", "", "")]
+    got = linkage.rank_matches(spark.createDataFrame(prods, "id string, _pos long, manufacturer string, model string, series string"),
+                               spark.createDataFrame(files, "filename string, _pos long, vendor string, slug string, ext_manufacturer string, ext_model string, ext_series string"))
+    conf = lambda m: 0.7 + (0.2 if m.lower() in "model 7" else 0)
+    fits = [(i, pos, conf(m)) for i, pos, _, m, _ in prods if "model 7" in m.lower() or m.lower() in "model 7"]
+    want = [i for i, _, _ in sorted(fits, key=lambda x: (-x[2], x[1]))[:5]]
+    assert [r.id for r in got.orderBy("rank").collect()] == want
