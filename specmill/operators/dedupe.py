@@ -48,22 +48,34 @@ def dedupe_fold(df: DataFrame, key: Column | None = None, recompute: bool = True
     if unions:
         out = out.join(_list_unions(keyed, unions, pos), "_key", "left")
         empty = {n: F.array().cast(df.schema[n].dataType) for n in unions}
-        out = out.withColumns({n: F.coalesce(F.col(f"_u_{n}"), F.when(F.col(f"_has_{n}"), empty[n])) for n in unions})
+        out = out.withColumns({n: F.when(F.col(f"_has_{n}"), F.coalesce(F.col(f"_u_{n}"), empty[n])) for n in unions})
     out = out.drop(*[x for x in out.columns if x.startswith(("_has_", "_u_"))])
     return score(out) if recompute else out
 
 
 def _list_unions(keyed: DataFrame, names: list[str], pos: str) -> DataFrame:
-    parts = None
+    """Ordered distinct elements per key for several list columns: columns of one element type share one pass."""
+    by_type: dict[str, list[str]] = {}
     for n in names:
-        long = (keyed.select("_key", pos, F.posexplode(n).alias("_i", "_e")).filter("_e is not null")
-                .groupBy("_key", "_e").agg(F.min(F.struct(pos, "_i")).alias("_at"))
-                .groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_e"))), lambda x: x["_e"])
-                                     .alias(f"_u_{n}")))
-        parts = long if parts is None else parts.join(long, "_key", "full")
+        by_type.setdefault(keyed.schema[n].dataType.simpleString(), []).append(n)
+    parts = None
+    for group in by_type.values():
+        items = F.flatten(F.array(*[_tagged(n, keyed.schema[n].dataType) for n in group]))
+        first = (keyed.select("_key", pos, F.inline(items)).filter("_e is not null")
+                 .groupBy("_key", "_f", "_e").agg(F.min(F.struct(pos, "_i")).alias("_at")))
+        sets = first.groupBy("_key").agg(*[
+            F.transform(F.array_sort(F.collect_list(F.when(c("_f") == n, F.struct("_at", "_e")))), lambda x: x["_e"]).alias(f"_u_{n}")
+            for n in group])
+        parts = sets if parts is None else parts.join(sets, "_key", "full")
     return parts
 
 
+def _tagged(name: str, dtype: T.DataType) -> Column:
+    """List elements with their column name and index; an absent list gives none."""
+    return F.transform(F.coalesce(c(name), F.array().cast(dtype)),
+                       lambda e, i: F.struct(F.lit(name).alias("_f"), i.alias("_i"), e.alias("_e")))
+
+
 def fold_media(df: DataFrame, column: str, key: Column | None = None, mode: str = "fixed", pos: str = "_pos") -> DataFrame:
     """Media items of every merged record as rows (key, position, item), in merge order by (position, i)."""
     keyed = df.withColumn("_key", key if key is not None else dedupe_key(mode=mode))
