@@ -48,13 +48,13 @@ def text_match(q: str) -> Column:
 
 
 def capacity_range(df: DataFrame, lo=None, hi=None) -> DataFrame:
+    """Inclusive range with optional ends; a row without a capacity fails (a comparison with NULL is not true)."""
     kg = units.search_capacity("loadCapacity")
-    conds = [kg.isNotNull()]
+    if lo is not None and hi is not None:
+        return df.filter(kg.between(lo, hi))
     if lo is not None:
-        conds.append(kg >= lo)
-    if hi is not None:
-        conds.append(kg <= hi)
-    return df.filter(_and(conds))
+        return df.filter(kg >= lo)
+    return df.filter(kg <= hi if hi is not None else kg.isNotNull())
 
 
 def vendors_in(df: DataFrame, names: list[str]) -> DataFrame:
