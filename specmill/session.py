@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,16 +21,35 @@ def get_spark(master: str | None = None, app: str = "specmill", **conf) -> Spark
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable on the workers, once per application, from wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_specmill_shipped", None) != sc.applicationId:
+        root = Path(__file__).resolve().parent
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, str(Path(root.name) / f.relative_to(root)))
+        path = Path(tempfile.mkdtemp(prefix="specmill-ship-")) / "specmill.zip"
+        path.write_bytes(held.getvalue())
+        sc.addPyFile(str(path))
+        sc._specmill_shipped = sc.applicationId
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Where that is unset (tests, a laptop) a temp folder becomes the checkpoint directory of the session.
+    Where that is unset a local session gets a temp folder; on a cluster executors and driver would each write to disks of their
+    own, so there it is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="specmill-ckpt-"))
         path = sc.getCheckpointDir()
