@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .grams import TOKEN, Table, hash64, pair, places
 from .samples import labelled_sample
 
-BITS = 20
+BITS = 18
 
 
 def _shape(token: str) -> str:
@@ -57,10 +57,14 @@ class QualityModel:
     bits: int
 
 
-def log_count_ratios(good: np.ndarray, bad: np.ndarray, least: int = 3) -> np.ndarray:
-    """log of (share among good) / (share among bad) per place, counts raised by one; 0 where fewer than ``least`` records have it."""
+def log_count_ratios(good: np.ndarray, bad: np.ndarray, least: int = 6, weak: float = 0.7) -> np.ndarray:
+    """log of (share among good) / (share among bad) per place, counts raised by one.
+
+    0 where fewer than ``least`` records have the place, or where the ratio is under ``weak``: such places tell nothing.
+    """
     p, q = good + 1.0, bad + 1.0
-    return np.where(good + bad >= least, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
+    r = np.log(p / p.sum()) - np.log(q / q.sum())
+    return np.where((good + bad >= least) & (np.abs(r) >= weak), r, 0.0)
 
 
 def _vector(at: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +126,9 @@ def fit_quality(catalog: DataFrame, ratings: DataFrame, id: str = "id", descript
         yield pd.DataFrame({"place": at, "bad": seen[0, at], "good": seen[1, at]})
 
     counts = rows.mapInPandas(counted, "place long, bad long, good long").groupBy("place").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    found = counts.where("good + bad >= 3").toPandas()
+    found = counts.toArrow()
     good, bad = np.zeros(1 << bits), np.zeros(1 << bits)
-    good[found["place"]], bad[found["place"]] = found["good"], found["bad"]
+    good[found["place"].to_numpy()], bad[found["place"].to_numpy()] = found["good"].to_numpy(), found["bad"].to_numpy()
     ratios = log_count_ratios(good, bad)
     used = np.flatnonzero(ratios)
     packed = (used, ratios[used].astype(np.float32))
@@ -140,13 +144,13 @@ def fit_quality(catalog: DataFrame, ratings: DataFrame, id: str = "id", descript
         at = np.flatnonzero(w)
         return pd.DataFrame({"place": at, "weight": w[at]})
 
-    fitted = rows.groupBy("shard").applyInPandas(fit, "place long, weight double").groupBy("place").agg((F.sum("weight") / shards).alias("weight")).toPandas()
+    fitted = rows.groupBy("shard").applyInPandas(fit, "place long, weight double").groupBy("place").agg((F.sum("weight") / shards).alias("weight")).toArrow()
     w = np.zeros((1 << bits) + 1)
-    w[fitted["place"]] = fitted["weight"]
+    w[fitted["place"].to_numpy()] = fitted["weight"].to_numpy()
     at = np.flatnonzero(w[:-1])
     model = QualityModel(at.astype(np.int32), w[at].astype(np.float32), ratios[at].astype(np.float32), float(w[-1]), 1.0, 0.0, bits)
-    out = dealt.where("kept_out").select("rating", _scorer(model, True)(F.col("description")).alias("margin")).toPandas()
-    slope, shift = _calibrated(out["margin"].to_numpy(), out["rating"].to_numpy()) if len(out) else (1.0, 0.0)
+    out = dealt.where("kept_out").select("rating", _scorer(model, True)(F.col("description")).alias("margin")).toArrow()
+    slope, shift = _calibrated(out["margin"].to_numpy(), out["rating"].to_numpy()) if out.num_rows else (1.0, 0.0)
     return QualityModel(model.places, model.weights, model.ratios, model.constant, slope, shift, bits)
 
 

@@ -67,9 +67,9 @@ def fit_toxicity(catalog: DataFrame, ratings: DataFrame, id: str = "id", descrip
     dealt = sample.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)))
     found = (dealt.groupBy("shard").applyInPandas(fit, "place long, weight double, evidence double").groupBy("place")
              .agg((F.sum(F.col("weight") * F.col("evidence")) / F.sum("evidence")).alias("weight"))
-             .where("weight <> 0").toPandas())
+             .where("weight <> 0").toArrow())
     out = np.zeros((1 << bits) + 1)
-    out[found["place"].to_numpy(dtype=np.int64)] = found["weight"]
+    out[found["place"].to_numpy()] = found["weight"].to_numpy()
     return out
 
 
