@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .q_fingerprints import op9_fingerprints
 from .q_language import op7_language
 from .q_quality import op8_quality
 from .q_secrets import op1_secret_scan
 from .q_toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op7_language, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op7_language, op8_quality, op9_fingerprints)}
 ORACLE: dict[str, str] = {}
