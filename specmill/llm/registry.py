@@ -5,8 +5,9 @@ from __future__ import annotations
 from .q_fingerprints import op9_fingerprints
 from .q_language import op7_language
 from .q_quality import op8_quality
+from .q_rules import OP5_SQL, op5_quality_rules
 from .q_secrets import op1_secret_scan
 from .q_toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op7_language, op8_quality, op9_fingerprints)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op5_quality_rules, op7_language, op8_quality, op9_fingerprints)}
+ORACLE = {"op5_quality_rules": OP5_SQL}
