@@ -42,5 +42,5 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors."""
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
