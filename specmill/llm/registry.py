@@ -5,11 +5,12 @@ from __future__ import annotations
 from .q_fingerprints import op9_fingerprints
 from .q_language import op7_language
 from .q_licenses import op10_license_scan
+from .q_neighbours import OP4_SQL, op4_jaccard_join
 from .q_packing import op3_packing
 from .q_quality import op8_quality
 from .q_rules import OP5_SQL, op5_quality_rules
 from .q_secrets import op1_secret_scan
 from .q_toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_packing, op5_quality_rules, op7_language, op8_quality, op9_fingerprints, op10_license_scan)}
-ORACLE = {"op5_quality_rules": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_packing, op4_jaccard_join, op5_quality_rules, op7_language, op8_quality, op9_fingerprints, op10_license_scan)}
+ORACLE = {"op4_jaccard_join": OP4_SQL, "op5_quality_rules": OP5_SQL}
