@@ -68,22 +68,26 @@ class Bands:
         return self.differ(2 * (self.bounds[band + 1] - 1)) + 1
 
 
-def parity_sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    """A 64-bit word per block: each shingle flips one bit of the word of its block.
+def parity_sketch(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parity sketch of a set, in two forms: a signature per block, and folded bits.
 
-    Shingles that two sets share flip the same bits, so the sketches differ in no more bits than the sets differ in shingles.
+    Each shingle flips one bit of its block. A block has a bit for every hash, so what is kept of it is the XOR of the hashes whose bits
+    are set: equal signatures mean equal blocks, and a block without shingles has 0. Folded to 16 bits per block, the sketches of two sets
+    differ in no more bits than the sets differ in shingles, since shared shingles flip the same bits.
     """
-    out = np.zeros(blocks, dtype=np.uint64)
+    signs, bits = np.zeros(blocks, dtype=np.uint64), np.zeros(-(-blocks // 4), dtype=np.uint64)
     mixed = hashes * _C
-    np.bitwise_xor.at(out, ((mixed >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), np.uint64(1) << (mixed >> np.uint64(8)) % np.uint64(64))
-    return out
+    np.bitwise_xor.at(signs, ((mixed >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), mixed ^ (mixed >> np.uint64(29)))
+    place = (mixed >> np.uint64(8)) % np.uint64(64 * len(bits))
+    np.bitwise_xor.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return signs, bits
 
 
 def signed(catalog: DataFrame, percent: int, words: int, id: str = "id", description: str = "description") -> DataFrame:
-    """(id, text_hash, n, sig, bands) per record: size and hash of its shingle set, and its sketches (band, words); sig is null without shingles."""
+    """(id, text_hash, n, sig, bands) per record: size and hash of its shingle set, and its sketches (band, blocks, bits); sig is null without shingles."""
     rows = catalog.select(F.col(id).cast("long").alias("id"), F.xxhash64(description).alias("text_hash"), F.col(description).alias("description"))
     bands = Bands(percent)
-    kind = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("band", pa.int32()), ("blocks", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table()
@@ -95,11 +99,12 @@ def signed(catalog: DataFrame, percent: int, words: int, id: str = "id", descrip
                     h = shingle_hashes(text, known, words)
                     n.append(len(h))
                     sig.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64)) if len(h) else None)
-                    sketches.append([{"band": k, "words": parity_sketch(h, bands.blocks(k)).view(np.int64)} for k in bands.of(len(h))] if len(h) else [])
+                    sketches.append([{"band": k, "blocks": s.view(np.int64), "bits": f.view(np.int64)} for k in bands.of(len(h)) for s, f in [parity_sketch(h, bands.blocks(k))]]
+                                    if len(h) else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(sketches, kind)],
                                                  ["id", "text_hash", "n", "sig", "bands"])
 
-    return rows.mapInArrow(run, "id long, text_hash long, n long, sig long, bands array<struct<band:int,words:array<bigint>>>")
+    return rows.mapInArrow(run, "id long, text_hash long, n long, sig long, bands array<struct<band:int,blocks:array<bigint>,bits:array<bigint>>>")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, catalog: DataFrame, percent: int, words: int, id: str, description: str) -> DataFrame:
@@ -146,14 +151,14 @@ def _verified(pairs: DataFrame, members: DataFrame, catalog: DataFrame, percent:
 def _close_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket's members from different components whose sketches are close enough for a link.
 
-    ``rows``: key, sig, component, n, words, size (members of the bucket). A bucket is cut into chunks of a few megabytes of
+    ``rows``: key, sig, component, n, bits, size (members of the bucket). A bucket is cut into chunks of a few megabytes of
     sketches, and a task sees two chunks at once, so none holds a whole bucket. Only close pairs leave the task.
     """
-    chunks = F.ceil(F.col("size") * 8 * F.size("words") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("size") * 8 * F.size("bits") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("sig", F.lit(37)), F.col("chunks")).cast("int")
     spread = rows.withColumn("chunks", F.greatest(F.lit(1), chunks)).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "component", "n", "words")
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "component", "n", "bits")
     met = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "sig")
     bands = Bands(percent)
 
@@ -195,7 +200,7 @@ def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "desc
     One row (id, n_shingles, set_id, component_id) per record; set_id tells equal sets, component_id is the smallest id that can be
     reached by links, the record's own included. Exact: no link between different sets is lost.
 
-    Records with the same set are one class, and only classes are joined. Each class puts the words of its parity sketch, per size
+    Records with the same set are one class, and only classes are joined. Each class puts the blocks of its parity sketch, per size
     band, into buckets; two classes that may link share a bucket. In each bucket every class is held against one other, the class
     that shares most: this joins groups of copies without their pairs. Then only members of a bucket that are still in different
     components are compared, by the bits their sketches differ in, and what is close enough is verified by the whole sets.
@@ -207,8 +212,8 @@ def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "desc
     first = F.struct(F.col("id").isNull().alias("null_"), "id", "text_hash")
     classes = written(all_rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min_by(F.struct("id", "text_hash", "n", "bands"), first).alias("r")).select("sig", "r.*"), "classes")
 
-    keyed = classes.select("sig", F.inline("bands")).select("sig", "band", F.posexplode("words").alias("block", "word")).select(
-        F.xxhash64("band", "block", "word").alias("key"), "sig", "band")
+    keyed = classes.select("sig", F.inline("bands")).select("sig", "band", F.posexplode("blocks").alias("block", "sign")).select(
+        F.xxhash64("band", "block", "sign").alias("key"), "sig", "band")
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     met = written(maybe_in(keyed, "key", shared, "key")[0].join(shared, "key"), "met")
 
@@ -217,7 +222,7 @@ def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "desc
     led = met.join(leaders, "key").where("sig <> leader")
     members = written(classes.join(scores.select("sig"), "sig"), "members")
 
-    sketches = members.select("sig", "n", F.map_from_entries("bands").alias("sketch"))
+    sketches = members.select("sig", "n", F.map_from_entries(F.transform("bands", lambda b: F.struct(b["band"], b["bits"]))).alias("sketch"))
     pairs = led.select("sig", "leader", "band").distinct()
     looked = pairs.join(sketches, "sig").join(sketches.select(F.col("sig").alias("leader"), F.col("n").alias("m"), F.col("sketch").alias("other")), "leader")
     apart = F.aggregate(F.zip_with(F.expr("sketch[band]"), F.expr("other[band]"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -228,7 +233,7 @@ def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "desc
     joined = components(star).withColumnsRenamed({"node": "sig"})
     rest = led.where("size > 2").select("key", "band", "sig", "size").join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rows = rest.join(mixed, "key").join(sketches, "sig").select("key", "sig", "component", "n", F.expr("sketch[band]").alias("words"), "size")
+    rows = rest.join(mixed, "key").join(sketches, "sig").select("key", "sig", "component", "n", F.expr("sketch[band]").alias("bits"), "size")
     more = _verified(written(_close_in_buckets(rows, percent), "close"), members, catalog, percent, words, id, description)
 
     found = components(star.unionByName(more)).withColumnsRenamed({"node": "sig"})

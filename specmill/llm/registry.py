@@ -10,7 +10,8 @@ from .q_packing import op3_packing
 from .q_quality import op8_quality
 from .q_rules import OP5_SQL, op5_quality_rules
 from .q_secrets import op1_secret_scan
+from .q_segments import op6_sampled_segmentations
 from .q_toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_packing, op4_jaccard_join, op5_quality_rules, op7_language, op8_quality, op9_fingerprints, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_packing, op4_jaccard_join, op5_quality_rules, op6_sampled_segmentations, op7_language, op8_quality, op9_fingerprints, op10_license_scan)}
 ORACLE = {"op4_jaccard_join": OP4_SQL, "op5_quality_rules": OP5_SQL}
