@@ -58,6 +58,14 @@ class Vocabulary:
         self.keys, self.to = keys[order], np.array(list(nodes.values()), dtype=np.int64)[order]
         self.end = np.full(len(nodes) + 1, -1, dtype=np.int64)
         self.end[list(ends)] = list(ends.values())
+        #: The trie's first two steps for frequent characters, as tables; -1 where there is no way on.
+        self.one, self.two = np.full(_NEAR, -1, dtype=np.int32), np.full((_NEAR, _NEAR), -1, dtype=np.int32)
+        above = {to: c for (n, c), to in nodes.items() if n == 0 and ord(c) < _NEAR}
+        for (n, c), to in nodes.items():
+            if n == 0 and ord(c) < _NEAR:
+                self.one[ord(c)] = to
+            elif n in above and ord(c) < _NEAR:
+                self.two[ord(above[n]), ord(c)] = to
         self.near = np.zeros((_NEAR, _NEAR), dtype=bool)
         self.far = np.array(sorted(ord(a) << 21 | ord(b) for a, b in pairs), dtype=np.uint64)
         for a, b in pairs:
@@ -74,6 +82,22 @@ class Vocabulary:
         out[wide] = self.far[at] == key
         return out
 
+    def step(self, state: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The trie's next states, -1 where there is no way on."""
+        key = state.astype(np.uint64) << _WIDE | points
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[k] == key, self.to[k], -1)
+
+    def first_steps(self, length: int, state: np.ndarray, before: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """``step`` from the root (length 1) or from the states after one character (length 2), by table where characters are frequent."""
+        if length == 1:
+            near, out = points < _NEAR, self.one[np.minimum(points, _NEAR - 1)].astype(np.int64)
+        else:
+            near, out = (points < _NEAR) & (before < _NEAR), self.two[np.minimum(before, _NEAR - 1), np.minimum(points, _NEAR - 1)].astype(np.int64)
+        wide = np.flatnonzero(~near)
+        out[wide] = self.step(state[wide], points[wide])
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         return self.model.decode(ids.tolist())
 
@@ -108,10 +132,10 @@ class Lattices:
         at, state, length, parts = np.arange(n), np.zeros(n, dtype=np.int64), 1, []
         alone = np.ones(n, dtype=bool)
         while len(at):
-            key = state.astype(np.uint64) << _WIDE | points[at + length - 1]
-            k = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            hit = v.keys[k] == key
-            at, state = at[hit], v.to[k[hit]]
+            here = points[at + length - 1]
+            to = v.first_steps(length, state, points[at], here) if length < 3 else v.step(state, here)
+            hit = to >= 0
+            at, state = at[hit], to[hit]
             piece = v.end[state]
             whole = piece >= 0
             parts.append((at[whole], np.full(int(whole.sum()), length), piece[whole]))
