@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .graph import components, maybe_in
 from .grams import Table
@@ -241,3 +242,18 @@ def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "desc
     named = lowest.join(lowest.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("sig", "component_id")
     return all_rows.select("id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), "sig").join(named, "sig", "left").select(
         "id", "n_shingles", "set_id", F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(catalog: DataFrame, id: str = "id", description: str = "description", percent: int = 90, words: int = 3) -> DataFrame:
+    """Catalogue records without near-duplicates: of each component the record with the smallest id stays, all columns as they are.
+
+    Of rows with the same id, one stays (by a hash of the description). Records without id can't be named and all stay. Only rows
+    whose id may be among those to go are shuffled.
+    """
+    found = written(near_duplicates(catalog, id, description, percent, words).select("id", "component_id"), "found")
+    doubtful = found.groupBy("id").agg(F.count("*").alias("n"), F.min("component_id").alias("first")).where("id IS NOT NULL AND (n > 1 OR id <> first)").select(
+        F.col("id").alias("id_"), (F.col("id") != F.col("first")).alias("goes"))
+    maybe, stays = maybe_in(catalog, id, doubtful, "id_")
+    looked = maybe.join(doubtful, F.col(id) == F.col("id_"), "left").where("goes IS NULL OR NOT goes")
+    again = looked.where("goes IS NOT NULL").withColumn("place_", F.row_number().over(W.partitionBy("id_").orderBy(F.xxhash64(description)))).where("place_ = 1")
+    return stays.unionByName(looked.where("goes IS NULL").select(*catalog.columns)).unionByName(again.select(*catalog.columns))
