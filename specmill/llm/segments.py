@@ -170,10 +170,17 @@ class Lattices:
         self.upto = run - np.repeat(run[first] - np.exp(prob[first]), count) if len(first) else run
         self.upto[first + count - 1] = 2.0
         self.left = left
-
-    def sample(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One path for each stretch start in ``at``: edges in order, edges per path, log-probability per path."""
+        p = np.exp(prob)
+        each, place = np.repeat(first, count), np.arange(len(start)) - np.repeat(first, count)
+        many, self.apart = np.repeat(count, count), np.zeros(len(start))
+        for t in range(1, int(many.max(initial=1))):  # sums over the other edges, so that small ones keep their digits
+            some = np.flatnonzero(many > t)
+            self.apart[some] += p[each[some] + (place[some] + t) % many[some]]
+
+    def sample(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One path for each stretch start in ``at``: edges in order, edges per path, its log-probability, and that of all other paths."""
         steps, live, node, log, n, t = [], np.arange(len(at)), at.copy(), np.zeros(len(at)), np.zeros(len(at), dtype=np.int64), 0
+        other = np.zeros(len(at))
         while len(live):
             e = self.first[node]
             free = np.flatnonzero(self.count[node] > 1)
@@ -186,6 +193,8 @@ class Lattices:
                     over = over[u[over] >= self.upto[e_free[over]]]
                 e[free] = e_free
             steps.append((live, e))
+            if len(free):
+                other[live[free]] += np.exp(log[live[free]]) * self.apart[e[free]]
             log[live] += self.log[e]
             n[live] += 1
             go = self.left[node] > self.size[e]
@@ -194,42 +203,40 @@ class Lattices:
         out = np.empty(int(n.sum()), dtype=np.int64)
         for t, (who, e) in enumerate(steps):
             out[place[who] + t] = e
-        return out, n, log
-
-    def other(self, at: int, without: list[tuple[int, ...]], u: Iterator[float]) -> tuple[tuple[int, ...], float] | None:
-        """A path from ``at`` that is none of ``without``, drawn by its probability among such; None where there is none."""
-        mass = [float(np.exp(sum(self.log[list(x)]))) for x in without]
-        path, node, seen, log = (), at, 1.0, 0.0
-        while True:
+        with np.errstate(divide="ignore"):
+            return out, n, log, np.log(other)
+
+    def outside(self, at: int, without: list[tuple[int, ...]]) -> tuple[list[tuple[int, ...]], np.ndarray]:
+        """The sets of paths from ``at`` that hold none of ``without``, each by its first edges, and their log-probabilities."""
+        begun = {x[:i] for x in without for i in range(len(x))}
+        whole, sets, logs = set(without), [], []
+        for prefix in sorted(begun):
+            node, log = at, 0.0
+            for e in prefix:
+                node, log = node + int(self.size[e]), log + float(self.log[e])
             f = int(self.first[node])
-            edges = range(f, f + int(self.count[node]))
-            rest = []
-            for e in edges:
-                inside = [m for x, m in zip(without, mass) if x[:len(path) + 1] == (*path, e)]
-                only = len(inside) == 1 and all(self.count[node_] == 1 for node_ in self._nodes_after(node, e))
-                rest.append(0.0 if only else max(0.0, seen * float(np.exp(self.log[e])) - sum(inside)))
-            if sum(rest) <= 0:
-                return None
-            pick, k = next(u) * sum(rest), 0
-            while k < len(rest) - 1 and (pick >= rest[k] or not rest[k]):
-                pick -= rest[k]
-                k += 1
-            if not rest[k]:
-                k = max(range(len(rest)), key=rest.__getitem__)
-            e = edges[k]
-            path, log, seen = (*path, e), log + float(self.log[e]), seen * float(np.exp(self.log[e]))
-            if self.left[node] == self.size[e]:
-                return path, log
-            node += int(self.size[e])
-
-    def _nodes_after(self, node: int, e: int) -> Iterator[int]:
-        """The starts that follow edge ``e`` if each leaves one choice, up to the first that leaves more."""
-        while self.left[node] > self.size[e]:
-            node += int(self.size[e])
-            yield node
-            if self.count[node] != 1:
-                return
+            for e in range(f, f + int(self.count[node])):
+                if (*prefix, e) not in begun and (*prefix, e) not in whole:
+                    sets.append((*prefix, e))
+                    logs.append(log + float(self.log[e]))
+        return sets, np.array(logs)
+
+    def other(self, at: int, without: list[tuple[int, ...]], u: Iterator[float]) -> tuple[tuple[int, ...], float]:
+        """A path from ``at`` that is none of ``without``, drawn by its probability among such, of which there must be one."""
+        sets, logs = self.outside(at, without)
+        share = np.exp(logs - logs.max())
+        path = sets[int(np.searchsorted(np.cumsum(share), next(u) * share.sum(), side="right").clip(0, len(sets) - 1))]
+        node, log = at, 0.0
+        for e in path:
+            node, log, last = node + int(self.size[e]), log + float(self.log[e]), node
+        while self.left[last] > self.size[path[-1]]:
             e = int(self.first[node])
+            if self.count[node] > 1:
+                x = next(u)
+                while x >= self.upto[e]:
+                    e += 1
+            path, log, last, node = (*path, e), log + float(self.log[e]), node, node + int(self.size[e])
+        return path, log
 
 
 def _below(score: np.ndarray, log_mass: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -237,11 +244,6 @@ def _below(score: np.ndarray, log_mass: np.ndarray, u: np.ndarray) -> np.ndarray
     return -np.logaddexp(-score, np.log(-np.log(u)) - log_mass)
 
 
-def _log_rest(log: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log(-np.expm1(np.minimum(log, 0.0)))
-
-
 def sample_batch(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to ``k`` distinct segmentations, by falling perturbed score: (ids, log-probability, score, inclusion)."""
     plain = [v.model.normalize(t) if t else "" for t in texts]
@@ -269,15 +271,14 @@ def sample_batch(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) ->
 
     def drawn(words: np.ndarray, turn: int):
         seed = _mixed(seeds[doc[words]] + _times(turn + 1, 0xD1B54A32D192ED03) + index[words].astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
-        edges, n, log = lattices.sample(at[words], seed)
-        return seed, edges, n, log
+        return seed, *lattices.sample(at[words], seed)
 
-    seed, edges, n, log = drawn(np.arange(len(at)), 0)
+    seed, edges, n, log, rest = drawn(np.arange(len(at)), 0)
     run = np.cumsum(log)
     before = run - log - np.repeat((run - log)[lo[hi > lo]], (hi - lo)[hi > lo])
     ends = np.cumsum(n)
     root = -np.log(-np.log(_uniform(seeds, 1 << 40)))
-    score = _below(root[doc], before + _log_rest(log), _uniform(seed, 1 << 41))
+    score = _below(root[doc], before + rest, _uniform(seed, 1 << 41))
     best = np.lexsort((-score, doc))
     rank = np.arange(len(best)) - lo[doc[best]]
     kept = best[(rank < k) & np.isfinite(score[best])]
@@ -301,21 +302,19 @@ def sample_batch(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) ->
     for turn in range(1, k):
         chosen = []
         for d in range(len(texts)):
-            while sets[d]:
+            if sets[d]:
                 top = max(sets[d])
                 sets[d].remove(top)
                 score_, p, w = top
                 gone = tried[d].setdefault((p, w), [word_edges(d, p, w)])
                 s = seeds[d:d + 1] + _times(turn, 0xA24BAED4963EE407) + np.uint64(w - lo[d])
                 found = lattices.other(int(at[w]), gone, (float(_uniform(s, i)[0]) for i in range(1 << 42, 1 << 43)))
-                if found:
-                    gone.append(found[0])
-                    chosen.append((d, score_, p, w, found))
-                    break
+                gone.append(found[0])
+                chosen.append((d, score_, p, w, found))
         if not chosen:
             break
-        words = np.concatenate([np.arange(w + 1, hi[d]) for d, _, _, w, _ in chosen]) if chosen else np.empty(0, dtype=np.int64)
-        seed, edges, n, log = drawn(words, turn)
+        words = np.concatenate([np.arange(w + 1, hi[d]) for d, _, _, w, _ in chosen])
+        seed, edges, n, log, rest = drawn(words, turn)
         ends, at_word = np.r_[0, np.cumsum(n)], 0
         for d, score_, p, w, (own_edges, own_log) in chosen:
             m = int(hi[d]) - w - 1
@@ -327,16 +326,16 @@ def sample_batch(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) ->
             number = len(paths[d])
             paths[d].append((p, w, e, offset, float(mine.sum()), score_))
             logs[d].append(mine)
-            masses = float(prior.sum()) + own_log + np.cumsum(part) - part + _log_rest(part)
+            masses = float(prior.sum()) + own_log + np.cumsum(part) - part + rest[at_word:at_word + m]
             new = _below(np.full(m, score_), masses, _uniform(seed[at_word:at_word + m], 1 << 41))
             for j in np.argsort(-new)[:k].tolist():
                 if np.isfinite(new[j]):
                     sets[d].append((float(new[j]), number, w + 1 + j))
-            gone = tried[d][(p, w)]
-            rest = 1.0 - sum(float(np.exp(lattices.log[list(x)].sum())) for x in gone)
-            if rest > 1e-12:
+            left = lattices.outside(int(at[w]), tried[d][(p, w)])[1]
+            if len(left):
                 s = seeds[d:d + 1] + _times(turn, 0x9FB21C651E98DF25) + np.uint64(w - lo[d])
-                sets[d].append((float(_below(np.array([score_]), np.array([float(prior.sum()) + np.log(rest)]), _uniform(s, 3))[0]), p, w))
+                mass = float(prior.sum()) + float(np.logaddexp.reduce(left))
+                sets[d].append((float(_below(np.array([score_]), np.array([mass]), _uniform(s, 3))[0]), p, w))
             at_word += m
 
     out = []
