@@ -42,14 +42,13 @@ ENTERTAINMENT = [
 
 
 def slug(x, mode: str = "strip", max_len: int | None = None) -> Column:
-    """strip: runs become '-', ends stripped; runs: ends kept, 50 characters; chars: one '-' per character;
+    """strip: runs become '-', ends stripped; runs: ends kept; chars: one '-' per character;
     joined: runs of '-' collapsed after the caller joined its parts with '--'."""
     x = F.lower(c(x))
     if mode == "strip":
         out = F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     elif mode == "runs":
         out = F.regexp_replace(x, "[^a-z0-9]+", "-")
-        max_len = max_len or 50
     elif mode == "chars":
         out = F.regexp_replace(x, "[^a-z0-9]", "-")
     elif mode == "joined":

@@ -50,7 +50,7 @@ def file_name(path) -> Column:
     return F.substring_index(F.regexp_replace(c(path), "/+$", ""), "/", -1)
 
 
-def has_product_content(html, words=tuple(PRODUCT_WORDS), need: int = 3, min_len: int = 1000) -> Column:
+def has_product_content(html, words=tuple(PRODUCT_WORDS), need: int = 3, min_len: int = 0) -> Column:
     low = F.lower(c(html))
     hits = sum((low.contains(w).cast("int") for w in words), F.lit(0))
     return F.coalesce((F.length(c(html)) >= min_len) & (hits >= need), F.lit(False))

@@ -11,6 +11,7 @@ from ..functions.text import c, js_trim, truthy
 from ..functions.web import url_key
 from .facets import has_list
 from .normalize import score
+from .tidy import limited
 
 FROM_FIRST = ["id", "url", "lastUpdated", "createdAt", "scrapedAt"]
 
@@ -113,9 +114,9 @@ def dedupe_best(df: DataFrame, key: Column | None = None, score_col: Column | No
             .select("_row.*", "first_pos"))
 
 
-def duplicate_models(df: DataFrame, k: int = 15) -> DataFrame:
-    return (df.groupBy(best_key().alias("key")).agg(F.count("*").alias("n"), F.min("_pos").alias("first_pos"))
-            .filter("n > 1").orderBy(F.col("n").desc(), "first_pos").limit(k))
+def duplicate_models(df: DataFrame, k: int | None = None) -> DataFrame:
+    return limited(df.groupBy(best_key().alias("key")).agg(F.count("*").alias("n"), F.min("_pos").alias("first_pos"))
+            .filter("n > 1").orderBy(F.col("n").desc(), "first_pos"), k)
 
 
 def dedupe_links(links: DataFrame, by: list[str], pos: str = "pos", keep: str = "last") -> DataFrame:

@@ -23,8 +23,8 @@ def host(url) -> Column:
     return F.regexp_extract(c(url), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]+)", 1)
 
 
-def extract_links(pages: DataFrame, k: int | None = 10, words: tuple[str, ...] = (), same_site: bool = True) -> DataFrame:
-    """First k distinct links of a page: absolute, of the same site, no fragments or scripts, in page order.
+def extract_links(pages: DataFrame, k: int | None = None, words: tuple[str, ...] = (), same_site: bool = True) -> DataFrame:
+    """Distinct links of a page (with k the first k): absolute, of the same site, no fragments or scripts, in page order.
     ``words`` keeps links whose raw address contains one of them. Works within the row, without a shuffle."""
     hrefs = F.transform(web.anchors("html"), lambda a: web.attr(F.regexp_extract(a, r"(?s)^<a\b[^>]*>", 0), "href"))
     ok = F.filter(hrefs, lambda h: h.isNotNull() & ~h.startswith("#") & ~h.startswith("javascript"))
@@ -66,8 +66,7 @@ def extract_doc_links(pages: DataFrame) -> DataFrame:
 
 
 def extract_images(pages: DataFrame, mode: str = "small", k: int | None = None) -> DataFrame:
-    """Images of a page after the skip rule, absolute and distinct; the first 10 (``page`` mode: 5)."""
-    k = k or {"small": 10, "page": 5, "strict": 5}[mode]
+    """Images of a page after the skip rule, absolute and distinct; with k the first k."""
     i = _elements(pages, web.tags("html", "img"), "t")
     i = i.select(*PAGE, "pos", F.coalesce(web.attr("t", "src"), web.attr("t", "data-src"), web.attr("t", "data-lazy-src")).alias("src"),
                  web.parse_int(web.attr("t", "width")).alias("w"), web.parse_int(web.attr("t", "height")).alias("h"),

@@ -220,7 +220,7 @@ def override_from(df: DataFrame, ext: DataFrame, text: str = "description", key:
 
 def promote(ext: DataFrame, now=None) -> DataFrame:
     """Extractions with a capacity become catalogue rows: id from vendor and title, marked as extracted."""
-    safe = F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]", "-"), "-+", "-"), 1, 50)
+    safe = F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]", "-"), "-+", "-")
     vendor = F.regexp_replace(F.lower("manufacturer"), r"\s+", "-")
     out = ext.filter(truthy("loadCapacity") & (c("error").isNull() if "error" in ext.columns else F.lit(True)))
     out = out.withColumns({"id": F.concat_ws("-", vendor, safe), "model": c("title"), "pdfExtracted": F.lit(True)})

@@ -9,7 +9,7 @@ from ..functions.text import c, truthy
 from ..functions.values import completeness, has_value, pct
 from ..schema import CRITICAL, SECONDARY, kind
 from .facets import has_list
-from .tidy import lines, top_k
+from .tidy import limited, lines, top_k
 
 # fixed values: length limits of optional texts
 MAX_LENGTH = {
@@ -114,9 +114,10 @@ def validation_summary(df: DataFrame) -> DataFrame:
                  + [one(f"missing {f}", F.col(f)) for f in SUMMARY_FIELDS])
 
 
-def validation_errors(df: DataFrame, k: int = 20) -> DataFrame:
-    """The first k invalid rows with their violations (a report excerpt)."""
-    return schema_errors(df).filter(F.size("errors") > 0).orderBy("_pos").limit(k)
+def validation_errors(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Invalid rows with their violations; with k the first k by position."""
+    out = schema_errors(df).filter(F.size("errors") > 0)
+    return out if k is None else out.orderBy("_pos").limit(k)
 
 
 # fixed values: release thresholds per gate
@@ -171,21 +172,22 @@ def _lacking() -> Column:
     return F.array_compact(F.array(*[F.when(~_present_b(f), F.lit(f)) for f in CRITICAL + ["images"]]))
 
 
-def incomplete(df: DataFrame, k: int | None = 50) -> DataFrame:
-    """Rows lacking critical fields or images, most incomplete first; ``k=None`` returns all of them."""
+def incomplete(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Rows lacking critical fields or images; with k the k most incomplete ones."""
     out = (df.withColumn("missing", _lacking()).filter(F.size("missing") > 0)
            .select("_pos", "id", "manufacturer", "model", "missing", F.round(completeness("b"), 6).alias("completeness")))
     return out if k is None else out.orderBy(F.size("missing").desc(), "_pos").limit(k)
 
 
-def recommend(df: DataFrame, vendors: int = 5) -> DataFrame:
+def recommend(df: DataFrame, vendors: int | None = None) -> DataFrame:
     """Fields below 80 % coverage (high priority below 50 %), then the vendors with most incomplete rows."""
     p = F.col("percentage")
     fields = (field_coverage(df).filter(p < 0.8)
               .select(F.when(p < 0.5, "high").otherwise("medium").alias("priority"), "field",
                       F.round(p * 100, 1).alias("current"), (F.col("total") - F.col("count")).alias("missing")))
     worst = (df.filter(F.size(_lacking()) > 0).groupBy("manufacturer").agg(F.count("*").alias("missing"))
-             .orderBy(F.col("missing").desc(), "manufacturer").limit(vendors)
+             .orderBy(F.col("missing").desc(), "manufacturer"))
+    worst = (limited(worst, vendors)
              .select(F.lit("high").alias("priority"), F.concat(F.lit("vendor:"), F.col("manufacturer")).alias("field"),
                      F.lit(None).cast("double").alias("current"), "missing"))
     return fields.unionByName(worst)
@@ -202,8 +204,8 @@ def missing_fields(df: DataFrame, threshold: float = 0.4, columns: list[str] | N
     return out.filter(F.col("share") >= threshold).select("field", "count", F.round(F.col("share") * 100, 1).alias("pct"))
 
 
-def missing_by_vendor(df: DataFrame, k: int = 5) -> DataFrame:
-    """Five fields: how many rows lack each, and the k vendors that lack it most."""
+def missing_by_vendor(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Five fields: how many rows lack each, and the vendors that lack it, most first (with k the first k)."""
     gaps = {f: (~truthy(f) if kind(f) == "text" else ~has_list(f))
             for f in ("loadCapacity", "liftingSpeed", "images", "pdfs", "classification")}
     per = df.groupBy("manufacturer").agg(*[F.count_if(g).alias(f) for f, g in gaps.items()])

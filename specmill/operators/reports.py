@@ -10,7 +10,7 @@ from ..functions.text import c, truthy
 from ..functions.values import pct
 from .facets import class_stats, has_list
 from .rules import is_stale
-from .tidy import lines, metrics, pairs, with_zeros
+from .tidy import limited, lines, metrics, pairs, with_zeros
 
 
 def _filled(f: str) -> Column:
@@ -42,8 +42,8 @@ def stats_report(df: DataFrame) -> DataFrame:
     return counts.unionByName(full)
 
 
-def top_vendors(df: DataFrame, k: int = 5) -> DataFrame:
-    return df.groupBy("manufacturer").agg(F.count("*").alias("n")).orderBy(c("n").desc(), "manufacturer").limit(k)
+def top_vendors(df: DataFrame, k: int | None = None) -> DataFrame:
+    return limited(df.groupBy("manufacturer").agg(F.count("*").alias("n")).orderBy(c("n").desc(), "manufacturer"), k)
 
 
 HEALTH_FIELDS = ["loadCapacity", "liftingSpeed", "motorPower", "weight", "dimensions", "images", "pdfs", "classification"]
@@ -123,15 +123,15 @@ def missing_capacity_members(df: DataFrame) -> DataFrame:
 COVERAGE = ["loadCapacity", "liftingSpeed", "motorPower", "voltageOptions", "classification", "dutyCycle"]
 
 
-def coverage(df: DataFrame, k: int = 10) -> DataFrame:
-    """(section, key, n): eight signals, top classes, top vendors with a capacity."""
+def coverage(df: DataFrame, k: int | None = None) -> DataFrame:
+    """(section, key, n): eight signals, classes, vendors with a capacity (with k the first k of each)."""
     done = F.count_if(F.coalesce(c("pdfExtracted"), F.lit(False))) if "pdfExtracted" in df.columns else F.lit(0).cast("long")
     row = df.agg(F.count("*").alias("total"), *[F.count_if(_filled(f)).alias(f) for f in COVERAGE], done.alias("pdfExtracted"),
                  F.count_if(~truthy("loadCapacity")).alias("missingCapacity"))
     head = lines(row, [{"section": F.lit("signals"), "key": F.lit(x), "n": c(x)} for x in row.columns])
-    cls = class_stats(df).orderBy(c("count").desc(), "name").limit(k).select(F.lit("classes").alias("section"), c("name").alias("key"), c("count").alias("n"))
-    vend = (df.filter(truthy("loadCapacity")).groupBy("manufacturer").agg(F.count("*").alias("n"))
-            .orderBy(c("n").desc(), "manufacturer").limit(k).select(F.lit("vendors").alias("section"), c("manufacturer").alias("key"), "n"))
+    cls = limited(class_stats(df).orderBy(c("count").desc(), "name"), k).select(F.lit("classes").alias("section"), c("name").alias("key"), c("count").alias("n"))
+    vend = (limited(df.filter(truthy("loadCapacity")).groupBy("manufacturer").agg(F.count("*").alias("n"))
+                    .orderBy(c("n").desc(), "manufacturer"), k).select(F.lit("vendors").alias("section"), c("manufacturer").alias("key"), "n"))
     return head.unionByName(cls).unionByName(vend)
 
 
@@ -156,7 +156,7 @@ def media_by_vendor(files: DataFrame, df: DataFrame) -> DataFrame:
     return out.unionByName(total).unionByName(have)
 
 
-def run_stats(runs: DataFrame, keep: int = 100, id: str = "id", start: str = "start", success: str = "success",
+def run_stats(runs: DataFrame, keep: int, id: str = "id", start: str = "start", success: str = "success",
               duration: str = "duration") -> DataFrame:
     """Totals over all runs, and over the last ``keep`` runs that the history retains."""
     tot = runs.agg(F.count("*").alias("total"), F.count_if(success).alias("successful"), F.count_if(~c(success)).alias("failed"))

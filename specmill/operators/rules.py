@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import any_of, c, count_true, first_match, js_trim, matches, not_blank, truthy
 from ..session import cut
 from .facets import has_list
-from .tidy import top_k
+from .tidy import limited, top_k
 
 # fixed values: paths that are no product page
 SKIP_URLS = [
@@ -154,8 +154,8 @@ def split_valid(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return checked.filter("valid"), checked.filter("not valid")
 
 
-def invalid_by_reason(df: DataFrame, k: int = 3, **options) -> DataFrame:
-    """Invalid rows per first reason with k sample models each. The reasons are found once and checkpointed, as both the
+def invalid_by_reason(df: DataFrame, k: int | None = None, **options) -> DataFrame:
+    """Invalid rows per first reason with their models (with k the first k). The reasons are found once and checkpointed, as both the
     counts and the samples read them."""
     bad = cut(validate_records(df, **options).filter("not valid").select(
         F.try_element_at("reasons", F.lit(1)).alias("reason"), "manufacturer", "model", "_pos"))
@@ -255,9 +255,9 @@ def stale(df: DataFrame, now, days: int = 90, col: str = "lastUpdated") -> DataF
     return df.filter(is_stale(now, days, col))
 
 
-def stale_by_vendor(df: DataFrame, now, days: int = 90, k: int = 10) -> DataFrame:
+def stale_by_vendor(df: DataFrame, now, days: int = 90, k: int | None = None) -> DataFrame:
     n = stale(df, now, days).groupBy("manufacturer").agg(F.count("*").alias("n"))
-    return n.orderBy(F.col("n").desc(), "manufacturer").limit(k)
+    return limited(n.orderBy(F.col("n").desc(), "manufacturer"), k)
 
 
 def candidates(df: DataFrame, kind: str, vendor: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.text import c, has, truthy
 from ..functions.values import has_complete_specs
 from ..schema import TIERS
 from ..session import cut
-from .tidy import top_k
+from .tidy import limited, top_k
 
 TEXT_SEARCH = ["manufacturer", "model", "series", "loadCapacity"]
 
@@ -254,10 +254,9 @@ def navigate_all(df: DataFrame, by: str | None = None, order: str = "asc") -> Da
                     F.coalesce("next_id", "_next").alias("next_id")))
 
 
-def suggest(df: DataFrame, q: str, limit: int = 10, max_models: int = 5) -> DataFrame:
-    """Completions: vendors, classes and up to five distinct models, in that order."""
+def suggest(df: DataFrame, q: str, limit: int | None = None, max_models: int | None = None) -> DataFrame:
+    """Completions: vendors, classes and distinct models, in that order; all of them unless the caller sets limits."""
     q = (q or "").lower().strip()
-    limit = min(int(limit or 0) or 10, 20)
     schema = "type string, value string, label string, count long, type_rank int"
     if len(q) < 2:
         return df.sparkSession.createDataFrame([], schema).drop("type_rank")
@@ -270,14 +269,13 @@ def suggest(df: DataFrame, q: str, limit: int = 10, max_models: int = 5) -> Data
     per = cls.groupBy("cls").agg(F.count("*").alias("n"))
     classes = (per.withColumn("n", F.sum("n").over(Window.partitionBy(F.lower("cls"))))
                .select(*line("classification", col("cls"), F.upper("cls"), col("n"), 1)))
-    models = (df.filter(has("model", q) | has("series", q)).groupBy("manufacturer", "model")
-              .agg(F.min_by("id", "_pos").alias("id"), F.min("_pos").alias("_pos")).orderBy("_pos").limit(max_models)
+    models = (limited(df.filter(has("model", q) | has("series", q)).groupBy("manufacturer", "model")
+                      .agg(F.min_by("id", "_pos").alias("id"), F.min("_pos").alias("_pos")).orderBy("_pos"), max_models)
               .select(*line("product", col("id"), F.concat_ws(" ", "manufacturer", "model"),
                             F.lit(None).cast("long"), 2)))
     both = vendors.unionByName(classes).unionByName(models)
     tie = F.when(col("type_rank") == 2, F.lit(None).cast("string")).otherwise(col("value"))
-    return (both.orderBy("type_rank", F.col("count").desc(), tie, F.collate(col("label"), "UNICODE"))
-            .limit(limit).drop("type_rank"))
+    return limited(both.orderBy("type_rank", F.col("count").desc(), tie, F.collate(col("label"), "UNICODE")), limit).drop("type_rank")
 
 
 def get(df: DataFrame, id: str) -> DataFrame:

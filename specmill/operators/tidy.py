@@ -31,9 +31,14 @@ def with_zeros(counts: DataFrame, keys: list[tuple], names: list[str], count: st
             .withColumn(count, F.coalesce(F.col(count), F.lit(0)).cast("long")))
 
 
-def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First k rows per group; Spark prunes each map task to k rows per group before the shuffle."""
+def limited(df: DataFrame, k: int | None) -> DataFrame:
+    return df if k is None else df.limit(k)
+
+
+def top_k(df: DataFrame, by: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """First k rows per group (all of them without k), numbered; Spark prunes each map task to k rows per group before the shuffle."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    out = df.withColumn(rank, F.row_number().over(w))
+    return out if k is None else out.filter(F.col(rank) <= k)

@@ -54,7 +54,7 @@ def e07(spark, sf):
     return merge.override_from(inputs.raw_catalog(spark, sf), extractions(spark, sf), text="model").select("id", "loadCapacity", "motorPower")
 
 
-@query("e05_promote", f"""WITH docs AS ({inputs.DOCS_SQL}) SELECT 'brand#x-' || substr(regexp_replace(regexp_replace(lower(filename), '[^a-z0-9]', '-', 'g'), '-+', '-', 'g'), 1, 50) AS id, filename AS model, ext_capacity AS "loadCapacity"
+@query("e05_promote", f"""WITH docs AS ({inputs.DOCS_SQL}) SELECT 'brand#x-' || regexp_replace(regexp_replace(lower(filename), '[^a-z0-9]', '-', 'g'), '-+', '-', 'g') AS id, filename AS model, ext_capacity AS "loadCapacity"
   FROM docs WHERE error IS NULL""")
 def e05(spark, sf):
     d = inputs.doc_files(spark, sf).select(F.lit("Brand#X").alias("manufacturer"), c("filename").alias("title"), c("ext_capacity").alias("loadCapacity"), "error")

@@ -25,7 +25,7 @@ def ok():
     "SELECT 'total' AS metric", "WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) SELECT 'total' AS metric", 1))
 def a30(spark, sf):
     e = events(spark, sf).select("event_id", "ts", "value", ok().alias("success"))
-    return reports.run_stats(e, id="event_id", start="ts", duration="value")
+    return reports.run_stats(e, 100, id="event_id", start="ts", duration="value")
 
 
 @query("a31_latency_summary", """WITH s AS (SELECT event_type, count(*) AS requests, count(*) FILTER (user_id % 7 <> 0) AS n, min(value) FILTER (user_id % 7 <> 0) AS min, max(value) FILTER (user_id % 7 <> 0) AS max, round(avg(value) FILTER (user_id % 7 <> 0), 6) AS avg,

@@ -60,7 +60,7 @@ def a13(spark, sf):
     return quality.validation_summary(catalog(spark, sf))
 
 
-@query("a13_validation_errors", cat(f"SELECT id, model FROM catalog WHERE {_INVALID} ORDER BY _pos LIMIT 20"))
+@query("a13_validation_errors", cat(f"SELECT id, model FROM catalog WHERE {_INVALID} "))
 def a13_errors(spark, sf):
     return quality.validation_errors(catalog(spark, sf)).select("id", "model")
 
@@ -101,13 +101,13 @@ _LACK = "concat_ws('|', " + ", ".join(f"CASE WHEN NOT ({_HAVE[k]}) THEN '{k}' EN
 
 
 @query("a16_incomplete", cat(f"""SELECT id, missing, completeness FROM (SELECT id, _pos, {_LACK} AS missing, round({_RATIO}, 6) AS completeness FROM catalog)
-  WHERE missing <> '' ORDER BY len(string_split(missing, '|')) DESC, _pos LIMIT 50"""))
+  WHERE missing <> '' """))
 def a16(spark, sf):
     return quality.incomplete(catalog(spark, sf)).select("id", F.array_join("missing", "|").alias("missing"), "completeness")
 
 
 @query("a17_recommend", cat("SELECT CASE WHEN p < 0.5 THEN 'high' ELSE 'medium' END AS priority, field, round(p * 100, 1) AS current, missing FROM cov WHERE p < 0.8 UNION ALL "
-  f"SELECT 'high', 'vendor:' || manufacturer, NULL, n FROM (SELECT manufacturer, count(*) AS n FROM catalog WHERE {_LACK} <> '' GROUP BY manufacturer ORDER BY n DESC, manufacturer LIMIT 5)",
+  f"SELECT 'high', 'vendor:' || manufacturer, NULL, n FROM (SELECT manufacturer, count(*) AS n FROM catalog WHERE {_LACK} <> '' GROUP BY manufacturer )",
   "cov AS (" + " UNION ALL ".join(f"SELECT '{k}' AS field, avg(({v})::INT) AS p, count(*) FILTER (NOT ({v})) AS missing FROM catalog" for k, v in _HAVE.items()) + ")"))
 def a17(spark, sf):
     return quality.recommend(catalog(spark, sf))
@@ -131,4 +131,4 @@ _GAP = {"loadCapacity": "coalesce(loadCapacity, '') = ''", "liftingSpeed": "coal
   CAST(sum(n) OVER (PARTITION BY field) AS BIGINT) AS missing FROM g) WHERE rank <= 5""",
   "g AS (" + " UNION ALL ".join(f"SELECT '{k}' AS field, manufacturer, count(*) AS n FROM catalog WHERE {v} GROUP BY manufacturer" for k, v in _GAP.items()) + ")"))
 def a21(spark, sf):
-    return quality.missing_by_vendor(catalog(spark, sf))
+    return quality.missing_by_vendor(catalog(spark, sf), 5)

@@ -154,7 +154,7 @@ def d03(spark, sf):
 
 
 @query("d04_duplicate_models", raw("""SELECT manufacturer || '|' || lower(trim(model)) AS key, count(*) AS n, min(_pos) AS first_pos
-  FROM raw GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, first_pos LIMIT 15"""))
+  FROM raw GROUP BY 1 HAVING count(*) > 1 """))
 def d04(spark, sf):
     return dedupe.duplicate_models(inputs.raw_catalog(spark, sf))
 

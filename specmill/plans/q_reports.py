@@ -85,8 +85,8 @@ def a25_members(spark, sf):
 @query("a26_coverage", cat("SELECT 'signals' AS section, 'total' AS key, count(*) AS n FROM catalog UNION ALL " + " UNION ALL ".join(
     f"SELECT 'signals', '{k}', count(*) FILTER ({_F[k]}) FROM catalog" for k in reports.COVERAGE) + f""" UNION ALL SELECT 'signals', 'pdfExtracted', 0
   UNION ALL SELECT 'signals', 'missingCapacity', count(*) FILTER (NOT ({_F['loadCapacity']})) FROM catalog
-  UNION ALL SELECT * FROM (SELECT 'classes', x, count(*) AS n FROM (SELECT unnest(cls) AS x FROM catalog) GROUP BY x ORDER BY n DESC, x LIMIT 10)
-  UNION ALL SELECT * FROM (SELECT 'vendors', manufacturer, count(*) AS n FROM catalog WHERE {_F['loadCapacity']} GROUP BY manufacturer ORDER BY n DESC, manufacturer LIMIT 10)"""))
+  UNION ALL SELECT * FROM (SELECT 'classes', x, count(*) AS n FROM (SELECT unnest(cls) AS x FROM catalog) GROUP BY x)
+  UNION ALL SELECT * FROM (SELECT 'vendors', manufacturer, count(*) AS n FROM catalog WHERE {_F['loadCapacity']} GROUP BY manufacturer)"""))
 def a26(spark, sf):
     return reports.coverage(catalog(spark, sf))
 

@@ -45,7 +45,7 @@ rawq("s11_slugs", {
     "a": lambda: names.slug("model"), "b": lambda: names.slug("url", "runs"), "c": lambda: names.slug("model", "chars"),
     "d": lambda: names.vendor_model_id(mode="joined")},
     {"a": "regexp_replace(regexp_replace(lower(model), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')",
-     "b": "substr(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), 1, 50)",
+     "b": "regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g')",
      "c": "regexp_replace(lower(model), '[^a-z0-9]', '-', 'g')",
      "d": "regexp_replace(regexp_replace(lower(manufacturer || '--' || model), '[^a-z0-9]', '-', 'g'), '-+', '-', 'g')"})
 rawq("s13_capacity_bucket", {
@@ -252,7 +252,7 @@ def s43(spark, sf):
                     a("https://other.example.org/q").alias("abs_link"))
 
 
-@query("s46_has_product_content", "SELECT page_id, length(html) >= 1000 AND (" + " + ".join(
+@query("s46_has_product_content", "SELECT page_id, (" + " + ".join(
     f"contains(lower(html), '{w}')::INT" for w in web.PRODUCT_WORDS) + ") >= 3 AS ok FROM pages")
 def s46(spark, sf):
     return inputs.table(spark, sf, "pages").select("page_id", web.has_product_content("html").alias("ok"))

@@ -108,7 +108,7 @@ def w01_all(spark, sf):
   UNION ALL SELECT 'product', id, manufacturer || ' ' || model, NULL FROM (SELECT manufacturer, model, arg_min(id, _pos) AS id, min(_pos) AS p FROM catalog
     WHERE contains(lower(model), 'er') OR contains(lower(series), 'er') GROUP BY manufacturer, model ORDER BY p LIMIT 5)"""))
 def w05(spark, sf):
-    return search.suggest(catalog(spark, sf), "ER", 20)
+    return search.suggest(catalog(spark, sf), "ER", 20, 5)
 
 
 @query("w06_top_k", cat("SELECT manufacturer, id, rank FROM (SELECT manufacturer, id, CAST(row_number() OVER (PARTITION BY manufacturer ORDER BY coalesce(kg, 0) DESC, _pos) AS INT) AS rank FROM catalog) WHERE rank <= 3"))
@@ -129,7 +129,7 @@ def w07(spark, sf):
 def w08(spark, sf):
     from ..operators.reports import top_vendors
 
-    return top_vendors(catalog(spark, sf))
+    return top_vendors(catalog(spark, sf), 5)
 
 
 # -- lookups ------------------------------------------------------------------------------------------------------

@@ -91,7 +91,7 @@ def seed_products(catalog: DataFrame, vendors: DataFrame, known: DataFrame | Non
     known = known if known is not None else known_products(catalog.sparkSession)
     bare = vendors.join(catalog.select(c("manufacturer").alias("name")).distinct(), "name", "left_anti")
     rows = bare.join(known, "vendor_id")
-    safe = F.substring(F.regexp_replace(F.regexp_replace(F.lower("model"), "[^a-z0-9]", "-"), "-+", "-"), 1, 50)
+    safe = F.regexp_replace(F.regexp_replace(F.lower("model"), "[^a-z0-9]", "-"), "-+", "-")
     return rows.select(
         F.lower(F.concat_ws("-", "vendor_id", safe)).alias("id"), c("name").alias("manufacturer"), "model", "series",
         "loadCapacity", "liftingSpeed", "classification", "liftingOverPeople", "quietOperation", c("website").alias("url"),
