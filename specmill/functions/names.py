@@ -80,19 +80,20 @@ def numbered(df: DataFrame, key: str, out: str, pos: str = "_pos") -> DataFrame:
 
 
 def unique_id(df: DataFrame, base: str, out: str = "unique_id", pos: str = "_pos") -> DataFrame:
-    """base, base-1, base-2 ... in arrival order; ``base`` must not be NULL.
+    """base, then base-1, base-2 ... for its further rows in arrival order; ``base`` must not be NULL.
 
-    A generated id that equals another row's natural base gets one more suffix, so the result stays unique.
+    The first row of a base keeps it. A further row takes the next counter whose id is no other row's base, so the result is
+    unique. Which counters a base must pass over comes from the bases that end in a number; only those are looked up.
     """
     n = numbered(df, base, "_n", pos)
-    gen = n.withColumn("_gen", F.when(F.col("_n") > 0, F.concat_ws("-", base, F.col("_n"))).otherwise(F.col(base)))
-    # only a base that itself ends in -<number> can clash, so the lookup side stays small
-    naturals = (gen.filter((F.col("_n") == 0) & F.col(base).rlike("-[0-9]+$"))
-                .select(F.col(base).alias("_gen"), F.lit(True).alias("_taken")))
-    joined = gen.join(naturals, "_gen", "left")
-    clash = (F.col("_n") > 0) & F.coalesce(F.col("_taken"), F.lit(False))
-    return (joined.withColumn(out, F.when(clash, F.concat(F.col("_gen"), F.lit("-x"))).otherwise(F.col("_gen")))
-            .drop("_n", "_gen", "_taken"))
+    parts = F.regexp_extract(F.col(base), r"(?s)^(.*)-([1-9][0-9]*)$", 1), F.regexp_extract(F.col(base), r"(?s)^(.*)-([1-9][0-9]*)$", 2).try_cast("bigint")
+    taken = df.select(parts[0].alias("_of"), parts[1].alias("_t")).filter("_t IS NOT NULL").distinct()
+    # the m-th free counter lies beyond the taken t_j (j from 0) exactly when t_j - j <= m
+    steps = taken.groupBy("_of").agg(F.array_sort(F.collect_list("_t")).alias("_ts")).select("_of", F.transform("_ts", lambda t, j: t - j).alias("_steps"))
+    more = n.filter("_n > 0").join(steps, F.col(base) == F.col("_of"), "left")
+    passed = F.coalesce(F.size(F.filter("_steps", lambda t: t <= F.col("_n"))), F.lit(0))
+    again = more.withColumn(out, F.concat_ws("-", base, F.col("_n") + passed)).drop("_of", "_steps")
+    return n.filter("_n = 0").withColumn(out, F.col(base)).unionByName(again).drop("_n")
 
 
 def dedupe_key(manufacturer="manufacturer", model="model", mode: str = "fixed") -> Column:
@@ -169,30 +170,30 @@ def parse_media_name(name, mode: str = "typed") -> Column:
 
     typed: ``vendor_product_type_index``, at least three parts, product keeps inner '_'; titled: positional with
     defaults, vendor capitalised; plain: positional, '-' becomes a blank; image: ``vendor_page_N.ext`` with the
-    vendor slug dictionary; id: vendor and product joined by '-'.
+    vendor slug dictionary; id: vendor and product joined by '-'. An index beyond 64 bits is NULL.
     """
     f = c(name)
     struct = lambda v, p, t, i: F.struct(v.alias("vendor"), p.alias("product"), t.alias("type"), i.alias("index"))
     none = F.lit(None).cast("string")
-    no_int = F.lit(None).cast("int")
+    no_int = F.lit(None).cast("bigint")
     if mode == "image":
         pat = r"^([^_]+)_([^_]+)_(\d+)\.(\w+)$"
         vendor = lookup(F.regexp_extract(f, pat, 1), VENDOR_SLUGS)
         return F.when(vendor.isNotNull(), struct(vendor, extract(f, pat, 2), F.lower(extract(f, pat, 4)),
-                                                 extract(f, pat, 3).try_cast("int")))
+                                                 extract(f, pat, 3).try_cast("bigint")))
     parts = F.split(F.regexp_replace(f, r"\.pdf$", ""), "_")
     n = F.size(parts)
     at = lambda i: F.try_element_at(parts, F.lit(i))
     blanked = lambda x: F.replace(x, F.lit("-"), F.lit(" "))
     if mode == "typed":
         return F.when(n >= 3, struct(at(1), F.array_join(F.slice(parts, 2, F.greatest(n - 3, F.lit(0))), "_"),
-                                     at(-2), number(at(-1), r"^(\d+)").cast("int")))
+                                     at(-2), F.regexp_extract(at(-1), r"^(\d+)", 1).try_cast("bigint")))
     if mode == "titled":
         return F.when(n >= 2, struct(_cap(blanked(at(1))), blanked(at(2)), F.coalesce(F.nullif(at(3), F.lit("")), F.lit("document")),
-                                     number(F.coalesce(at(4), F.lit("0")), r"^(\d+)").cast("int"))
-                      ).otherwise(struct(F.lit("Unknown"), at(1), F.lit("document"), F.lit(0)))
+                                     F.regexp_extract(F.coalesce(at(4), F.lit("0")), r"^(\d+)", 1).try_cast("bigint"))
+                      ).otherwise(struct(F.lit("Unknown"), at(1), F.lit("document"), F.lit(0).cast("bigint")))
     if mode == "plain":
-        return struct(blanked(at(1)), blanked(at(2)), at(3), number(at(4), r"^(\d+)").cast("int"))
+        return struct(blanked(at(1)), blanked(at(2)), at(3), F.regexp_extract(at(4), r"^(\d+)", 1).try_cast("bigint"))
     if mode == "id":
         return F.when(n >= 2, struct(at(1), F.concat_ws("-", at(1), at(2)), none, no_int))
     raise ValueError(f"unknown media name mode {mode}")

@@ -37,20 +37,21 @@ def number(x, pattern: str, group: int = 1) -> Column:
 
 
 def js_number(x) -> Column:
-    """Number to text without a trailing ``.0`` or exponent."""
+    """Number to text without a trailing ``.0`` or exponent, whole digits for large numbers (beyond 38 digits as written)."""
     x = c(x)
-    plain = F.regexp_replace(x.cast("decimal(38,9)").cast("string"), r"\.?0+$", "")
-    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(plain)
+    plain = F.regexp_replace(x.try_cast("decimal(38,9)").cast("string"), r"\.?0+$", "")
+    whole = x.try_cast("decimal(38,0)")
+    return F.when(whole.isNull(), x.cast("string")).when(whole == x, whole.cast("string")).otherwise(plain)
 
 
 def int_text(x) -> Column:
     """Text of a number that is known to be whole."""
-    return c(x).cast("bigint").cast("string")
+    return F.coalesce(c(x).try_cast("decimal(38,0)").cast("string"), c(x).cast("string"))
 
 
 def js_round(x) -> Column:
-    """Half toward +infinity."""
-    return F.floor(c(x) + F.lit(0.5)).cast("double")
+    """Half toward +infinity; numbers beyond 2^53 are whole as they are."""
+    return F.when(F.abs(c(x)) < 2.0 ** 53, F.floor(c(x) + F.lit(0.5)).cast("double")).otherwise(c(x).cast("double"))
 
 
 def to_fixed(x, digits: int) -> Column:

@@ -149,5 +149,5 @@ def power_bucket(x) -> Column:
 
 
 def label_number(x) -> Column:
-    """Natural order key of a bucket label: its first integer, 0 without one."""
-    return F.coalesce(number(x, r"(\d+)").cast("int"), F.lit(0))
+    """Natural order key of a bucket label: its first integer, 0 without one (or with one beyond 64 bits)."""
+    return F.coalesce(F.regexp_extract(c(x), r"(\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))

@@ -15,6 +15,7 @@ from ..functions.text import c, js_trim, truthy
 from ..functions.units import capacity_any_unit
 from ..functions.values import estimate_power, is_placeholder
 from ..session import cut
+from .merge import last_per_key
 from .tidy import top_k
 
 # fixed values: vendor part, model part, power; first match wins
@@ -57,6 +58,8 @@ BRANDS = [
 
 def with_maker(df: DataFrame, makers: DataFrame) -> DataFrame:
     """Vendor name by id from the maker dictionary; ``Unknown (id)`` for ids it lacks."""
+    order = ["_pos"] if "_pos" in makers.columns else []  # an id that occurs twice keeps its last name
+    makers = last_per_key(makers.select("manufacturerId", "fullName", *order), "manufacturerId")
     names = makers.select("manufacturerId", js_trim(F.regexp_replace("fullName", r"^\d+\s*-\s*", "")).alias("_n"),
                           c("fullName").alias("manufacturerFullName"))
     unknown = F.concat(F.lit("Unknown ("), F.col("manufacturerId"), F.lit(")"))

@@ -139,13 +139,36 @@ def insert_new(base: DataFrame, updates: DataFrame, key: str = "id", pos: str =
     return union_catalogs(base, first)
 
 
+def last_per_key(rows: DataFrame, key: str, pos: str = "_pos") -> DataFrame:
+    """One row per key: the last by ``pos``; without such a column the greatest by its fields, so the choice is fixed."""
+    rest = [x for x in rows.columns if x not in (key, pos)]
+    kept = [x for x in rest if not isinstance(rows.schema[x].dataType, T.MapType)]  # maps have no order
+    order = F.struct(pos, *kept) if pos in rows.columns else F.struct(*kept)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+
+
 def _both(df: DataFrame, ext: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
+    ext = last_per_key(ext, key)
     fields = [x for x in ext.columns if x != key]
     return df.join(ext.select(key, *[c(f).alias(f"_x_{f}") for f in fields]), key, "left"), fields
 
 
-def fill_from(df: DataFrame, ext: DataFrame, fields=tuple(ENRICHABLE), key: str = "id") -> DataFrame:
-    """Fill empty fields from one extraction per id and list what was filled in ``_enrichedFields``."""
+def _stamped(df: DataFrame, changed: Column, now, provider: str | None) -> DataFrame:
+    """With ``now``: enriched flag, time and provider on the rows that an extraction has reached."""
+    if now is None:
+        return df
+    old = lambda n, t: c(n).cast(t) if n in df.columns else F.lit(None).cast(t)
+    new = {"llmEnriched": F.when(changed, F.lit(True)).otherwise(old("llmEnriched", "boolean")),
+           "llmEnrichedDate": F.when(changed, F.lit(now).cast("timestamp")).otherwise(old("llmEnrichedDate", "timestamp"))}
+    if provider is not None:
+        new["llmProvider"] = F.when(changed, F.lit(provider)).otherwise(old("llmProvider", "string"))
+    return df.withColumns(new)
+
+
+def fill_from(df: DataFrame, ext: DataFrame, fields=tuple(ENRICHABLE), key: str = "id", now=None, provider: str | None = None) -> DataFrame:
+    """Fill empty fields from the last extraction of an id and list what was filled in ``_enrichedFields``.
+
+    With ``now`` rows that got a value are stamped (``llmEnriched``, ``llmEnrichedDate``, ``llmProvider``)."""
     j, have = _both(df, ext, key)
     use = [f for f in fields if f in have and f in df.columns]
     gives = {f: ~_empty(df, f, F.col(f"_x_{f}")) for f in use}
@@ -158,7 +181,7 @@ def fill_from(df: DataFrame, ext: DataFrame, fields=tuple(ENRICHABLE), key: str
             _empty(df, "classification"), x).otherwise(merge_classes("classification", x))
     if "safetyFeatures" in have and "safetyFeatures" in df.columns:
         out["safetyFeatures"] = map_fill("safetyFeatures", "_x_safetyFeatures")
-    return j.withColumns(out).drop(*[f"_x_{f}" for f in have])
+    return _stamped(j.withColumns(out), F.size("_enrichedFields") > 0, now, provider).drop(*[f"_x_{f}" for f in have])
 
 
 def _take_new(empty: Column, new: Column, new_conf: Column, old_conf: Column) -> Column:
@@ -166,8 +189,10 @@ def _take_new(empty: Column, new: Column, new_conf: Column, old_conf: Column) ->
 
 
 def merge_confident(df: DataFrame, ext: DataFrame, fields=tuple(CONFIDENCE_FIELDS), min_confidence: float | None = None,
-                    key: str = "id") -> DataFrame:
-    """New values replace empty fields, or all fields when the new confidence is above 0.8 and the old one below."""
+                    key: str = "id", now=None, provider: str | None = None) -> DataFrame:
+    """New values replace empty fields, or all fields when the new confidence is above 0.8 and the old one below.
+
+    With ``now`` the rows that an extraction reached are stamped."""
     if min_confidence is not None:
         ext = ext.filter(c("confidence") > min_confidence)
     j, have = _both(df, ext, key)
@@ -177,15 +202,15 @@ def merge_confident(df: DataFrame, ext: DataFrame, fields=tuple(CONFIDENCE_FIELD
            for f in use}
     out["confidence"] = F.when(F.coalesce(conf != 0, F.lit(False)), F.greatest(F.coalesce("confidence", F.lit(0.0)), conf)
                                ).otherwise(c("confidence"))
-    return j.withColumns(out).drop(*[f"_x_{f}" for f in have])
+    return _stamped(j.withColumns(out), conf.isNotNull(), now, provider).drop(*[f"_x_{f}" for f in have])
 
 
-def enrich_in_order(df: DataFrame, exts: DataFrame, fields: list[str], per_kind: int = 2, min_confidence: float = 0.5,
+def enrich_in_order(df: DataFrame, exts: DataFrame, fields: list[str], per_kind: int, min_confidence: float = 0.5,
                     key: str = "id") -> DataFrame:
     """Apply image, document and text extractions in that order with the confidence rule.
 
-    ``exts`` holds (id, kind, pos, confidence, fields). At most ``per_kind`` image and document extractions count (the
-    first ones, before the confidence test), text only when load or speed is still missing. The few steps become
+    ``exts`` holds (id, kind, pos, confidence, fields). The first ``per_kind`` image and document extractions count (by position,
+    before the confidence test) and the first text extraction, text only when load or speed is still missing. The few steps become
     columns of one row per id, so no row-by-row folding is needed.
     """
     r = top_k(exts, [key, "kind"], [c("pos")], per_kind, "_r")

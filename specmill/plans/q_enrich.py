@@ -73,7 +73,7 @@ def e06(spark, sf):
             .unionByName(row(r.filter("_pos % 2 = 0"), "image", 3, 0.99, F.lit("third"), F.lit("third")))
             .unionByName(row(r.filter("_pos % 3 = 0"), "pdf", 1, 0.6, F.lit("pdf"), none)).unionByName(row(r, "text", 1, 0.7, none, F.lit("text"))))
     base = r.withColumn("description", c("model"))
-    out = merge.enrich_in_order(base, exts, ["motorPower", "loadCapacity"])
+    out = merge.enrich_in_order(base, exts, ["motorPower", "loadCapacity"], 2)
     return out.select("id", c("motorPower").alias("power"), c("loadCapacity").alias("cap"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions.text import c
-from ..operators import merge, reports
+from ..operators import reports
+from ..session import shared_dir
 from ..streaming import streams
 from . import inputs
 from .q_linkage import _FILES, docs, files_for_ranking, ranked
@@ -49,8 +52,13 @@ def a32(spark, sf):
 def t01(spark, sf):
     e = events(spark, sf).select(F.concat(F.lit("u-"), c("user_id").cast("string")).alias("id"), c("event_id").alias("_pos"), "event_type")
     n = e.groupBy("id").agg(F.count("*").alias("n"))
-    base = e.groupBy("id").agg(F.min("_pos").alias("_pos"), F.min_by("event_type", "_pos").alias("event_type"))
-    return merge.upsert(base, e).join(n, "id").select("id", c("event_type").alias("last_type"), "n")
+    table = streams.UpsertTable(f"{shared_dir(spark)}/upsert-{uuid4().hex}")
+    top = e.agg(F.max("_pos")).first()[0] or 0
+    for batch in range(3):  # thirds of the events in arrival order, the first two folded into a base
+        table.append(e.filter(F.floor(c("_pos") * 3 / (top + 1)) == batch), batch)
+        if batch == 1:
+            table.compact(spark)
+    return table.current(spark).join(n, "id").select("id", c("event_type").alias("last_type"), "n")
 
 
 @query("t02_dedupe_ttl", """WITH RECURSIVE e AS (SELECT event_id, ts, sha256(event_type || CAST(user_id % 10 AS VARCHAR)) AS k FROM events),

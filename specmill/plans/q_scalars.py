@@ -188,7 +188,7 @@ def s35(spark, sf):
 
 
 @query("s36_media_names", f"""WITH docs AS ({inputs.DOCS_SQL})
-  SELECT filename, p[1] AS t_vendor, p[2] AS t_product, p[3] AS t_type, CAST(p[4] AS INT) AS t_index,
+  SELECT filename, p[1] AS t_vendor, p[2] AS t_product, p[3] AS t_type, TRY_CAST(p[4] AS BIGINT) AS t_index,
     upper(substr(replace(p[1], '-', ' '), 1, 1)) || substr(replace(p[1], '-', ' '), 2) AS u_vendor, replace(p[2], '-', ' ') AS u_product,
     p[1] || '-' || p[2] AS doc_id, image_vendor, image_page
   FROM (SELECT filename, string_split(replace(filename, '.pdf', ''), '_') AS p,
@@ -276,7 +276,7 @@ rawq("s48_skip_image", {"a": lambda: web.skip_image("url"), "b": lambda: web.ski
       "b": "coalesce(regexp_matches(url, 'pixel|tracking|icon') OR (_pos % 60 > 0 AND _pos % 60 < 50), false)",
       "c": "coalesce(regexp_matches(url, 'pixel|tracking|icon|logo|avatar|placeholder') OR (_pos % 100 > 0 AND _pos % 100 < 80), false)"})
 rawq("s49_url_key", {"k": lambda: web.url_key("url")}, {"k": "regexp_replace(lower(url), '/$', '')"})
-rawq("s51_label_number", {"n": lambda: units.label_number("loadCapacity")}, {"n": f"CAST(coalesce({num('loadCapacity', r'([0-9]+)')}, 0) AS INT)"})
+rawq("s51_label_number", {"n": lambda: units.label_number("loadCapacity")}, {"n": f"CAST(coalesce({num('loadCapacity', r'([0-9]+)')}, 0) AS BIGINT)"})
 
 
 @query("s52_truncate_text", """SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS t FROM documents""")

@@ -20,7 +20,8 @@ def _field(v: Column, name: str, kind: str) -> Column:
 def to_timestamp_any(v: Column) -> Column:
     """ISO text or epoch milliseconds."""
     s = F.try_variant_get(v, "$", "string")
-    ms = F.when(s.rlike(r"^\d{9,}$"), F.timestamp_millis(s.try_cast("bigint")))
+    n = s.try_cast("bigint")
+    ms = F.when(s.rlike(r"^\d{9,}$") & (n < 253402300800000), F.timestamp_millis(n))  # up to the year 9999
     return F.coalesce(ms, F.try_to_timestamp(s))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,54 +91,70 @@ def run_counters(df: DataFrame, ok: Column) -> DataFrame:
 # -- upsert table -------------------------------------------------------------------------------------------------
 
 class UpsertTable:
-    """Catalogue state as a base table plus one immutable change set per micro-batch.
+    """Catalogue state as base versions plus one immutable change set per micro-batch.
 
-    A micro-batch only appends (rewriting its own change set on a retry, so replays do no harm); the current state is one
-    aggregate over base and changes; ``compact`` folds the changes into a new base version from time to time.
+    A change set is named by the query that wrote it and its batch, so a retry rewrites its own set and a query started anew adds to
+    the others; ``_at``, the time of writing, orders the sets. ``current`` is one aggregate over the last base and the sets it
+    does not hold yet; ``compact`` writes the next base together with the names of the sets in it. Columns that appear later are
+    part of the state.
     """
 
     def __init__(self, root: str, key: str = "id", pos: str = "_pos"):
         self.root, self.key, self.pos = root.rstrip("/"), key, pos
 
-    def append(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.root}/changes/batch={batch_id}")
-
-    def changes(self, spark: SparkSession, after: int = -1) -> DataFrame:
-        df = spark.read.parquet(f"{self.root}/changes")
-        return df.filter(c("batch") > after)
-
-    def bases(self, spark: SparkSession) -> list[int]:
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/base")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)
-                 if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("upto="))
+    def append(self, batch: DataFrame, batch_id: int, query: str = "batch") -> None:
+        at = int(time.time() * 1_000_000)
+        batch.withColumn("_at", F.lit(at).cast("long")).write.mode("overwrite").parquet(f"{self.root}/changes/query={query}/batch={batch_id}")
+
+    def _read(self, spark: SparkSession, part: str) -> DataFrame | None:
+        try:
+            return spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{part}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
+    def version(self, spark: SparkSession) -> int | None:
+        base = self._read(spark, "base")
+        return None if base is None else base.agg(F.max("version")).first()[0]
+
+    def changes(self, spark: SparkSession) -> DataFrame | None:
+        """Change sets that are not in the last base."""
+        rows, version = self._read(spark, "changes"), self.version(spark)
+        if rows is None:
+            return None
+        rows = rows.withColumn("query", c("query").cast("string"))
+        if version is None:
+            return rows
+        held = self._read(spark, "held").filter(c("version") <= version).select(c("query").cast("string").alias("query"), "batch").distinct()
+        return rows.join(held, ["query", "batch"], "left_anti")
 
     def current(self, spark: SparkSession) -> DataFrame:
-        """Latest state: later batches override earlier ones field by field, later rows win inside a batch."""
-        done = self.bases(spark)
-        base_upto = done[-1] if done else -1
-        ch = self.changes(spark, base_upto)
-        fields = [x for x in ch.columns if x not in (self.key, self.pos, "batch")]
-        # position of a change: batch first, then input order
-        order = ch.withColumn(self.pos, F.struct("batch", self.pos))
-        last = order.groupBy(self.key).agg(F.min(self.pos).alias("_at"), *[
+        """Latest state: later sets override earlier ones field by field, later rows win inside a set."""
+        rows, version = self.changes(spark), self.version(spark)
+        if rows is None:
+            raise ValueError(f"no change set in {self.root}")
+        fields = [x for x in rows.columns if x not in (self.key, self.pos, "query", "batch", "_at")]
+        order = rows.withColumn(self.pos, F.struct("_at", self.pos))
+        last = order.groupBy(self.key).agg(F.min(self.pos).alias("_first"), *[
             F.max_by(f, F.when(c(f).isNotNull(), c(self.pos))).alias(f) for f in fields])
-        last = last.withColumn(self.pos, c(f"_at.{self.pos}")).drop("_at")
-        if not done:
+        last = last.withColumn(self.pos, c(f"_first.{self.pos}")).drop("_first")
+        if version is None:
             return last
-        return upsert(spark.read.parquet(f"{self.root}/base/upto={base_upto}"), last, key=self.key, pos=self.pos)
+        return upsert(self._read(spark, "base").filter(c("version") == version).drop("version"), last, key=self.key, pos=self.pos)
 
     def compact(self, spark: SparkSession) -> int:
-        upto = self.changes(spark).agg(F.max("batch")).first()[0]
-        self.current(spark).write.mode("overwrite").parquet(f"{self.root}/base/upto={upto}")
-        return upto
+        """The next base version. The names of its sets are written first and count only once the base is there."""
+        version = (self.version(spark) or 0) + 1
+        self.changes(spark).select("query", "batch").distinct().write.mode("overwrite").parquet(f"{self.root}/held/version={version}")
+        self.current(spark).write.mode("overwrite").parquet(f"{self.root}/base/version={version}")
+        return version
 
 
 def stream_upsert(stream: DataFrame, table: UpsertTable, checkpoint: str, **trigger):
-    """Start the continuous upsert of a stream into a table."""
-    return (stream.writeStream.foreachBatch(lambda df, i: table.append(df, i)).option("checkpointLocation", checkpoint)
+    """Start the continuous upsert of a stream into a table; the query's id, which its checkpoint keeps, names the change sets."""
+    def write(df: DataFrame, batch: int) -> None:
+        table.append(df, batch, df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream")
+
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -1,3 +1,5 @@
+import random
+
 """Literal vectors of the scalar functions."""
 
 from pyspark.sql import functions as F
@@ -92,10 +94,34 @@ def test_match_key_drops_suffix_anywhere(spark):
     assert run(spark, names.match_key, ["Demag GmbH", "GIS AG"]) == ["dem", "gis"]
 
 
-def test_unique_id_clash(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-1")], "_pos long, base string")
-    got = [r.unique_id for r in names.unique_id(df, "base").orderBy("_pos").collect()]
-    assert got[0] == "a" and got[2] == "a-1" and len(set(got)) == 3
+def test_unique_ids_pass_over_other_bases(spark):
+    rnd = random.Random(3)
+    names_ = ["a", "a-1", "a-2", "a-1-1", "a-1-x", "a-01", "b", "a-3", "b-1", "a-99999999999999999999"]
+    for bases in (["a", "a", "a-1", "a-1-x"], [rnd.choice(names_) for _ in range(60)]):
+        df = spark.createDataFrame(list(enumerate(bases)), "_pos long, base string")
+        got = [r.unique_id for r in names.unique_id(df, "base").orderBy("_pos").collect()]
+        natural, count, want = set(bases), {}, []
+        for x in bases:  # the first row keeps the base, the next take the next free counter
+            n = count.get(x)
+            if n is None:
+                count[x] = 0
+                want.append(x)
+                continue
+            n += 1
+            while f"{x}-{n}" in natural:
+                n += 1
+            count[x] = n
+            want.append(f"{x}-{n}")
+        assert got == want and len(set(got)) == len(got)
+
+
+def test_long_numbers(spark):
+    assert run(spark, units.label_number, ["12345678901 kg", "99999999999999999999999 kg", "x"]) == [12345678901, 0, 0]
+    got = run(spark, lambda x: names.parse_media_name(x, "typed"), ["kito_er2_document_20250731123456.pdf", "kito_er2_document_99999999999999999999999.pdf"])
+    assert [g["index"] for g in got] == [20250731123456, None]
+    assert run(spark, units.normalize_capacity, ["99999999999999999999 kg"])[0].startswith("100000000000000000000 kg (220461999")
+    assert "9223372036854775807" not in run(spark, units.normalize_capacity, ["99999999999999999999 kg"])[0]
+
 
 
 def test_urls(spark):

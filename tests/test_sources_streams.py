@@ -175,6 +175,20 @@ def test_stream_upsert_reaches_batch_state(spark, sf, tmp_path):
     assert key(t.current(spark)) == key(want)
 
 
+def test_upsert_table_keeps_new_queries_and_columns(spark, tmp_path):
+    t = streams.UpsertTable(str(tmp_path / "t"))
+    mk = lambda rows, cols: spark.createDataFrame(rows, cols)
+    t.append(mk([("a", 1, "x"), ("b", 2, "y")], "id string, _pos long, v string"), 0, "first")
+    t.append(mk([("a", 3, "z")], "id string, _pos long, v string"), 1, "first")
+    assert t.compact(spark) == 1
+    t.append(mk([("c", 4, "w", 7), ("a", 5, None, 8)], "id string, _pos long, v string, extra int"), 0, "second")  # a new checkpoint begins at 0
+    t.append(mk([("a", 3, "z")], "id string, _pos long, v string"), 1, "first")  # a retry of a batch that the base holds
+    want = [("a", "z", 8), ("b", "y", None), ("c", "w", 7)]
+    assert sorted((r.id, r.v, r.extra) for r in t.current(spark).collect()) == want
+    assert t.compact(spark) == 2
+    assert sorted((r.id, r.v, r.extra) for r in t.current(spark).collect()) == want
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     mk = lambda rows: spark.createDataFrame(rows, "k string, t string").select("k", F.to_timestamp("t").alias("ts"))
     src = str(tmp_path / "late")
