@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 _WIDE = np.uint64(21)
 _NEAR = 1024
+_FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Vocabulary:
@@ -54,9 +55,19 @@ class Vocabulary:
         if merges:
             self.weight = -np.log1p(-self.weight)
         keys = np.array([n << 21 | ord(c) for n, c in nodes], dtype=np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.array(list(nodes.values()), dtype=np.int64)[order]
-        self.end = np.full(len(nodes) + 1, -1, dtype=np.int64)
+        #: Open addressing: a key lies at its hashed place or soon after; free places hold the largest number.
+        self.mask = np.uint64((1 << (4 * len(keys) - 1).bit_length()) - 1)
+        self.keys, self.to = np.full(int(self.mask) + 1, _FREE, dtype=np.uint64), np.full(int(self.mask) + 1, -1, dtype=np.int32)
+        todo, place = np.arange(len(keys)), self.place(keys)
+        values = np.array(list(nodes.values()), dtype=np.int32)
+        while len(todo):
+            at, first = np.unique(place[todo], return_index=True)
+            first = first[self.keys[at] == _FREE]
+            won = todo[first]
+            self.keys[place[won]], self.to[place[won]] = keys[won], values[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            place[todo] = place[todo] + np.uint64(1) & self.mask
+        self.end = np.full(len(nodes) + 1, -1, dtype=np.int32)
         self.end[list(ends)] = list(ends.values())
         #: The trie's first two steps for frequent characters, as tables; -1 where there is no way on.
         self.one, self.two = np.full(_NEAR, -1, dtype=np.int32), np.full((_NEAR, _NEAR), -1, dtype=np.int32)
@@ -82,18 +93,29 @@ class Vocabulary:
         out[wide] = self.far[at] == key
         return out
 
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & self.mask
+
     def step(self, state: np.ndarray, points: np.ndarray) -> np.ndarray:
         """The trie's next states, -1 where there is no way on."""
         key = state.astype(np.uint64) << _WIDE | points
-        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[k] == key, self.to[k], -1)
+        at = self.place(key)
+        found = self.keys[at]
+        out = self.to[at]
+        open_ = np.flatnonzero((found != key) & (found != _FREE))
+        while len(open_):
+            at[open_] = at[open_] + np.uint64(1) & self.mask
+            found = self.keys[at[open_]]
+            out[open_] = self.to[at[open_]]
+            open_ = open_[(found != key[open_]) & (found != _FREE)]
+        return out
 
     def first_steps(self, length: int, state: np.ndarray, before: np.ndarray, points: np.ndarray) -> np.ndarray:
         """``step`` from the root (length 1) or from the states after one character (length 2), by table where characters are frequent."""
         if length == 1:
-            near, out = points < _NEAR, self.one[np.minimum(points, _NEAR - 1)].astype(np.int64)
+            near, out = points < _NEAR, self.one[np.minimum(points, _NEAR - 1)]
         else:
-            near, out = (points < _NEAR) & (before < _NEAR), self.two[np.minimum(before, _NEAR - 1), np.minimum(points, _NEAR - 1)].astype(np.int64)
+            near, out = (points < _NEAR) & (before < _NEAR), self.two[np.minimum(before, _NEAR - 1), np.minimum(points, _NEAR - 1)]
         wide = np.flatnonzero(~near)
         out[wide] = self.step(state[wide], points[wide])
         return out
@@ -129,8 +151,8 @@ class Lattices:
     def __init__(self, v: Vocabulary, points: np.ndarray, left: np.ndarray):
         """``points`` are the characters of all stretches, ``left`` the characters from each to its stretch's end."""
         n = len(points)
-        at, state, length, parts = np.arange(n), np.zeros(n, dtype=np.int64), 1, []
-        alone = np.ones(n, dtype=bool)
+        at, state, length, parts = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.int32), 1, []
+        count = np.zeros(n, dtype=np.int32)
         while len(at):
             here = points[at + length - 1]
             to = v.first_steps(length, state, points[at], here) if length < 3 else v.step(state, here)
@@ -138,23 +160,31 @@ class Lattices:
             at, state = at[hit], to[hit]
             piece = v.end[state]
             whole = piece >= 0
-            parts.append((at[whole], np.full(int(whole.sum()), length), piece[whole]))
-            if length == 1:
-                alone[at[whole]] = False
+            parts.append((at[whole], np.full(int(whole.sum()), length, dtype=np.int32), piece[whole], count[at[whole]]))
+            count[at[whole]] += 1
+            if length == 1:  # a character without a piece
+                spare = np.flatnonzero(count == 0).astype(np.int32)
+                parts.append((spare, np.ones(len(spare), dtype=np.int32), -1 - points[spare].astype(np.int32), np.zeros(len(spare), dtype=np.int32)))
+                count[spare] = 1
             more = left[at] > length
             at, state, length = at[more], state[more], length + 1
-        spare = np.flatnonzero(alone)
-        parts.append((spare, np.ones(len(spare), dtype=np.int64), -1 - points[spare].astype(np.int64)))
-        start, size, piece = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, left[start]))
-        start, size, piece = start[order], size[order], piece[order]
+        # edges by distance of their start to the stretch's end, then by start and length
+        node_of = np.argsort(left.astype(np.uint16) if n and int(left.max()) < 1 << 16 else left, kind="stable")
+        count = count[node_of]
+        first = np.cumsum(count) - count
+        begin = np.empty(n, dtype=np.int64)
+        begin[node_of] = first
+        total_edges = int(count.sum())
+        start, size, piece = (np.empty(total_edges, dtype=np.int32) for _ in range(3))
+        for from_, long, which, turn in parts:
+            place = begin[from_] + turn
+            start[place], size[place], piece[place] = from_, long, which
         weight = np.where(piece >= 0, v.weight[np.maximum(piece, 0)], 0.0)
-        first = np.flatnonzero(np.r_[True, start[1:] != start[:-1]]) if len(start) else np.empty(0, dtype=np.int64)
-        node_of, count = start[first], np.diff(np.r_[first, len(start)])
         ends = left[start] == size
         total = np.zeros(n + 1)
         prob = np.zeros(len(start))
-        rounds = np.flatnonzero(np.r_[True, left[node_of][1:] != left[node_of][:-1], True]) if len(node_of) else np.zeros(1, dtype=np.int64)
+        far = left[node_of]
+        rounds = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1], [True]])) if n else np.zeros(1, dtype=np.int64)
         for a, b in zip(rounds[:-1], rounds[1:]):  # starts with the same distance to the end, nearest first
             lo, hi = first[a], first[b - 1] + count[b - 1]
             value = weight[lo:hi] + np.where(ends[lo:hi], 0.0, total[np.minimum(start[lo:hi] + size[lo:hi], n)])
@@ -164,8 +194,8 @@ class Lattices:
             total[node_of[a:b]] = top + np.log(np.add.reduceat(np.exp(value - spread), group))
             prob[lo:hi] = value - np.repeat(total[node_of[a:b]], count[a:b])
         self.piece, self.size, self.log = piece, size, prob
-        self.first, self.count = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        self.first[node_of], self.count[node_of] = first, count
+        self.first, self.count = begin.astype(np.int32), np.empty(n, dtype=np.int32)
+        self.count[node_of] = count
         run = np.cumsum(np.exp(prob))
         self.upto = run - np.repeat(run[first] - np.exp(prob[first]), count) if len(first) else run
         self.upto[first + count - 1] = 2.0
@@ -263,8 +293,8 @@ def sample_batch(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) ->
     own = np.repeat(start[one], length[one])
     base = np.cumsum(length[one]) - length[one]
     inner = np.arange(int(length[one].sum())) - np.repeat(base, length[one])
-    lattices = Lattices(v, points[own + inner], np.repeat(length[one], length[one]) - inner)
-    at, doc = base[which], np.searchsorted(doc_start[sizes > 0], start, side="right") - 1
+    lattices = Lattices(v, points[own + inner], (np.repeat(length[one], length[one]) - inner).astype(np.int32))
+    at, doc = base[which].astype(np.int32), np.searchsorted(doc_start[sizes > 0], start, side="right") - 1
     doc = np.flatnonzero(sizes > 0)[doc]
     lo, hi = np.searchsorted(doc, np.arange(len(texts)), side="left"), np.searchsorted(doc, np.arange(len(texts)), side="right")
     index = np.arange(len(at)) - lo[doc]
@@ -287,8 +317,9 @@ def sample_batch(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) ->
         sets[doc[w]].append((float(score[w]), 0, w))
 
     # path: words' edges as (parent path, first own word, edges, offsets); the first path has no parent
-    paths: list[list] = [[(None, int(lo[d]), edges[ends[lo[d]] - n[lo[d]]:ends[hi[d] - 1]] if hi[d] > lo[d] else edges[:0],
-                           np.r_[0, np.cumsum(n[lo[d]:hi[d]])], float(log[lo[d]:hi[d]].sum()), float(root[d]))] for d in range(len(texts))]
+    ends = np.concatenate([[0], ends])
+    paths: list[list] = [[(None, int(lo[d]), edges[ends[lo[d]]:ends[hi[d]]], ends[lo[d]:hi[d] + 1] - ends[lo[d]], float(log[lo[d]:hi[d]].sum()), float(root[d]))]
+                         for d in range(len(texts))]
     logs: list[list[np.ndarray]] = [[log[lo[d]:hi[d]]] for d in range(len(texts))]
     tried: list[dict] = [{} for _ in texts]
 
@@ -315,20 +346,20 @@ def sample_batch(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) ->
             break
         words = np.concatenate([np.arange(w + 1, hi[d]) for d, _, _, w, _ in chosen])
         seed, edges, n, log, rest = drawn(words, turn)
-        ends, at_word = np.r_[0, np.cumsum(n)], 0
+        ends, at_word = np.concatenate([[0], np.cumsum(n)]), 0
         for d, score_, p, w, (own_edges, own_log) in chosen:
             m = int(hi[d]) - w - 1
             part = log[at_word:at_word + m]
-            e = np.r_[np.array(own_edges, dtype=np.int64), edges[ends[at_word]:ends[at_word + m]]]
-            offset = np.r_[0, len(own_edges) + np.r_[0, np.cumsum(n[at_word:at_word + m])]]
+            e = np.concatenate([np.array(own_edges, dtype=np.int64), edges[ends[at_word]:ends[at_word + m]]])
+            offset = np.concatenate([[0], len(own_edges) + ends[at_word:at_word + m + 1] - ends[at_word]])
             prior = logs[d][p][:w - lo[d]]
-            mine = np.r_[prior, own_log, part]
+            mine = np.concatenate([prior, [own_log], part])
             number = len(paths[d])
             paths[d].append((p, w, e, offset, float(mine.sum()), score_))
             logs[d].append(mine)
             masses = float(prior.sum()) + own_log + np.cumsum(part) - part + rest[at_word:at_word + m]
             new = _below(np.full(m, score_), masses, _uniform(seed[at_word:at_word + m], 1 << 41))
-            for j in np.argsort(-new)[:k].tolist():
+            for j in (np.argpartition(-new, k)[:k] if m > k else np.arange(m)).tolist():
                 if np.isfinite(new[j]):
                     sets[d].append((float(new[j]), number, w + 1 + j))
             left = lattices.outside(int(at[w]), tried[d][(p, w)])[1]
@@ -405,7 +436,7 @@ def sample_segmentations(catalog: DataFrame, model: str, id: str = "id", descrip
     return rows.mapInArrow(run, "id long, rank int, ids binary, log_prob double, score double, inclusion double")
 
 
-def _portions(b: pa.RecordBatch, chars: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def _portions(b: pa.RecordBatch, chars: int = 800_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``chars`` bytes of text, a longer text being one of its own."""
     at, total = 0, 0
     for i, n in enumerate(pa.compute.binary_length(b.column(2)).to_pylist()):

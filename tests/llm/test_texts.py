@@ -120,9 +120,10 @@ def test_hilbert_steps_are_neighbours(dimensions, bits):
 
 
 def test_segmentations_of_documents(spark, sf, texts):
+    read = segments.decode_segmentations(q_segments.sampled(spark, sf), public_tokenizers.path(q_segments.MODEL)).collect()
+    assert all(r["text"] == (texts[r["id"]] or "") for r in read)
     rows = q_segments.op6_sampled_segmentations(spark, sf).collect()
     assert {r["doc_id"] for r in rows} == set(texts)
-    assert all(r["text_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest() for r in rows)
     assert len({(r["doc_id"], r["ids_crc32"]) for r in rows}) == len(rows) == 2 * len(texts)
     again = q_segments.op6_sampled_segmentations(spark, sf).collect()
     assert sorted((r["doc_id"], r["rank"], r["ids_crc32"]) for r in rows) == sorted((r["doc_id"], r["rank"], r["ids_crc32"]) for r in again)
