@@ -61,31 +61,45 @@ def catalog_columns(v: Column) -> list[Column]:
     return cols
 
 
+def _documents(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """(_file, value, d) per JSON document: ``d`` has the given top-level ``fields``; nested values are read as their JSON text.
+
+    The text of a document is parsed in pieces, one per field or record, so its size is not bounded by what one VARIANT
+    holds. A document that is no JSON, or cut short, is an error.
+    """
+    docs = spark.read.text(path, wholetext=True).select(c("_metadata.file_name").alias("_file"), js_trim("value").alias("value"))
+    kinds = ", ".join(f"{k} {t}" for k, t in {**fields, "_bad": "string"}.items())
+    object_ = c("value").startswith("{")
+    d = docs.withColumn("d", F.when(object_, F.from_json("value", kinds, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})))
+    other = ~object_ & ~c("value").startswith("[") & F.try_parse_json("value").isNull()
+    return d.withColumn("d", F.when(c("d._bad").isNotNull() | other, _unreadable().cast(d.schema["d"].dataType)).otherwise(c("d")))
+
+
+def _unreadable() -> Column:
+    return F.raise_error(F.concat(F.lit("no readable JSON in "), c("_file")))
+
+
 def read_catalog(spark: SparkSession, path: str, on_bad: str = "raise") -> DataFrame:
     """Catalogue JSON document(s): a bare array, or an object with ``data`` or ``products``.
 
-    A JSON document is one unit, so it is read by one task per file; large catalogues belong into JSON lines
-    (``read_catalog_lines``) or Parquet. ``_pos`` is the position in the document, ``_file`` its name. Any other shape
-    raises, or yields nothing with ``on_bad='empty'``.
+    A JSON document is one unit, so it is read by one task per file, record by record; very large catalogues belong into JSON
+    lines (``read_catalog_lines``) or Parquet. ``_pos`` is the position in the document, ``_file`` its name. A document that is
+    no JSON raises. Any other shape raises too, or yields nothing with ``on_bad='empty'``.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), c("_metadata.file_name").alias("_file"))
-    kind = F.schema_of_variant(c("v"))
-    inner = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("data", "products")]
-    items = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.coalesce(*inner))
-    if on_bad == "raise":
-        items = F.coalesce(items, F.raise_error(F.concat(F.lit("no record array in "), c("_file"))).cast("array<variant>"))
-    elif on_bad != "empty":
+    if on_bad not in ("raise", "empty"):
         raise ValueError("on_bad must be 'raise' or 'empty'")
-    rows = docs.select("_file", F.posexplode(items).alias("_pos", "r"))
+    docs = _documents(spark, path, {"data": "array<string>", "products": "array<string>"})
+    items = F.when(c("value").startswith("["), F.coalesce(F.from_json("value", "array<string>"), _unreadable().cast("array<string>"))).otherwise(F.coalesce("d.data", "d.products"))
+    if on_bad == "raise":
+        items = F.coalesce(items, F.raise_error(F.concat(F.lit("no record array in "), c("_file"))).cast("array<string>"))
+    rows = docs.select("_file", F.posexplode(items).alias("_pos", "r")).withColumn("r", F.parse_json("r"))
     return rows.select(c("_pos").cast("long").alias("_pos"), *catalog_columns(c("r")), "_file")
 
 
 def read_catalog_meta(spark: SparkSession, path: str) -> DataFrame:
     """Envelope fields other than the records, one row per file."""
-    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), c("_metadata.file_name").alias("_file"))
-    return docs.select("_file", F.try_variant_get("v", "$.version", "string").alias("version"),
-                       F.try_variant_get("v", "$.scrapedAt", "string").alias("scrapedAt"),
-                       F.to_json(F.try_variant_get("v", "$.stats", "variant")).alias("stats"))
+    docs = _documents(spark, path, {"version": "string", "scrapedAt": "string", "stats": "string"})
+    return docs.select("_file", "d.version", "d.scrapedAt", "d.stats")
 
 
 def read_catalog_lines(spark: SparkSession, path: str, pos: str = "line") -> DataFrame:
@@ -135,18 +149,17 @@ def read_device_makers(spark: SparkSession, path: str) -> DataFrame:
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """Report, history or extraction JSON as (_file, key, value VARIANT): one row per top-level entry."""
-    docs = spark.read.text(path, wholetext=True).select(c("_metadata.file_name").alias("_file"), F.try_parse_json("value").alias("v"))
-    entries = F.try_variant_get("v", "$", "map<string,variant>")
-    return docs.select("_file", F.explode(entries).alias("key", "value"))
+    entries = _documents(spark, path, {}).filter(c("value").startswith("{") & c("d").isNotNull()).select(
+        "_file", F.explode(F.from_json("value", "map<string,string>")).alias("key", "text"))
+    plain = F.try_variant_get(F.parse_json(F.to_json(F.struct("text"))), "$.text", "variant")  # a text that is no JSON itself
+    return entries.select("_file", "key", F.coalesce(F.try_parse_json("text"), plain).alias("value"))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run history: one row per run."""
-    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    runs = docs.select(F.posexplode(F.try_variant_get("v", "$.runs", "array<variant>")).alias("pos", "r"))
-    get = lambda n, t: F.try_variant_get("r", f"$.{n}", t).alias(n)
-    return runs.select("pos", get("id", "string"), get("startTime", "string"), get("endTime", "string"), get("duration", "double"),
-                       get("success", "boolean"), get("error", "string"))
+    run = "struct<id:string,startTime:string,endTime:string,duration:double,success:boolean,error:string>"
+    docs = _documents(spark, path, {"runs": f"array<{run}>"})
+    return docs.select(F.posexplode("d.runs").alias("pos", "r")).select("pos", "r.*")
 
 
 def list_media(spark: SparkSession, path: str, exts: list[str]) -> DataFrame:

@@ -45,6 +45,33 @@ def test_read_catalog_bad_shape(spark, tmp_path):
         readers.read_catalog(spark, str(f)).collect()
 
 
+def test_read_catalog_unreadable_always_raises(spark, tmp_path):
+    for i, text in enumerate(['[{"id": "a"}, {"id":', '{"data": [{"id": "a"}', "no json"]):
+        f = tmp_path / f"cut{i}.json"
+        f.write_text(text)
+        with pytest.raises(Exception, match="no readable JSON"):
+            readers.read_catalog(spark, str(f), on_bad="empty").collect()
+
+
+@pytest.mark.parametrize("wrap", [False, True])
+def test_read_catalog_beyond_one_variant(spark, tmp_path, wrap):
+    """A document of over 150 MB, more than one VARIANT holds, gives all its records."""
+    import shutil
+
+    if shutil.disk_usage(tmp_path).free < 2 << 30:
+        pytest.skip("disk is full")
+    f, filler = tmp_path / "large.json", "x" * 7_600
+    with f.open("w") as out:
+        out.write('{"products": [' if wrap else "[")
+        for i in range(20_000):
+            out.write(("," if i else "") + json.dumps({"id": f"p{i}", "manufacturer": "Kito", "description": filler}))
+        out.write("]}" if wrap else "]")
+    assert f.stat().st_size > 150_000_000
+    got = readers.read_catalog(spark, str(f), on_bad="empty").agg(F.count("*"), F.countDistinct("id"), F.max("_pos"), F.sum(F.length("description"))).first()
+    assert tuple(got) == (20_000, 20_000, 19_999, 20_000 * 7_600)
+    f.unlink()
+
+
 XML = """<?xml version="1.0" encoding="utf-8"?>
 <MotorModel ManufacturerId="{m}" ProductId="{p}"><Name>[{m}-{p}] Lodestar F 500kg 4m/min (16fpm)</Name><ImageFile></ImageFile>
 <VariableSpeedControl><MinSpeedClamp>30</MinSpeedClamp><MaxSpeedClamp>0</MaxSpeedClamp></VariableSpeedControl><OverloadLimit>500</OverloadLimit><EncoderScaling>0</EncoderScaling>
