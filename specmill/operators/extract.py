@@ -1,12 +1,12 @@
 """Links, media, specifications and product records from pages, and sizes from document texts.
 
-Links and media come from tag patterns inside Spark expressions. Specification tables and product cards need nesting,
-so those two read a page at a time with the standard HTML parser inside ``mapInPandas``.
+Links and media come from tag patterns inside Spark expressions, per page and without a shuffle. Specifications and product
+cards need nesting: one Arrow function reads a page once, as a stream of markup events, for both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,42 +42,85 @@ def _elements(pages: DataFrame, found: Column, name: str) -> DataFrame:
     return pages.select(*PAGE, F.posexplode(found).alias("pos", name))
 
 
-def _first_per_url(df: DataFrame, url: str, keep: list[str], k: int | None = None) -> DataFrame:
-    """First element per (page, address); k per page."""
-    one = df.groupBy(*PAGE, url).agg(F.min("pos").alias("pos"), F.min_by(F.struct(*keep), "pos").alias("_v"))
-    out = one.select(*PAGE, "pos", url, "_v.*")
-    return out if k is None else top_k(out, ["page_id"], [c("pos")], k)
+def _first_of(items: Column, field: str) -> Column:
+    """The items without those whose ``field`` an earlier one has."""
+    return F.filter(items, lambda x, i: F.array_position(F.transform(items, lambda y: y[field]), x[field]) == i + 1)
+
+
+def _held(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _listed(found: Column, k: int | None) -> Column:
+    """Items with an address, the first per address; with k the first k of them."""
+    kept = _held(F.filter(found, lambda x: x["link"].isNotNull()), lambda x: _first_of(x, "link"))
+    return kept if k is None else F.slice(kept, 1, k)
+
+
+def doc_links() -> Column:
+    """Document links of a page as an array of (link, type, title, pos), one per address."""
+    def one(a, i):
+        tag, text = F.regexp_extract(a, r"(?s)^<a\b[^>]*>", 0), web.tag_text(a)
+        return F.struct(web.attr(tag, "href").alias("href"), text.alias("text"), web.attr(tag, "title").alias("tip"), i.alias("pos"))
+
+    def is_doc(d):
+        h, t = F.lower(d["href"]), F.lower(d["text"])
+        named = lambda x, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: x.contains(w))
+        return d["href"].isNotNull() & (h.contains("pdf") | t.contains("pdf") | t.contains("download")) & (
+            h.endswith(".pdf") | named(d["href"], ("datasheet", "manual", "brochure", "specification", "catalog"))
+            | named(d["text"], ("Download", "PDF", "Datasheet", "Manual")))
+
+    def doc(d):
+        return F.struct(web.absolute_url(d["href"], c("url")).alias("link"), web.doc_type(d["href"], d["text"]).alias("type"),
+                        F.coalesce(F.nullif(d["text"], F.lit("")), d["tip"], web.file_name(d["href"])).alias("title"), d["pos"].alias("pos"))
+
+    return _listed(F.transform(F.filter(F.transform(web.anchors("html"), one), is_doc), doc), None)
 
 
 def extract_doc_links(pages: DataFrame) -> DataFrame:
     """Document links with type and title, one per address."""
-    a = _elements(pages, web.anchors("html"), "a")
-    tag = F.regexp_extract("a", r"(?s)^<a\b[^>]*>", 0)
-    a = a.select(*PAGE, "pos", web.attr(tag, "href").alias("href"), web.tag_text("a").alias("text"), web.attr(tag, "title").alias("tip"))
-    h, t = F.lower("href"), F.lower("text")
-    is_doc = h.contains("pdf") | t.contains("pdf") | t.contains("download")
-    listed = (h.endswith(".pdf") | F.exists(F.array(*[F.lit(w) for w in (
-        "datasheet", "manual", "brochure", "specification", "catalog")]), lambda w: c("href").contains(w))
-        | F.exists(F.array(*[F.lit(w) for w in ("Download", "PDF", "Datasheet", "Manual")]), lambda w: c("text").contains(w)))
-    d = a.filter(c("href").isNotNull() & is_doc & listed).select(
-        *PAGE, "pos", web.absolute_url("href", c("url")).alias("link"), web.doc_type("href", "text").alias("type"),
-        F.coalesce(F.nullif(c("text"), F.lit("")), "tip", web.file_name("href")).alias("title"))
-    return _first_per_url(d.filter("link is not null"), "link", ["type", "title"])
+    return pages.select(*PAGE, F.inline(doc_links())).select(*PAGE, "pos", "link", "type", "title")
+
+
+def image_links(mode: str = "small", k: int | None = None) -> Column:
+    """Images of a page after the skip rule as an array of (link, alt, title, pos), absolute and distinct; with k the first k."""
+    def one(t, i):
+        blank = lambda n: F.coalesce(web.attr(t, n), F.lit(""))
+        alt = F.coalesce(F.nullif(blank("alt"), F.lit("")), blank("title")) if mode == "page" else blank("alt")
+        return F.struct(F.coalesce(web.attr(t, "src"), web.attr(t, "data-src"), web.attr(t, "data-lazy-src")).alias("src"), web.parse_int(web.attr(t, "width")).alias("w"),
+                        web.parse_int(web.attr(t, "height")).alias("h"), alt.alias("alt"), blank("title").alias("title"), i.alias("pos"))
+
+    def shown(x):
+        ok = x["src"].isNotNull() & ~web.skip_image(x["src"], x["w"], x["h"], mode)
+        return ok & x["src"].startswith("http") & (x["w"] >= 100) & (x["h"] >= 100) if mode == "strict" else ok
+
+    def image(x):
+        return F.struct(web.absolute_url(x["src"], c("url")).alias("link"), x["alt"].alias("alt"), x["title"].alias("title"), x["pos"].alias("pos"))
+
+    return _listed(F.transform(F.filter(F.transform(web.tags("html", "img"), one), shown), image), k)
 
 
 def extract_images(pages: DataFrame, mode: str = "small", k: int | None = None) -> DataFrame:
     """Images of a page after the skip rule, absolute and distinct; with k the first k."""
-    i = _elements(pages, web.tags("html", "img"), "t")
-    i = i.select(*PAGE, "pos", F.coalesce(web.attr("t", "src"), web.attr("t", "data-src"), web.attr("t", "data-lazy-src")).alias("src"),
-                 web.parse_int(web.attr("t", "width")).alias("w"), web.parse_int(web.attr("t", "height")).alias("h"),
-                 F.coalesce(web.attr("t", "alt"), F.lit("")).alias("alt"), F.coalesce(web.attr("t", "title"), F.lit("")).alias("title"))
-    if mode == "page":
-        i = i.withColumn("alt", F.coalesce(F.nullif(c("alt"), F.lit("")), c("title")))
-    kept = i.filter(c("src").isNotNull() & ~web.skip_image("src", "w", "h", mode))
-    if mode == "strict":
-        kept = kept.filter(c("src").startswith("http") & (c("w") >= 100) & (c("h") >= 100))
-    kept = kept.withColumn("link", web.absolute_url("src", c("url"))).filter("link is not null")
-    return _first_per_url(kept, "link", ["alt", "title"], k)
+    return pages.select(*PAGE, F.inline(image_links(mode, k))).select(*PAGE, "pos", "link", "alt", "title")
+
+
+def video_links() -> Column:
+    """Videos of a page as an array of (type, url, embed, id): YouTube and Vimeo players, then video files."""
+    srcs = F.transform(web.tags("html", "iframe"), lambda t: web.video_ref(F.coalesce(web.attr(t, "src"), web.attr(t, "data-src"))))
+    players = F.filter(srcs, lambda v: v["id"].isNotNull())
+    of = lambda kind: F.filter(players, lambda v: v["type"] == kind)
+    none = F.lit(None).cast("string")
+    files = F.transform(F.filter(F.transform(_video_tags(), lambda t: web.attr(t, "src")), lambda x: x.isNotNull()), lambda x: F.struct(
+        F.lit("mp4").alias("type"), web.absolute_url(x, c("url")).alias("url"), none.alias("embed"), none.alias("id")))
+    return F.concat(of("youtube"), of("vimeo"), files)
+
+
+def _video_tags() -> Column:
+    """<video> tags and the <source> tags inside them; the blocks are cut out first."""
+    blocks = F.regexp_extract_all(web.visible_html("html"), F.lit(r"(?is)<video\b.*?(?:</video\s*>|$)"), F.lit(0))
+    return F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"(?is)<(?:source|video)\b[^>]*>"), F.lit(0))))
 
 
 def extract_videos(pages: DataFrame) -> DataFrame:
@@ -86,11 +129,8 @@ def extract_videos(pages: DataFrame) -> DataFrame:
     players = (_elements(pages, srcs, "src").withColumn("v", web.video_ref("src")).filter("v.id is not null")
                .select("page_id", F.when(c("v.type") == "youtube", 0).otherwise(1).alias("kind_rank"), "pos", c("v.type").alias("type"),
                        c("v.url").alias("video_url"), c("v.embed").alias("embed"), c("v.id").alias("id")))
-    # <source> counts only inside <video>, so the blocks are cut out first
-    blocks = F.regexp_extract_all(web.visible_html("html"), F.lit(r"(?is)<video\b.*?(?:</video\s*>|$)"), F.lit(0))
-    found = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"(?is)<(?:source|video)\b[^>]*>"), F.lit(0))))
     none = F.lit(None).cast("string")
-    files = (_elements(pages, F.transform(found, lambda t: web.attr(t, "src")), "src").filter("src is not null")
+    files = (_elements(pages, F.transform(_video_tags(), lambda t: web.attr(t, "src")), "src").filter("src is not null")
              .select("page_id", F.lit(2).alias("kind_rank"), "pos", F.lit("mp4").alias("type"),
                      web.absolute_url("src", c("url")).alias("video_url"), none.alias("embed"), none.alias("id")))
     return players.unionByName(files)
@@ -110,12 +150,18 @@ def extract_badges(pages: DataFrame) -> DataFrame:
     return badges.unionByName(sheets)
 
 
+def _heading() -> Column:
+    h1 = web.tag_text(F.regexp_extract(web.visible_html("html"), r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+    return F.regexp_replace(h1, r"\s+", " ")
+
+
+def _model_of(heading: str) -> Column:
+    return js_trim(F.regexp_replace(F.regexp_replace(heading, "(?i)electric chain hoist", ""), "(?i)chain hoist", ""))
+
+
 def page_titles(pages: DataFrame) -> DataFrame:
     """Model name from the first h1; pages without one of at least two characters drop out."""
-    h1 = web.tag_text(F.regexp_extract(web.visible_html("html"), r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
-    h1 = F.regexp_replace(h1, r"\s+", " ")
-    model = js_trim(F.regexp_replace(F.regexp_replace(h1, "(?i)electric chain hoist", ""), "(?i)chain hoist", ""))
-    return pages.select(*PAGE, h1.alias("_h1"), model.alias("model")).filter(F.length("_h1") >= 2).drop("_h1")
+    return pages.select(*PAGE, _heading().alias("_h1")).filter(F.length("_h1") >= 2).select(*PAGE, _model_of("_h1").alias("model"))
 
 
 def product_pages(pages: DataFrame) -> DataFrame:
@@ -124,148 +170,171 @@ def product_pages(pages: DataFrame) -> DataFrame:
 
 # -- nested structures --------------------------------------------------------------------------------------------
 
+# fixed values of the markup language: elements without content, and what a start tag closes
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
           "p": {"p"}, "option": {"option"}}
 
-
-class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent")
-
-    def __init__(self, tag, attrs=(), parent=None):
-        self.tag, self.attrs, self.kids, self.parent = tag, dict(attrs), [], parent
-
-    def walk(self):
-        """All elements below, in document order; a stack, as broken markup can nest very deep."""
-        stack = [k for k in reversed(self.kids) if isinstance(k, Node)]
-        while stack:
-            n = stack.pop()
-            yield n
-            stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
-
-    def text(self) -> str:
-        out, stack = [], list(reversed(self.kids))
-        while stack:
-            k = stack.pop()
-            if isinstance(k, str):
-                out.append(k)
-            elif k.tag not in ("script", "style"):
-                stack.extend(reversed(k.kids))
-        return "".join(out)
-
-    def find(self, test):
-        return (n for n in self.walk() if test(n))
-
-    def cls(self) -> str:
-        return self.attrs.get("class") or ""
-
-    def has_class(self, *names) -> bool:
-        return bool(set(self.cls().split()) & set(names))
-
-
-def parse_html(html: str) -> Node:
-    from html.parser import HTMLParser
-
-    root = Node("#root")
-
-    class Builder(HTMLParser):
-        cur = root
-
-        def handle_starttag(self, tag, attrs):
-            while self.cur.tag in CLOSES.get(tag, ()) and self.cur.parent is not None:
-                self.cur = self.cur.parent
-            node = Node(tag, attrs, self.cur)
-            self.cur.kids.append(node)
-            if tag not in VOID:
-                self.cur = node
-
-        def handle_endtag(self, tag):
-            n = self.cur
-            while n is not None and n.tag != tag:
-                n = n.parent
-            if n is not None and n.parent is not None:
-                self.cur = n.parent
-
-        def handle_data(self, data):
-            self.cur.kids.append(data)
-
-    b = Builder(convert_charrefs=True)
-    b.feed(html or "")
-    b.close()
-    return root
-
-
-def page_specs(root: Node) -> dict[str, str]:
-    """Specifications of a page: table rows, definition lists, labelled blocks; later entries win."""
-    specs: dict[str, str] = {}
-    for row in root.find(lambda n: n.tag == "tr"):
-        cells = [x.text().strip() for x in row.find(lambda n: n.tag in ("td", "th"))]
-        if len(cells) >= 2 and cells[0] and cells[1] and len(cells[0]) < 50:
-            specs[cells[0].lower()] = cells[1]
-    for dl in root.find(lambda n: n.tag == "dl"):
-        items = [x for x in dl.find(lambda n: n.tag in ("dt", "dd"))]
-        for a, b in zip(items, items[1:]):
-            if a.tag == "dt" and b.tag == "dd" and a.text().strip() and b.text().strip():
-                specs[a.text().strip().lower()] = b.text().strip()
-    for el in root.find(lambda n: "spec" in n.cls() or "feature" in n.cls()):
-        label = next((x.text().strip() for x in el.find(lambda n: "label" in n.cls() or n.tag in ("strong", "b"))), "")
-        value = next((x.text().strip() for x in el.find(lambda n: "value" in n.cls())), "")
-        value = value or el.text().replace(label, "", 1).strip()
-        if label and value and len(label) < 50:
+#: What fills a slot of a container, given (tag, class attribute). The first filled element counts.
+SLOTS = {
+    "row": {"cells": lambda t, k: t in ("td", "th")},
+    "list": {"terms": lambda t, k: t in ("dt", "dd")},
+    "block": {"label": lambda t, k: "label" in k or t in ("strong", "b"), "value": lambda t, k: "value" in k},
+    "card": {"title": lambda t, k: t in ("h2", "h3", "h4") or bool({"title", "name"} & set(k.split())), "link": lambda t, k: t == "a",
+             "text": lambda t, k: t == "p" or bool({"description", "text"} & set(k.split()))},
+}
+
+
+class _Open:
+    """An element under way: its own text where someone waits for it, and the container it is, if any."""
+
+    __slots__ = ("tag", "text", "into", "kind", "slots", "images", "order")
+
+    def __init__(self, tag: str):
+        self.tag, self.text, self.into, self.kind, self.slots, self.images, self.order = tag, None, [], None, {}, [], 0
+
+
+class PageReader(HTMLParser):
+    """Specifications and cards of one page, read as events: text goes to the open elements that someone waits for."""
+
+    def __init__(self, card: str):
+        super().__init__(convert_charrefs=True)
+        self.card, self.open, self.hidden, self.seen, self.found, self.cards = card, [], 0, 0, [], []
+
+    def _kind(self, tag: str, k: str) -> str | None:
+        if tag == "tr":
+            return "row"
+        if tag == "dl":
+            return "list"
+        if self.card in k.split():
+            return "card"
+        return "block" if "spec" in k or "feature" in k else None
+
+    def handle_starttag(self, tag, attrs):
+        while self.open and self.open[-1].tag in CLOSES.get(tag, ()):
+            self._end()
+        attrs = dict(attrs)
+        k = attrs.get("class") or ""
+        self.seen += 1
+        if tag == "img":
+            src = attrs.get("src") or attrs.get("data-src")
+            if src and "icon" not in src and "logo" not in src:
+                for e in self.open:
+                    if e.kind == "card":
+                        e.images.append({"src": src, "alt": attrs.get("alt") or ""})
+        if tag in VOID:
+            return
+        e = _Open(tag)
+        e.order = self.seen
+        for holder in self.open:
+            for slot, test in SLOTS.get(holder.kind, {}).items():
+                if test(tag, k):
+                    e.into.append((holder, slot))
+        e.kind = self._kind(tag, k)
+        if e.into or e.kind == "block":
+            e.text = []
+        self.hidden += tag in ("script", "style")
+        self.open.append(e)
+
+    def handle_endtag(self, tag):
+        if any(e.tag == tag for e in self.open):
+            while self._end() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            for e in self.open:
+                if e.text is not None:
+                    e.text.append(data)
+
+    def _end(self) -> str:
+        e = self.open.pop()
+        self.hidden -= e.tag in ("script", "style")
+        text = "".join(e.text) if e.text is not None else ""
+        for holder, slot in e.into:
+            holder.slots.setdefault(slot, []).append((e.order, e.tag, text.strip()))
+        if e.kind:
+            self._done(e, text)
+        return e.tag
+
+    def _done(self, e: _Open, text: str) -> None:
+        slots = {k: sorted(v) for k, v in e.slots.items()}
+        first = {k: v[0][2] for k, v in slots.items()}
+        if e.kind == "row":
+            cells = [x[2] for x in slots.get("cells", [])]
+            if len(cells) > 1 and cells[0] and cells[1]:
+                self.found.append((0, e.order, cells[0], cells[1]))
+        elif e.kind == "list":
+            terms = slots.get("terms", [])
+            self.found += [(1, a[0], a[2], b[2]) for a, b in zip(terms, terms[1:]) if (a[1], b[1]) == ("dt", "dd") and a[2] and b[2]]
+        elif e.kind == "block":
+            label = first.get("label", "")
+            value = first.get("value") or text.replace(label, "", 1).strip()
+            if label and value:
+                self.found.append((2, e.order, label, value))
+        elif e.kind == "card":
+            title = first.get("title") or first.get("link", "")
+            if len(title) > 2:
+                self.cards.append((e.order, {"model": title, "description": first.get("text") or None, "images": e.images}))
+
+    def finish(self) -> tuple[list[dict], list[dict]]:
+        """Specifications (tables, then lists, then labelled blocks; the last of a name counts) and cards in page order."""
+        while self.open:
+            self._end()
+        specs = {}
+        for _, _, label, value in sorted(self.found):
             specs[label.lower()] = value
-    return specs
+        return [{"key": k, "value": v} for k, v in specs.items()], [x for _, x in sorted(self.cards, key=lambda x: x[0])]
 
 
-def extract_specs(pages: DataFrame) -> DataFrame:
-    """(page_id, specs map) for every page."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "specs": [page_specs(parse_html(h)) for h in b["html"]]})
+def read_page(html: str | None, card: str = "product") -> tuple[list[dict], list[dict]]:
+    reader = PageReader(card)
+    reader.feed(html or "")
+    reader.close()
+    return reader.finish()
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, specs map<string,string>")
 
+READ = "specs array<struct<key:string,value:string>>, cards array<struct<model:string,description:string,images:array<struct<src:string,alt:string>>>>"
 
-def extract_parsed_specs(pages: DataFrame) -> DataFrame:
-    return extract_specs(pages).select("page_id", "specs", mining.map_specs("specs").alias("parsed"))
 
+def with_parsed(pages: DataFrame, card: str = "product") -> DataFrame:
+    """Pages with ``specs`` (a map) and ``cards``; a page is parsed once and stays one row."""
+    @F.pandas_udf(READ)
+    def parsed(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_page(h, card) for h in html], columns=["specs", "cards"])
 
-CARD_SCHEMA = "page_id long, pos int, model string, description string, images array<struct<src:string,alt:string>>"
+    return pages.withColumn("_p", parsed("html")).withColumns({"specs": F.map_from_entries("_p.specs"), "cards": F.col("_p.cards")}).drop("_p")
 
 
-def page_cards(root: Node, css_class: str = "product") -> list[tuple]:
-    out = []
-    for el in root.find(lambda n: n.has_class(css_class)):
-        def first(test):
-            return next((x.text().strip() for x in el.find(test)), "")
+def extract_specs(pages: DataFrame) -> DataFrame:
+    """(page_id, specs map) for every page: table rows, definition lists and labelled blocks."""
+    return with_parsed(pages).select("page_id", "specs")
 
-        title = first(lambda n: n.tag in ("h2", "h3", "h4") or n.has_class("title", "name")) or first(lambda n: n.tag == "a")
-        if 2 < len(title) < 200:
-            text = first(lambda n: n.tag == "p" or n.has_class("description", "text"))
-            pics = [(s, x.attrs.get("alt") or "") for x in el.find(lambda n: n.tag == "img")
-                    for s in [x.attrs.get("src") or x.attrs.get("data-src")] if s and "icon" not in s and "logo" not in s]
-            out.append((title, text[:500] or None, [{"src": s, "alt": a} for s, a in pics]))
-    return out
+
+def extract_parsed_specs(pages: DataFrame) -> DataFrame:
+    return extract_specs(pages).select("page_id", "specs", mining.map_specs("specs").alias("parsed"))
 
 
 def extract_cards(pages: DataFrame, css_class: str = "product") -> DataFrame:
     """Product cards of listing pages with absolute image addresses."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(pid, i, *card) for pid, h in zip(b["page_id"], b["html"])
-                    for i, card in enumerate(page_cards(parse_html(h), css_class))]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "model", "description", "images"])
+    cards = with_parsed(pages, css_class).select(*PAGE, F.posexplode("cards").alias("pos", "_c")).select(*PAGE, "pos", "_c.*")
+    return cards.withColumn("images", F.transform("images", lambda i: F.struct(web.absolute_url(i["src"], c("url")).alias("url"), i["alt"].alias("alt"))))
 
-    cards = pages.select("page_id", "html").mapInPandas(run, CARD_SCHEMA)
-    return cards.join(pages.select(*PAGE), "page_id").withColumn("images", F.transform("images", lambda i: F.struct(
-        web.absolute_url(i["src"], c("url")).alias("url"), i["alt"].alias("alt"))))
 
+def extract_product(pages: DataFrame, manufacturer=None) -> DataFrame:
+    """One record per product page: model, vendor, description, media, raw and parsed specifications.
 
-def extract_product(pages: DataFrame) -> DataFrame:
-    """One record per product page: model, description, raw and parsed specifications."""
+    ``manufacturer`` is the vendor's name or a column; NULL without it. One pass over a page, no join and no shuffle, so pages that
+    share an id stay apart.
+    """
     block = F.regexp_extract(web.visible_html("html"), r"(?is)class\s*=\s*[\"'][^\"']*\bdescription\b[^\"']*[\"'][^>]*>(.*?)</(?:p|div|section|span)\s*>", 1)
-    text = pages.select("page_id", F.nullif(F.substring(web.tag_text(block), 1, 1000), F.lit("")).alias("description"))
-    return (page_titles(pages).join(text, "page_id").join(extract_parsed_specs(pages), "page_id")
-            .select(*PAGE, "model", "description", c("specs").alias("rawSpecifications"), "parsed.*"))
+    vendor = F.lit(manufacturer).cast("string") if manufacturer is None or isinstance(manufacturer, str) else manufacturer
+    images = F.transform(image_links("page"), lambda i: F.struct(i["link"].alias("url"), i["alt"].alias("alt")))
+    pdfs = F.transform(doc_links(), lambda d: F.struct(d["link"].alias("url"), d["title"].alias("title"), d["type"].alias("type")))
+    titled = pages.withColumn("_h1", _heading()).filter(F.length("_h1") >= 2)
+    return with_parsed(titled).withColumn("parsed", mining.map_specs("specs")).select(
+        *PAGE, _model_of("_h1").alias("model"), vendor.alias("manufacturer"), F.nullif(web.tag_text(block), F.lit("")).alias("description"),
+        images.alias("images"), video_links().alias("videos"), pdfs.alias("pdfs"), c("url").alias("scrapedFrom"), c("specs").alias("rawSpecifications"), "parsed.*")
 
 
 def page_text_specs(pages: DataFrame) -> DataFrame:

@@ -165,6 +165,22 @@ def test_page_extraction(spark):
     assert kinds == [("certification", "CE mark"), ("datasheet", "http://s.com/get/sheet.pdf")]
 
 
+def test_product_record_is_one_pass(spark):
+    """Pages that share an id stay apart, long texts stay whole, and no row is shuffled."""
+    long = "word " * 600
+    html = PAGE.replace("<p>Text</p>", f"<p>{long}</p>") + f'<div class="description">{long}</div><table><tr><td>{"L" * 80}</td><td>v</td></tr></table>'
+    p = spark.createDataFrame([(1, "http://s.com/a", html), (1, "http://s.com/b", html), (2, "http://s.com/c", None), (3, "http://s.com/d", "<p>no heading")],
+                              "page_id long, url string, html string")
+    d = extract.extract_product(p, "Kito")
+    rows = {r.url: r for r in d.collect()}
+    assert set(rows) == {"http://s.com/a", "http://s.com/b"}
+    a = rows["http://s.com/a"]
+    assert (a.manufacturer, a.scrapedFrom, a.loadCapacity, len(a.description), a.rawSpecifications["l" * 80]) == ("Kito", "http://s.com/a", "500 kg", len(long.strip()), "v")
+    assert [i.url for i in a.images] == ["http://s.com/b.jpg", "http://s.com/c.png"] and len(a.pdfs) == 3 and [v.type for v in a.videos] == ["youtube", "mp4"]
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    assert {len(r.description) for r in extract.extract_cards(p).collect() if r.description} == {len(long.strip())}
+
+
 def _stream(spark, df, path, n=3):
     df.repartitionByRange(n, "ts").write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
