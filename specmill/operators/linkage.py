@@ -1,8 +1,7 @@
 """Linking products to rules, documents and images by names.
 
-Containment of one name in another is answered by equi-joins: the longer text is spread into its substrings of exactly
-the lengths that occur on the other side. Every joined pair is a match, nothing is compared in vain, and a hot vendor is
-spread over its names. Names are made distinct before they are spread.
+Containment of one name in another is an equi-join on one short gram of the inner name, its rarest among the outer names,
+and a test of the pairs found. Names are made distinct before they are compared, and a hot vendor is spread over its grams.
 """
 
 from __future__ import annotations
@@ -103,18 +102,29 @@ def fill_power(df: DataFrame, rules=tuple(POWER_RULES), mode: str = "compat") ->
                        .when(c("power_cleaned"), "").otherwise(c("motorPower"))}).drop("_m", "_n", "_kg", "_had", "_known", "_guess")
 
 
+GRAM = 4
+
+
+def _grams(x, size) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substr(c(x), i, size)))
+
+
 def containment(inner: DataFrame, outer: DataFrame, s: str, t: str, on: list[str]) -> DataFrame:
     """All pairs with equal ``on`` columns where text ``t`` contains the non-empty text ``s``.
 
-    ``t`` is spread into its substrings, of those lengths only that some ``s`` has.
+    ``t`` gives its grams of four characters, and of fewer where some ``s`` is that short; ``s`` gives the one of its grams that the
+    fewest ``t`` have. Pairs that share it are tested. The work grows with the length of the texts, not with its square.
     """
-    a = inner.filter(F.length(s) > 0)
-    lens = a.select(F.length(s).alias("_n")).distinct()  # at most one row per length a name can have
-    n = F.col("_n")
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(F.col(t), i, n)))
-    b = (outer.filter(F.length(t) > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.length(t))))
-         .join(F.broadcast(lens), "_n").withColumn("_piece", F.explode(pieces)).drop("_n"))
-    return a.withColumnRenamed(s, "_piece").join(b, [*on, "_piece"]).withColumnRenamed("_piece", s)
+    a, b = inner.filter(F.length(s) > 0), outer.filter(F.length(t) > 0)
+    size = F.least(F.length(s), F.lit(GRAM))
+    sizes = a.select(size.alias("_q")).distinct()  # at most four rows
+    spread = (b.withColumn("_q", F.explode(F.sequence(F.lit(1), F.least(F.length(t), F.lit(GRAM))))).join(F.broadcast(sizes), "_q")
+              .withColumn("_g", F.explode(_grams(t, F.col("_q")))).drop("_q"))
+    counts = spread.groupBy(*on, "_g").agg(F.count("*").alias("_n"))
+    own = a.withColumn("_g", F.explode(_grams(s, size))).join(counts, [*on, "_g"], "left")
+    # a gram that no outer text has rules the name out
+    rare = own.groupBy(*inner.columns).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_m")).filter("_m.n > 0")
+    return rare.withColumn("_g", F.col("_m._g")).drop("_m").join(spread, [*on, "_g"]).filter(F.col(t).contains(F.col(s))).drop("_g")
 
 
 def vendor_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
@@ -158,40 +168,41 @@ def link_docs(products: DataFrame, docs: DataFrame, compat: bool = False) -> Dat
 def rank_matches(products: DataFrame, files: DataFrame, k: int = 5) -> DataFrame:
     """The k best products per file with a confidence, best first (earlier product on equal confidence).
 
-    ``files``: filename, _pos, vendor, slug, ext_manufacturer, ext_model, ext_series. Confidence depends only on the
-    names, so products are first reduced to the k earliest rows per (vendor, model, series): no more of them can reach
-    the list. Vendor and name containment then run over distinct names.
+    ``files``: filename, _pos, vendor, slug, ext_manufacturer, ext_model, ext_series. Confidence depends only on the names. So products
+    are first reduced to the k earliest rows per (vendor, model, series): no more of them can reach the list. Files are reduced to
+    their distinct names, ranked once each, and the lists are given to the files at the end.
     """
     low = lambda x: F.lower(F.coalesce(c(x), F.lit("")))
     p = products.select("id", "_pos", F.coalesce("manufacturer", F.lit("")).alias("manufacturer"), low("model").alias("model"),
                         low("series").alias("series"), match_key("manufacturer").alias("pk"))
     # the reduced products and the parsed files are read by several joins below, hence the cuts
     p = cut(top_k(p, ["manufacturer", "model", "series"], [c("_pos")], k, "_r").drop("_r"))
-    f = cut(files.select("filename", c("_pos").alias("_fpos"), "vendor", low("slug").alias("slug"), low("ext_model").alias("em"),
-                         low("ext_series").alias("es"), match_key("vendor").alias("fk"), match_key("ext_manufacturer").alias("ek")))
+    parts = ["vendor", "slug", "em", "es", "fk", "ek"]
+    named = files.select("filename", c("_pos").alias("_fpos"), F.coalesce("vendor", F.lit("")).alias("vendor"), low("slug").alias("slug"), low("ext_model").alias("em"),
+                         low("ext_series").alias("es"), match_key("vendor").alias("fk"), match_key("ext_manufacturer").alias("ek"))
+    named = cut(named.withColumn("spec", F.to_json(F.struct(*parts))))
+    f = cut(named.select("spec", *parts).distinct())
     keys = p.select("pk").distinct()
-    vendor_terms = f.select("filename", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), c(r).alias("vt")) for r in ("fk", "ek")])))
+    roles = lambda rs, out: F.inline(F.array(*[F.struct(F.lit(r).alias("role"), c(r).alias(out)) for r in rs]))
+    vendor_terms = f.select("spec", roles(("fk", "ek"), "vt"))
     vt = vendor_terms.select("role", "vt").filter("vt != ''").distinct()
     inside = containment(vt, keys, "vt", "pk", []).select("role", "vt", "pk")
     around = containment(keys, vt.filter("role = 'fk'"), "pk", "vt", []).filter("pk != vt").select("role", "vt", "pk")
-    vendors = vendor_terms.join(inside.unionByName(around), ["role", "vt"]).select("filename", "pk").distinct()
+    vendors = vendor_terms.join(inside.unionByName(around), ["role", "vt"]).select("spec", "pk").distinct()
     # a file term (slug, extracted model or series) and a product name (model or series) of the same vendor
-    terms = (f.select("filename", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), c(r).alias("term")) for r in ("slug", "em", "es")])))
-             .filter("term != ''").join(vendors, "filename"))
-    distinct_terms = terms.select("pk", "role", "term").distinct()
-    names = p.select("pk", F.inline(F.array(*[F.struct(F.lit(x).alias("field"), c(x).alias("name")) for x in ("model", "series")])))
-    names = names.filter("name != ''").distinct()
+    terms = f.select("spec", roles(("slug", "em", "es"), "term")).filter("term != ''").join(vendors, "spec")
+    distinct_terms = cut(terms.select("pk", "role", "term").distinct())
+    listed = F.inline(F.array(*[F.struct(F.lit(x).alias("field"), c(x).alias("name")) for x in ("model", "series")]))
+    names = p.select("pk", listed).filter("name != ''").distinct()
     cols = ["pk", "role", "term", "field", "name"]
     pairs = containment(distinct_terms, names, "term", "name", ["pk"]).filter("field = 'model' or role = 'es'").select(*cols)
     back = containment(names.filter("field = 'model'"), distinct_terms.filter("role != 'es'"), "name", "term", ["pk"])
     pairs = pairs.unionByName(back.filter("name != term").select(*cols))
-    hits = pairs.join(terms, ["pk", "role", "term"]).select("filename", "pk", "field", "name").distinct()
-    named = p.select("*", F.inline(F.array(*[F.struct(F.lit(x).alias("field"), c(x).alias("name")) for x in ("model", "series")])))
-    reached = hits.join(named, ["pk", "field", "name"]).select("filename", "id", "_pos", "manufacturer", "model").distinct()
-    scored = reached.join(f, "filename").withColumn(
-        "confidence", match_confidence("manufacturer", "model", "vendor", "slug", "em"))
-    ranked = top_k(scored, ["filename", "_fpos"], [c("confidence").desc(), c("_pos")], k)
-    return ranked.select("filename", "_fpos", "rank", "id", "confidence")
+    hits = pairs.join(terms, ["pk", "role", "term"]).select("spec", "pk", "field", "name").distinct()
+    reached = hits.join(p.select("*", listed), ["pk", "field", "name"]).select("spec", "id", "_pos", "manufacturer", "model").distinct()
+    scored = reached.join(f, "spec").withColumn("confidence", match_confidence("manufacturer", "model", "vendor", "slug", "em"))
+    best = top_k(scored, ["spec"], [c("confidence").desc(), c("_pos")], k).select("spec", "rank", "id", "confidence")
+    return named.join(best, "spec").select("filename", "_fpos", "rank", "id", "confidence")
 
 
 def best_match(ranked: DataFrame, min_confidence: float = 0.6, failed: DataFrame | None = None) -> DataFrame:
@@ -218,12 +229,13 @@ def link_by_id(products: DataFrame, keys: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def link_images(products: DataFrame, images: DataFrame, fallback: int = 3) -> DataFrame:
+def link_images(products: DataFrame, images: DataFrame, fallback: int = 3, compat: bool = False) -> DataFrame:
     """(id, url, page, index, how) links of local images to products of the same vendor.
 
     A page slug matches when it equals, contains or is contained in the model slug or the id slug, or when at least two
     of its tokens (longer than two letters) contain, or are contained in, tokens of the model slug. Products without any
     match and without images get the first ``fallback`` page slugs of the vendor that have an image 0.
+    With ``compat`` a model without any letter or digit counts as contained in every page slug of its vendor.
     ``products``: id, manufacturer, model, n_images or images; ``images``: vendor, page, index, url.
     """
     im = images.select(c("vendor").alias("v"), F.lower("page").alias("ps"), "page", "index", "url")
@@ -237,11 +249,12 @@ def link_images(products: DataFrame, images: DataFrame, fallback: int = 3) -> Da
         containment(names, pages, "name", "ps", ["v"]).filter("name != ps").select("v", "ps", "name"))
     by_name = p.select("id", "v", F.explode(F.array_distinct(F.array("ms", "ds"))).alias("name"))
     hits = contained.join(by_name, ["v", "name"]).select("v", "ps", "id")
-    # an empty model slug is contained in every page slug of the vendor
-    blank = p.filter("ms = ''").join(pages, "v").select("v", "ps", "id")
     token_hits = _token_links(pages, p.select("v", "ms").filter("ms != ''").distinct()).join(
         p.select("id", "v", "ms"), ["v", "ms"]).select("v", "ps", "id")
-    linked = hits.unionByName(blank).unionByName(token_hits).distinct()
+    linked = hits.unionByName(token_hits)
+    if compat:
+        linked = linked.unionByName(p.filter("ms = ''").join(pages, "v").select("v", "ps", "id"))
+    linked = linked.distinct()
     found = linked.join(im, ["v", "ps"]).select("id", "url", "page", "index", F.lit("match").alias("how"))
     first = im.filter(c("index") == 0).groupBy("v", "page").agg(F.min("url").alias("url"))
     heads = top_k(first, ["v"], [F.collate(c("page"), "UNICODE")], fallback, "_r")
@@ -251,21 +264,23 @@ def link_images(products: DataFrame, images: DataFrame, fallback: int = 3) -> Da
 
 
 def _token_links(pages: DataFrame, models: DataFrame) -> DataFrame:
-    """(v, ps, ms) with two page tokens that meet model tokens. Each side emits pairs of page tokens it covers, so a
-    joined pair is a match; a single token that everything shares joins nothing."""
+    """(v, ps, ms) where at least two tokens of the page meet model tokens.
+
+    Of a page's tokens the one that most models meet is set aside: a pair with two hits has one among the others. So a token that
+    everything shares makes no candidates, and the candidates are tested with all tokens in the row.
+    """
     toks = lambda x: F.filter(F.split(c(x), "-"), lambda t: F.length(t) > 2)
-    pt = pages.select("v", F.explode(toks("ps")).alias("pt")).distinct()
+    listed = pages.withColumn("_ts", toks("ps")).filter(F.size("_ts") > 1)
+    pt = listed.select("v", F.explode("_ts").alias("pt")).distinct()
     mt = models.select("v", "ms", F.explode(F.array_distinct(toks("ms"))).alias("mt"))
     vocab = mt.select("v", "mt").distinct()
     meets = containment(pt, vocab, "pt", "mt", ["v"]).select("v", "pt", "mt").unionByName(
         containment(vocab, pt, "mt", "pt", ["v"]).filter("mt != pt").select("v", "pt", "mt"))
-    cover = mt.join(meets, ["v", "mt"]).groupBy("v", "ms").agg(F.array_sort(F.collect_set("pt")).alias("ts"))
-    pairs = lambda ts: F.explode(F.flatten(F.transform(ts, lambda a: F.transform(
-        F.filter(ts, lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    mp = cover.select("v", "ms", pairs(c("ts")).alias("pair"))
-    # a page offers (a, b) for two different tokens, and (a, a) only when it has the token twice
-    ts = F.array_sort(toks("ps"))
-    page_pairs = F.array_distinct(F.flatten(F.transform(ts, lambda a, i: F.transform(
-        F.slice(ts, i + 2, F.greatest(F.size(ts) - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    pp = pages.select("v", "ps", F.explode(page_pairs).alias("pair"))
-    return pp.join(mp, ["v", "pair"]).select("v", "ps", "ms").distinct()
+    cover = cut(mt.join(meets, ["v", "mt"]).select("v", "ms", "pt").distinct())
+    often = cover.groupBy("v", "pt").agg(F.count("*").alias("_n"))
+    each = listed.select("v", "ps", F.posexplode("_ts").alias("_i", "pt")).join(often, ["v", "pt"])
+    most = each.groupBy("v", "ps").agg(F.max_by("_i", F.struct("_n", "_i")).alias("_top"))
+    rare = each.join(most, ["v", "ps"]).filter("_i != _top").select("v", "ps", "pt").distinct()
+    cand = rare.join(cover, ["v", "pt"]).select("v", "ps", "ms").distinct()
+    met = F.filter(toks("ps"), lambda t: F.exists(toks("ms"), lambda u: u.contains(t) | t.contains(u)))
+    return cand.filter(F.size(met) > 1)
