@@ -93,7 +93,7 @@ SELECT DISTINCT CAST(100 + CAST(substr(p_brand, 7) AS INT) AS STRING) AS manufac
 FROM part WHERE p_brand NOT IN ('Brand#7', 'Brand#8')
 """
 
-# Document files about every tenth part, with what was read from them
+# A document file about every part, with what was read from it
 DOCS_SQL = """
 SELECT p_partkey AS _pos,
        concat(lower(replace(p_brand, '#', '-')), '_', replace(p_name, ' ', '-'), '_document_',
@@ -103,7 +103,7 @@ SELECT p_partkey AS _pos,
        CASE WHEN p_partkey % 40 = 0 THEN p_type ELSE '' END AS ext_series,
        concat(CAST(p_size * 10 AS STRING), ' kg') AS ext_capacity,
        CASE WHEN p_partkey % 70 = 0 THEN 'unreadable' END AS error
-FROM part WHERE p_partkey % 10 = 0
+FROM part
 """
 
 

@@ -12,8 +12,8 @@ from .oracle import RAW
 from .q_linkage import _IDS, _ids
 from .registry import query
 
-_EXT = """ext AS (SELECT id, CASE WHEN _pos % 2 = 0 THEN 'new ' || id END AS loadCapacity, '3 kW' AS motorPower, CASE WHEN _pos % 4 = 0 THEN 'x' END AS dutyCycle,
-   CASE WHEN _pos % 5 = 0 THEN 0.9 WHEN _pos % 5 = 1 THEN 0.7 ELSE 0.4 END AS confidence FROM raw WHERE _pos % 3 <> 1)"""
+_EXT = """ext AS (SELECT CASE WHEN _pos % 3 = 1 THEN 'other-' ELSE '' END || id AS id, CASE WHEN _pos % 2 = 0 THEN 'new ' || id END AS loadCapacity, '3 kW' AS motorPower, CASE WHEN _pos % 4 = 0 THEN 'x' END AS dutyCycle,
+   CASE WHEN _pos % 5 = 0 THEN 0.9 WHEN _pos % 5 = 1 THEN 0.7 ELSE 0.4 END AS confidence FROM raw)"""
 
 
 def more(body: str, ctes: str = _EXT) -> str:
@@ -21,9 +21,10 @@ def more(body: str, ctes: str = _EXT) -> str:
 
 
 def extractions(spark, sf):
-    r = inputs.raw_catalog(spark, sf).filter("_pos % 3 <> 1")
+    r = inputs.raw_catalog(spark, sf)
     n = c("_pos") % 5
-    return r.select("id", F.when(c("_pos") % 2 == 0, F.concat(F.lit("new "), "id")).alias("loadCapacity"), F.lit("3 kW").alias("motorPower"),
+    own = F.concat(F.when(c("_pos") % 3 == 1, "other-").otherwise(""), "id")  # a third belongs to no row
+    return r.select(own.alias("id"), F.when(c("_pos") % 2 == 0, F.concat(F.lit("new "), "id")).alias("loadCapacity"), F.lit("3 kW").alias("motorPower"),
                     F.when(c("_pos") % 4 == 0, "x").alias("dutyCycle"), F.when(n == 0, 0.9).when(n == 1, 0.7).otherwise(0.4).alias("confidence"))
 
 
@@ -78,7 +79,7 @@ def e06(spark, sf):
 
 
 _D = r"""mined AS (SELECT key, min(doc_pos) AS p, arg_min(d, doc_pos) AS d, arg_min(w, doc_pos) AS w FROM (SELECT replace(lower(p_brand), '#', '') || '-' || split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END AS key,
-   p_partkey AS doc_pos, CAST(p_size AS VARCHAR) || ' x 20 x 30 cm' AS d, CAST(p_size + 100 AS VARCHAR) || ' kg' AS w FROM part WHERE p_partkey % 10 = 0) GROUP BY key),
+   p_partkey AS doc_pos, CAST(p_size AS VARCHAR) || ' x 20 x 30 cm' AS d, CAST(p_size + 100 AS VARCHAR) || ' kg' AS w FROM part) GROUP BY key),
   link AS (SELECT id, key FROM pid JOIN key ON id = key OR starts_with(id, key || '-') OR starts_with(key, split_part(id, '-', 1) || '-' || split_part(id, '-', 2))),
   best AS (SELECT id, arg_min(d, p) FILTER (len(d) > 10) AS d, arg_min(w, p) AS w FROM link JOIN mined USING (key) GROUP BY id)"""
 
@@ -93,7 +94,7 @@ def e03(spark, sf):
     pid = F.concat(b, F.lit("-"), F.replace(c("p_name"), F.lit(" "), F.lit("-")), F.when(c("p_partkey") % 4 == 0, "-x").otherwise(""))
     key = F.concat(b, F.lit("-"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.when(c("p_partkey") % 3 == 0, "s").otherwise(""))
     text = F.concat(F.lit("Size "), c("p_size").cast("string"), F.lit(" x 20 x 30 cm, weight "), (c("p_size") + 100).cast("string"), F.lit(" kg"))
-    docs = p.filter("p_partkey % 10 = 0").select(key.alias("key"), c("p_partkey").alias("doc_pos"), text.alias("text"))
+    docs = p.select(key.alias("key"), c("p_partkey").alias("doc_pos"), text.alias("text"))
     m = docs.select("key", "doc_pos", F.filter(mining.mine_dimensions("text"), lambda x: ~F.lower(x).contains("size")).alias("dimensions"),
                     F.filter(mining.mine_weights("text"), lambda x: ~F.lower(x).contains("weight")).alias("weights"))
     first = m.groupBy("key").agg(F.min("doc_pos").alias("key_pos"), F.min_by("dimensions", "doc_pos").alias("dimensions"), F.min_by("weights", "doc_pos").alias("weights"))

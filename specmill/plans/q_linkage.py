@@ -90,14 +90,14 @@ def s38(spark, sf):
 
 
 _IDS = """prod AS (SELECT p_partkey, replace(lower(p_brand), '#', '') || '-' || replace(p_name, ' ', '-') || CASE WHEN p_partkey % 4 = 0 THEN '-x' ELSE '' END AS id FROM part),
-  pid AS (SELECT DISTINCT id FROM prod), key AS (SELECT DISTINCT replace(lower(p_brand), '#', '') || '-' || split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END AS key FROM part WHERE p_partkey % 10 = 0)"""
+  pid AS (SELECT DISTINCT id FROM prod), key AS (SELECT DISTINCT replace(lower(p_brand), '#', '') || '-' || split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END AS key FROM part)"""
 
 
 def _ids(spark, sf):
     p = inputs.table(spark, sf, "part")
     b = F.replace(F.lower("p_brand"), F.lit("#"), F.lit(""))
     ids = p.select(F.concat(b, F.lit("-"), F.replace(c("p_name"), F.lit(" "), F.lit("-")), F.when(c("p_partkey") % 4 == 0, "-x").otherwise("")).alias("id"))
-    keys = p.filter("p_partkey % 10 = 0").select(F.concat(b, F.lit("-"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.when(c("p_partkey") % 3 == 0, "s").otherwise("")).alias("key"))
+    keys = p.select(F.concat(b, F.lit("-"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.when(c("p_partkey") % 3 == 0, "s").otherwise("")).alias("key"))
     return ids, keys
 
 
@@ -112,9 +112,9 @@ def j11(spark, sf):
     return merge.pending(d, d.filter("_pos % 30 = 0")).select("filename").distinct()
 
 
-# images of every fifth part: page slug from the name, vendor as in the catalogue
+# images of every part: page slug from the name, vendor as in the catalogue
 _IMG = """imgs AS (SELECT DISTINCT manufacturer AS v, CASE _pos % 4 WHEN 0 THEN replace(split_part(model, ' ', 1), '#', '') || '-' || split_part(model, ' ', 2) WHEN 1 THEN split_part(model, ' ', 2) || '-zz-' || split_part(model, ' ', 1)
-     WHEN 2 THEN 'page-' || split_part(model, ' ', 1) ELSE split_part(model, ' ', 2) END AS page, CAST(_pos % 2 AS INT) AS index FROM raw WHERE _pos % 5 = 0),
+     WHEN 2 THEN 'page-' || split_part(model, ' ', 1) ELSE split_part(model, ' ', 2) END AS page, CAST(_pos % 2 AS INT) AS index FROM raw),
   im AS (SELECT *, '/media/images/' || page || '_' || CAST(index AS VARCHAR) || '.jpg' AS url FROM imgs),
   pr AS (SELECT id, manufacturer AS v, n_images, regexp_replace(regexp_replace(lower(model), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS ms, regexp_replace(id, '^[^-]+-', '') AS ds FROM raw),
   hit AS (SELECT p.id, i.url, i.page, i.index FROM pr p JOIN im i ON i.v = p.v WHERE contains(i.page, p.ms) OR contains(p.ms, i.page) OR contains(i.page, p.ds) OR contains(p.ds, i.page)
@@ -123,7 +123,7 @@ _IMG = """imgs AS (SELECT DISTINCT manufacturer AS v, CASE _pos % 4 WHEN 0 THEN
 
 
 def image_files(spark, sf):
-    r = inputs.raw_catalog(spark, sf).filter("_pos % 5 = 0")
+    r = inputs.raw_catalog(spark, sf)
     w = lambda i: F.split_part("model", F.lit(" "), F.lit(i))
     n = c("_pos") % 4
     page = (F.when(n == 0, F.concat(F.replace(w(1), F.lit("#"), F.lit("")), F.lit("-"), w(2))).when(n == 1, F.concat(w(2), F.lit("-zz-"), w(1)))

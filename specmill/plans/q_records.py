@@ -187,8 +187,8 @@ def d07(spark, sf):
 
 def _base_update(spark, sf):
     r = inputs.raw_catalog(spark, sf)
-    base = r.filter("_pos % 2 = 0")
-    upd = r.filter("_pos % 3 = 0").select("_pos", "id", F.concat("model", F.lit(" v2")).alias("model"),
+    base = r.withColumn("images", F.when(c("_pos") % 4 == 0, F.slice("images", 1, 0)).otherwise(c("images")))
+    upd = r.select("_pos", F.concat(F.when(c("_pos") % 3 == 1, "n-").otherwise(""), "id").alias("id"), F.concat("model", F.lit(" v2")).alias("model"),
                                           F.when(c("_pos") % 6 == 0, F.lit("9 kW")).alias("motorPower"), "weight", "images")
     twice = upd.unionByName(upd.filter("_pos % 9 = 0").select(
         (c("_pos") + 10000000).alias("_pos"), "id", F.concat("model", F.lit(" late")).alias("model"),
@@ -196,8 +196,9 @@ def _base_update(spark, sf):
     return base, twice
 
 
-_UPD = """base AS (SELECT * FROM raw WHERE _pos % 2 = 0),
-  upd0 AS (SELECT _pos, id, model || ' v2' AS model, CASE WHEN _pos % 6 = 0 THEN '9 kW' END AS motorPower, weight, n_images FROM raw WHERE _pos % 3 = 0),
+# both sides hold every row: a third of the updates have ids of their own, a quarter of the base rows lack their images
+_UPD = """base AS (SELECT * REPLACE (CASE WHEN _pos % 4 = 0 THEN 0 ELSE n_images END AS n_images) FROM raw),
+  upd0 AS (SELECT _pos, CASE WHEN _pos % 3 = 1 THEN 'n-' ELSE '' END || id AS id, model || ' v2' AS model, CASE WHEN _pos % 6 = 0 THEN '9 kW' END AS motorPower, weight, n_images FROM raw),
   upd AS (SELECT * FROM upd0 UNION ALL SELECT _pos + 10000000, id, model || ' late', NULL, weight, n_images FROM upd0 WHERE _pos % 9 = 0)"""
 
 
