@@ -224,8 +224,9 @@ def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "desc
     members = written(classes.join(scores.select("sig"), "sig"), "members")
 
     sketches = members.select("sig", "n", F.map_from_entries(F.transform("bands", lambda b: F.struct(b["band"], b["bits"]))).alias("sketch"))
-    pairs = led.select("sig", "leader", "band").distinct()
-    looked = pairs.join(sketches, "sig").join(sketches.select(F.col("sig").alias("leader"), F.col("n").alias("m"), F.col("sketch").alias("other")), "leader")
+    pairs = led.select("sig", "leader", "band").distinct().withColumn("share", F.pmod(F.xxhash64("sig", F.lit(41)), F.lit(16)).cast("int"))
+    leading = pairs.select("leader", "share").distinct().join(sketches.select(F.col("sig").alias("leader"), F.col("n").alias("m"), F.col("sketch").alias("other")), "leader")
+    looked = pairs.join(sketches, "sig").join(leading, ["leader", "share"])  # in shares, so that no leader is a hot key
     apart = F.aggregate(F.zip_with(F.expr("sketch[band]"), F.expr("other[band]"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = looked.where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (apart <= F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent))))
     star = _verified(close.select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct(), members, catalog, percent, words, id, description)
