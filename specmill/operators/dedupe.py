@@ -17,14 +17,14 @@ FROM_FIRST = ["id", "url", "lastUpdated", "createdAt", "scrapedAt"]
 
 
 def dedupe_fold(df: DataFrame, key: Column | None = None, recompute: bool = True, mode: str = "fixed",
-                media: str = "rows", pos: str = "_pos") -> DataFrame:
+                media: str = "inline", pos: str = "_pos") -> DataFrame:
     """Merge rows with the same key as a left fold in input order, without folding: every rule is an aggregate with
     partial aggregation, so a key that owns a third of the table costs one partial row per map task.
 
     Identity fields come from the first row; texts keep the longest (earlier on ties); lists become their ordered
     union; anything else the first non-NULL value. List elements are reduced to distinct (key, element) before they
-    meet. Media lists (structs) grow with the number of rows, so ``media='rows'`` replaces them by a count and leaves
-    the items to ``fold_media``; ``media='inline'`` puts the distinct items into the record, for keys known to be small.
+    meet. Media lists (structs) are united the same way and counted (``n_<list>``). A record's lists are one row, so a key
+    with very many distinct items makes a large row: ``media='rows'`` leaves the media to ``fold_media``, which keeps one row per item.
     ``recompute`` rescores the merged record; otherwise the derived fields follow the same rules as any other field.
     """
     keyed = df.withColumn("_key", key if key is not None else dedupe_key(mode=mode))
@@ -42,8 +42,7 @@ def dedupe_fold(df: DataFrame, key: Column | None = None, recompute: bool = True
             aggs.append(F.max_by(n, F.when(c(n).isNotNull(), F.struct(F.length(n), -c(pos)))).alias(n))
         else:
             aggs.append(F.min_by(n, F.when(c(n).isNotNull(), c(pos))).alias(n))
-    if media == "rows":
-        aggs += [F.sum(F.when(c(n).isNotNull(), F.size(n)).otherwise(0)).alias(f"n_{n}") for n in structs]
+    aggs += [F.sum(F.when(c(n).isNotNull(), F.size(n)).otherwise(0)).alias(f"n_{n}") for n in structs if f"n_{n}" not in df.columns]
     out = keyed.groupBy("_key").agg(F.min(pos).alias(pos), F.count("*").alias("_merged"), *aggs)
     unions = lists + (structs if media == "inline" else [])
     if unions:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import c, truthy
 from ..functions.values import completeness, has_value, pct
@@ -22,38 +23,80 @@ NOT_NULL_TEXT = ["loadCapacity", "liftingSpeed", "motorPower", "dutyCycle", "pro
 URI = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:\S+$"
 
 
-def schema_errors(df: DataFrame, out: str = "errors", null_is_error: tuple[str, ...] = ()) -> DataFrame:
-    """Add an array of (field, type) for every violated rule.
+# fixed values: element types of media lists
+MEDIA_TYPES = {"images": ["product", "diagram", "detail", "logo"], "pdfs": ["datasheet", "manual", "brochure", "certificate", "document"]}
+MEDIA_TYPES["downloadedPDFs"] = MEDIA_TYPES["pdfs"]
 
-    A column read from a table cannot tell an absent key from an explicit null; fields listed in ``null_is_error``
-    treat NULL as an explicit null, which the record schema rejects.
+# fixed values: message per rule type
+MESSAGES = {
+    "any.required": "is required", "string.empty": "is not allowed to be empty", "string.max": "length must be less than or equal to {0} characters long",
+    "string.base": "must be a string", "string.uri": "must be a valid uri", "any.only": "must be one of [{0}]", "number.min": "must be greater than or equal to {0}",
+    "number.max": "must be less than or equal to {0}", "alternatives.types": "must be one of [string]",
+}
+
+
+def _error(field, rule: str, limit="") -> Column:
+    name = F.lit(field) if isinstance(field, str) else field
+    return F.struct(name.alias("field"), F.lit(rule).alias("type"),
+                    F.concat(F.lit('"'), name, F.lit('" ' + MESSAGES[rule].format(limit))).alias("message"))
+
+
+def _of_no_type(types: list[str]):
+    return lambda m: ~m["type"].isin("", *types)
+
+
+def _elements(column: str, bad, field, rule: str, limit="") -> Column:
+    """An error per element that fails, named by its place."""
+    found = F.filter(F.transform(c(column), lambda x, i: F.struct(bad(x).alias("bad"), i.cast("string").alias("i"))), lambda x: F.coalesce(x["bad"], F.lit(False)))
+    return F.transform(found, lambda x: _error(F.concat(F.lit(column + "."), x["i"], F.lit(field)), rule, limit))
+
+
+def schema_errors(df: DataFrame, out: str = "errors", null_is_error: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+    """Add an array of (field, type, message) for every violated rule; elements of lists are named by their place.
+
+    A column read from a table cannot tell an absent key from an explicit null. Fields listed in ``null_is_error`` treat NULL as an
+    explicit null, which the record schema rejects; with ``strict`` every declared field is required.
     """
-    cols = set(df.columns)
-    err = lambda field, rule: F.struct(F.lit(field).alias("field"), F.lit(rule).alias("type"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     checks: list[Column] = []
+    add = lambda bad, field, rule, limit="": checks.append(F.when(bad, F.array(_error(field, rule, limit))))
     for f in ("id", "manufacturer", "model"):
-        checks += [F.when(c(f).isNull(), err(f, "any.required")), F.when(c(f) == "", err(f, "string.empty")),
-                   F.when(F.length(f) > 200, err(f, "string.max"))]
+        add(c(f).isNull(), f, "any.required")
+        add(c(f) == "", f, "string.empty")
+        add(F.length(f) > 200, f, "string.max", 200)
     for f, n in MAX_LENGTH.items():
-        if f in cols:
-            checks.append(F.when(F.length(f) > n, err(f, "string.max")))
+        if f in kinds:
+            add(F.length(f) > n, f, "string.max", n)
     for f in null_is_error:
-        checks.append(F.when(c(f).isNull(), err(f, "alternatives.types" if f in NOT_NULL_TEXT else "string.base")))
+        add(c(f).isNull(), f, "alternatives.types" if f in NOT_NULL_TEXT else "string.base")
     for f in ("url", "datasheet"):
-        if f in cols:
-            checks.append(F.when((c(f) != "") & ~c(f).rlike(URI), err(f, "string.uri")))
+        if f in kinds:
+            add((c(f) != "") & ~c(f).rlike(URI), f, "string.uri")
     for f, allowed in (("speedType", SPEED_TYPES), ("source", SOURCES)):
-        if f in cols:
-            checks.append(F.when(~c(f).isin(*allowed), err(f, "any.only")))
-    for f in ("images", "pdfs", "downloadedPDFs"):
-        if f in cols:
-            checks.append(F.when(F.exists(f, lambda m: F.coalesce(m["url"], F.lit("")) == ""), err(f, "any.required")))
+        if f in kinds:
+            add(~c(f).isin(*allowed), f, "any.only", ", ".join(allowed))
+    for f, types in MEDIA_TYPES.items():
+        if f in kinds:
+            checks.append(_elements(f, lambda m: F.coalesce(m["url"], F.lit("")) == "", ".url", "any.required"))
+            if "type" in kinds[f].elementType.fieldNames():
+                checks.append(_elements(f, _of_no_type(types), ".type", "any.only", ", ".join(types)))
+    if "manualSources" in kinds:
+        checks.append(_elements("manualSources", lambda x: ~x.rlike(URI), "", "string.uri"))
+    if isinstance(kinds.get("variableSpeedControl"), T.StructType):  # its fields are texts; another type is an error where it has a value
+        for f in kinds["variableSpeedControl"].fields:
+            if not isinstance(f.dataType, T.StringType):
+                add(c(f"variableSpeedControl.{f.name}").isNotNull(), f"variableSpeedControl.{f.name}", "string.base")
     for f, lo, hi in (("capacityKg", 0, None), ("speedMMin", 0, None), ("dataCompleteness", 0, 100)):
-        if f in cols:
-            checks.append(F.when(c(f) < lo, err(f, "number.min")))
+        if f in kinds:
+            add(c(f) < lo, f, "number.min", lo)
             if hi is not None:
-                checks.append(F.when(c(f) > hi, err(f, "number.max")))
-    return df.withColumn(out, F.array_compact(F.array(*checks)))
+                add(c(f) > hi, f, "number.max", hi)
+    if strict:
+        for f in kinds:
+            if not f.startswith("_") and f not in ("id", "manufacturer", "model", "extras"):
+                add(c(f).isNull(), f, "any.required")
+    none = F.array().cast("array<struct<field:string,type:string,message:string>>")
+    return df.withColumn(out, F.flatten(F.array(*[F.coalesce(x, none) for x in checks])))
 
 
 def _missing(f: str, how: str) -> Column:

@@ -50,8 +50,9 @@ HEALTH_FIELDS = ["loadCapacity", "liftingSpeed", "motorPower", "weight", "dimens
 HEALTH_CRITICAL = ["loadCapacity", "liftingSpeed", "classification"]
 
 
-def health_report(df: DataFrame, now) -> DataFrame:
-    """(item, n, pct) with field counts, stale rows, health score and the recommendations that apply (n = 1)."""
+def health_report(df: DataFrame, now, vendors: int | None = None) -> DataFrame:
+    """(item, n, pct) with field counts, stale rows, health score, the recommendations that apply (n = 1), and the rows of each
+    vendor (with ``vendors`` of that many, largest first)."""
     row = df.agg(F.count("*").alias("t"), F.count_if(is_stale(now)).alias("stale"),
                  *[F.count_if(_filled(f)).alias(f) for f in HEALTH_FIELDS])
     share = lambda f: F.try_divide(c(f).cast("double"), c("t"))
@@ -62,9 +63,11 @@ def health_report(df: DataFrame, now) -> DataFrame:
               "rescrape stale": low & (share("stale") > 0.3)}
     one = lambda k, n, p: {"item": F.lit(k), "n": n.cast("long"), "pct": p}
     none = F.lit(None).cast("double")
-    return lines(row, [one(f, c(f), pct(f, "t")) for f in HEALTH_FIELDS]
-                 + [one("total", c("t"), none), one("stale", c("stale"), pct("stale", "t")), one("health", c("health"), none)]
-                 + [one(f"advice: {k}", F.coalesce(v, F.lit(False)).cast("long"), none) for k, v in advice.items()])
+    largest = top_vendors(df, vendors).select(F.concat(F.lit("vendor: "), F.coalesce("manufacturer", F.lit(""))).alias("item"), "n", none.alias("pct"))
+    fixed = lines(row, [one(f, c(f), pct(f, "t")) for f in HEALTH_FIELDS]
+                  + [one("total", c("t"), none), one("stale", c("stale"), pct("stale", "t")), one("health", c("health"), none)]
+                  + [one(f"advice: {k}", F.coalesce(v, F.lit(False)).cast("long"), none) for k, v in advice.items()])
+    return fixed.unionByName(largest)
 
 
 def inventory_stats(df: DataFrame) -> DataFrame:

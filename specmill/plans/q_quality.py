@@ -34,12 +34,14 @@ def a12(spark, sf):
 _URI = r"url <> '' AND NOT regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*:\S+$')"
 _BAD = {"id": "len(id) > 200", "model": "coalesce(model, '') = '' OR len(model) > 200", "url": _URI,
         "speedType": "speedType NOT IN ('Variable Speed', 'Fixed Speed', 'Unknown', '')", "source": "source NOT IN ('scraped', 'personality', 'manual', 'merged')"}
+_MESSAGE = {"id": "'\"id\" length must be less than or equal to 200 characters long'", "model": "CASE WHEN model IS NULL THEN '\"model\" is required' WHEN model = '' THEN '\"model\" is not allowed to be empty' ELSE '\"model\" length must be less than or equal to 200 characters long' END",
+            "url": "'\"url\" must be a valid uri'", "speedType": "'\"speedType\" must be one of [Variable Speed, Fixed Speed, Unknown, ]'", "source": "'\"source\" must be one of [scraped, personality, manual, merged]'"}
 _INVALID = "(" + " OR ".join(f"coalesce({v}, false)" for v in _BAD.values()) + ")"
 
 
-@query("f21_schema_errors", cat(" UNION ALL ".join(f"SELECT id, '{k}' AS field FROM catalog WHERE {v}" for k, v in _BAD.items())))
+@query("f21_schema_errors", cat(" UNION ALL ".join(f"SELECT id, '{k}' AS field, {_MESSAGE[k]} AS message FROM catalog WHERE {v}" for k, v in _BAD.items())))
 def f21(spark, sf):
-    return quality.schema_errors(catalog(spark, sf)).select("id", F.explode("errors").alias("e")).select("id", c("e.field").alias("field"))
+    return quality.schema_errors(catalog(spark, sf)).select("id", F.explode("errors").alias("e")).select("id", c("e.field").alias("field"), c("e.message").alias("message"))
 
 
 _FMT = {"loadCapacity": r"^\d+(?:\.\d+)?\s*(?:kg|lbs?|tons?|t|tonnes?)(?:\s*\([^)]+\))?$",

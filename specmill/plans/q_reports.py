@@ -38,9 +38,10 @@ _HEALTH = "floor((avg((" + SET("loadCapacity") + ")::INT) + avg((" + SET("liftin
        f"SELECT 'health', CAST({_HEALTH} AS BIGINT), NULL FROM catalog",
        f"SELECT 'advice: scrape capacity', CAST({_HEALTH} < 50 AND avg(({_F['loadCapacity']})::INT) < 0.5 AS BIGINT), NULL FROM catalog",
        f"SELECT 'advice: scrape images', CAST({_HEALTH} < 50 AND avg((n_images > 0)::INT) < 0.3 AS BIGINT), NULL FROM catalog",
-       f"SELECT 'advice: rescrape stale', CAST({_HEALTH} < 50 AND count(*) FILTER ({_STALE}) > 0.3 * count(*) AS BIGINT), NULL FROM catalog"])))
+       f"SELECT 'advice: rescrape stale', CAST({_HEALTH} < 50 AND count(*) FILTER ({_STALE}) > 0.3 * count(*) AS BIGINT), NULL FROM catalog",
+       "SELECT * FROM (SELECT 'vendor: ' || manufacturer, count(*) AS n, NULL FROM catalog GROUP BY manufacturer ORDER BY n DESC, manufacturer LIMIT 10)"])))
 def a19(spark, sf):
-    return reports.health_report(catalog(spark, sf), NOW)
+    return reports.health_report(catalog(spark, sf), NOW, 10)
 
 
 @query("a20_inventory_stats", cat(f"""SELECT 'total' AS section, 'rows' AS key, count(*) AS n, CAST(NULL AS DOUBLE) AS pct FROM catalog UNION ALL SELECT 'manufacturer', manufacturer, count(*), NULL FROM catalog GROUP BY manufacturer

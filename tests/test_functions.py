@@ -1,3 +1,4 @@
+import json
 import random
 
 """Literal vectors of the scalar functions."""
@@ -138,6 +139,18 @@ def test_tolerant_json(spark):
     assert [tuple(r) for r in got] == [(1, 1, None), (2, 2, None), (3, 3, None), (4, 4, None), (5, None, "500 kg"), (0, None, None), (0, None, None), (0, None, None)]
 
 
+def test_json_repair_keeps_quoted_texts(spark):
+    texts = ["{'url': \"http://a.b/c:d\", time: '12:30', list: [1, 2, ], note: 'say \"hi\", }', ok: true/false, conf: 0.0 to 1.0, }",
+             'see {"a": "x, }", b: "true/false",} end', "no braces"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [json.loads(r[0]) if r[0] else r[0] for r in df.orderBy("i").select(jsonrepair.repaired("t")).collect()]
+    assert got[0] == {"url": "http://a.b/c:d", "time": "12:30", "list": [1, 2], "note": 'say "hi", }', "ok": True, "conf": 0.5}
+    assert got[1] == {"a": "x, }", "b": "true/false"} and not got[2]
+    whole = "x" * 900
+    row = jsonrepair.parse_llm_json(spark.createDataFrame([(whole,)], "t string"), "t").select(F.try_variant_get("parsed", "$.rawResponse", "string")).first()
+    assert row[0] == whole
+
+
 def test_mining(spark):
     t = "Dimensions: 10 x 20 x 30 mm, Weight: 12 kg, built 2015 kg, Gewicht 7 kg net"
     df = spark.createDataFrame([(t,)], "t string")

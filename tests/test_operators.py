@@ -218,3 +218,27 @@ def test_rank_matches_keeps_the_best_of_a_hot_vendor(spark):
     fits = [(i, pos, conf(m)) for i, pos, _, m, _ in prods if "model 7" in m.lower() or m.lower() in "model 7"]
     want = [i for i, _, _ in sorted(fits, key=lambda x: (-x[2], x[1]))[:5]]
     assert [r.id for r in got.orderBy("rank").collect()] == want
+
+
+def test_schema_errors_name_elements_and_say_why(spark):
+    df = spark.sql("""SELECT 'a' AS id, 'Kito' AS manufacturer, CAST(NULL AS STRING) AS model, 'nowhere' AS url,
+      array(named_struct('url', '', 'type', 'photo'), named_struct('url', '/x.jpg', 'type', 'logo')) AS images, array('http://a', 'b') AS manualSources,
+      named_struct('minSpeed', 3, 'maxSpeed', 'x') AS variableSpeedControl, 101.0D AS dataCompleteness""")
+    errors = lambda **o: {(e.field, e.type): e.message for e in quality.schema_errors(df, **o).first().errors}
+    assert errors() == {
+        ("model", "any.required"): '"model" is required', ("url", "string.uri"): '"url" must be a valid uri',
+        ("images.0.url", "any.required"): '"images.0.url" is required', ("images.0.type", "any.only"): '"images.0.type" must be one of [product, diagram, detail, logo]',
+        ("manualSources.1", "string.uri"): '"manualSources.1" must be a valid uri', ("variableSpeedControl.minSpeed", "string.base"): '"variableSpeedControl.minSpeed" must be a string',
+        ("dataCompleteness", "number.max"): '"dataCompleteness" must be less than or equal to 100'}
+    assert set(errors(strict=True)) == set(errors())
+    assert ("url", "any.required") in {(e.field, e.type) for e in quality.schema_errors(df.withColumn("url", F.lit(None).cast("string")), strict=True).first().errors}
+
+
+def test_enrichment_takes_one_row_per_id_and_stamps(spark):
+    df = spark.createDataFrame([("a", "", 0.5), ("b", "old", 0.9)], "id string, weight string, confidence double")
+    ext = spark.createDataFrame([("a", 1, "first", 0.9), ("a", 2, "last", 0.9), ("a", 2, "last", 0.9)], "id string, _pos long, weight string, confidence double")
+    for out in (merge.fill_from(df, ext, ["weight"], now="2025-01-02 03:04:05", provider="p"), merge.merge_confident(df, ext, ["weight"], now="2025-01-02 03:04:05", provider="p")):
+        rows = {r.id: r for r in out.collect()}
+        assert len(rows) == out.count() == 2
+        assert (rows["a"].weight, rows["a"].llmEnriched, str(rows["a"].llmEnrichedDate), rows["a"].llmProvider) == ("last", True, "2025-01-02 03:04:05", "p")
+        assert (rows["b"].weight, rows["b"].llmEnriched) == ("old", None)
