@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..functions.text import c, truthy
 from ..functions.values import pct
+from ..session import cut
 from .facets import class_stats, has_list
 from .rules import is_stale
 from .tidy import limited, lines, metrics, pairs, with_zeros
@@ -169,29 +170,28 @@ def run_stats(runs: DataFrame, keep: int, id: str = "id", start: str = "start",
     return metrics(tot, {k: c(k) for k in tot.columns}).unionByName(metrics(last, {k: c(k) for k in last.columns}))
 
 
-def latency_summary(df: DataFrame, by: list[str], value: str, ok: Column, threshold: float = 100.0,
-                    buckets: int = 1024) -> DataFrame:
+def latency_summary(df: DataFrame, by: list[str], value: str, ok: Column, threshold: float = 100.0) -> DataFrame:
     """Min, max, mean, median, p95, p99 (value at index floor(n*p)), success rate and verdict per key.
 
-    Percentiles are exact and found by counting, never by collecting a key: values are counted per (key, value), the
-    counts summed per value range of the key, and only the ranges that hold a wanted index are looked into.
+    Percentiles are exact and found by counting, never by collecting a key: values are counted per (key, value), the counts are
+    range-partitioned by key and value, so that a hot key with a long tail is spread evenly, and only the ranges that hold a
+    wanted index are looked into.
     """
     from pyspark.sql import Window
 
     rows = df.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if(ok).alias("n"), F.min(F.when(ok, c(value))).alias("min"),
                                F.max(F.when(ok, c(value))).alias("max"), F.avg(F.when(ok, c(value))).alias("avg"))
     counts = df.filter(ok).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    width = (c("max") - c("min")) / buckets
-    part = F.when(width == 0, 0).otherwise(F.floor((c(value) - c("min")) / width)).cast("int")
-    placed = counts.join(rows.select(*by, "n", "min", "max"), by).withColumn("_b", part)
-    sums = placed.groupBy(*by, "n", "_b").agg(F.sum("_c").alias("_s"))
-    w = Window.partitionBy(*by).orderBy("_b")  # at most buckets + 1 rows per key
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(counts.repartitionByRange(parts, *by, value).withColumn("_b", F.spark_partition_id()))
+    sums = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_s")).join(rows.select(*by, "n"), by)
+    w = Window.partitionBy(*by).orderBy("_b")  # at most one row per range and key
     cum = sums.withColumn("_hi", F.sum("_s").over(w)).withColumn("_lo", c("_hi") - c("_s"))
     wants = F.array(*[F.struct(F.lit(q).alias("q"), F.floor(c("n") * p).alias("at"))
                       for q, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))])
     hit = (cum.withColumn("_w", F.explode(wants)).filter((c("_w.at") >= c("_lo")) & (c("_w.at") < c("_hi")))
            .select(*by, "_b", "_lo", c("_w.q").alias("_q"), c("_w.at").alias("_at")))
-    inside = placed.select(*by, "_b", value, "_c").join(hit.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
+    inside = placed.join(hit.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
     wi = Window.partitionBy(*by, "_b").orderBy(value)
     near = inside.withColumn("_run", F.sum("_c").over(wi)).join(hit, [*by, "_b"])
     at = lambda q: F.min(F.when((c("_q") == q) & (c("_lo") + c("_run") > c("_at")), c(value)))

@@ -169,21 +169,37 @@ def page_args(page, limit, default_limit: int) -> tuple[int, int]:
 
 
 def paginate(df: DataFrame, page=1, limit=50, by: str | None = None, order: str = "asc", collate: bool = False,
-             default_limit: int = 50, mode: str = "compat") -> DataFrame:
-    """One page of the sorted result (one top-k plan). Page or limit 0 fall back to 1 and the default; in
-    ``compat`` a negative page counts from the end, in ``strict`` it is rejected."""
+             default_limit: int = 50, mode: str = "compat", after: tuple | None = None) -> DataFrame:
+    """One page of the sorted result. Page or limit 0 fall back to 1 and the default; in ``compat`` a negative page counts from the
+    end, in ``strict`` it is rejected.
+
+    The first page is a top-k of ``limit`` rows, and so is any page given by ``after``: the (sort key, position) of the row before
+    it, or just the position without ``by``. Other page numbers are found by ``ranked`` on keys and positions alone, so no task
+    sorts or carries the rows of the pages before; the rows of the page are then looked up by position, which must be unique.
+    """
     page, limit = page_args(page, limit, default_limit)
     if mode == "strict" and (page < 1 or limit < 1):
         raise ValueError("page and limit must be positive")
     if limit < 0:
         raise ValueError("limit must not be negative")
-    if page > 0:
-        return df.orderBy(*sort_order(by, order, collate)).offset((page - 1) * limit).limit(limit)
-    # rows counted from the end: the same top-k on the reversed order
-    k = sort_key(by, collate) if by else None
-    back = ([k.asc() if order == "desc" else k.desc()] if by else []) + [F.col("_pos").desc()]
-    tail = df.orderBy(*back).offset(-page * limit).limit(limit)
-    return tail.orderBy(*sort_order(by, order, collate))
+    sorting = sort_order(by, order, collate)
+    if after is not None:
+        k, pos = after if by else (None, after[-1] if isinstance(after, (tuple, list)) else after)
+        beyond = F.col("_pos") > pos
+        if by:
+            key = sort_key(by, collate)
+            beyond = (key < F.lit(k) if order == "desc" else key > F.lit(k)) | ((key == F.lit(k)) & beyond)
+        return df.filter(beyond).orderBy(*sorting).limit(limit)
+    if page == 1:
+        return df.orderBy(*sorting).limit(limit)
+    keyed = df.select("_pos", (sort_key(by, collate) if by else F.lit(0)).alias("_k"))
+    k = F.col("_k")
+    forward = [k.desc() if order == "desc" else k.asc(), F.col("_pos").asc()]
+    backward = [k.asc() if order == "desc" else k.desc(), F.col("_pos").desc()]
+    skip = (page - 1) * limit if page > 0 else -page * limit
+    numbered = ranked(keyed, forward if page > 0 else backward)
+    wanted = numbered.filter((F.col("position") > skip) & (F.col("position") <= skip + limit)).select("_pos")  # at most ``limit`` rows
+    return df.join(wanted, "_pos", "left_semi").orderBy(*sorting)
 
 
 def page_info(df: DataFrame, page=1, limit=50, default_limit: int = 50) -> DataFrame:

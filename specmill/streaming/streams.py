@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,22 +23,47 @@ def late(df: DataFrame, watermark: str | None, ts: str = "ts") -> DataFrame:
 def stream_dedupe(df: DataFrame, key: str = "hash", ttl: str = "7 days", ts: str = "ts", pos: str | None = None) -> DataFrame:
     """First row per key, and again the first one at least ``ttl`` after the last row that was kept.
 
-    On a stream the state holds one entry per live key. A static table is worked off in rounds, each finding the next
-    kept row of all keys by one partial aggregate; there are at most time span / ttl rounds. ``pos`` breaks ties.
+    On a stream the state is the time of the last kept row, one per live key; rows count in the order of their batches, and
+    inside a batch by time. A key whose time is over is forgotten by event time. On a table each row points at the first row of its key
+    that is at least ``ttl`` later, and the rows reached from a key's first one are found by doubling the pointers: the rounds
+    grow with the logarithm of time span / ttl. ``pos`` breaks ties. Rows without key are dropped.
     """
-    if df.isStreaming:
-        return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
-    order = F.struct(ts, pos) if pos else F.struct(ts)
     rows = df.filter(c(key).isNotNull())
-    kept = last = cut(rows.groupBy(key).agg(F.min(order).alias("_at")))
-    while True:
-        due = last.select(key, (c(f"_at.{ts}") + F.expr(f"INTERVAL {ttl}")).alias("_due"))
-        last = cut(rows.join(due, key).filter(c(ts) >= c("_due")).groupBy(key).agg(F.min(order).alias("_at")))
-        if last.isEmpty():
-            break
-        kept = kept.unionByName(last)
-    out = df.withColumn("_at", order).join(kept, [key, "_at"], "left_semi").drop("_at")
-    return out if pos else out.dropDuplicates([key, ts])
+    if df.isStreaming:
+        return _stream_dedupe(rows, key, ttl, ts)
+    marks = [ts, pos] if pos else [ts]
+    order = F.struct(*marks)
+    events = rows.groupBy(key, ts).agg(F.min(order).alias("_at"))  # rows of one time are decided by their first
+    due = events.select(key, (c(ts) + F.expr(f"INTERVAL {ttl}")).alias("_t"), c("_at").alias("_from"), F.lit(None).cast(events.schema["_at"].dataType).alias("_to"), F.lit(0).alias("_row"))
+    there = events.select(key, c(ts).alias("_t"), F.lit(None).cast(events.schema["_at"].dataType).alias("_from"), c("_at").alias("_to"), F.lit(1).alias("_row"))
+    w = Window.partitionBy(key).orderBy("_t", "_row").rowsBetween(0, Window.unboundedFollowing)
+    jump = cut(due.unionByName(there).withColumn("_to", F.first("_to", ignorenulls=True).over(w)).filter("_row = 0 AND _to IS NOT NULL").select(key, "_from", "_to"))
+    kept = cut(rows.groupBy(key).agg(F.min(order).alias("_at")))
+    while not jump.isEmpty():
+        step = kept.join(jump.withColumnRenamed("_from", "_at"), [key, "_at"]).select(key, c("_to").alias("_at"))
+        kept = cut(kept.unionByName(step).distinct())
+        jump = cut(jump.join(jump.select(key, c("_from").alias("_to"), c("_to").alias("_far")), [key, "_to"]).select(key, "_from", c("_far").alias("_to")))
+    return rows.withColumn("_at", order).join(kept, [key, "_at"], "left_semi").drop("_at")
+
+
+def _stream_dedupe(rows: DataFrame, key: str, ttl: str, ts: str) -> DataFrame:
+    names, late = rows.columns, rows.sparkSession.range(1).select(F.expr(f"INTERVAL {ttl}").cast("interval day to second").alias("i")).first()[0]
+
+    def kept(_, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = state.get[0] if state.exists else None, []
+        arrived = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        for i, t in enumerate(arrived[ts]):
+            if last is None or t >= last + late:
+                out.append(i)
+                last = t
+        state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + late).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield arrived.iloc[out][names]
+
+    return rows.withWatermark(ts, ttl).groupBy(key).applyInPandasWithState(kept, rows.schema, f"{ts} timestamp", "append", "EventTimeTimeout")
 
 
 def rate_windows(df: DataFrame, key: str, size: str = "1 minute", slide: str | None = "10 seconds", limit: int = 15,

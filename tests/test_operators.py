@@ -152,6 +152,34 @@ def test_latency_percentiles_against_sorting(spark):
         assert (got[k].median, got[k].p95, got[k].p99) == (v[len(v) // 2], v[int(len(v) * .95)], v[int(len(v) * .99)])
 
 
+def test_one_outlier_does_not_make_one_range(spark):
+    """A long-tailed hot key is spread over the ranges by its values."""
+    df = spark.range(20_000).selectExpr("'hot' AS k", "IF(id = 0, 1e12, id / 7.0) AS v")
+    got = reports.latency_summary(df, ["k"], "v", F.lit(True)).first()
+    v = sorted([1e12] + [i / 7.0 for i in range(1, 20_000)])
+    assert [got.median, got.p95, got.p99] == [pytest.approx(v[int(20_000 * q)]) for q in (0.5, 0.95, 0.99)]
+
+
+def test_pages_by_number_and_by_key(spark, sf):
+    d = catalog(spark, sf)
+    for by, order in ((None, "asc"), ("capacity", "desc"), ("model", "asc")):
+        whole = [r.id for r in search.sort_catalog(d, by, order).collect()]
+        assert [r.id for r in search.paginate(d, 3, 25, by, order).collect()] == whole[50:75]
+        assert [r.id for r in search.paginate(d, -1, 25, by, order).collect()] == whole[-50:-25]
+        assert search.paginate(d, 99_999, 25, by, order).count() == 0
+        last = search.paginate(d, 2, 25, by, order).select("_pos", *([search.sort_key(by).alias("k")] if by else [])).collect()[-1]
+        assert [r.id for r in search.paginate(d, limit=25, by=by, order=order, after=(last.k, last["_pos"]) if by else last["_pos"]).collect()] == whole[50:75]
+
+
+def test_ttl_rounds_are_few(spark):
+    """Hundreds of kept rows of one key take a few rounds."""
+    from specmill.streaming.streams import stream_dedupe
+
+    df = spark.range(3_000).selectExpr("'k' AS hash", "timestamp_seconds(id * 3600 * 8) AS ts", "id")
+    kept = [r.id for r in stream_dedupe(df, "hash", "1 day", pos="id").orderBy("id").collect()]
+    assert kept == list(range(0, 3_000, 3))
+
+
 def test_confidence_rule(spark):
     df = spark.createDataFrame([("a", "old", 0.5), ("b", "old", 0.9), ("c", "", 0.9), ("d", "old", None)], "id string, weight string, confidence double")
     ext = spark.createDataFrame([(x, "new", 0.85) for x in "abcd"], "id string, weight string, confidence double")
@@ -168,7 +196,10 @@ def test_plan_shapes(spark, sf):
     for df in (merge.upsert(inputs.raw_catalog(spark, sf), inputs.raw_catalog(spark, sf).select("id", "_pos", "weight")),
                dedupe.duplicate_groups(catalog(spark, sf))):
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
-    assert "TakeOrderedAndProject" in plan(search.paginate(catalog(spark, sf), 2, 10, "capacity"))
+    first = plan(search.paginate(catalog(spark, sf), 1, 10, "capacity"))
+    assert "TakeOrderedAndProject" in first
+    deep = plan(search.paginate(catalog(spark, sf), 100_000, 50, "capacity"))
+    assert "TakeOrderedAndProject" not in deep and "limit=50000" not in deep
 
 
 def _hot(n=900):

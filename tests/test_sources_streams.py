@@ -202,6 +202,34 @@ def test_streams_match_batch(spark, sf, tmp_path):
     assert spark.table("dd").filter("event_id >= 0").count() == e.select("event_type").distinct().count()
 
 
+def test_ttl_gates_and_sessions_on_a_stream(spark, sf, tmp_path):
+    """The streaming forms give what the static ones give, on the same events."""
+    e = inputs.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type", "value")
+    source = str(tmp_path / "ev")
+    day = "CAST(floor(datediff(ts, '2024-01-01') / 8) AS INT)"
+    for i in sorted(r[0] for r in e.selectExpr(day).distinct().collect()):  # one file after the other, in the order of the events
+        e.filter(F.expr(day) == i).coalesce(1).write.mode("append").parquet(source)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    spark.sql("SELECT -1L AS event_id, timestamp'2099-01-01' AS ts, -1L AS user_id, 'far' AS event_type, 0D AS value").write.mode("append").parquet(source)
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        return spark.table(name)
+
+    ttl = run(streams.stream_dedupe(s, "event_type", "3 days"), "ttl").filter("event_type <> 'far'")
+    static = streams.stream_dedupe(e, "event_type", "3 days", pos="event_id")
+    at = lambda df: sorted((r.event_type, r.ts) for r in df.collect())
+    assert at(ttl) == at(static) and ttl.count() > e.select("event_type").distinct().count()
+    missing, limits = {"value": F.col("value") < 20}, {"value": 50.0}
+    gates = run(streams.rolling_gates(s, missing, limits, watermark="40 days"), "gates").filter("window_start < '2090-01-01'")
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(gates) == key(streams.rolling_gates(e, missing, limits)) and gates.count() > 10
+    idle = run(streams.idle_sessions(s, "user_id", 3600, watermark="40 days"), "idle").filter("user_id >= 0")
+    cols = ["user_id", "session_start", "stale_at", "n"]
+    assert key(idle.select(*cols)) == key(streams.idle_sessions(e, "user_id", 3600).select(*cols))
+
+
 def test_stream_upsert_reaches_batch_state(spark, sf, tmp_path):
     e = inputs.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = e.select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("_pos"), "ts", "event_type", F.when(F.col("value") > 20, F.col("value")).alias("value"))
