@@ -81,14 +81,15 @@ def facet_counts(df: DataFrame) -> DataFrame:
 
 
 def index_sizes(df: DataFrame) -> DataFrame:
-    """How many distinct keys each lookup would hold."""
-    keys = pairs(df, {"byId": c("id"), "byManufacturer": c("manufacturer")}, "index", "key")
-    cls = df.select(F.lit("byClassification").alias("index"), F.explode(F.transform("classification", F.lower)).alias("key"))
-    flags = pairs(df, {"hasImages": F.when(has_list("images"), c("id")),
-                       "hasCompleteSpecs": F.when(has_complete_specs("c"), c("id")),
-                       "parsedCapacities": F.when(truthy("loadCapacity"), c("id")),
-                       "parsedSpeeds": F.when(truthy("liftingSpeed"), c("id"))}, "index", "key")
-    return keys.unionByName(cls).unionByName(flags).distinct().groupBy("index").agg(F.count("*").alias("size"))
+    """How many distinct keys each lookup would hold. Rows are reduced to one per id first, with a flag per lookup."""
+    flags = {"hasImages": has_list("images"), "hasCompleteSpecs": has_complete_specs("c"), "parsedCapacities": truthy("loadCapacity"), "parsedSpeeds": truthy("liftingSpeed")}
+    ids = df.filter(c("id").isNotNull()).groupBy("id").agg(*[F.max(F.coalesce(x, F.lit(False))).alias(n) for n, x in flags.items()])
+    row = ids.agg(F.count("*").alias("byId"), *[F.count_if(n).alias(n) for n in flags])
+    counted = lines(row, [{"index": F.lit(n), "size": c(n)} for n in row.columns])
+    values = F.concat(F.array(F.struct(F.lit("byManufacturer").alias("index"), c("manufacturer").alias("key"))),
+                      F.transform(F.coalesce("classification", F.array().cast("array<string>")), lambda x: F.struct(F.lit("byClassification").alias("index"), F.lower(x).alias("key"))))
+    named = df.select(F.inline(values)).filter("key IS NOT NULL").distinct().groupBy("index").agg(F.count("*").alias("size"))
+    return counted.filter("size > 0").unionByName(named)
 
 
 def db_stats(df: DataFrame) -> DataFrame:

@@ -150,7 +150,8 @@ def validate_records(df: DataFrame, strict: bool = False, skip_urls=tuple(SKIP_U
 
 
 def split_valid(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    checked = validate_records(df, **options)
+    """Valid and invalid records. The rules run once: the checked records are checkpointed, as both halves read them."""
+    checked = cut(validate_records(df, **options))
     return checked.filter("valid"), checked.filter("not valid")
 
 

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from . import (q_devices, q_enrich, q_events, q_facets, q_linkage, q_pages, q_quality, q_records, q_reports,  # noqa: F401
-                   q_rules, q_scalars, q_search)
+                   q_rules, q_scalars, q_search, q_sources)

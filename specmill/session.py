@@ -6,8 +6,11 @@ import io
 import tempfile
 import zipfile
 from pathlib import Path
+from threading import Lock
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, app: str = "specmill", **conf) -> SparkSession:
@@ -64,17 +67,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+_STORED: dict[tuple[str, str], str] = {}
+_STORING = Lock()
+
+
+def source_key(df: DataFrame) -> str:
+    """Names, sizes and times of the files a table is read from, as one number: another content gives another key."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return f"{files.agg(F.sum(F.xxhash64('*').cast('decimal(38,0)'))).first()[0]}"
 
 
 def stored(spark: SparkSession, name: str, build) -> DataFrame:
-    """A table built once per application in the shared folder and read from there afterwards.
+    """A table built once per application and ``name``, in the shared folder, and read from there afterwards.
 
-    The success marker decides whether it is complete, so a build that was cut short is done again.
+    ``name`` must say what the table is made from (``source_key``). Each build has a folder of its own, and only a finished one is
+    read; of threads that ask at once, one builds.
     """
-    path = f"{shared_dir(spark)}/specmill-{spark.sparkContext.applicationId}/{name}"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    key = (spark.sparkContext.applicationId, name)
+    with _STORING:
+        if key not in _STORED:
+            path = f"{shared_dir(spark)}/specmill-{key[0]}/{name}-{uuid4().hex}"
+            build().write.parquet(path)
+            _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import c, js_number
-from ..operators.merge import map_keys_union
 from ..operators.search import export_filter
 from .readers import write_ready
 
@@ -35,8 +34,8 @@ def export_json(df: DataFrame, path: str, filters: dict | None = None, when: str
 def flatten_catalog(df: DataFrame, sep: str = ", ", map_keys: dict[str, list[str]] | None = None, falsy_blank: bool = False,
                     expand_maps: bool = True) -> DataFrame:
     """Flat columns for CSV: lists joined, maps spread over ``prefix_key`` columns, price and rental split, dates as ISO
-    text. ``falsy_blank`` writes '' for empty price parts. The header is the union of keys over all rows; pass
-    ``map_keys`` to skip that discovery job (its result is the list of column names, which a plan must know)."""
+    text. ``falsy_blank`` writes '' for empty price parts. A header needs the keys of a map column beforehand: ``map_keys`` names
+    them, and a map without an entry there (or with ``expand_maps`` off) is written as one JSON text, so no key is lost."""
     out: list[Column] = []
     for f in df.schema.fields:
         n, t = f.name, f.dataType
@@ -47,12 +46,10 @@ def flatten_catalog(df: DataFrame, sep: str = ", ", map_keys: dict[str, list[str
             else:
                 out.append(F.array_join(n, sep).alias(n))
         elif isinstance(t, T.MapType):
-            if not expand_maps:
+            keys = (map_keys or {}).get(n) if expand_maps else None
+            if keys is None:
                 out.append(F.to_json(n).alias(n))
                 continue
-            keys = (map_keys or {}).get(n)
-            if keys is None:
-                keys = [r.key for r in map_keys_union(df, n).orderBy("key").collect()]
             out += [F.try_element_at(n, F.lit(k)).cast("string").alias(f"{PREFIXES.get(n, n)}_{k}") for k in keys]
         elif isinstance(t, T.StructType):
             for sub in t.fields:
@@ -87,12 +84,12 @@ def write_processed(df: DataFrame, report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(f"{path}/report")
 
 
-def export_all(df: DataFrame, path: str, stats: DataFrame | None = None, when: str | None = None) -> None:
+def export_all(df: DataFrame, path: str, stats: DataFrame | None = None, when: str | None = None, **csv_options) -> None:
     """The same rows in every format."""
     df = df.persist()
     try:
         export_json(df, f"{path}/json", when=when)
-        export_csv(df, f"{path}/csv")
+        export_csv(df, f"{path}/csv", **csv_options)
         if stats is not None:
             stats.write.mode("overwrite").json(f"{path}/stats")
     finally:
