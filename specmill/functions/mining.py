@@ -42,6 +42,7 @@ SPEC_PATTERNS = {
 }
 
 # target field -> words of which one must occur, words that must all occur, words that must not
+# fixed values, in their natural order
 SPEC_KEYS = {
     "loadCapacity": (["capacity", "load", "swl"], [], []),
     "liftingSpeed": ([], ["speed", "lift"], []),

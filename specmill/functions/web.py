@@ -22,8 +22,10 @@ SKIP_IMAGE = {
 }
 
 # fixed values: words of a product page
+# fixed values, in their natural order
 PRODUCT_WORDS = ["hoist", "capacity", "load", "kg", "lifting", "product", "specifications"]
 
+# fixed values, in their natural order
 DOC_TYPES = [("datasheet", "datasheet"), ("manual", "manual"), ("brochure", "brochure"), ("spec", "specification")]
 
 

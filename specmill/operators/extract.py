@@ -18,6 +18,10 @@ from .tidy import top_k
 
 PAGE = ["page_id", "url"]
 
+# fixed values: words that tell a document link by its address, or by its text
+DOC_ADDRESS_WORDS = ("datasheet", "manual", "brochure", "specification", "catalog")
+DOC_TEXT_WORDS = ("Download", "PDF", "Datasheet", "Manual")
+
 
 def host(url) -> Column:
     return F.regexp_extract(c(url), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]+)", 1)
@@ -68,8 +72,8 @@ def doc_links() -> Column:
         h, t = F.lower(d["href"]), F.lower(d["text"])
         named = lambda x, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: x.contains(w))
         return d["href"].isNotNull() & (h.contains("pdf") | t.contains("pdf") | t.contains("download")) & (
-            h.endswith(".pdf") | named(d["href"], ("datasheet", "manual", "brochure", "specification", "catalog"))
-            | named(d["text"], ("Download", "PDF", "Datasheet", "Manual")))
+            h.endswith(".pdf") | named(d["href"], DOC_ADDRESS_WORDS)
+            | named(d["text"], DOC_TEXT_WORDS))
 
     def doc(d):
         return F.struct(web.absolute_url(d["href"], c("url")).alias("link"), web.doc_type(d["href"], d["text"]).alias("type"),

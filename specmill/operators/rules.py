@@ -72,6 +72,7 @@ AGGRESSIVE = [
     "^air trolleys$", "^air winches$", "^chain blocks$", "hook type$", "with trolley$", "^no crane without",
     r"^s \+ trolleys$", "industrial services", "lifting technology$", "slings.*straps", "drupal$", "demagcranes$",
 ]
+# fixed values, in their natural order
 GENERIC_WORDS = ["s", "hoists", "products", "trolleys", "cranes", "equipment"]
 
 # fixed values: model names removed by the final clean-up
@@ -95,6 +96,7 @@ DEEP_CATEGORY = [
     "wire rope hoists$", "pneumatic.*hoists$",
 ]
 
+# fixed values, in their natural order
 HOIST_WORDS = ["hoist", "chain", "wire", "winch", "lift"]
 
 

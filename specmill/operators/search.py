@@ -17,6 +17,24 @@ from .tidy import limited, top_k
 TEXT_SEARCH = ["manufacturer", "model", "series", "loadCapacity"]
 
 
+#: Search values that a table may hold as columns, so that filters on them reach its files.
+SEARCH_COLUMNS = {
+    "_kg": lambda: units.search_capacity("loadCapacity"), "_speed": lambda: units.search_speed("liftingSpeed"),
+    "_bucket": lambda: units.capacity_bucket(units.search_capacity("loadCapacity")),
+    **{f"_{n}": lambda n=n: F.lower(n) for n in ("manufacturer", "model", "series", "loadCapacity", "name", "category", "speedType")},
+}
+
+
+def with_search_columns(df: DataFrame) -> DataFrame:
+    """The catalogue with its search numbers, buckets and lower-case texts, for storing. Filters use them where they are there."""
+    made = {n: f() for n, f in SEARCH_COLUMNS.items() if n.lstrip("_") in df.columns or n in ("_kg", "_bucket", "_speed")}
+    return df.withColumns(made)
+
+
+def _value(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else SEARCH_COLUMNS[name]()
+
+
 def _and(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
@@ -30,7 +48,10 @@ def _class_is(value: str, fold: bool = False) -> Column:
 def filter_catalog(df: DataFrame, manufacturer=None, model=None, classification=None, min_capacity=None,
                    max_capacity=None) -> DataFrame:
     """Case-insensitive substring filters plus an inclusive capacity range (rows without a capacity fail it)."""
-    conds = [has(n, v) for n, v in (("manufacturer", manufacturer), ("model", model)) if v]
+    for n, v in (("manufacturer", manufacturer), ("model", model)):
+        if v:
+            df = df.filter(_value(df, f"_{n}").contains(v.lower()))  # NULL fails, and the test can reach the files
+    conds = []
     if classification:
         conds.append(F.coalesce(F.exists("classification", lambda x: F.lower(x).contains(classification.lower())),
                                 F.lit(False)))
@@ -49,7 +70,7 @@ def text_match(q: str) -> Column:
 
 def capacity_range(df: DataFrame, lo=None, hi=None) -> DataFrame:
     """Inclusive range with optional ends; a row without a capacity fails (a comparison with NULL is not true)."""
-    kg = units.search_capacity("loadCapacity")
+    kg = _value(df, "_kg")
     if lo is not None and hi is not None:
         return df.filter(kg.between(lo, hi))
     if lo is not None:
@@ -83,7 +104,7 @@ def facet_filter(df: DataFrame, q=None, manufacturer=None, capacity=None, classi
         if v:
             conds.append(F.col(name) == v)
     if capacity:
-        conds.append(units.capacity_bucket(units.search_capacity("loadCapacity")) == capacity)
+        df = df.filter(_value(df, "_bucket") == capacity)
     if classification:
         conds.append(_class_is(classification, fold=only(classification)))
     if dataQuality == "complete":
@@ -134,7 +155,7 @@ def by_tier(df: DataFrame, tier: str) -> DataFrame:
 def by_capacity_bucket(df: DataFrame, bucket: str) -> DataFrame:
     if bucket not in units.CAPACITY_BUCKETS:
         raise ValueError(f"Invalid bucket. Valid values: {', '.join(units.CAPACITY_BUCKETS)}")
-    return df.filter(units.capacity_bucket(units.search_capacity("loadCapacity")) == bucket)
+    return df.filter(_value(df, "_bucket") == bucket)
 
 
 def sort_key(by: str, collate: bool = False) -> Column:

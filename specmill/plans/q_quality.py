@@ -44,6 +44,7 @@ def f21(spark, sf):
     return quality.schema_errors(catalog(spark, sf)).select("id", F.explode("errors").alias("e")).select("id", c("e.field").alias("field"), c("e.message").alias("message"))
 
 
+# fixed values: the field formats, as the rules state them
 _FMT = {"loadCapacity": r"^\d+(?:\.\d+)?\s*(?:kg|lbs?|tons?|t|tonnes?)(?:\s*\([^)]+\))?$",
         "liftingSpeed": r"^\d+(?:\.\d+)?(?:\s*-\s*\d+(?:\.\d+)?)?\s*(?:m/min|ft/min|fpm|m/s)$",
         "motorPower": r"^\d+(?:\.\d+)?\s*(?:kW|HP|W)(?:\s*\([^)]+\))?$", "dutyCycle": r"^(?:FEM\s*\d+[a-z]*m?|M[1-8]|\d+%?\s*ED|H[1-4]|ISO\s*M[1-8]).*$",

@@ -10,6 +10,7 @@ from ..functions.names import dedupe_key, unique_id
 from ..functions.text import c
 from ..operators import dedupe, merge, rules
 from ..operators.normalize import process_catalog
+from ..operators.search import SEARCH_COLUMNS, with_search_columns
 from ..session import source_key, stored
 from ..sources import seeds, writers
 from . import inputs
@@ -24,9 +25,14 @@ def process(spark, sf):
 def catalog(spark, sf):
     """The processed catalogue. It is the table all later queries work on, so it is written once and then scanned with
     pushed filters and pruned columns; sorting by vendor inside each file makes the row-group statistics useful."""
+    return search_catalog(spark, sf).drop(*SEARCH_COLUMNS)
+
+
+def search_catalog(spark, sf):
+    """The stored catalogue with the columns that searches filter on."""
     made_from = "-".join(source_key(inputs.table(spark, sf, t)) for t in ("part", "lineitem"))
     name = "catalog-" + hashlib.sha1(f"{sf} {made_from}".encode()).hexdigest()[:12]
-    return stored(spark, name, lambda: process(spark, sf).sortWithinPartitions("manufacturer", "_pos"))
+    return stored(spark, name, lambda: with_search_columns(process(spark, sf)).sortWithinPartitions("manufacturer", "_pos"))
 
 
 FLAT = """_pos, id, manufacturer, model, series, loadCapacity, liftingSpeed, motorPower, array_to_string(cls, '|') AS classes,

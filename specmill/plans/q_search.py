@@ -8,7 +8,7 @@ from ..functions.text import c
 from ..operators import search, tidy
 from . import inputs
 from .oracle import bucket, cat
-from .q_records import catalog
+from .q_records import search_catalog as catalog
 from .registry import query
 
 Q = "(contains(lower(manufacturer), '{0}') OR contains(lower(model), '{0}') OR contains(lower(series), '{0}') OR contains(lower(loadCapacity), '{0}') OR contains(lower(array_to_string(cls, ' ')), '{0}'))"

@@ -1,13 +1,14 @@
 """Invariants and brute-force comparisons on small data."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from specmill.operators import dedupe, linkage, merge, quality, reports, rules, search
 from specmill.plans import inputs
-from specmill.plans.q_records import catalog
+from specmill.plans.q_records import catalog, search_catalog
 
 
 def ids(df):
@@ -191,6 +192,13 @@ def test_plan_shapes(spark, sf):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     p = plan(search.filter_catalog(catalog(spark, sf), "brand").select("id"))
     assert "Exchange" not in p and "PushedFilters" in p
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    stored_ = search_catalog(spark, sf)
+    pushed = lambda df: re.search(r"PushedFilters: \[(.*?)\], ReadSchema", df.select("id")._jdf.queryExecution().executedPlan().toString(), re.S)[1]
+    f02 = pushed(search.filter_catalog(stored_, "Brand#1", "RED", "D8", 500, 40000))
+    assert "GreaterThanOrEqual(_kg" in f02 and "StringContains(_manufacturer,brand#1" in f02
+    assert "GreaterThanOrEqual(_kg,1000" in pushed(search.capacity_range(stored_, lo=1000))
+    assert "EqualTo(_bucket," in pushed(search.facet_filter(stored_, capacity="501-1000 kg", dataQuality="hasImages"))
     raw = plan(inputs.raw_catalog(spark, sf).select("id", "loadCapacity"))
     assert "lineitem" not in raw and "Join" not in raw
     for df in (merge.upsert(inputs.raw_catalog(spark, sf), inputs.raw_catalog(spark, sf).select("id", "_pos", "weight")),
