@@ -30,7 +30,7 @@ def catalog(spark, sf):
 
 def search_catalog(spark, sf):
     """The stored catalogue with the columns that searches filter on."""
-    made_from = "-".join(source_key(inputs.table(spark, sf, t)) for t in ("part", "lineitem"))
+    made_from = source_key(*(inputs.table(spark, sf, t) for t in ("part", "lineitem")))
     name = "catalog-" + hashlib.sha1(f"{sf} {made_from}".encode()).hexdigest()[:12]
     return stored(spark, name, lambda: with_search_columns(process(spark, sf)).sortWithinPartitions("manufacturer", "_pos"))
 

@@ -71,9 +71,13 @@ _STORED: dict[tuple[str, str], str] = {}
 _STORING = Lock()
 
 
-def source_key(df: DataFrame) -> str:
-    """Names, sizes and times of the files a table is read from, as one number: another content gives another key."""
-    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+def source_key(*tables: DataFrame) -> str:
+    """Names, sizes and times of the files that tables are read from, as one number: another content gives another key.
+
+    One row per file is listed; no content is read.
+    """
+    names = [f for t in tables for f in t.inputFiles()]
+    files = tables[0].sparkSession.read.format("binaryFile").load(names).select("path", "length", "modificationTime")
     return f"{files.agg(F.sum(F.xxhash64('*').cast('decimal(38,0)'))).first()[0]}"
 
 
