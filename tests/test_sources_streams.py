@@ -288,3 +288,39 @@ def test_stored_table_is_built_once(spark):
 
     assert stored(spark, "t-once", build).count() == 5 and stored(spark, "t-once", build).count() == 5
     assert len(calls) == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from specmill.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+
+
+def test_stored_tables_follow_their_source(spark, tmp_path):
+    from specmill.session import source_key, stored
+
+    path = str(tmp_path / "source")
+    for n in (3, 4):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        source = spark.read.parquet(path)
+        assert stored(spark, f"follows-{source_key(source)}", lambda: source).count() == n
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = f"""import sys; sys.path.insert(0, {str(root)!r})
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", __spark_entry__.queries()["x06_extract_cards"](spark, "/root/testdata/sf0.001").count())"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "rows 50" in done.stdout, done.stderr[-2000:]
