@@ -34,8 +34,8 @@ def ratings(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
 
 
 def fold(id, n: int):
-    """crc32 of the id as text, modulo ``n``."""
-    return F.crc32(F.col(id).cast("string").cast("binary")) % n
+    """crc32 of the id as text, modulo ``n``; ``n``, which is no remainder, for a null id."""
+    return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % n, F.lit(n).cast("long"))
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
