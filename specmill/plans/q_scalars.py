@@ -243,13 +243,19 @@ def s42(spark, sf):
     return p.select("id", c("p.loadCapacity").alias("cap"), c("p.dutyCycle").alias("duty"), c("p.liftingSpeed").alias("speed"))
 
 
-@query("s43_absolute_url", """SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/a/b.pdf' AS root_link, regexp_extract(url, '^(https?):', 1) || '://cdn.example.org/x' AS scheme_link,
-  regexp_replace(url, '#.*$', '') || '#top' AS frag_link, 'https://other.example.org/q' AS abs_link FROM pages""")
+@query("s43_absolute_url", """SELECT page_id, o || '/a/b.pdf' AS root_link, regexp_extract(url, '^(https?):', 1) || '://cdn.example.org/x' AS scheme_link,
+  regexp_replace(url, '#.*$', '') || '#top' AS frag_link, 'https://other.example.org/q' AS abs_link,
+  o || folder || 'p' || page_id || '.pdf' AS relative_link, o || regexp_replace(folder, '[^/]+/$', '') || 'p' || page_id || '?v=' || page_id AS up_link,
+  o || folder || 'x/y' AS dot_link, o || path || '?q=' || page_id AS query_link
+  FROM (SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path,
+    regexp_replace(coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/'), '[^/]*$', '') AS folder FROM pages)""")
 def s43(spark, sf):
     p = inputs.table(spark, sf, "pages")
-    a = lambda h: web.absolute_url(F.lit(h), "url")
+    id_ = c("page_id").cast("string")
+    a = lambda *h: web.absolute_url(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in h]), "url")
     return p.select("page_id", a("/a/b.pdf").alias("root_link"), a("//cdn.example.org/x").alias("scheme_link"), a("#top").alias("frag_link"),
-                    a("https://other.example.org/q").alias("abs_link"))
+                    a("https://other.example.org/q").alias("abs_link"), a("p", id_, ".pdf").alias("relative_link"), a("../p", id_, "?v=", id_).alias("up_link"),
+                    a("./x/./z/../y").alias("dot_link"), a("?q=", id_).alias("query_link"))
 
 
 @query("s46_has_product_content", "SELECT page_id, (" + " + ".join(
