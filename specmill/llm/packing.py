@@ -55,21 +55,27 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        return plain(text) if any(s in text for s in special) else fast.encode_to_numpy(text).astype(np.uint32, copy=False)
+        return plain(text) if any(s in text for s in special) else np.array(fast.encode_ordinary(text), dtype=np.uint32)
 
     return encode
 
 
-def projection(size: int, dimensions: int = DIMENSIONS, seed: int = 5) -> np.ndarray:
-    """A row of signs per token id: the columns of a random projection of token counts to few dimensions."""
-    return np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), (size, dimensions))
+def projection(size: int, seed: int = 5) -> np.ndarray:
+    """Random signs per token id for each dimension: the columns of a random projection of token counts to few dimensions.
+
+    The signs of an id, as 0 and 2, are the 16-bit fields of one number, so that one sum over a document adds up all dimensions.
+    """
+    signs = np.random.default_rng(seed).choice(np.array([0, 2], dtype=np.uint64), (size, DIMENSIONS))
+    return (signs << (16 * np.arange(DIMENSIONS)).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def coordinates(ids: np.ndarray, signs: np.ndarray, bits: int = BITS) -> np.ndarray:
+def coordinates(ids: np.ndarray, fields: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The projected mean of a document's hashed token vector, as whole numbers of ``bits`` bits."""
-    if not len(ids):
-        return np.full(signs.shape[1], 1 << (bits - 1), dtype=np.int64)
-    mean = signs[ids % len(signs)].mean(axis=0)
+    total, step = np.zeros(DIMENSIONS), 1 << 14  # so many ids fill no field
+    for at in range(0, len(ids), step):
+        part = int(fields[ids[at:at + step] % len(fields)].sum())
+        total += [part >> 16 * k & 0xFFFF for k in range(DIMENSIONS)]
+    mean = total / max(1, len(ids)) - (len(ids) > 0)
     return ((np.tanh(4 * mean) + 1) / 2 * ((1 << bits) - 1)).astype(np.int64)
 
 
@@ -114,12 +120,12 @@ def tokenize(catalog: DataFrame, tokenizer: str, end: int, width: int, id: str =
     rows = catalog.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(description), F.lit("")).alias("description"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, signs = encoder(tokenizer), projection(1 << 16)
+        encode, fields = encoder(tokenizer), projection(1 << 16)
         for b in batches:
             for at in range(0, b.num_rows, 1_000):
                 part = b.slice(at, 1_000)
                 ids = [encode(t) for t in part.column(1).to_pylist()]
-                points = np.array([coordinates(x, signs) for x in ids])
+                points = np.array([coordinates(x, fields) for x in ids])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.append(x, np.uint32(end)).astype(f"<u{width}").tobytes() for x in ids], pa.binary()),
                                                   pa.array(hilbert(points), pa.int64())], ["id", "ids", "curve"])
 

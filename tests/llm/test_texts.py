@@ -152,3 +152,13 @@ def test_all_segmentations_of_a_short_text():
     assert len({y[0].tobytes() for y in found}) == len(found) == len(ways("▁ab")) * len(ways("▁c"))
     assert sum(np.exp(y[1]) for y in found) == pytest.approx(1.0)
     assert all(v.decode(y[0]) == "ab c" and y[3] == 1.0 for y in found)
+
+
+def test_coordinates_are_projected_means():
+    fields = packing.projection(1 << 16)
+    ids = np.random.default_rng(6).integers(0, 50_257, 70_000).astype(np.uint32)
+    signs = np.array([[(int(f) >> 16 * k & 0xFFFF) - 1 for k in range(packing.DIMENSIONS)] for f in fields[ids[:40_000]]])
+    assert set(np.unique(signs)) == {-1, 1}
+    expected = ((np.tanh(4 * signs.mean(axis=0)) + 1) / 2 * 1023).astype(np.int64)
+    assert np.abs(packing.coordinates(ids[:40_000], fields) - expected).max() <= 1
+    assert packing.coordinates(ids[:0], fields).tolist() == [511] * packing.DIMENSIONS
