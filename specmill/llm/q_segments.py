@@ -1,4 +1,4 @@
-"""op6: sampled segmentations of all documents. Decoding (``segments.decode_segmentations``) is tested as an exact round trip."""
+"""op6: sampled segmentations of all documents, decoded again."""
 
 from __future__ import annotations
 
@@ -16,5 +16,6 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled(spark, sf_dir).select(F.col("id").alias("doc_id"), "rank", (F.length("ids") / 4).cast("long").alias("n_pieces"),
-                                         F.crc32("ids").alias("ids_crc32"), "log_prob", "score", "inclusion")
+    read = segments.sample_segmentations(records.as_catalog(records.documents(spark, sf_dir)), public_tokenizers.path(MODEL), k=SAMPLES, decoded=True)
+    return read.select(F.col("id").alias("doc_id"), "rank", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "log_prob", "score", "inclusion")

@@ -129,6 +129,18 @@ def test_segmentations_of_documents(spark, sf, texts):
     assert sorted((r["doc_id"], r["rank"], r["ids_crc32"]) for r in rows) == sorted((r["doc_id"], r["rank"], r["ids_crc32"]) for r in again)
 
 
+def test_query_decodes_its_segmentations(spark, sf, texts):
+    for r in q_segments.op6_sampled_segmentations(spark, sf).collect():
+        assert r["text_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_spelled_as_the_model_decodes():
+    v, rnd = segments.vocabulary(public_tokenizers.path("piece_bpe_32k.model")), np.random.default_rng(9)
+    rows = [rnd.integers(0, high, rnd.integers(0, 9)).astype(np.uint32) for high in (4, 300, 32_000) for _ in range(2_000)]
+    rows += [np.array(v.model.encode(t), dtype=np.uint32) for t in ("", " ", "  a ", "\n", "漢字 🙂 \u0378 é\x00", "\u2581 x")]
+    assert v.spell(rows) == [v.decode(x) for x in rows] and v.spell([]) == []
+
+
 def test_segmentations_are_draws_without_replacement():
     v, n, text = segments.vocabulary(public_tokenizers.path("piece_bpe_32k.model")), 20_000, "hello ab\nc"
     got = segments.sample_batch(v, [text] * n, segments._mixed(np.arange(n, dtype=np.uint64)), 3)
