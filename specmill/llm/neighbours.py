@@ -209,6 +209,11 @@ def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "desc
     A record with a null description or without words has no shingles and is alone; without id its component is null unless a
     linked record has one. Repeated records are linked. Ids are integers; other columns are ignored.
     """
+    return _grouped(catalog, id, description, percent, words).select("id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), "component_id")
+
+
+def _grouped(catalog: DataFrame, id: str, description: str, percent: int, words: int) -> DataFrame:
+    """(id, text_hash, n, sig, component_id, component_hash) per record; the last two are of the first record of its component."""
     all_rows = written(signed(catalog, percent, words, id, description), "signed")
     first = F.struct(F.col("id").isNull().alias("null_"), "id", "text_hash")
     classes = written(all_rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min_by(F.struct("id", "text_hash", "n", "bands"), first).alias("r")).select("sig", "r.*"), "classes")
@@ -239,22 +244,27 @@ def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "desc
     more = _verified(written(_close_in_buckets(rows, percent), "close"), members, catalog, percent, words, id, description)
 
     found = components(star.unionByName(more)).withColumnsRenamed({"node": "sig"})
-    lowest = classes.select("sig", "id").join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    named = lowest.join(lowest.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("sig", "component_id")
-    return all_rows.select("id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), "sig").join(named, "sig", "left").select(
-        "id", "n_shingles", "set_id", F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    lowest = classes.select("sig", "id", "text_hash").join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    named = lowest.join(lowest.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("null_"), "id", "text_hash")).alias("first")), "component").select(
+        "sig", F.col("first.id").alias("component_id"), F.col("first.text_hash").alias("component_hash"))
+    alone = F.col("sig").isNull()
+    return all_rows.select("id", "text_hash", "n", "sig").join(named, "sig", "left").select(
+        "id", "text_hash", "n", "sig", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("text_hash")).otherwise(F.col("component_hash")).alias("component_hash"))
 
 
 def keep_first(catalog: DataFrame, id: str = "id", description: str = "description", percent: int = 90, words: int = 3) -> DataFrame:
     """Catalogue records without near-duplicates: of each component the record with the smallest id stays, all columns as they are.
 
-    Of rows with the same id, one stays (by a hash of the description). Records without id can't be named and all stay. Only rows
-    whose id may be among those to go are shuffled.
+    Rows are told apart by id and description, so unlike texts with the same id stay, each for its own component; of rows with the
+    same id and description, or of one component's rows with its smallest id, one stays. Records without id can't be named and all
+    stay. Only rows whose id may be among those to go are shuffled.
     """
-    found = written(near_duplicates(catalog, id, description, percent, words).select("id", "component_id"), "found")
-    doubtful = found.groupBy("id").agg(F.count("*").alias("n"), F.min("component_id").alias("first")).where("id IS NOT NULL AND (n > 1 OR id <> first)").select(
-        F.col("id").alias("id_"), (F.col("id") != F.col("first")).alias("goes"))
+    goes = ~(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash")))
+    found = written(_grouped(catalog, id, description, percent, words).select("id", "text_hash", goes.alias("goes")), "found")
+    doubtful = found.where("id IS NOT NULL").groupBy("id", "text_hash").agg(F.count("*").alias("n"), F.max("goes").alias("goes")).where("n > 1 OR goes").select(
+        F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), "goes")
     maybe, stays = maybe_in(catalog, id, doubtful, "id_")
-    looked = maybe.join(doubtful, F.col(id) == F.col("id_"), "left").where("goes IS NULL OR NOT goes")
-    again = looked.where("goes IS NOT NULL").withColumn("place_", F.row_number().over(W.partitionBy("id_").orderBy(F.xxhash64(description)))).where("place_ = 1")
+    looked = maybe.join(doubtful, (F.col(id) == F.col("id_")) & (F.xxhash64(description) == F.col("hash_")), "left").where("goes IS NULL OR NOT goes")
+    again = looked.where("goes IS NOT NULL").withColumn("place_", F.row_number().over(W.partitionBy("id_", "hash_").orderBy("id_"))).where("place_ = 1")
     return stays.unionByName(looked.where("goes IS NULL").select(*catalog.columns)).unionByName(again.select(*catalog.columns))

@@ -82,3 +82,12 @@ def test_repeated_rows(spark, catalog):
     assert sorted(str(r["id"]) for r in kept) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "None", "None"])[:] or sorted(
         str(r["id"]) for r in kept) == sorted(["1", "2", "3", "4", "5", "6", "8", "9", "10", "None", "None"])
     assert set(kept[0].asDict()) == {"id", "description", "manufacturer", *EXTRA}
+
+
+def test_unlike_rows_of_an_id_stay(spark, catalog):
+    kept = neighbours.keep_first(catalog).collect()
+    expected = {(i, text) for i, text, _ in ROWS if (i, text) != (7, GOOD * 3)}
+    assert {(r["id"], r["description"]) for r in kept} == expected and len(kept) == len(expected)
+    rows = [(1, "one two three four"), (1, "five six seven eight"), (1, "five six seven eight"), (2, "five  six seven eight"), (2, "nine ten"), (3, ""), (3, "")]
+    kept = neighbours.keep_first(spark.createDataFrame(rows, "id long, description string")).collect()
+    assert sorted(map(tuple, kept)) == [(1, "five six seven eight"), (1, "one two three four"), (2, "nine ten"), (3, "")]
