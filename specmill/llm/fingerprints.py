@@ -1,4 +1,4 @@
-"""Threshold-scaled sketches of descriptions: every shingle hash below a fixed fraction of the hash range is kept."""
+"""Threshold-scaled sketches of descriptions: all shingle hashes of short texts, of others every one below a fixed fraction of the range."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .grams import WORD, Table, hash64
 
-WORDS, FRACTION, BYTES = 5, 1 / 8, 6
+WORDS, FRACTION, BYTES, WHOLE = 5, 1 / 8, 6, 2_048
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 COMPARED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
                          T.StructField("fingerprint", T.BinaryType()), T.StructField("edited_fingerprint", T.BinaryType()),
@@ -26,11 +26,22 @@ def table() -> Table:
     return Table(lambda w: (hash64(w),), 1)
 
 
+def _limit(fraction: float) -> np.uint64:
+    return np.uint64(int(fraction * (1 << 8 * BYTES)))
+
+
+def _cut(hashes: np.ndarray, fraction: float) -> bool:
+    """Whether a sketch is that of a long text: it has a good part of what WHOLE shingles leave below the threshold, and nothing above.
+
+    Of a text that is kept whole all hashes lie below by a chance of ``fraction`` to the power of their number.
+    """
+    return len(hashes) > WHOLE * fraction / 2 and hashes[-1] < _limit(fraction)
+
+
 def sketch(text: str | None, words: Table, fraction: float = FRACTION) -> np.ndarray:
-    """Sorted 48-bit hashes of the distinct five-word shingles of a whole text that lie below ``fraction`` of the range.
+    """Sorted 48-bit hashes of the distinct five-word shingles of a whole text: all, if there are up to WHOLE, else those below ``fraction`` of the range.
 
-    A text of one to four words is one shingle. The smallest hash is always kept, so only a text without words has no hash.
-    Sketches of parts can be merged by union.
+    A text of one to four words is one shingle; only a text without words has no hash. Sketches of parts can be merged by ``merged``.
     """
     w = words.rows(WORD.findall((text or "").lower()))[:, 0]
     if not len(w):
@@ -41,14 +52,28 @@ def sketch(text: str | None, words: Table, fraction: float = FRACTION) -> np.nda
         h = (h + w[i:len(w) - size + 1 + i]) * _MULTIPLIER
         h ^= h >> np.uint64(31)
     h = (h * _MIX) >> np.uint64(64 - 8 * BYTES)
-    low = np.unique(h[h < np.uint64(int(fraction * (1 << 8 * BYTES)))])
-    return low if len(low) else h.min(keepdims=True)
+    h = np.unique(h)
+    return h if len(h) <= WHOLE else h[h < _limit(fraction)]
+
+
+def merged(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of all shingles of two texts from their sketches."""
+    both = np.union1d(a, b)
+    return both[both < _limit(fraction)] if len(both) > WHOLE or _cut(a, fraction) or _cut(b, fraction) else both
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated containment of the smaller text's shingles in the other; 1 for two texts without words, 0 if just one has none."""
+def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Containment of the smaller text's shingles in the other; 1 for two texts without words, 0 if just one has none.
+
+    Exact for two texts with whole sketches. With a long text it is estimated from the hashes below the threshold, and 0 if the
+    shorter text has none there.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    if _cut(a, fraction) or _cut(b, fraction):
+        a, b = a[a < _limit(fraction)], b[b < _limit(fraction)]
+        if not len(a) or not len(b):
+            return 0.0
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
@@ -128,7 +153,7 @@ def compare_with_next(catalog: DataFrame, id: str = "id", description: str = "de
             edited = text[:n - n // 3] + following[0][:n // 3]
             changed = sketch(edited, words, fraction)
             return (row, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), packed(own), packed(changed),
-                    likeness(own, changed), likeness(own, following[1]))
+                    likeness(own, changed, fraction), likeness(own, following[1], fraction))
 
         for b in batches:
             out = []

@@ -87,6 +87,31 @@ def test_containment_is_estimated():
     assert set(whole) == set(left) | set(right)
 
 
+def test_short_texts_in_longer_ones():
+    rnd, words = np.random.default_rng(4), fingerprints.table()
+    for n in (1, 4, 5, 6, 9, 20, 28, 90):
+        for _ in range(20):
+            part = [f"p{x}" for x in rnd.integers(0, 10 ** 6, n)]
+            if n > 4:
+                longer = [f"l{x}" for x in rnd.integers(0, 10 ** 6, 600)]
+                a, b = fingerprints.sketch(" ".join(part), words), fingerprints.sketch(" ".join(longer[:300] + part + longer[300:]), words)
+                assert fingerprints.likeness(a, b) == fingerprints.likeness(b, a) == 1
+            edited = part[:n - n // 3] + [f"e{x}" for x in range(n // 3)]
+            a, b = ({tuple(x[i:i + 5]) for i in range(max(1, len(x) - 4))} for x in (part, edited))
+            got = fingerprints.likeness(*(fingerprints.sketch(" ".join(x), words) for x in (part, edited)))
+            assert got == len(a & b) / min(len(a), len(b))
+
+
+def test_sketches_of_short_parts_merge():
+    w, words = [f"w{i}" for i in range(4_000)], fingerprints.table()
+    for size in (7, 200, 1_500):
+        whole = fingerprints.sketch("", words)
+        for at in range(0, 4_000, size):
+            whole = fingerprints.merged(whole, fingerprints.sketch(" ".join(w[max(0, at - 4):at + size]), words))
+        short = fingerprints.merged(fingerprints.sketch(" ".join(w[:40]), words), fingerprints.sketch(" ".join(w[36:90]), words))
+        assert whole.tolist() == fingerprints.sketch(" ".join(w), words).tolist() and short.tolist() == fingerprints.sketch(" ".join(w[:90]), words).tolist()
+
+
 def test_packing(spark, sf, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
