@@ -21,9 +21,20 @@ def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
 
+#: Records of one document, about.
+RECORDS = 10_000
+
+
+def _dealt(rows, by: str, id: str):
+    """``rows`` with the column ``_by``: the value of ``by`` and the number of one of its documents, by a hash of the id."""
+    sizes = rows.groupBy(c(by).alias("_group")).agg(F.ceil(F.count("*") / RECORDS).alias("_parts"))
+    found = rows.join(F.broadcast(sizes), c(by).eqNullSafe(c("_group")))
+    return found.withColumn("_by", F.concat_ws("-", c(by).cast("string"), F.pmod(F.xxhash64(c(id)), c("_parts")).cast("string"))).drop("_group", "_parts")
+
+
 def _documents(rows, by: str, path: str, wrap: str | None = None):
-    """One JSON document per value of ``by``: an array of records, or an object that holds it."""
-    rows = rows.withColumn("_by", c(by))
+    """JSON documents of about RECORDS records with one value of ``by``, a file each: an array of records, or an object that holds it."""
+    rows = _dealt(rows, by, "id")
     listed = F.to_json(F.collect_list(F.struct(*[x for x in rows.columns if x != "_by"])))
     text = listed if wrap is None else F.concat(F.lit('{"version": "2", "' + wrap + '": '), listed, F.lit("}"))
     rows.groupBy("_by").agg(text.alias("value")).repartition("_by").write.partitionBy("_by").text(path)
@@ -59,7 +70,7 @@ def src3(spark, sf):
 def src4(spark, sf):
     path = _folder(spark, "reports")
     e = inputs.table(spark, sf, "events").select(F.concat(F.lit("e"), c("event_id").cast("string")).alias("k"), F.struct("event_type", "value").alias("v"), F.to_date("ts").alias("day"))
-    e.groupBy("day").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).repartition("day").write.partitionBy("day").text(path)
+    _dealt(e, "day", "k").groupBy("_by").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).repartition("_by").write.partitionBy("_by").text(path)
     r = readers.read_report(spark, f"{path}/*")
     return r.select("key", F.try_variant_get("value", "$.event_type", "string").alias("event_type"), F.try_variant_get("value", "$.value", "double").alias("value"))
 

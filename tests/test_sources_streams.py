@@ -324,3 +324,16 @@ spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fals
 print("rows", __spark_entry__.queries()["x06_extract_cards"](spark, "/root/testdata/sf0.001").count())"""
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240)
     assert "rows 50" in done.stdout, done.stderr[-2000:]
+
+
+def test_documents_of_a_large_group_are_bounded(spark, sf, tmp_path, monkeypatch):
+    from specmill.plans import q_sources
+
+    monkeypatch.setattr(q_sources, "RECORDS", 50)
+    rows = spark.range(1_000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") >= 10, "large").alias("maker"))
+    q_sources._documents(rows, "maker", str(tmp_path / "d"), "products")
+    sizes = [len(json.loads(f.read_text())["products"]) for f in (tmp_path / "d").glob("*/*.txt")]
+    assert sum(sizes) == 1_000 and len(sizes) >= 20 and max(sizes) < 150
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    for query in (q_sources.src4, q_sources.src4_runs):
+        assert query(spark, sf).count() == events.count()
