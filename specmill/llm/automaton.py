@@ -155,15 +155,30 @@ class Dfa:
     def states(self) -> int:
         return len(self.table) // self.width
 
-    def longest(self, data: bytes, start: int, end: int) -> int:
-        """End of the longest match that begins at ``start``, or -1. For automata compiled with ``anywhere=False``."""
-        s, best, table, accepting = 0, -1, self.table, self.accepting
-        for i in range(start, end):
-            s = table[s + data[i]]
-            if s == self.dead:
+    def longest(self, data: bytes, start: int, end: int, failed: set[int] | None = None) -> int:
+        """End of the longest match that begins at ``start``, or -1. For automata compiled with ``anywhere=False``.
+
+        ``failed`` remembers, between calls with the same ``data``, states at every 16th place after which no match ended: a later start
+        that comes to the same state there stops. So each place is read at most once per state, with up to 16 more per start.
+        """
+        s, best, table, accepting, dead, i, passed = 0, -1, self.table, self.accepting, self.dead, start, []
+        while i < end:
+            stop = min(end, (i | 15) + 1)
+            for i in range(i, stop):
+                s = table[s + data[i]]
+                if s >= accepting:
+                    best = i + 1
+                elif s == dead:
+                    break
+            if s == dead:
                 break
-            if s >= accepting:
-                best = i + 1
+            i = stop
+            name = i * len(table) + s
+            if failed and name in failed:
+                break
+            passed.append(name)
+        if passed and failed is not None:
+            failed.update(x for x in passed if x >= best * len(table))
         return best
 
 

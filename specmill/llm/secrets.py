@@ -89,9 +89,9 @@ def find_spans(text: str | None, rules: tuple[Rule, ...] = RULES, compiled: tupl
     for begin, end in _regions(common, data):
         found, part = [], data[begin:end]
         for n, (rule, dfa) in enumerate(zip(rules, single)):
-            shown, i = part.translate(dfa.classes), 0
+            shown, i, failed = part.translate(dfa.classes), 0, set()
             while i < len(part):  # a match that is too short still takes its characters
-                stop = dfa.longest(shown, i, len(part))
+                stop = dfa.longest(shown, i, len(part), failed)
                 if stop > i and _kept(rule, part[i:stop]):
                     found.append((i, n, stop))
                 i = max(stop, i + 1)

@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from specmill.llm import automaton, q_secrets, secrets
 
@@ -61,3 +64,26 @@ def test_query(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for k, _, _ in spans) for x in PATTERNS]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
     assert sum(r["n_assign"] + r["n_access"] for r in rows) > 0
+
+
+@pytest.mark.parametrize("make", [lambda n: "eyJ" * n + " " + "a0" * 20, lambda n: "://" + "a" * 3 * n + " " + "a0" * 20, lambda n: "token" * (n // 2) + ("a0" * 20), lambda n: "eyJa.b" * (n // 2) + ".c " + "f" * 30,
+                                  lambda n: "://a:b" * (n // 2), lambda n: "AKIA" * n])
+def test_time_grows_with_the_text(make):
+    def seconds(text):
+        best = 9.0
+        for _ in range(3):
+            t = time.perf_counter()
+            secrets.find_spans(text)
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    assert seconds(make(24_000)) < 5 * seconds(make(8_000)) + 0.02
+
+
+def test_states_that_failed_are_remembered_only_where_they_failed():
+    rnd = random.Random(11)
+    rules = (secrets.Rule("x", r"ab[ab]+c"), secrets.Rule("y", r"a[ab]+ca"))
+    for _ in range(300):
+        text = "".join(rnd.choice("aaabbbc") for _ in range(rnd.randrange(90)))
+        expected = sorted((m.start(), n, m.end()) for n, p in enumerate((r"ab[ab]+c", r"a[ab]+ca")) for m in re.finditer(p, text))
+        assert secrets.find_spans(text, rules) == [("xy"[n], a, b) for a, n, b in expected]
