@@ -1,4 +1,4 @@
-"""Threshold-scaled sketches of descriptions: all shingle hashes of short texts, of others every one below a fixed fraction of the range."""
+"""Threshold-scaled sketches of descriptions: every shingle hash below a fixed fraction of the range."""
 
 from __future__ import annotations
 
@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .grams import WORD, Table, hash64
 
-WORDS, FRACTION, BYTES, WHOLE = 5, 1 / 8, 6, 2_048
+WORDS, FRACTION, BYTES, MOST_RANGES = 5, 1 / 2, 6, 10_000
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-COMPARED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
+COMPARED = T.StructType([T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
                          T.StructField("fingerprint", T.BinaryType()), T.StructField("edited_fingerprint", T.BinaryType()),
                          T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 
@@ -30,18 +31,11 @@ def _limit(fraction: float) -> np.uint64:
     return np.uint64(int(fraction * (1 << 8 * BYTES)))
 
 
-def _cut(hashes: np.ndarray, fraction: float) -> bool:
-    """Whether a sketch is that of a long text: it has a good part of what WHOLE shingles leave below the threshold, and nothing above.
-
-    Of a text that is kept whole all hashes lie below by a chance of ``fraction`` to the power of their number.
-    """
-    return len(hashes) > WHOLE * fraction / 2 and hashes[-1] < _limit(fraction)
-
-
 def sketch(text: str | None, words: Table, fraction: float = FRACTION) -> np.ndarray:
-    """Sorted 48-bit hashes of the distinct five-word shingles of a whole text: all, if there are up to WHOLE, else those below ``fraction`` of the range.
+    """Sorted 48-bit hashes of the distinct five-word shingles of a whole text, those below ``fraction`` of the range.
 
-    A text of one to four words is one shingle; only a text without words has no hash. Sketches of parts can be merged by ``merged``.
+    A text of one to four words is one shingle. The threshold is the same for all texts, so the union of two sketches is the sketch of
+    both texts' shingles, and a sketch of a lower fraction is a part of it. A text of few shingles may have no hash below.
     """
     w = words.rows(WORD.findall((text or "").lower()))[:, 0]
     if not len(w):
@@ -52,28 +46,16 @@ def sketch(text: str | None, words: Table, fraction: float = FRACTION) -> np.nda
         h = (h + w[i:len(w) - size + 1 + i]) * _MULTIPLIER
         h ^= h >> np.uint64(31)
     h = (h * _MIX) >> np.uint64(64 - 8 * BYTES)
-    h = np.unique(h)
-    return h if len(h) <= WHOLE else h[h < _limit(fraction)]
-
-
-def merged(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
-    """The sketch of all shingles of two texts from their sketches."""
-    both = np.union1d(a, b)
-    return both[both < _limit(fraction)] if len(both) > WHOLE or _cut(a, fraction) or _cut(b, fraction) else both
+    return np.unique(h[h < _limit(fraction)])
 
 
-def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
-    """Containment of the smaller text's shingles in the other; 1 for two texts without words, 0 if just one has none.
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Containment of the smaller text's shingles in the other, estimated from the hashes of both sketches.
 
-    Exact for two texts with whole sketches. With a long text it is estimated from the hashes below the threshold, and 0 if the
-    shorter text has none there.
+    1 for two sketches without hashes, 0 if just one has none: such texts have no words, or few.
     """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if _cut(a, fraction) or _cut(b, fraction):
-        a, b = a[a < _limit(fraction)], b[b < _limit(fraction)]
-        if not len(a) or not len(b):
-            return 0.0
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
@@ -95,43 +77,48 @@ def fingerprint(catalog: DataFrame, id: str = "id", description: str = "descript
     return catalog.select(F.col(id).alias("id"), found(F.col(description)).alias("fingerprint"))
 
 
-def _cuts(catalog: DataFrame, per_part: int) -> tuple[list[int], int | None]:
-    """Ids that part the records into ranges of about ``per_part``, ascending, and the largest id.
+def _cuts(rows: DataFrame, per_part: int) -> tuple[list[tuple], tuple]:
+    """Places that part the records into ranges of about ``per_part``, and the last place; a place is (has an id, id, inverted hash), rising.
 
-    Eight ids per range are drawn by hash, so the list has one id for ``per_part`` records.
+    Eight records per range are drawn by hash. There are at most MOST_RANGES ranges, so the list is bounded.
     """
-    n, top = catalog.agg(F.count("id"), F.max("id")).first()
-    parts = max(1, n // per_part)
+    place = F.struct(F.col("name").isNotNull().cast("int").alias("some"), F.coalesce("name", F.lit("" if dict(rows.dtypes)["name"] == "string" else 0)).alias("name"), F.bitwise_not("hash").alias("hash"))
+    n, top = rows.agg(F.count("*"), F.max(place)).first()
+    parts = max(1, min(MOST_RANGES, n // per_part))
     share = min(1.0, 8 * parts / max(1, n))
-    drawn = sorted(r[0] for r in catalog.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id", F.lit(19)), F.lit(1 << 30)) < int(share * (1 << 30))))
-                   .select("id").distinct().collect())
-    return (drawn[8::8] if parts > 1 else []), top
+    if parts == 1:
+        return [], tuple(top or ())
+    drawn = rows.where(F.pmod(F.xxhash64("name", "hash", F.lit(19)), F.lit(1 << 30)) < int(share * (1 << 30))).select(place.alias("place")).collect()
+    return sorted({tuple(r[0]) for r in drawn})[8::8], tuple(top)
 
 
 def compare_with_next(catalog: DataFrame, id: str = "id", description: str = "description", fraction: float = FRACTION,
                       per_part: int = 2_000) -> DataFrame:
-    """Each record's fingerprint against its edited description and against the next record, by descending integer id.
+    """Each record's fingerprint against its edited description and against the next record, by descending id.
 
     The edited description has the last third (of the code points, rounded down) replaced by as much of the next record's beginning
-    as there is; after the last record comes the first. One row per record: id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next (estimated containment, 0 to 1).
+    as there is; after the last record comes the first. One row per record: id (as it is), n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next (estimated containment, 0 to 1). Whole numbers are ordered as such, other ids as texts.
 
-    The records are dealt to id ranges once; the first record of each range also goes to the range before, so neighbours
-    meet without a global sort or a second shuffle, and a range is read as a stream.
+    The records are dealt to ranges of (id, hash of the description) once; the first record of each range also goes to the range
+    before, so neighbours meet without a global sort or a second shuffle, and a range is read as a stream.
 
     A null description is empty. Records without id come last; records with the same id, or none, are in the order of a hash of the
-    description. A single record is its own next one. Other columns are ignored; an empty table gives no rows.
+    description, and only wholly equal ones always share a range. A single record is its own next one. Other columns are ignored; an
+    empty table gives no rows.
     """
-    rows = catalog.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(description), F.lit("")).alias("description"))
+    rows = catalog.select(F.col(id).alias("id"), F.coalesce(F.col(description), F.lit("")).alias("description"))
+    whole = isinstance(rows.schema["id"].dataType, T.IntegralType)
+    rows = rows.withColumn("name", F.col("id").cast("long" if whole else "string")).withColumn("hash", F.xxhash64("description"))
     cuts, top = _cuts(rows, per_part)
     found = set(cuts)
 
     @F.pandas_udf("array<struct<part:int,guest:boolean>>")
-    def ranges(ids: pd.Series) -> pd.Series:
+    def ranges(names: pd.Series, hashes: pd.Series) -> pd.Series:
         out = []
-        for x in ids:
-            x = None if pd.isna(x) else int(x)
-            part = len(cuts) if x is None else len(cuts) - bisect_left(cuts, x)
+        for x, h in zip(names, hashes):
+            x = (0, 0 if whole else "", ~h) if x is None else (1, int(x) if whole else x, ~h)
+            part = len(cuts) - bisect_left(cuts, x)
             row = [{"part": part, "guest": False}]
             if x in found:
                 row.append({"part": part - 1, "guest": True})
@@ -140,31 +127,31 @@ def compare_with_next(catalog: DataFrame, id: str = "id", description: str = "de
             out.append(row)
         return pd.Series(out, dtype=object)
 
-    # The id as text: a null among integers would make them floating-point numbers, too coarse for large ids.
-    dealt = rows.select("*", F.inline(ranges(F.col("id").cast("string"))))
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "guest", F.desc_nulls_last("id"), F.xxhash64("description"))
+    # Names as texts: a null among integers would make them floating-point numbers, too coarse for large ids.
+    dealt = rows.select("*", F.inline(ranges(F.col("name").cast("string"), F.col("hash"))))
+    ordered = dealt.repartition("part").sortWithinPartitions("part", "guest", F.desc_nulls_last("name"), "hash").select("part", "guest", "id", "description")
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *COMPARED.fields])
+    target = to_arrow_schema(schema)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, had = table(), None, None
-        names = [f.name for f in COMPARED]
+        words, last = table(), None
 
         def one(row, own, text, following):
             n = len(text)
             edited = text[:n - n // 3] + following[0][:n // 3]
             changed = sketch(edited, words, fraction)
-            return (row, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), packed(own), packed(changed),
-                    likeness(own, changed, fraction), likeness(own, following[1], fraction))
+            return (row, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), packed(own), packed(changed), likeness(own, changed), likeness(own, following[1]))
 
         for b in batches:
             out = []
-            for part, guest, row, text in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "guest", "id", "description"))):
+            for part, guest, row, text in zip(*(c.to_pylist() for c in b.columns)):
                 if guest and (last is None or last[0] != part):
                     continue  # the range has got its following record, or has no record itself
                 own = sketch(text, words, fraction)
                 if last is not None and last[0] == part:
                     out.append(one(last[1], last[3], last[2], (text, own)))
                 last = None if guest else (part, row, text, own)
-            cols = list(zip(*out)) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()))], names)
+            cols = list(zip(*out)) if out else [[]] * len(target)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
 
-    return ordered.mapInArrow(compared, COMPARED)
+    return ordered.mapInArrow(compared, schema)
