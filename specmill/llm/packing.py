@@ -10,15 +10,16 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 from .records import written
 
 # Fixed value: how byte-level tokenizers of this kind part a text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-DIMENSIONS, BITS = 4, 10
+DIMENSIONS, BITS, RANGE = 4, 10, 64 << 20
 
 
 def _byte_of_sign() -> dict[str, int]:
@@ -117,7 +118,7 @@ def id_width(tokenizer: str, end: int) -> int:
 
 def tokenize(catalog: DataFrame, tokenizer: str, end: int, width: int, id: str = "id", description: str = "description") -> DataFrame:
     """(id, ids, curve) per record: token ids with the end id, as little-endian numbers of ``width`` bytes, and the place on the curve."""
-    rows = catalog.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(description), F.lit("")).alias("description"))
+    rows = catalog.select(F.col(id).alias("id"), F.coalesce(F.col(description), F.lit("")).alias("description"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, fields = encoder(tokenizer), projection(1 << 16)
@@ -129,7 +130,7 @@ def tokenize(catalog: DataFrame, tokenizer: str, end: int, width: int, id: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.append(x, np.uint32(end)).astype(f"<u{width}").tobytes() for x in ids], pa.binary()),
                                                   pa.array(hilbert(points), pa.int64())], ["id", "ids", "curve"])
 
-    return rows.mapInArrow(run, "id long, ids binary, curve long")
+    return rows.mapInArrow(run, rows.select("id").schema.add("ids", "binary").add("curve", "long"))
 
 
 class _Open:
@@ -182,20 +183,21 @@ def pack_catalog(catalog: DataFrame, tokenizer: str, id: str = "id", description
     Columns: id, start (the record's tokens before the piece), length, ids (little-endian unsigned 32-bit numbers), doc_tokens,
     sequence_id, offset (in the sequence, gapless from 0). A record's tokens are those of its whole description and ``end``; records
     are cut where a sequence is full. Records that lie near each other on a Hilbert curve through projected token vectors share
-    sequences: the tokens are written once, range-sorted by curve place and id, and each range is packed as a stream. What is
+    sequences: the tokens are written once, range-sorted by curve place and id, in ranges of about 64 MB, and each is packed as a stream. What is
     left at a range's end is cut into sequences with powers of two as lengths, so nothing is padded.
 
-    A null or empty description has the end id only. Repeated records are packed each; records without id too. Ids are integers.
-    Other columns are ignored. An empty table gives no rows.
+    A null or empty description has the end id only. Repeated records are packed each; records without id too. Ids are of any type that
+    has an order, and keep it. Other columns are ignored. An empty table gives no rows.
     """
-    width = id_width(tokenizer, end)
-    tokens = written(tokenize(catalog, tokenizer, end, width, id, description), "tokens")
-    ranged = tokens.repartitionByRange("curve", "id", F.xxhash64("ids")).sortWithinPartitions("curve", "id", "ids")
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    width, size = id_width(tokenizer, end), Observation()
+    tokens = written(tokenize(catalog, tokenizer, end, width, id, description).observe(size, F.sum(F.octet_length("ids")).alias("bytes")), "tokens")
+    parts = max(int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size.get["bytes"] or 0) // RANGE)
+    ranged = tokens.repartitionByRange(parts, "curve", "id", F.xxhash64("ids")).sortWithinPartitions("curve", "id", "ids")
+    schema = tokens.select("id").schema.add("start", "long").add("length", "long").add("ids", "binary").add("doc_tokens", "long").add("sequence_id", "long").add("offset", "long")
+    target = to_arrow_schema(schema)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(target), target)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Open(TaskContext.get().partitionId() << 33, length)
@@ -205,4 +207,4 @@ def pack_catalog(catalog: DataFrame, tokenizer: str, id: str = "id", description
                 yield batch([p for row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for p in held.add(row, np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())])
         yield batch(held.rest())
 
-    return ranged.select("id", "ids").mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ranged.select("id", "ids").mapInArrow(run, schema)
