@@ -20,6 +20,7 @@ import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _WIDE = np.uint64(21)
 _NEAR = 1024
@@ -450,12 +451,13 @@ def sample_segmentations(catalog: DataFrame, model: str, id: str = "id", descrip
     ``decode_segmentations`` does, without another pass over the rows. No shuffle.
 
     A null or empty description has one segmentation without pieces; a text with fewer than ``k`` segmentations has them all.
-    Repeated records have the same samples. Other columns are ignored.
+    Repeated records have the same samples. Ids keep their type. Other columns are ignored.
     """
-    rows = catalog.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(id), F.length(description)).alias("seed"), F.coalesce(F.col(description), F.lit("")).alias("text"))
-    names, types = ["id", "rank", "ids", "log_prob", "score", "inclusion"], (pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
+    rows = catalog.select(F.col(id).alias("id"), F.xxhash64(F.col(id), F.length(description)).alias("seed"), F.coalesce(F.col(description), F.lit("")).alias("text"))
+    schema = rows.select("id").schema.add("rank", "integer").add("ids", "binary").add("log_prob", "double").add("score", "double").add("inclusion", "double")
     if decoded:
-        names, types = [*names, "text"], (*types, pa.string())
+        schema = schema.add("text", "string")
+    target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -468,9 +470,9 @@ def sample_segmentations(catalog: DataFrame, model: str, id: str = "id", descrip
                 columns = [*zip(*out)]
                 if decoded:
                     columns.append(v.spell([np.frombuffer(x, dtype="<u4") for x in columns[2]]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
-    return rows.mapInArrow(run, "id long, rank int, ids binary, log_prob double, score double, inclusion double" + ", text string" * decoded)
+    return rows.mapInArrow(run, schema)
 
 
 def _portions(b: pa.RecordBatch, chars: int = 800_000) -> Iterator[pa.RecordBatch]:
