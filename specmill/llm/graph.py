@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from .records import written
 
-WORDS = 1 << 19
+WORDS = 1 << 16
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores after it until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
 
 
 def _place(key: Column) -> tuple[Column, Column]:
@@ -18,17 +29,17 @@ def _place(key: Column) -> tuple[Column, Column]:
 def maybe_in(rows: DataFrame, key: str, members: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` parted into those whose key may be in ``members`` and those whose key is not, without a shuffle of ``rows``.
 
-    The members are marked in a table of 2**25 bits, held as at most 2**19 rows of 64 bits: that is all that is broadcast, whatever
+    The members are marked in a table of 2**22 bits, held as at most 2**16 rows of 64 bits: that is all that is broadcast, whatever
     the number of members. With very many of them the marks tell nothing any more and all rows are in the first part. Null keys
-    are in the second.
+    are in the second. The rows keep their columns, whatever their names.
     """
-    word, bit = _place(F.col(member))
-    marks = members.where(F.col(member).isNotNull()).select(word.alias("w_"), bit.alias("b_")).groupBy("w_").agg(
-        F.bit_or(F.expr("shiftleft(1L, b_)")).alias("m_"))
-    word, bit = _place(F.col(key))
-    looked = rows.withColumn("w_", F.when(F.col(key).isNotNull(), word)).withColumn("b_", bit).join(F.broadcast(marks), "w_", "left")
-    hit = F.expr("coalesce(shiftrightunsigned(m_, b_) & 1L, 0L) = 1L")
-    return looked.where(hit).select(*rows.columns), looked.where(~hit).select(*rows.columns)
+    w, b, m = free(rows.columns, "word", "bit", "marks")
+    word, bit = _place(F.col(f"`{member}`"))
+    marks = members.where(F.col(f"`{member}`").isNotNull()).select(word.alias(w), bit.alias(b)).groupBy(w).agg(F.bit_or(F.expr(f"shiftleft(1L, {b})")).alias(m))
+    word, bit = _place(F.col(f"`{key}`"))
+    looked = rows.withColumn(w, F.when(F.col(f"`{key}`").isNotNull(), word)).withColumn(b, bit).join(F.broadcast(marks), w, "left")
+    hit = F.expr(f"coalesce(shiftrightunsigned({m}, {b}) & 1L, 0L) = 1L")
+    return looked.where(hit).drop(w, b, m), looked.where(~hit).drop(w, b, m)
 
 
 def components(links: DataFrame) -> DataFrame:

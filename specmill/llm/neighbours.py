@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from .graph import components, maybe_in
+from .graph import components, free, maybe_in
 from .grams import Table
 from .records import written
 
-GROWTH, CHUNK = 1.5, 4 << 20
+GROWTH, CHUNK, BIG = 1.5, 4 << 20, 256
+#: Block signatures that are no XOR: a block that needs no bucket, and an empty one that does.
+DROPPED, EMPTY = 0, -1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -43,8 +47,9 @@ class Bands:
     """Size bands, and what two sets of a band may differ by.
 
     Sets with sizes a <= b link if their Jaccard similarity is ``percent`` % or more; then a >= percent % of b, and they differ by at most
-    (a + b) (100 - percent) / (100 + percent) shingles. The band of a pair is that of b. A band for sizes up to U has one block more
-    than two sets of size U may differ by, so at least one block of a linked pair holds no differing shingle (pigeonhole).
+    (a + b) (100 - percent) / (100 + percent) shingles. The band of a pair is that of b. A band for sizes up to U has at least two blocks
+    more than two sets of size U may differ by, so at least two blocks of a linked pair hold no differing shingle (pigeonhole), and
+    so many more that nearly every set has two such blocks that are not empty, too.
     """
 
     def __init__(self, percent: int):
@@ -66,7 +71,23 @@ class Bands:
         return out
 
     def blocks(self, band: int) -> int:
-        return self.differ(2 * (self.bounds[band + 1] - 1)) + 1
+        top = self.bounds[band + 1] - 1
+        least = self.differ(2 * top) + 2
+        empty = least * math.exp(-top / least)
+        return least + math.ceil(empty + 6 * math.sqrt(empty))
+
+    def most(self, n: int, band: int) -> int:
+        """What a set of size ``n`` and a partner of the band may differ by."""
+        return self.differ(n + min(100 * n // self.percent, self.bounds[band + 1] - 1))
+
+    def keys(self, signs: np.ndarray, n: int, band: int) -> np.ndarray:
+        """The signatures under which a set of size ``n`` looks for partners.
+
+        If more of its blocks are filled than it may differ by and two, a partner agrees with it in two filled blocks, and empty ones are
+        dropped: many sets have those in common. Otherwise they stay.
+        """
+        filled = signs != 0
+        return np.where(filled, signs.view(np.int64), DROPPED if filled.sum() >= self.most(n, band) + 2 else EMPTY)
 
 
 def parity_sketch(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +107,7 @@ def parity_sketch(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarr
 
 def signed(catalog: DataFrame, percent: int, words: int, id: str = "id", description: str = "description") -> DataFrame:
     """(id, text_hash, n, sig, bands) per record: size and hash of its shingle set, and its sketches (band, blocks, bits); sig is null without shingles."""
-    rows = catalog.select(F.col(id).cast("long").alias("id"), F.xxhash64(description).alias("text_hash"), F.col(description).alias("description"))
+    rows = catalog.select(F.col(id).alias("id"), F.xxhash64(description).alias("text_hash"), F.col(description).alias("description"))
     bands = Bands(percent)
     kind = pa.list_(pa.struct([("band", pa.int32()), ("blocks", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]))
 
@@ -100,12 +121,13 @@ def signed(catalog: DataFrame, percent: int, words: int, id: str = "id", descrip
                     h = shingle_hashes(text, known, words)
                     n.append(len(h))
                     sig.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64)) if len(h) else None)
-                    sketches.append([{"band": k, "blocks": s.view(np.int64), "bits": f.view(np.int64)} for k in bands.of(len(h)) for s, f in [parity_sketch(h, bands.blocks(k))]]
+                    sketches.append([{"band": k, "blocks": bands.keys(s, len(h), k), "bits": f.view(np.int64)} for k in bands.of(len(h)) for s, f in [parity_sketch(h, bands.blocks(k))]]
                                     if len(h) else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(sketches, kind)],
                                                  ["id", "text_hash", "n", "sig", "bands"])
 
-    return rows.mapInArrow(run, "id long, text_hash long, n long, sig long, bands array<struct<band:int,blocks:array<bigint>,bits:array<bigint>>>")
+    sketch = T.StructType().add("band", "integer").add("blocks", T.ArrayType(T.LongType())).add("bits", T.ArrayType(T.LongType()))
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType)]).add("text_hash", "long").add("n", "long").add("sig", "long").add("bands", T.ArrayType(sketch)))
 
 
 def _verified(pairs: DataFrame, members: DataFrame, catalog: DataFrame, percent: int, words: int, id: str, description: str) -> DataFrame:
@@ -115,7 +137,7 @@ def _verified(pairs: DataFrame, members: DataFrame, catalog: DataFrame, percent:
     set of b is sent once for each share.
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(members.select("sig", "id", "text_hash"), "sig")
-    rows = catalog.select(F.col(id).cast("long").alias("id"), F.col(description).alias("description"))
+    rows = catalog.select(F.col(id).alias("id"), F.col(description).alias("description"))
     maybe, never = maybe_in(rows, "id", needed, "id")
     rows = maybe.unionByName(never.where("id IS NULL")).withColumn("text_hash", F.xxhash64("description"))
     named = needed.withColumnsRenamed({"id": "id_", "text_hash": "text_hash_"})
@@ -195,11 +217,33 @@ def _close_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are not all of one component."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return rows.join(keys, "key")
+
+
+def _open(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, sig, component, band, size): the buckets in which members of different components are to be compared.
+
+    ``rows`` have the key, block and size of each member's buckets. Sets that may link agree in two blocks, so a bucket of more than BIG
+    members, which shares a frequent passage more likely than a text, is split by what its members have in each other block.
+    """
+    rows = written(_mixed(rows), "mixed")
+    blocks = members.select("sig", F.inline("bands")).select("sig", "band", "blocks")
+    parts = rows.where(F.col("size") > BIG).join(blocks, ["sig", "band"]).select(
+        "key", "band", "block", "sig", "component", F.posexplode("blocks").alias("other", "sign")).where((F.col("sign") != DROPPED) & (F.col("other") != F.col("block")))
+    parts = written(parts.select(F.xxhash64("key", "other", "sign").alias("key"), "sig", "component", "band"), "parts")
+    several = parts.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "size")
+    columns = ["key", "sig", "component", "band", "size"]
+    return written(rows.where(F.col("size") <= BIG).select(*columns).unionByName(parts.join(several, "key").select(*columns)), "open")
+
+
 def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "description", percent: int = 90, words: int = 3) -> DataFrame:
     """Components of records whose ``words``-word shingle sets have a Jaccard similarity of ``percent`` % or more.
 
     One row (id, n_shingles, set_id, component_id) per record; set_id tells equal sets, component_id is the smallest id that can be
-    reached by links, the record's own included. Exact: no link between different sets is lost.
+    reached by links, the record's own included. No link between different sets is lost; equal sets are told by a 64-bit hash.
 
     Records with the same set are one class, and only classes are joined. Each class puts the blocks of its parity sketch, per size
     band, into buckets; two classes that may link share a bucket. In each bucket every class is held against one other, the class
@@ -207,7 +251,7 @@ def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "desc
     components are compared, by the bits their sketches differ in, and what is close enough is verified by the whole sets.
 
     A record with a null description or without words has no shingles and is alone; without id its component is null unless a
-    linked record has one. Repeated records are linked. Ids are integers; other columns are ignored.
+    linked record has one. Repeated records are linked. Ids are of any type that has an order and keep it; other columns are ignored.
     """
     return _grouped(catalog, id, description, percent, words).select("id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), "component_id")
 
@@ -218,8 +262,8 @@ def _grouped(catalog: DataFrame, id: str, description: str, percent: int, words:
     first = F.struct(F.col("id").isNull().alias("null_"), "id", "text_hash")
     classes = written(all_rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min_by(F.struct("id", "text_hash", "n", "bands"), first).alias("r")).select("sig", "r.*"), "classes")
 
-    keyed = classes.select("sig", F.inline("bands")).select("sig", "band", F.posexplode("blocks").alias("block", "sign")).select(
-        F.xxhash64("band", "block", "sign").alias("key"), "sig", "band")
+    keyed = classes.select("sig", F.inline("bands")).select("sig", "band", F.posexplode("blocks").alias("block", "sign")).where(F.col("sign") != DROPPED).select(
+        F.xxhash64("band", "block", "sign").alias("key"), "sig", "band", "block")
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     met = written(maybe_in(keyed, "key", shared, "key")[0].join(shared, "key"), "met")
 
@@ -238,12 +282,16 @@ def _grouped(catalog: DataFrame, id: str, description: str, percent: int, words:
 
     # what the leaders have not joined
     joined = components(star).withColumnsRenamed({"node": "sig"})
-    rest = led.where("size > 2").select("key", "band", "sig", "size").join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rows = rest.join(mixed, "key").join(sketches, "sig").select("key", "sig", "component", "n", F.expr("sketch[band]").alias("bits"), "size")
+    rest = _open(led.where("size > 2").select("key", "band", "block", "sig", "size").join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig")), members)
+    rows = rest.join(sketches, "sig").select("key", "sig", "component", "n", F.expr("sketch[band]").alias("bits"), "size")
     more = _verified(written(_close_in_buckets(rows, percent), "close"), members, catalog, percent, words, id, description)
 
-    found = components(star.unionByName(more)).withColumnsRenamed({"node": "sig"})
+    links = more
+    for end in ("a", "b"):
+        links = links.join(joined.select(F.col("sig").alias(end), F.col("component").alias("label")), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    again = components(links).withColumnsRenamed({"node": "label", "component": "lower"})  # of components only
+    nodes = joined.unionByName(again.select(F.col("label").alias("sig"), F.col("label").alias("component"))).distinct()
+    found = nodes.join(again, F.col("component") == F.col("label"), "left").select("sig", F.coalesce("lower", "component").alias("component")).distinct()
     lowest = classes.select("sig", "id", "text_hash").join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = lowest.join(lowest.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("null_"), "id", "text_hash")).alias("first")), "component").select(
         "sig", F.col("first.id").alias("component_id"), F.col("first.text_hash").alias("component_hash"))
@@ -263,8 +311,12 @@ def keep_first(catalog: DataFrame, id: str = "id", description: str = "descripti
     goes = ~(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash")))
     found = written(_grouped(catalog, id, description, percent, words).select("id", "text_hash", goes.alias("goes")), "found")
     doubtful = found.where("id IS NOT NULL").groupBy("id", "text_hash").agg(F.count("*").alias("n"), F.max("goes").alias("goes")).where("n > 1 OR goes").select(
-        F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), "goes")
-    maybe, stays = maybe_in(catalog, id, doubtful, "id_")
-    looked = maybe.join(doubtful, (F.col(id) == F.col("id_")) & (F.xxhash64(description) == F.col("hash_")), "left").where("goes IS NULL OR NOT goes")
-    again = looked.where("goes IS NOT NULL").withColumn("place_", F.row_number().over(W.partitionBy("id_", "hash_").orderBy("id_"))).where("place_ = 1")
-    return stays.unionByName(looked.where("goes IS NULL").select(*catalog.columns)).unionByName(again.select(*catalog.columns))
+        F.col("id").alias("doubtful_id"), F.col("text_hash").alias("doubtful_hash"), "goes")
+    own, text_hash = free(catalog.columns, "own_id", "own_hash")
+    rows = catalog.withColumn(own, F.col(id)).withColumn(text_hash, F.xxhash64(description))
+    maybe, stays = maybe_in(rows, own, doubtful, "doubtful_id")
+    held = maybe.select(F.struct(*(F.col(f"`{c}`") for c in catalog.columns)).alias("held"), F.col(own).alias("own_id"), F.col(text_hash).alias("own_hash"))
+    looked = held.join(doubtful, (F.col("own_id") == F.col("doubtful_id")) & (F.col("own_hash") == F.col("doubtful_hash")), "left").where("goes IS NULL OR NOT goes")
+    again = looked.where("goes IS NOT NULL").withColumn("place", F.row_number().over(W.partitionBy("own_id", "own_hash").orderBy("own_id"))).where("place = 1")
+    kept = looked.where("goes IS NULL").select("held").unionByName(again.select("held"))
+    return stays.drop(own, text_hash).unionByName(kept.select(*(F.col(f"held.`{c}`").alias(c) for c in catalog.columns)))

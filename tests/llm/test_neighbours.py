@@ -8,13 +8,13 @@ import corpus_pipeline
 from specmill.llm import graph, neighbours, q_neighbours
 
 
-def shingles(text):
+def shingles(text, words=3):
     w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i:i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i:i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
 
 
-def brute(texts, percent=90):
-    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+def brute(texts, percent=90, words=3):
+    sets, root = {i: shingles(t, words) for i, t in texts.items()}, {i: i for i in texts}
 
     def find(x):
         while root[x] != x:
@@ -47,9 +47,15 @@ def test_groups_of_copies(spark):
             words = texts[len(texts) - 1].split() if rnd.random() < 0.2 else words  # copies of copies
     texts |= {1_000: "", 1_001: None, 1_002: "one", 1_003: "One", 1_004: "one two", 1_005: "\tone  TWO\n"}
     df = spark.createDataFrame(list(texts.items()), "id long, description string")
-    for percent in (90, 75):
-        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in neighbours.near_duplicates(df, percent=percent).collect()}
-        assert got == brute(texts, percent)
+    for percent, words in ((90, 3), (75, 3), (80, 5)):
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in neighbours.near_duplicates(df, percent=percent, words=words).collect()}
+        assert got == brute(texts, percent, words)
+    size, neighbours.BIG = neighbours.BIG, 2  # all buckets of three and more are split
+    try:
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in neighbours.near_duplicates(df, percent=80, words=5).collect()}
+    finally:
+        neighbours.BIG = size
+    assert got == brute(texts, 80, 5)
 
 
 def test_query(spark, sf):
@@ -74,6 +80,39 @@ def test_buckets_leave_no_close_pair(spark):
     assert whole == parts == {k for k, d in apart.items() if d <= 80 * 25 // 175}
 
 
+def test_frequent_passages_make_no_large_buckets(spark):
+    """Unlike texts with a common passage and short common ends: what is compared stays in proportion to the texts."""
+    rnd, rows = random.Random(12), []
+    common = " ".join(f"c{i}" for i in range(14))
+    for i in range(6_000):
+        rows.append((i, f"{common} {' '.join(f'w{rnd.randrange(10 ** 6)}' for _ in range(26))} the end of it"))
+    catalog = spark.createDataFrame(rows, "id long, description string")
+    for percent, words in ((90, 3), (80, 5)):
+        classes = neighbours.signed(catalog, percent, words)
+        keyed = classes.selectExpr("sig", "inline(bands)").selectExpr("sig", "band", "posexplode(blocks) AS (block, sign)").where("sign <> 0")
+        sizes = keyed.groupBy("band", "block", "sign").count().where("count > 1")
+        met = keyed.join(sizes, ["band", "block", "sign"]).selectExpr("xxhash64(band, block, sign) AS key", "band", "block", "sig", "count AS size", "sig AS component")
+        opened = neighbours._open(met, classes)
+        compared = opened.groupBy("key").count().selectExpr("sum(count * (count - 1) / 2) AS n").first()["n"] or 0
+        assert compared < 300 * len(rows), (percent, words, compared)
+        assert neighbours.near_duplicates(catalog, percent=percent, words=words).where("id <> component_id").count() == 0
+
+
+def test_few_sets_look_by_empty_blocks():
+    rnd = np.random.default_rng(13)
+    for percent in (80, 90):
+        bands, kept = neighbours.Bands(percent), 0
+        for _ in range(2_000):
+            h = rnd.integers(0, 1 << 63, int(rnd.integers(9, 700)), dtype=np.uint64)
+            for k in bands.of(len(h)):
+                signs = neighbours.parity_sketch(h, bands.blocks(k))[0]
+                keys = bands.keys(signs, len(h), k)
+                assert ((keys == neighbours.DROPPED) | (keys == neighbours.EMPTY))[signs == 0].all() and (keys[signs != 0] == signs[signs != 0].view(np.int64)).all()
+                assert bands.blocks(k) >= bands.differ(2 * (bands.bounds[k + 1] - 1)) + 2
+                kept += (keys == neighbours.EMPTY).any()
+        assert kept < 10
+
+
 def test_sketch_bounds_the_difference():
     rnd, bands = np.random.default_rng(7), neighbours.Bands(90)
     for _ in range(300):
