@@ -44,8 +44,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_on_documents
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    return neighbours.keep_first(docs, "doc_id", "text")
+    """The first document of each group of near-duplicates: 80 % or more of their five-word shingles in common."""
+    return neighbours.keep_first(docs, "doc_id", "text", percent=80, words=5)
 
 
 @_on_documents
