@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .records import written
 
-WORDS = 1 << 16
+WORDS = 1 << 18
 
 
 def free(columns: list[str], *names: str) -> list[str]:
@@ -29,7 +29,7 @@ def _place(key: Column) -> tuple[Column, Column]:
 def maybe_in(rows: DataFrame, key: str, members: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` parted into those whose key may be in ``members`` and those whose key is not, without a shuffle of ``rows``.
 
-    The members are marked in a table of 2**22 bits, held as at most 2**16 rows of 64 bits: that is all that is broadcast, whatever
+    The members are marked in a table of 2**24 bits, held as at most 2**18 rows of 64 bits: that is all that is broadcast, whatever
     the number of members. With very many of them the marks tell nothing any more and all rows are in the first part. Null keys
     are in the second. The rows keep their columns, whatever their names.
     """

@@ -17,7 +17,7 @@ from .graph import components, free, maybe_in
 from .grams import Table
 from .records import written
 
-GROWTH, CHUNK, BIG = 1.5, 4 << 20, 256
+GROWTH, CHUNK = 1.5, 4 << 20
 #: Block signatures that are no XOR: a block that needs no bucket, and an empty one that does.
 DROPPED, EMPTY = 0, -1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -47,9 +47,9 @@ class Bands:
     """Size bands, and what two sets of a band may differ by.
 
     Sets with sizes a <= b link if their Jaccard similarity is ``percent`` % or more; then a >= percent % of b, and they differ by at most
-    (a + b) (100 - percent) / (100 + percent) shingles. The band of a pair is that of b. A band for sizes up to U has at least two blocks
-    more than two sets of size U may differ by, so at least two blocks of a linked pair hold no differing shingle (pigeonhole), and
-    so many more that nearly every set has two such blocks that are not empty, too.
+    (a + b) (100 - percent) / (100 + percent) shingles. The band of a pair is that of b. A band for sizes up to U has more blocks than
+    two sets of size U may differ by, so some blocks of a linked pair hold no differing shingle (pigeonhole), and so many more that
+    nearly every set has such blocks that are not empty, too.
     """
 
     def __init__(self, percent: int):
@@ -80,14 +80,19 @@ class Bands:
         """What a set of size ``n`` and a partner of the band may differ by."""
         return self.differ(n + min(100 * n // self.percent, self.bounds[band + 1] - 1))
 
-    def keys(self, signs: np.ndarray, n: int, band: int) -> np.ndarray:
-        """The signatures under which a set of size ``n`` looks for partners.
+    def keys(self, signs: np.ndarray, n: int, band: int) -> tuple[np.ndarray, int]:
+        """The signatures, folded to 32 bits, under which a set of size ``n`` looks for partners, and how many of them it may leave out.
 
-        If more of its blocks are filled than it may differ by and two, a partner agrees with it in two filled blocks, and empty ones are
-        dropped: many sets have those in common. Otherwise they stay.
+        With q filled blocks and d shingles that it may differ by, a set agrees with each partner in q - d filled blocks or more: empty ones,
+        which many sets have in common, are dropped, and of the filled ones any q - d - 1 may be left out, if both sets leave out the
+        last ones in the same order of all signatures: the first one they share is then among those that stay. A set with d filled
+        blocks or fewer keeps all, the empty ones too.
         """
         filled = signs != 0
-        return np.where(filled, signs.view(np.int64), DROPPED if filled.sum() >= self.most(n, band) + 2 else EMPTY)
+        folded = (signs ^ (signs >> np.uint64(32))).astype(np.uint32).view(np.int32) | np.int32(2)  # neither 0 nor -1
+        folded[folded == EMPTY] ^= 1
+        spare = int(filled.sum()) - self.most(n, band) - 1
+        return np.where(filled, folded, np.int32(DROPPED if spare >= 0 else EMPTY)), max(0, spare)
 
 
 def parity_sketch(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +111,10 @@ def parity_sketch(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarr
 
 
 def signed(catalog: DataFrame, percent: int, words: int, id: str = "id", description: str = "description") -> DataFrame:
-    """(id, text_hash, n, sig, bands) per record: size and hash of its shingle set, and its sketches (band, blocks, bits); sig is null without shingles."""
+    """(id, text_hash, n, sig, bands) per record: size and hash of its shingle set, and its sketches (band, blocks, spare, bits); sig is null without shingles."""
     rows = catalog.select(F.col(id).alias("id"), F.xxhash64(description).alias("text_hash"), F.col(description).alias("description"))
     bands = Bands(percent)
-    kind = pa.list_(pa.struct([("band", pa.int32()), ("blocks", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("band", pa.int32()), ("blocks", pa.list_(pa.int32())), ("spare", pa.int32()), ("bits", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table()
@@ -121,12 +126,13 @@ def signed(catalog: DataFrame, percent: int, words: int, id: str = "id", descrip
                     h = shingle_hashes(text, known, words)
                     n.append(len(h))
                     sig.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64)) if len(h) else None)
-                    sketches.append([{"band": k, "blocks": bands.keys(s, len(h), k), "bits": f.view(np.int64)} for k in bands.of(len(h)) for s, f in [parity_sketch(h, bands.blocks(k))]]
+                    sketches.append([{"band": k, "blocks": keys, "spare": spare, "bits": f.view(np.int64)} for k in bands.of(len(h)) for s, f in [parity_sketch(h, bands.blocks(k))]
+                                     for keys, spare in [bands.keys(s, len(h), k)]]
                                     if len(h) else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(sketches, kind)],
                                                  ["id", "text_hash", "n", "sig", "bands"])
 
-    sketch = T.StructType().add("band", "integer").add("blocks", T.ArrayType(T.LongType())).add("bits", T.ArrayType(T.LongType()))
+    sketch = T.StructType().add("band", "integer").add("blocks", T.ArrayType(T.IntegerType())).add("spare", "integer").add("bits", T.ArrayType(T.LongType()))
     return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType)]).add("text_hash", "long").add("n", "long").add("sig", "long").add("bands", T.ArrayType(sketch)))
 
 
@@ -217,26 +223,17 @@ def _close_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of buckets whose members are not all of one component."""
-    keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return rows.join(keys, "key")
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, sig, n, band, size): the keys by which sets look for partners; ``size`` is how many sets have the key at all.
 
-
-def _open(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(key, sig, component, band, size): the buckets in which members of different components are to be compared.
-
-    ``rows`` have the key, block and size of each member's buckets. Sets that may link agree in two blocks, so a bucket of more than BIG
-    members, which shares a frequent passage more likely than a text, is split by what its members have in each other block.
+    Each set leaves out as many of its most frequent keys as it may, so a passage or an ending that many texts share brings few together.
     """
-    rows = written(_mixed(rows), "mixed")
-    blocks = members.select("sig", F.inline("bands")).select("sig", "band", "blocks")
-    parts = rows.where(F.col("size") > BIG).join(blocks, ["sig", "band"]).select(
-        "key", "band", "block", "sig", "component", F.posexplode("blocks").alias("other", "sign")).where((F.col("sign") != DROPPED) & (F.col("other") != F.col("block")))
-    parts = written(parts.select(F.xxhash64("key", "other", "sign").alias("key"), "sig", "component", "band"), "parts")
-    several = parts.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "size")
-    columns = ["key", "sig", "component", "band", "size"]
-    return written(rows.where(F.col("size") <= BIG).select(*columns).unionByName(parts.join(several, "key").select(*columns)), "open")
+    keyed = classes.select("sig", "n", F.inline("bands")).select("sig", "n", "band", "spare", F.posexplode("blocks").alias("block", "sign")).where(F.col("sign") != DROPPED).select(
+        F.xxhash64("band", "block", "sign").alias("key"), "sig", "n", "band", "spare")
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    often = F.row_number().over(W.partitionBy("sig", "band").orderBy(F.desc("size"), F.desc("key")))  # as many as a set has blocks
+    ranked = maybe_in(keyed, "key", shared, "key")[0].join(shared, "key").withColumn("often", often)
+    return written(ranked.where("often > spare").select("key", "sig", "n", "band", "size"), "met")
 
 
 def near_duplicates(catalog: DataFrame, id: str = "id", description: str = "description", percent: int = 90, words: int = 3) -> DataFrame:
@@ -262,28 +259,30 @@ def _grouped(catalog: DataFrame, id: str, description: str, percent: int, words:
     first = F.struct(F.col("id").isNull().alias("null_"), "id", "text_hash")
     classes = written(all_rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min_by(F.struct("id", "text_hash", "n", "bands"), first).alias("r")).select("sig", "r.*"), "classes")
 
-    keyed = classes.select("sig", F.inline("bands")).select("sig", "band", F.posexplode("blocks").alias("block", "sign")).where(F.col("sign") != DROPPED).select(
-        F.xxhash64("band", "block", "sign").alias("key"), "sig", "band", "block")
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    met = written(maybe_in(keyed, "key", shared, "key")[0].join(shared, "key"), "met")
-
+    met = _buckets(classes)
     scores = met.groupBy("sig").agg(F.sum("size").alias("score"))
-    leaders = written(met.join(scores, "sig").groupBy("key").agg(F.max(F.struct("score", "sig"))["sig"].alias("leader")), "leaders")
+    leaders = written(met.join(scores, "sig").groupBy("key").agg(F.max(F.struct("score", "sig", "n")).alias("r"), F.count("*").alias("members")).where("members > 1").select(
+        "key", F.col("r.sig").alias("leader"), F.col("r.n").alias("m"), "members"), "leaders")
     led = met.join(leaders, "key").where("sig <> leader")
-    members = written(classes.join(scores.select("sig"), "sig"), "members")
-
-    sketches = members.select("sig", "n", F.map_from_entries(F.transform("bands", lambda b: F.struct(b["band"], b["bits"]))).alias("sketch"))
-    pairs = led.select("sig", "leader", "band").distinct().withColumn("share", F.pmod(F.xxhash64("sig", F.lit(41)), F.lit(16)).cast("int"))
-    leading = pairs.select("leader", "share").distinct().join(sketches.select(F.col("sig").alias("leader"), F.col("n").alias("m"), F.col("sketch").alias("other")), "leader")
+    bits = F.map_from_entries(F.transform("bands", lambda b: F.struct(b["band"], b["bits"]))).alias("sketch")
+    members = written(classes.join(scores.select("sig"), "sig").select("sig", "id", "text_hash", "n", bits), "members")
+
+    sketches = members.select("sig", "sketch")
+    alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    pairs = led.where(alike).select("sig", "leader", "band", "n", "m").distinct().withColumn(
+        "share", F.pmod(F.xxhash64("sig", F.lit(41)), F.lit(16)).cast("int"))
+    leading = pairs.select("leader", "share").distinct().join(sketches.select(F.col("sig").alias("leader"), F.col("sketch").alias("other")), "leader")
     looked = pairs.join(sketches, "sig").join(leading, ["leader", "share"])  # in shares, so that no leader is a hot key
     apart = F.aggregate(F.zip_with(F.expr("sketch[band]"), F.expr("other[band]"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = looked.where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (apart <= F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent))))
+    close = looked.where(apart <= F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent)))
     star = _verified(close.select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct(), members, catalog, percent, words, id, description)
 
     # what the leaders have not joined
     joined = components(star).withColumnsRenamed({"node": "sig"})
-    rest = _open(led.where("size > 2").select("key", "band", "block", "sig", "size").join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig")), members)
-    rows = rest.join(sketches, "sig").select("key", "sig", "component", "n", F.expr("sketch[band]").alias("bits"), "size")
+    rest = led.where("members > 2").select("key", "band", "sig", F.col("members").alias("size")).join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rest = rest.join(mixed, "key")
+    rows = rest.join(members.select("sig", "n", "sketch"), "sig").select("key", "sig", "component", "n", F.expr("sketch[band]").alias("bits"), "size")
     more = _verified(written(_close_in_buckets(rows, percent), "close"), members, catalog, percent, words, id, description)
 
     links = more
