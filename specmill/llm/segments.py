@@ -475,7 +475,7 @@ def sample_segmentations(catalog: DataFrame, model: str, id: str = "id", descrip
     return rows.mapInArrow(run, schema)
 
 
-def _portions(b: pa.RecordBatch, chars: int = 800_000) -> Iterator[pa.RecordBatch]:
+def _portions(b: pa.RecordBatch, chars: int = 2_400_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``chars`` bytes of text, a longer text being one of its own."""
     at, total = 0, 0
     for i, n in enumerate(pa.compute.binary_length(b.column(2)).to_pylist()):
