@@ -119,3 +119,8 @@ def lit_map(d: dict) -> Column:
 def lookup(x, d: dict) -> Column:
     """Literal dictionary lookup, NULL for unknown keys."""
     return F.try_element_at(lit_map(d), c(x))
+
+
+def content_hash(text: Column | str) -> Column:
+    """SHA-256 of the UTF-8 text in lower-case hex: the key under which results of a text are kept. Null has none."""
+    return F.sha2((F.col(text) if isinstance(text, str) else text).cast("binary"), 256)

@@ -23,7 +23,8 @@ def dedupe_fold(df: DataFrame, key: Column | None = None, recompute: bool = True
 
     Identity fields come from the first row; texts keep the longest (earlier on ties); lists become their ordered
     union; anything else the first non-NULL value. List elements are reduced to distinct (key, element) before they
-    meet. Media lists (structs) are united the same way and counted (``n_<list>``). A record's lists are one row, so a key
+    meet. Media lists (structs) are united the same way and counted (``n_<list>``); with ``mode='compat'`` they are put one after the
+    other, equal items too, as objects are never equal there. A record's lists are one row, so a key
     with very many distinct items makes a large row: ``media='rows'`` leaves the media to ``fold_media``, which keeps one row per item.
     ``recompute`` rescores the merged record; otherwise the derived fields follow the same rules as any other field.
     """
@@ -46,23 +47,24 @@ def dedupe_fold(df: DataFrame, key: Column | None = None, recompute: bool = True
     out = keyed.groupBy("_key").agg(F.min(pos).alias(pos), F.count("*").alias("_merged"), *aggs)
     unions = lists + (structs if media == "inline" else [])
     if unions:
-        out = out.join(_list_unions(keyed, unions, pos), "_key", "left")
+        out = out.join(_list_unions(keyed, unions, pos, structs if mode == "compat" else []), "_key", "left")
         empty = {n: F.array().cast(df.schema[n].dataType) for n in unions}
         out = out.withColumns({n: F.when(F.col(f"_has_{n}"), F.coalesce(F.col(f"_u_{n}"), empty[n])) for n in unions})
     out = out.drop(*[x for x in out.columns if x.startswith(("_has_", "_u_"))])
     return score(out) if recompute else out
 
 
-def _list_unions(keyed: DataFrame, names: list[str], pos: str) -> DataFrame:
-    """Ordered distinct elements per key for several list columns: columns of one element type share one pass."""
+def _list_unions(keyed: DataFrame, names: list[str], pos: str, repeated: list[str]) -> DataFrame:
+    """Ordered distinct elements per key for several list columns, all elements of ``repeated`` ones: columns of one element type share one pass."""
     by_type: dict[str, list[str]] = {}
     for n in names:
         by_type.setdefault(keyed.schema[n].dataType.simpleString(), []).append(n)
     parts = None
     for group in by_type.values():
         items = F.flatten(F.array(*[_tagged(n, keyed.schema[n].dataType) for n in group]))
-        first = (keyed.select("_key", pos, F.inline(items)).filter("_e is not null")
-                 .groupBy("_key", "_f", "_e").agg(F.min(F.struct(pos, "_i")).alias("_at")))
+        found = keyed.select("_key", pos, F.inline(items)).filter("_e is not null")
+        again = group[0] in repeated
+        first = found.select("_key", "_f", "_e", F.struct(pos, "_i").alias("_at")) if again else found.groupBy("_key", "_f", "_e").agg(F.min(F.struct(pos, "_i")).alias("_at"))
         sets = first.groupBy("_key").agg(*[
             F.transform(F.array_sort(F.collect_list(F.when(c("_f") == n, F.struct("_at", "_e")))), lambda x: x["_e"]).alias(f"_u_{n}")
             for n in group])
@@ -77,23 +79,34 @@ def _tagged(name: str, dtype: T.DataType) -> Column:
 
 
 def fold_media(df: DataFrame, column: str, key: Column | None = None, mode: str = "fixed", pos: str = "_pos") -> DataFrame:
-    """Media items of every merged record as rows (key, position, item), in merge order by (position, i)."""
+    """Media items of every merged record as rows (key, position, item), in merge order by (position, i): all of them, equal ones too."""
     keyed = df.withColumn("_key", key if key is not None else dedupe_key(mode=mode))
     return keyed.select(c("_key").alias("key"), pos, F.posexplode(column).alias("i", "item"))
 
 
-def duplicate_groups(df: DataFrame) -> DataFrame:
-    """Groups of more than one row by URL, then by vendor + model where no member is in a URL group."""
+def _grouped(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of more than one row by URL, and those by vendor + model where no member is in a URL group."""
     rows = df.select("id", F.when(truthy("url"), url_key("url")).alias("_url"),
                      F.lower(F.concat_ws("|", F.coalesce("manufacturer", F.lit("")), F.coalesce("model", F.lit("")))).alias("_model"))
     urls = (rows.filter(c("_url").isNotNull()).groupBy("_url").agg(F.count("*").alias("n")).filter("n > 1"))
     marked = rows.join(urls.select("_url", F.lit(True).alias("_dup")), "_url", "left")
     models = (marked.groupBy("_model").agg(F.count("*").alias("n"), F.count("_dup").alias("_covered"))
               .filter("n > 1 and _covered = 0"))
+    return urls, models
+
+
+def duplicate_groups(df: DataFrame) -> DataFrame:
+    """Groups of more than one row by URL, then by vendor + model where no member is in a URL group."""
+    urls, models = _grouped(df)
     return (urls.select(F.lit("url").alias("type"), c("_url").alias("key"), "n")
             .unionByName(models.select(F.lit("model").alias("type"), c("_model").alias("key"), "n")))
 
 
+def model_groups(df: DataFrame) -> DataFrame:
+    """Groups (key, n) of rows with the same vendor and model, none of which shares its URL with another row."""
+    return _grouped(df)[1].select(c("_model").alias("key"), "n")
+
+
 def best_key() -> Column:
     return F.concat_ws("|", F.coalesce("manufacturer", F.lit("")), F.lower(js_trim(F.coalesce("model", F.lit("")))))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import units
@@ -95,19 +95,25 @@ def index_sizes(df: DataFrame) -> DataFrame:
 def db_stats(df: DataFrame) -> DataFrame:
     """Totals, distinct vendors and classes, capacity range, presence ratios and the newest date.
 
-    Vendor and class counts come from a small distinct list rather than from a distinct aggregate over all rows.
+    One scan: each row gives itself, its vendor and its classes; what is counted of the latter are the groups they make.
     """
-    kg = units.search_capacity("loadCapacity")
-    flags = presence_flags()
-    main = df.agg(F.count("*").alias("totalRecords"), F.coalesce(F.min(kg), F.lit(0.0)).alias("capacityMin"),
-                  F.coalesce(F.max(kg), F.lit(0.0)).alias("capacityMax"),
-                  F.max(F.unix_millis(F.col("lastUpdated").cast("timestamp"))).alias("lastUpdatedMs"),
-                  *[F.avg(f.cast("double")).alias(n) for n, f in flags.items()])
-    p = pairs(df, {"manufacturers": c("manufacturer")}, "metric").unionByName(
-        df.select(F.lit("classifications").alias("metric"), F.explode("classification").alias("value")))
-    distinct = p.distinct().groupBy("metric").agg(F.count("*").cast("double").alias("value"))
-    names = ["totalRecords", "capacityMin", "capacityMax", "lastUpdatedMs", *flags]
-    return metrics(main, {k: F.coalesce(F.col(k), F.lit(0)) for k in names}).unionByName(distinct)
+    kg, flags = units.search_capacity("loadCapacity"), presence_flags()
+    own = {"kg": kg, "ms": F.unix_millis(F.col("lastUpdated").cast("timestamp")), **{n: f.cast("int") for n, f in flags.items()}}
+    kinds = {n: "double" if n == "kg" else "bigint" if n == "ms" else "int" for n in own}
+    shape = "array<struct<kind:string,value:string," + ",".join(f"`{n}`:{t}" for n, t in kinds.items()) + ">>"
+
+    def item(kind: str, value: Column, full: bool = False) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), *[(v if full else F.lit(None)).cast(kinds[n]).alias(n) for n, v in own.items()])
+
+    classes = F.coalesce(F.transform("classification", lambda x: item("classifications", x)).cast(shape), F.array().cast(shape))
+    vendor = F.when(F.col("manufacturer").isNotNull(), F.array(item("manufacturers", F.col("manufacturer")))).otherwise(F.array().cast(shape)).cast(shape)
+    groups = df.select(F.inline(F.concat(F.array(item("rows", F.lit(""), True)).cast(shape), vendor, classes))).groupBy("kind", "value").agg(
+        F.count("*").alias("n"), F.min("kg").alias("lo"), F.max("kg").alias("hi"), F.max("ms").alias("ms"), *[F.avg(n).alias(n) for n in flags])
+    mine = lambda n: F.max(F.when(c("kind") == "rows", F.col(n)))
+    main = groups.agg(mine("n").alias("totalRecords"), mine("lo").alias("capacityMin"), mine("hi").alias("capacityMax"), mine("ms").alias("lastUpdatedMs"), *[mine(n).alias(n) for n in flags],
+                      *[F.count_if(c("kind") == k).alias(k) for k in ("manufacturers", "classifications")])
+    names = ["totalRecords", "capacityMin", "capacityMax", "lastUpdatedMs", *flags, "manufacturers", "classifications"]
+    return metrics(main, {k: F.coalesce(F.col(k), F.lit(0)) for k in names})
 
 
 FIELD_FLAGS = ["loadCapacity", "liftingSpeed", "motorPower", "weight", "dimensions", "classification", "images", "pdfs",

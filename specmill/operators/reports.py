@@ -11,7 +11,7 @@ from ..functions.values import pct
 from ..session import cut
 from .facets import class_stats, has_list
 from .rules import is_stale
-from .tidy import limited, lines, metrics, pairs, with_zeros
+from .tidy import entry, limited, lines, metrics, pairs, tally, top_k, with_zeros
 
 
 def _filled(f: str) -> Column:
@@ -24,23 +24,24 @@ STATS_FIELDS = ["loadCapacity", "liftingSpeed", "motorPower", "classification",
 def stats_report(df: DataFrame) -> DataFrame:
     """(section, key, n, pct): totals, vendor / class / capacity counts and completeness of six fields.
 
-    Distinct vendors and vendor-model pairs come from one (vendor, model) pre-aggregation.
+    One scan: each row gives its vendor with the model, its classes, its capacity bucket and its fields as entries; totals and distinct
+    vendors and models come from the counts of these.
     """
-    pct0 = F.lit(None).cast("double")
-    per = df.groupBy("manufacturer", "model").agg(F.count("*").alias("_n"))
-    totals = per.agg(F.sum("_n").alias("totalRecords"), F.count("*").alias("uniqueModels"))
-    vendors = per.groupBy("manufacturer").agg(F.sum("_n").alias("n"))
-    head = lines(totals, [{"section": F.lit("summary"), "key": F.lit(k), "n": c(k)} for k in ("totalRecords", "uniqueModels")])
-    nv = vendors.agg(F.lit("summary").alias("section"), F.lit("manufacturers").alias("key"), F.count("*").alias("n"))
-    caps = pairs(df, {"capacity": units.capacity_bucket(units.search_capacity("loadCapacity"), "tight")}, "section", "key")
-    counts = (head.unionByName(nv)
-              .unionByName(vendors.filter(truthy("manufacturer")).select(F.lit("manufacturer").alias("section"), c("manufacturer").alias("key"), "n"))
-              .unionByName(class_stats(df).select(F.lit("classification").alias("section"), c("name").alias("key"), c("count").alias("n")))
-              .unionByName(caps.groupBy("section", "key").agg(F.count("*").alias("n")))).withColumn("pct", pct0)
-    row = df.agg(F.count("*").alias("_t"), *[F.count_if(_filled(f)).alias(f) for f in STATS_FIELDS])
-    full = lines(row, [{"section": F.lit("completeness"), "key": F.lit(f), "n": c(f), "pct": F.coalesce(pct(f, "_t"), F.lit(0.0))}
-                       for f in STATS_FIELDS])
-    return counts.unionByName(full)
+    bucket = units.capacity_bucket(units.search_capacity("loadCapacity"), "tight")
+    own = F.array(entry("model", c("manufacturer"), 1, c("model")), *[entry("completeness", f, _filled(f).cast("int")) for f in STATS_FIELDS])
+    fixed = [("completeness", f) for f in STATS_FIELDS] + [("summary", k) for k in ("totalRecords", "uniqueModels", "manufacturers")]
+    counts = tally(df, [own, _class_entries("classification"), F.when(bucket.isNotNull(), F.array(entry("capacity", bucket)))], fixed)
+    per = counts.groupBy("section", "key").agg(F.sum("n").alias("n"), F.sum("of").alias("of"), F.count("*").alias("models"))
+    line = lambda section, key, n: F.struct(section.alias("section"), key.alias("key"), n.alias("n"), c("of").alias("of"))
+    vendor = [line(F.lit("manufacturer"), c("key"), c("n")), *[line(F.lit("summary"), F.lit(k), n) for k, n in (
+        ("totalRecords", c("n")), ("uniqueModels", c("models")), ("manufacturers", F.lit(1).cast("long")))]]
+    found = per.select(F.inline(F.when(c("section") == "model", F.array(*vendor)).otherwise(F.array(line(c("section"), c("key"), c("n"))))))
+    out = found.groupBy("section", "key").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).filter((c("section") != "manufacturer") | truthy("key"))
+    return out.select("section", "key", "n", F.when(c("section") == "completeness", F.coalesce(pct("n", "of"), F.lit(0.0))).alias("pct"))
+
+
+def _class_entries(section: str) -> Column:
+    return F.transform("classification", lambda x: entry(section, x))
 
 
 def top_vendors(df: DataFrame, k: int | None = None) -> DataFrame:
@@ -128,15 +129,16 @@ COVERAGE = ["loadCapacity", "liftingSpeed", "motorPower", "voltageOptions", "cla
 
 
 def coverage(df: DataFrame, k: int | None = None) -> DataFrame:
-    """(section, key, n): eight signals, classes, vendors with a capacity (with k the first k of each)."""
-    done = F.count_if(F.coalesce(c("pdfExtracted"), F.lit(False))) if "pdfExtracted" in df.columns else F.lit(0).cast("long")
-    row = df.agg(F.count("*").alias("total"), *[F.count_if(_filled(f)).alias(f) for f in COVERAGE], done.alias("pdfExtracted"),
-                 F.count_if(~truthy("loadCapacity")).alias("missingCapacity"))
-    head = lines(row, [{"section": F.lit("signals"), "key": F.lit(x), "n": c(x)} for x in row.columns])
-    cls = limited(class_stats(df).orderBy(c("count").desc(), "name"), k).select(F.lit("classes").alias("section"), c("name").alias("key"), c("count").alias("n"))
-    vend = (limited(df.filter(truthy("loadCapacity")).groupBy("manufacturer").agg(F.count("*").alias("n"))
-                    .orderBy(c("n").desc(), "manufacturer"), k).select(F.lit("vendors").alias("section"), c("manufacturer").alias("key"), "n"))
-    return head.unionByName(cls).unionByName(vend)
+    """(section, key, n): signals, classes, vendors with a capacity (with k the first k of each), from one scan."""
+    done = F.coalesce(c("pdfExtracted"), F.lit(False)) if "pdfExtracted" in df.columns else F.lit(False)
+    flags = {"total": F.lit(True), **{f: _filled(f) for f in COVERAGE}, "pdfExtracted": done, "missingCapacity": ~truthy("loadCapacity")}
+    signals = F.array(*[entry("signals", x, F.coalesce(f, F.lit(False)).cast("int")) for x, f in flags.items()])
+    vendor = F.when(truthy("loadCapacity"), F.array(entry("vendors", c("manufacturer"))))
+    out = tally(df, [signals, _class_entries("classes"), vendor], [("signals", x) for x in flags]).select("section", "key", "n")
+    if k is None:
+        return out
+    ranked = top_k(out.filter("section <> 'signals'"), ["section"], [c("n").desc(), c("key")], k).drop("rank")
+    return out.filter("section = 'signals'").unionByName(ranked)
 
 
 def doc_coverage(df: DataFrame) -> DataFrame:

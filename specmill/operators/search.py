@@ -195,8 +195,8 @@ def paginate(df: DataFrame, page=1, limit=50, by: str | None = None, order: str
     end, in ``strict`` it is rejected.
 
     The first page is a top-k of ``limit`` rows, and so is any page given by ``after``: the (sort key, position) of the row before
-    it, or just the position without ``by``. Other page numbers are found by ``ranked`` on keys and positions alone, so no task
-    sorts or carries the rows of the pages before; the rows of the page are then looked up by position, which must be unique.
+    it, or just the position without ``by``. Of other page numbers the first and last row are found first, by counting keys
+    (``page_bounds``); the page is then a filter on the rows. Neither shuffles the rows. Positions must be unique.
     """
     page, limit = page_args(page, limit, default_limit)
     if mode == "strict" and (page < 1 or limit < 1):
@@ -205,22 +205,68 @@ def paginate(df: DataFrame, page=1, limit=50, by: str | None = None, order: str
         raise ValueError("limit must not be negative")
     sorting = sort_order(by, order, collate)
     if after is not None:
-        k, pos = after if by else (None, after[-1] if isinstance(after, (tuple, list)) else after)
-        beyond = F.col("_pos") > pos
-        if by:
-            key = sort_key(by, collate)
-            beyond = (key < F.lit(k) if order == "desc" else key > F.lit(k)) | ((key == F.lit(k)) & beyond)
-        return df.filter(beyond).orderBy(*sorting).limit(limit)
+        k, pos = after if by else (0, after[-1] if isinstance(after, (tuple, list)) else after)
+        key = sort_key(by, collate) if by else F.lit(0)
+        return df.filter(_beyond(key, (k, pos), order == "desc")).orderBy(*sorting).limit(limit)
     if page == 1:
         return df.orderBy(*sorting).limit(limit)
-    keyed = df.select("_pos", (sort_key(by, collate) if by else F.lit(0)).alias("_k"))
-    k = F.col("_k")
-    forward = [k.desc() if order == "desc" else k.asc(), F.col("_pos").asc()]
-    backward = [k.asc() if order == "desc" else k.desc(), F.col("_pos").desc()]
+    key, desc = sort_key(by, collate) if by else F.lit(0), order == "desc"
     skip = (page - 1) * limit if page > 0 else -page * limit
-    numbered = ranked(keyed, forward if page > 0 else backward)
-    wanted = numbered.filter((F.col("position") > skip) & (F.col("position") <= skip + limit)).select("_pos")  # at most ``limit`` rows
-    return df.join(wanted, "_pos", "left_semi").orderBy(*sorting)
+    first = nth_key(df.select(key.alias("_k"), "_pos"), skip, desc, back=page < 0) if limit else None
+    if first is None:
+        return df.filter(F.lit(False))
+    rows = df.filter(_beyond(key, first, desc, back=page < 0) | (key == F.lit(first[0])) & (F.col("_pos") == first[1]))
+    if page < 0:
+        rows = rows.orderBy(*(_page_order(key, desc, back=True) if by else [F.col("_pos").desc()])).limit(limit)
+    return rows.orderBy(*sorting).limit(limit)
+
+
+def _page_order(key: Column, desc: bool, back: bool = False) -> list[Column]:
+    return [key.desc() if desc != back else key.asc(), F.col("_pos").desc() if back else F.col("_pos").asc()]
+
+
+def _beyond(key: Column, place: tuple, desc: bool, back: bool = False) -> Column:
+    """Rows after the (key, position) ``place`` in the order of a page, or with ``back`` before it."""
+    k = F.lit(place[0])
+    further = key < k if desc != back else key > k
+    return further | (key == k) & (F.col("_pos") < place[1] if back else F.col("_pos") > place[1])
+
+
+#: Keys that a task may sort to skip them, and keys that are drawn to narrow the search for a place.
+TOP, DRAWN = 10_000, 10_000
+
+
+def nth_key(keys: DataFrame, skip: int, desc: bool = False, back: bool = False) -> tuple | None:
+    """(key, position) of the row after ``skip`` ones in order, or None. ``keys`` has ``_k`` and ``_pos``.
+
+    While more than TOP rows are to be skipped, a place a little before the wanted one is drawn, or a little after it if that lies near the
+    beginning, and the rows up to there are counted: what is left to search shrinks to a few hundredths each time. Which
+    places are drawn does not matter for the result. Only counts and the first TOP keys leave a task, and no row is shuffled.
+    """
+    order = _page_order(F.col("_k"), desc, back)
+    n = None if skip <= TOP else keys.count()
+    turn = 0
+    while skip > TOP:
+        if skip >= n:
+            return None
+        share = min(1.0, DRAWN / n)
+        chosen = F.pmod(F.xxhash64("_pos", F.lit(turn)), F.lit(1 << 30)) < int(share * (1 << 30))
+        drawn = keys.filter(chosen).orderBy(*order).limit(4 * DRAWN).collect()
+        turn += 1
+        guess, spread = skip / n * len(drawn), 3 * len(drawn) ** 0.5 + 1
+        at = int(guess - spread)
+        low = at >= 0
+        if not low and (at := int(guess + spread)) >= len(drawn):
+            break
+        place = (drawn[at]["_k"], drawn[at]["_pos"])
+        further = _beyond(F.col("_k"), place, desc, back)
+        upto = n - keys.filter(further).count()
+        if low and upto <= skip:
+            keys, n, skip = keys.filter(further), n - upto, skip - upto
+        elif not low and upto > skip:
+            keys, n = keys.filter(~further), upto
+    found = keys.orderBy(*order).offset(skip).limit(1).collect()
+    return (found[0]["_k"], found[0]["_pos"]) if found else None
 
 
 def page_info(df: DataFrame, page=1, limit=50, default_limit: int = 50) -> DataFrame:

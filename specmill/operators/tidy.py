@@ -23,6 +23,29 @@ def pairs(df: DataFrame, named: dict[str, Column], key: str = "facet", value: st
         F.col(value).isNotNull())
 
 
+_ENTRY = "array<struct<section:string,key:string,sub:string,v:bigint,one:bigint>>"
+
+
+def entry(section: str, key: Column | str, value: Column | int = 1, sub: Column | None = None) -> Column:
+    """One entry of ``tally``; ``key`` is a column, or a text itself."""
+    text = F.lit(key) if isinstance(key, str) else key
+    return F.struct(F.lit(section).alias("section"), text.cast("string").alias("key"), (F.lit(None) if sub is None else sub).cast("string").alias("sub"),
+                    (F.lit(value) if isinstance(value, int) else value).cast("long").alias("v"), F.lit(1).cast("long").alias("one"))
+
+
+def tally(df: DataFrame, entries: list[Column], fixed: list[tuple[str, str]] = ()) -> DataFrame:
+    """(section, key, sub, n, of) over all entries of all rows, from one scan: ``n`` adds up the entries' values, ``of`` counts them.
+
+    ``entries`` are arrays of ``entry`` structs, or null for none. Sections and keys in ``fixed`` are there with 0 even where no row has them.
+    """
+    lists = [F.coalesce(e.cast(_ENTRY), F.array().cast(_ENTRY)) for e in entries]
+    rows = df.select(F.inline(F.concat(*lists)))
+    if fixed:
+        zeros = df.sparkSession.createDataFrame(list(fixed), "section string, key string")
+        rows = rows.unionByName(zeros.selectExpr("section", "key", "CAST(NULL AS STRING) AS sub", "0L AS v", "0L AS one"))
+    return rows.groupBy("section", "key", "sub").agg(F.sum("v").alias("n"), F.sum("one").alias("of"))
+
+
 def with_zeros(counts: DataFrame, keys: list[tuple], names: list[str], count: str = "n") -> DataFrame:
     """Left join on a fixed key list so that empty buckets show zero; the key list is a literal, hence tiny."""
     spark = counts.sparkSession

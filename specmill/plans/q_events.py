@@ -6,10 +6,10 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from ..functions.text import c
+from ..functions.text import c, content_hash
 from ..operators import reports
 from ..session import shared_dir
-from ..streaming import streams
+from ..streaming import buckets, logs, streams
 from . import inputs
 from .q_linkage import _FILES, docs, files_for_ranking, ranked
 from .registry import query
@@ -67,7 +67,7 @@ def t01(spark, sf):
     SELECT k, event_id, ts FROM (SELECT e.k, e.event_id, e.ts, row_number() OVER (PARTITION BY e.k ORDER BY e.ts, e.event_id) AS r FROM kept JOIN e ON e.k = kept.k AND e.ts >= kept.ts + INTERVAL 7 DAY) WHERE r = 1)
   SELECT event_id FROM kept""")
 def t02(spark, sf):
-    e = events(spark, sf).withColumn("hash", F.sha2(F.concat("event_type", (c("user_id") % 10).cast("string")), 256))
+    e = events(spark, sf).withColumn("hash", content_hash(F.concat("event_type", (c("user_id") % 10).cast("string"))))
     return streams.stream_dedupe(e.select("event_id", "ts", "hash"), "hash", "7 days", pos="event_id").select("event_id")
 
 
@@ -102,3 +102,46 @@ def t05(spark, sf):
 @query("t06_run_counters", "SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS successful, count(*) FILTER (event_type = 'error') AS failed FROM events")
 def t06(spark, sf):
     return streams.run_counters(events(spark, sf), ok())
+
+
+@query("t03_sliding_log", """SELECT a.event_id, count(*) AS n, count(*) > 5 AS "over" FROM events a JOIN events b ON b.event_type = a.event_type AND b.ts > a.ts - INTERVAL 1 HOUR AND b.ts <= a.ts GROUP BY a.event_id""")
+def t03_log(spark, sf):
+    return logs.sliding_log(events(spark, sf).select("event_id", "event_type", "ts"), "event_type", 3600, 5).select("event_id", "n", "over")
+
+
+@query("t07_late_marks", """SELECT event_id, strftime(m - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS watermark, coalesce(ts < m - INTERVAL 1 HOUR, false) AS late FROM (
+  SELECT event_id, ts, max(ts) OVER (ORDER BY event_id + CASE WHEN event_id % 7 = 0 THEN 400 ELSE 0 END, ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events)""")
+def t07_marks(spark, sf):
+    """Events of which each seventh arrives 400 places late."""
+    e = events(spark, sf).select("event_id", "ts", (c("event_id") + F.when(c("event_id") % 7 == 0, 400).otherwise(0)).alias("arrived"))
+    marked = logs.mark_late(e, "1 hour", "arrived")
+    return marked.select("event_id", F.date_format("watermark", "yyyy-MM-dd HH:mm:ss").alias("watermark"), "late")
+
+
+@query("t06_run_history", """WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) SELECT 'total' AS metric, CAST(count(*) AS DOUBLE) AS value FROM events
+  UNION ALL SELECT 'successful', count(*) FROM events WHERE event_type <> 'error' UNION ALL SELECT 'failed', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'kept', count(*) FROM l
+  UNION ALL SELECT 'keptSuccessful', count(*) FROM l WHERE event_type <> 'error' UNION ALL SELECT 'keptDuration', round(sum(value), 4) FROM l UNION ALL SELECT 'lastRun', CAST(arg_max(event_id, (ts, event_id)) AS DOUBLE) FROM l""")
+def t06_history(spark, sf):
+    """All events as a stream of runs in four files; the history is what its state holds at the end."""
+    root, name = f"{shared_dir(spark)}/history-{uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    runs = events(spark, sf).select(c("event_id").alias("id"), c("ts").cast("timestamp").alias("start"), c("value").alias("duration"), ok().alias("success"))
+    runs.repartitionByRange(4, "start").write.parquet(f"{root}/runs")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/runs")
+        logs.run_history(stream, 100).writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return logs.read_run_history(spark, f"{root}/state")
+
+
+@query("t01_bucket_state", """SELECT id, arg_max(last_type, batch) AS last_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'u-' || CAST(user_id AS VARCHAR) AS id, event_id // 1000 AS batch, arg_max(event_type, event_id) AS last_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY id""")
+def t01_buckets(spark, sf):
+    e = events(spark, sf).select(F.concat(F.lit("u-"), c("user_id").cast("string")).alias("id"), c("event_id").alias("_pos"), "event_type")
+    table = buckets.BucketTable(f"{shared_dir(spark)}/buckets-{uuid4().hex}", buckets=8)
+    top = e.agg(F.max("_pos")).first()[0] or 0
+    for batch in range(3):  # thirds of the events in arrival order
+        table.append(e.filter(F.floor(c("_pos") * 3 / (top + 1)) == batch), batch)
+    n = e.groupBy("id").agg(F.count("*").alias("n"))
+    return table.current(spark).join(n, "id").select("id", c("event_type").alias("last_type"), "n")

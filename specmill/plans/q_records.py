@@ -128,6 +128,15 @@ def d01_compat(spark, sf):
     return d.select(c("_key").alias("key"), "_pos", "dataCompleteness", "dataQualityTier", "liftingSpeed", "n_pdfs")
 
 
+@query("d01_fold_structs_compat", cat("""SELECT key, coalesce(string_agg('/img/' || CAST(i AS VARCHAR) || '.jpg', '|' ORDER BY _pos, i) FILTER (i <= n_images), '') AS images, CAST(sum(n_images) / 3 AS BIGINT) AS n
+  FROM keyed, range(1, 4) r(i) GROUP BY key""", dedupe_sql("compat")))
+def d01_structs(spark, sf):
+    """Every record's first image is the same one."""
+    d = catalog(spark, sf).withColumn("images", F.transform("images", lambda x, i: x.withField("url", F.concat(F.lit("/img/"), (i + 1).cast("string"), F.lit(".jpg"))).withField("alt", F.lit(None).cast("string"))))
+    folded = dedupe.dedupe_fold(d.drop("n_images"), recompute=False, mode="compat")
+    return folded.select(c("_key").alias("key"), F.coalesce(F.array_join(F.col("images.url"), "|"), F.lit("")).alias("images"), c("n_images").alias("n"))
+
+
 @query("d01_fold_media", cat("""SELECT key, _pos, CAST(i - 1 AS INT) AS i, '/img/' || id || '-' || CAST(i AS VARCHAR) || '.jpg' AS image_url
   FROM keyed, range(1, 4) r(i) WHERE i <= n_images""", dedupe_sql("fixed")))
 def d01_media(spark, sf):
@@ -146,6 +155,14 @@ def d02(spark, sf):
     return dedupe.duplicate_groups(catalog(spark, sf))
 
 
+@query("j16_model_groups", cat("""SELECT mk AS key, count(*) AS n FROM rows_ r GROUP BY mk HAVING count(*) > 1 AND NOT bool_or(u IS NOT NULL AND u IN (SELECT u FROM rows_ WHERE u IS NOT NULL GROUP BY u HAVING count(*) > 1))""",
+                               f"""rows_ AS (SELECT id, CASE WHEN coalesce(url, '') <> '' THEN {_URLKEY} || '/' || CAST(_pos % 3 AS VARCHAR) END AS u, lower(manufacturer || '|') AS mk FROM catalog WHERE _pos % 5 = 0)"""))
+def j16(spark, sf):
+    """Vendors as groups, so that there are some, with a third of the pages told apart."""
+    d = catalog(spark, sf).filter("_pos % 5 = 0").withColumn("url", F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.regexp_replace(F.lower("url"), "/$", ""), F.lit("/"), (c("_pos") % 3).cast("string"))))
+    return dedupe.model_groups(d.withColumn("model", F.lit("")))
+
+
 _SCORE = "((coalesce(loadCapacity,'')<>'')::INT + (coalesce(liftingSpeed,'')<>'')::INT + (coalesce(motorPower,'')<>'')::INT + (n_images>0)::INT + (n_pdfs>0)::INT)"
 _UNCAT = """kept AS (SELECT r.* FROM raw r LEFT JOIN (SELECT url, count(*) AS uses FROM raw GROUP BY url) u ON r.url = u.url
   WHERE len(trim(model)) >= 3 AND lower(trim(model)) NOT IN ('s', 'hoists') AND NOT contains(lower(model), 'view all')

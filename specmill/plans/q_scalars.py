@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsonrepair, mining, names, units, values, web
-from ..functions.text import c, truncate_text
+from ..functions.text import c, content_hash, truncate_text
 from . import inputs
 from .oracle import (CAP_KG, KG, MPM, NUM, SPEED, bucket, classes, dev, f, model, norm_capacity, norm_power, norm_speed, num, power_bucket,
                      present, raw, speed_bucket, vendor)
@@ -226,7 +226,7 @@ def s39(spark, sf):
 
 @query("s40_content_hash", "SELECT doc_id, sha256(text) AS h FROM documents")
 def s40(spark, sf):
-    return inputs.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return inputs.table(spark, sf, "documents").select("doc_id", content_hash("text").alias("h"))
 
 
 rawq("s41_doc_type", {"t": lambda: web.doc_type(F.concat(F.lit("/x/"), F.when(c("_pos") % 4 == 0, "Datasheet.pdf").when(c("_pos") % 4 == 1, "spec.pdf").otherwise("a.pdf")),

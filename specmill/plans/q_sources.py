@@ -48,6 +48,14 @@ def src1(spark, sf):
     return readers.read_catalog(spark, f"{path}/*").select("id", "manufacturer", "model", "loadCapacity", "motorPower", "weight", F.size("images").cast("long").alias("n_images"))
 
 
+@query("src1_read_catalog_split", raw("SELECT id, manufacturer, model, loadCapacity, motorPower, weight, CAST(n_images AS BIGINT) AS n_images FROM raw"))
+def src1_split(spark, sf):
+    path = _folder(spark, "catalog")
+    rows = inputs.raw_catalog(spark, sf).select("id", "manufacturer", "model", "loadCapacity", "motorPower", "weight", "images")
+    _documents(rows, "manufacturer", path, "data")
+    return readers.read_catalog_split(spark, f"{path}/*").select("id", "manufacturer", "model", "loadCapacity", "motorPower", "weight", F.size("images").cast("long").alias("n_images"))
+
+
 @query("src2_read_devices", f"""WITH {DEV} SELECT "manufacturerId", "productId", trim(name) AS name, "overloadRaw" AS overload, "minSpeedRaw" AS lo FROM devices_raw""")
 def src2(spark, sf):
     path = _folder(spark, "devices")
@@ -114,6 +122,15 @@ def snk6(spark, sf):
     return spark.read.parquet(f"{path}/records").select("id", "model", "quietOperation", "dataCompleteness")
 
 
+@query("snk6_report_in_one_pass", cat("""SELECT 'records' AS metric, CAST(count(*) AS DOUBLE) AS value FROM catalog UNION ALL SELECT 'motorPower', count(*) FILTER (coalesce(motorPower, '') <> '') FROM catalog
+  UNION ALL SELECT 'series', count(*) FILTER (coalesce(series, '') <> '') FROM catalog UNION ALL SELECT 'completeness', sum(dataCompleteness) FROM catalog"""))
+def snk6_report(spark, sf):
+    path, there = _folder(spark, "processed"), lambda f: F.count_if(F.coalesce(c(f), F.lit("")) != "")
+    d = process_catalog(inputs.raw_catalog(spark, sf))
+    writers.write_processed(d, {"records": F.count(F.lit(1)), "motorPower": there("motorPower"), "series": there("series"), "completeness": F.sum("dataCompleteness")}, path)
+    return spark.read.schema("metric string, value double").json(f"{path}/report")
+
+
 @query("snk8_export_all", cat("SELECT 'json' AS format, id, model FROM catalog UNION ALL SELECT 'csv', id, model FROM catalog"))
 def snk8(spark, sf):
     path = _folder(spark, "export")

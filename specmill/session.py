@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tempfile
 import zipfile
@@ -67,6 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+LISTED = 1_000
 _STORED: dict[tuple[str, str], str] = {}
 _STORING = Lock()
 
@@ -74,11 +76,18 @@ _STORING = Lock()
 def source_key(*tables: DataFrame) -> str:
     """Names, sizes and times of the files that tables are read from, as one number: another content gives another key.
 
-    One row per file is listed; no content is read.
+    Files are only listed, by the driver, or by a job of one row per file if there are many.
     """
-    names = [f for t in tables for f in t.inputFiles()]
-    files = tables[0].sparkSession.read.format("binaryFile").load(names).select("path", "length", "modificationTime")
-    return f"{files.agg(F.sum(F.xxhash64('*').cast('decimal(38,0)'))).first()[0]}"
+    spark, names = tables[0].sparkSession, sorted(f for t in tables for f in t.inputFiles())
+    if len(names) > LISTED:
+        files = spark.read.format("binaryFile").load(names).select("path", "length", "modificationTime")
+        return f"{files.agg(F.sum(F.xxhash64('*').cast('decimal(38,0)'))).first()[0]}"
+    jvm, conf, listed = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for f in names:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        listed.append((f, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr(listed).encode()).hexdigest()[:32]
 
 
 def stored(spark: SparkSession, name: str, build) -> DataFrame:

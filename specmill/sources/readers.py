@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import c, js_trim
 from ..functions.values import variant_array, variant_to_bool
 from ..schema import BOOL_FIELDS, CATALOG, DATE_FIELDS, LIST_FIELDS, MAP_FIELDS, MEDIA_FIELDS, TEXT_FIELDS
+from .jsonsplit import split_records
 
 IMAGE_TYPES = ["png", "jpg", "jpeg", "webp", "svg", "gif"]
 
@@ -82,8 +83,8 @@ def _unreadable() -> Column:
 def read_catalog(spark: SparkSession, path: str, on_bad: str = "raise") -> DataFrame:
     """Catalogue JSON document(s): a bare array, or an object with ``data`` or ``products``.
 
-    A JSON document is one unit, so it is read by one task per file, record by record; very large catalogues belong into JSON
-    lines (``read_catalog_lines``) or Parquet. ``_pos`` is the position in the document, ``_file`` its name. A document that is
+    A JSON document is one unit, so it is read by one task per file, record by record; a large one is read by many tasks with
+    ``read_catalog_split``. ``_pos`` is the position in the document, ``_file`` its name. A document that is
     no JSON raises. Any other shape raises too, or yields nothing with ``on_bad='empty'``.
     """
     if on_bad not in ("raise", "empty"):
@@ -96,6 +97,17 @@ def read_catalog(spark: SparkSession, path: str, on_bad: str = "raise") -> DataF
     return rows.select(c("_pos").cast("long").alias("_pos"), *catalog_columns(c("r")), "_file")
 
 
+def read_catalog_split(spark: SparkSession, path: str, on_bad: str = "raise") -> DataFrame:
+    """``read_catalog`` for documents of any size: each is read in parts, by many tasks; see ``split_records``.
+
+    The rows are the same. What is beside the records is looked at for brackets and texts only, and an empty file has no rows.
+    """
+    if on_bad not in ("raise", "empty"):
+        raise ValueError("on_bad must be 'raise' or 'empty'")
+    rows = split_records(spark, path, on_bad=on_bad).withColumn("r", F.parse_json("record"))
+    return rows.select("_pos", *catalog_columns(c("r")), "_file")
+
+
 def read_catalog_meta(spark: SparkSession, path: str) -> DataFrame:
     """Envelope fields other than the records, one row per file."""
     docs = _documents(spark, path, {"version": "string", "scrapedAt": "string", "stats": "string"})

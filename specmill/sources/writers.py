@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,17 +18,23 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 def export_meta(df: DataFrame, when, filters: dict | None = None, version: str = "2.0",
                 description: str = "Product catalogue export") -> DataFrame:
     """One row that describes an export."""
-    return df.agg(F.count("*").alias("totalRecords")).select(
+    return _meta(df.agg(F.count("*").alias("totalRecords")), when, filters, version, description)
+
+
+def _meta(counted: DataFrame, when, filters: dict | None = None, version: str = "2.0", description: str = "Product catalogue export") -> DataFrame:
+    return counted.select(
         F.lit(when).alias("exportDate"), "totalRecords", F.lit(version).alias("version"),
         F.to_json(F.create_map(*[F.lit(x) for kv in (filters or {}).items() for x in kv])).alias("filters") if filters
         else F.lit("{}").alias("filters"), F.lit(description).alias("description"))
 
 
 def export_json(df: DataFrame, path: str, filters: dict | None = None, when: str | None = None) -> None:
-    """JSON lines under ``path/data`` and a metadata row under ``path/metadata``."""
-    out = export_filter(df, **(filters or {}))
-    write_ready(out).write.mode("overwrite").json(f"{path}/data")
-    export_meta(out, when, filters).write.mode("overwrite").json(f"{path}/metadata")
+    """JSON lines under ``path/data`` and a metadata row under ``path/metadata``; the rows are counted while they are written."""
+    n = Observation()
+    rows = export_filter(df, **(filters or {})).observe(n, F.count(F.lit(1)).alias("totalRecords"))
+    write_ready(rows).write.mode("overwrite").json(f"{path}/data")
+    counted = df.sparkSession.range(1).select(F.lit(n.get["totalRecords"]).cast("long").alias("totalRecords"))
+    _meta(counted, when, filters).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def flatten_catalog(df: DataFrame, sep: str = ", ", map_keys: dict[str, list[str]] | None = None, falsy_blank: bool = False,
@@ -79,21 +85,28 @@ def export_csv(df: DataFrame, path: str, **options) -> None:
     flatten_catalog(write_ready(df), **options).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def write_processed(df: DataFrame, report: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/records")
+def write_processed(df: DataFrame, report: DataFrame | dict[str, Column], path: str) -> None:
+    """Records under ``path/records`` and their report under ``path/report``.
+
+    A report of aggregate columns by name is taken while the records are written, and has a row (metric, value) for each; one
+    that is a table is computed by itself.
+    """
+    if isinstance(report, DataFrame):
+        df.write.mode("overwrite").parquet(f"{path}/records")
+    else:
+        seen = Observation()
+        df.observe(seen, *[v.alias(k) for k, v in report.items()]).write.mode("overwrite").parquet(f"{path}/records")
+        rows = [(k, None if seen.get[k] is None else float(seen.get[k])) for k in report]
+        report = df.sparkSession.createDataFrame(rows, "metric string, value double")
     report.write.mode("overwrite").json(f"{path}/report")
 
 
 def export_all(df: DataFrame, path: str, stats: DataFrame | None = None, when: str | None = None, **csv_options) -> None:
-    """The same rows in every format."""
-    df = df.persist()
-    try:
-        export_json(df, f"{path}/json", when=when)
-        export_csv(df, f"{path}/csv", **csv_options)
-        if stats is not None:
-            stats.write.mode("overwrite").json(f"{path}/stats")
-    finally:
-        df.unpersist()
+    """The same rows in every format: one pass over ``df`` for each, nothing is kept in between."""
+    export_json(df, f"{path}/json", when=when)
+    export_csv(df, f"{path}/csv", **csv_options)
+    if stats is not None:
+        stats.write.mode("overwrite").json(f"{path}/stats")
 
 
 def export_filtered(df: DataFrame, path: str, filters: dict, fmt: str = "json", when: str | None = None) -> None:

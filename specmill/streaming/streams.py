@@ -14,6 +14,10 @@ from ..operators.merge import upsert
 from ..session import cut
 
 
+#: Slots that a time to live is cut into.
+SLOTS = 64
+
+
 def late(df: DataFrame, watermark: str | None, ts: str = "ts") -> DataFrame:
     """Rows later than the watermark are dropped by the stateful operator that follows (and counted in its progress
     metric ``numRowsDroppedByWatermark``). A watermark has no meaning on a static table."""
@@ -25,8 +29,8 @@ def stream_dedupe(df: DataFrame, key: str = "hash", ttl: str = "7 days", ts: str
 
     On a stream the state is the time of the last kept row, one per live key; rows count in the order of their batches, and
     inside a batch by time. A key whose time is over is forgotten by event time. On a table each row points at the first row of its key
-    that is at least ``ttl`` later, and the rows reached from a key's first one are found by doubling the pointers: the rounds
-    grow with the logarithm of time span / ttl. ``pos`` breaks ties. Rows without key are dropped.
+    that is at least ``ttl`` later, found per key and slot of time, so that one busy key is many partitions; the rows reached from a
+    key's first one are found by doubling the pointers: the rounds grow with the logarithm of time span / ttl. ``pos`` breaks ties. Rows without key are dropped.
     """
     rows = df.filter(c(key).isNotNull())
     if df.isStreaming:
@@ -36,8 +40,14 @@ def stream_dedupe(df: DataFrame, key: str = "hash", ttl: str = "7 days", ts: str
     events = rows.groupBy(key, ts).agg(F.min(order).alias("_at"))  # rows of one time are decided by their first
     due = events.select(key, (c(ts) + F.expr(f"INTERVAL {ttl}")).alias("_t"), c("_at").alias("_from"), F.lit(None).cast(events.schema["_at"].dataType).alias("_to"), F.lit(0).alias("_row"))
     there = events.select(key, c(ts).alias("_t"), F.lit(None).cast(events.schema["_at"].dataType).alias("_from"), c("_at").alias("_to"), F.lit(1).alias("_row"))
-    w = Window.partitionBy(key).orderBy("_t", "_row").rowsBetween(0, Window.unboundedFollowing)
-    jump = cut(due.unionByName(there).withColumn("_to", F.first("_to", ignorenulls=True).over(w)).filter("_row = 0 AND _to IS NOT NULL").select(key, "_from", "_to"))
+    # The next event of each is looked for in its slot, and else at the head of the key's next slot; a key has as many slots as the time span has.
+    slot = F.floor(F.unix_micros(c("_t").cast("timestamp")) / F.lit(max(1, int(_seconds(df.sparkSession, ttl) * 1_000_000 / SLOTS)))).cast("long")
+    near = due.unionByName(there).withColumn("_slot", slot)
+    here = Window.partitionBy(key, "_slot").orderBy(c("_t").desc(), c("_row").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    heads = near.groupBy(key, "_slot").agg(F.min("_to").alias("_head"))
+    later = heads.select(key, "_slot", F.last("_head", ignorenulls=True).over(Window.partitionBy(key).orderBy(c("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_next"))
+    found = near.withColumn("_to", F.last("_to", ignorenulls=True).over(here)).filter("_row = 0").join(later, [key, "_slot"])
+    jump = cut(found.withColumn("_to", F.coalesce("_to", "_next")).filter("_to IS NOT NULL").select(key, "_from", "_to"))
     kept = cut(rows.groupBy(key).agg(F.min(order).alias("_at")))
     while not jump.isEmpty():
         step = kept.join(jump.withColumnRenamed("_from", "_at"), [key, "_at"]).select(key, c("_to").alias("_at"))
@@ -46,6 +56,10 @@ def stream_dedupe(df: DataFrame, key: str = "hash", ttl: str = "7 days", ts: str
     return rows.withColumn("_at", order).join(kept, [key, "_at"], "left_semi").drop("_at")
 
 
+def _seconds(spark: SparkSession, interval: str) -> float:
+    return spark.sql(f"SELECT CAST(INTERVAL {interval} AS INTERVAL DAY TO SECOND) AS i").first()[0].total_seconds()
+
+
 def _stream_dedupe(rows: DataFrame, key: str, ttl: str, ts: str) -> DataFrame:
     names, late = rows.columns, rows.sparkSession.range(1).select(F.expr(f"INTERVAL {ttl}").cast("interval day to second").alias("i")).first()[0]
 

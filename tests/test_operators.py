@@ -172,6 +172,23 @@ def test_pages_by_number_and_by_key(spark, sf):
         assert [r.id for r in search.paginate(d, limit=25, by=by, order=order, after=(last.k, last["_pos"]) if by else last["_pos"]).collect()] == whole[50:75]
 
 
+def test_deep_pages_by_selection(spark, monkeypatch):
+    """Pages far from both ends, with many equal keys, found with few sorted and drawn keys."""
+    monkeypatch.setattr(search, "TOP", 40)
+    monkeypatch.setattr(search, "DRAWN", 150)
+    rng = random.Random(5)
+    rows = [(i, f"p-{i}", rng.choice([f"{rng.randrange(40)} kg", "5 kg", "5 kg", None]), rng.choice(["Émile", "emile", "Zed", "alpha", "Beta"]) + str(rng.randrange(30))) for i in range(3_000)]
+    d = spark.createDataFrame(rows, "_pos long, id string, loadCapacity string, model string").repartition(4).cache()
+    for by, order, collate in ((None, "asc", False), ("capacity", "desc", False), ("capacity", "asc", False), ("model", "asc", True), ("model", "desc", False)):
+        whole = [r.id for r in search.sort_catalog(d, by, order, collate).collect()]
+        for page in (2, 17, 60, 118, 120, 121, -1, -60, -119, -120):
+            skip = (page - 1) * 25 if page > 0 else len(whole) + (page - 1) * 25
+            want = whole[skip:skip + 25] if skip >= 0 else []
+            assert [r.id for r in search.paginate(d, page, 25, by, order, collate).collect()] == want, (by, order, page)
+    plan = search.paginate(d, 60, 25, "capacity")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan and "Window" not in plan
+
+
 def test_ttl_rounds_are_few(spark):
     """Hundreds of kept rows of one key take a few rounds."""
     from specmill.streaming.streams import stream_dedupe
