@@ -1,11 +1,15 @@
 """Near-duplicates and components against brute force."""
 
 import random
+import re
+import zlib
 
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from specmill.llm import graph, neighbours, q_neighbours
+from specmill.llm import graph, language, neighbours, q_neighbours, q_quality, secrets
 
 
 def shingles(text, words=3):
@@ -138,16 +142,46 @@ def test_marks(spark):
 
 
 def test_pipeline(spark, sf):
-    docs, before = corpus_pipeline.records.documents(spark, sf), None
+    """Each stage on its own input against a plain version."""
+    records, before, inputs = corpus_pipeline.records, None, {}
+    docs = records.documents(spark, sf)
+    rows = lambda df: {r["doc_id"]: r.asDict() for r in df.collect()}
     for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, corpus_pipeline.records.written(stage(spark, docs.withColumn("key", docs["doc_id"]), sf), name)
+        before, docs = docs, records.written(stage(spark, docs.withColumn("key", docs["doc_id"]), sf), name)
+        inputs[name] = rows(before)
         if name != "packing":
-            assert docs.columns == list(corpus_pipeline.records.DOCUMENT)
-        if name == "jaccard_join":
-            texts = {r["doc_id"]: r["text"] for r in before.collect()}
-            assert {r["doc_id"] for r in docs.collect()} == {c for _, c in brute(texts).values()}
-    assert docs.select("doc_id").distinct().count() == before.count()
-    total = docs.agg({"length": "sum"}).first()[0]
-    assert total == docs.select("doc_id", "doc_tokens").distinct().agg({"doc_tokens": "sum"}).first()[0]
+            assert docs.columns == list(records.DOCUMENT)
+            found = rows(docs)
+            assert len(found) == docs.count()
+            if name != "secret_scans":
+                assert all(found[i] == {c: inputs[name][i][c] for c in records.DOCUMENT} for i in found)
+        texts = {i: r["text"] for i, r in inputs[name].items()}
+        if name == "quality_classifier":
+            assert set(found) == {r["doc_id"] for r in q_quality.op8_quality(spark, sf).collect() if r["predicted"] == 1}
+        elif name == "language_id":
+            learned = language.fit_languages(before.where(records.fold("doc_id", 5) != 0), "doc_id", "text", "lang")
+            clear = {r["id"] for r in language.identify_language(records.as_catalog(before), learned).collect() if not r["rejected"]}
+            assert set(found) == clear and all(re.search(r"[^\W\d_]", texts[i]) for i in found)
+        elif name == "jaccard_join":
+            assert set(found) == {c for _, c in brute(texts, 80, 5).values()}
+        elif name == "secret_scans":
+            assert set(found) == set(texts)
+            for i, t in texts.items():
+                spans, out, at = secrets.find_spans(t), [], 0
+                for kind, start, end in spans:
+                    if start >= at:
+                        out += [t[at:start], f"<{kind}>"]
+                    at = max(at, end)
+                assert found[i]["text"] == "".join(out) + t[at:] and found[i]["n_chars"] == len(found[i]["text"])
+                assert not re.search(r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}", found[i]["text"])
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    pieces = docs.toPandas()
+    assert set(pieces.doc_id) == set(inputs["packing"])
+    for i, g in pieces.sort_values("start").groupby("doc_id"):
+        ids, at = tokenizer.encode(inputs["packing"][i]["text"], add_special_tokens=False).ids + [1], 0
+        for r in g.itertuples():
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids[at:at + r.length], dtype="<u4").tobytes()))
+            at += r.length
+        assert at == len(ids)
     run = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, run.select("doc_id", "start", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "start", "ids_crc32").collect()))
