@@ -9,7 +9,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mining, web
@@ -315,6 +315,20 @@ def extract_specs(pages: DataFrame) -> DataFrame:
     return with_parsed(pages).select("page_id", "specs")
 
 
+def register_page_specs(spark: SparkSession, name: str = "page_specs") -> None:
+    """Table function for SQL: ``SELECT ... FROM pages, LATERAL page_specs(html)`` gives (key, value) of each specification of a page.
+
+    The same as ``extract_specs``, a row for each; a null or empty page has none.
+    """
+    @F.udtf(returnType="key string, value string", useArrow=True)
+    class PageSpecs:
+        def eval(self, html: str):
+            for s in read_page(html)[0]:
+                yield s["key"], s["value"]
+
+    spark.udtf.register(name, PageSpecs)
+
+
 def extract_parsed_specs(pages: DataFrame) -> DataFrame:
     return extract_specs(pages).select("page_id", "specs", mining.map_specs("specs").alias("parsed"))
 

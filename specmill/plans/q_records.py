@@ -343,17 +343,29 @@ _FLAT_MORE = """SELECT id, manufacturer, array_to_string(cls, '{sep}') AS classi
   strftime(lastUpdated, '%Y-%m-%dT%H:%M:%S.000Z') AS lastUpdated"""
 
 
-@query("snk2_flatten_catalog", cat(_FLAT_MORE.format(sep=", ") + """,
+_FLAT_SQL = cat(_FLAT_MORE.format(sep=", ") + """,
   CASE WHEN protectionClass IS NOT NULL THEN protectionClass END AS certification_ip, CASE WHEN dutyCycle IS NOT NULL THEN dutyCycle END AS certification_duty,
-  confidence AS priceValue, CASE WHEN confidence IS NOT NULL THEN 'EUR' END AS priceCurrency FROM catalog"""))
-def snk2(spark, sf):
-    d = catalog(spark, sf)
+  confidence AS priceValue, CASE WHEN confidence IS NOT NULL THEN 'EUR' END AS priceCurrency FROM catalog""")
+
+
+def _with_maps(d):
     pairs = F.array_compact(F.array(F.when(c("protectionClass").isNotNull(), F.struct(F.lit("ip").alias("k"), c("protectionClass").alias("v"))),
                                     F.when(c("dutyCycle").isNotNull(), F.struct(F.lit("duty").alias("k"), c("dutyCycle").alias("v")))))
     d = d.withColumns({"certifications": F.map_from_entries(pairs),
                        "price": F.struct(c("confidence").alias("value"), F.when(c("confidence").isNotNull(), "EUR").alias("currency"))})
-    d = d.select("id", "manufacturer", "classification", "voltageOptions", "images", "lastUpdated", "certifications", "price")
-    return writers.flatten_catalog(d, map_keys={"certifications": ["duty", "ip"]})
+    return d.select("id", "manufacturer", "classification", "voltageOptions", "images", "lastUpdated", "certifications", "price")
+
+
+@query("snk2_flatten_catalog", _FLAT_SQL)
+def snk2(spark, sf):
+    return writers.flatten_catalog(_with_maps(catalog(spark, sf)), map_keys={"certifications": ["duty", "ip"]})
+
+
+@query("snk2_header_found", _FLAT_SQL)
+def snk2_found(spark, sf):
+    """The header's keys come from the rows."""
+    d = _with_maps(catalog(spark, sf))
+    return writers.flatten_catalog(d, map_keys=writers.header_keys(d))
 
 
 @query("snk3_flatten_export", cat(_FLAT_MORE.format(sep="; ") + """,

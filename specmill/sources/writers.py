@@ -81,8 +81,25 @@ def flatten_media(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
+def header_keys(df: DataFrame) -> dict[str, list[str]]:
+    """The keys that occur in each map column, in order: what a CSV header needs. One aggregate over all map columns; its result is a header."""
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+    if not maps:
+        return {}
+    def keys_of(n: str) -> Column:
+        return F.transform(F.coalesce(F.map_keys(n), F.array().cast("array<string>")), lambda k: F.struct(F.lit(n).alias("column"), k.alias("key")))
+
+    keys = [keys_of(n) for n in maps]
+    found = df.select(F.inline(F.flatten(F.array(*keys)))).distinct().collect()
+    return {n: sorted(r["key"] for r in found if r["column"] == n) for n in maps}
+
+
 def export_csv(df: DataFrame, path: str, **options) -> None:
-    flatten_catalog(write_ready(df), **options).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+    """CSV with a header; the keys of map columns are found in the rows, by ``header_keys``, unless ``map_keys`` names them."""
+    df = write_ready(df)
+    if options.get("expand_maps", True) and options.get("map_keys") is None:
+        options = {**options, "map_keys": header_keys(df)}
+    flatten_catalog(df, **options).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
 def write_processed(df: DataFrame, report: DataFrame | dict[str, Column], path: str) -> None:

@@ -130,6 +130,18 @@ def test_exports(spark, sf, tmp_path):
     assert back.count() == d.count() and "certification_ce" in back.columns
 
 
+def test_csv_headers_are_found(spark, tmp_path):
+    """The header is the union of the keys of all rows."""
+    d = spark.createDataFrame([("a", {"ce": "1"}, None), ("b", {"ip": "54", "ce": None}, {"x y": "2"}), ("c", None, {})], "id string, certifications map<string,string>, extras map<string,string>")
+    assert writers.header_keys(d) == {"certifications": ["ce", "ip"], "extras": ["x y"]} and writers.header_keys(d.select("id")) == {}
+    writers.export_csv(d, str(tmp_path / "c"))
+    back = spark.read.csv(str(tmp_path / "c"), header=True, escape='"')
+    assert back.columns == ["id", "certification_ce", "certification_ip", "extras_x y"]
+    assert sorted(map(tuple, back.fillna("").collect())) == [("a", "1", "", ""), ("b", "", "54", "2"), ("c", "", "", "")]
+    writers.export_csv(d, str(tmp_path / "j"), expand_maps=False)
+    assert "extras" in spark.read.csv(str(tmp_path / "j"), header=True, escape='"').columns
+
+
 def test_snapshots(spark, sf, tmp_path):
     root = str(tmp_path / "snap")
     r = inputs.raw_catalog(spark, sf).select("id", "model")
